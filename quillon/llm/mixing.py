@@ -74,7 +74,7 @@ def _tilt(lam, size, scale):
     return F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * (size / scale)))
 
 
-def balance(hist: DataFrame, goals: dict, cap: float, tolerance: float = 1e-10, steps: int = 50) -> dict:
+def balance(hist: DataFrame, goals: dict, cap: float, tolerance: float = 1e-7, steps: int = 50) -> dict:
     """Dual multiplier of each source by damped Newton steps over ``hist`` (key, size, n); goals: key -> (target, scale).
 
     A source whose target is all or nothing needs no multiplier (its rates are cap or 0).
