@@ -1,12 +1,13 @@
 """Operators for large-scale training-data pipelines; nothing else in the package imports them."""
 
-from quillon.llm import mixing, pii, quality, tokens, url_rules, warc
+from quillon.llm import decontaminate, mixing, pii, quality, tokens, url_rules, warc
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_mix": mixing.op10_mix,
 }
