@@ -1,8 +1,9 @@
 """Operators for large-scale training-data pipelines; nothing else in the package imports them."""
 
-from quillon.llm import decontaminate, mixing, pii, quality, repeats, tokens, url_rules, warc
+from quillon.llm import decontaminate, jaccard, mixing, pii, quality, repeats, tokens, url_rules, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_substring_dedup": repeats.op2_substring_dedup,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_warc": warc.op4_warc,
