@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines; nothing else in the package imports them."""
 
-from quillon.llm import decontaminate, jaccard, mixing, pii, quality, repeats, tokens, url_rules, warc
+from quillon.llm import decontaminate, jaccard, mixing, nearest, pii, quality, repeats, tokens, url_rules, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -9,8 +9,9 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op6_pii": pii.op6_pii,
+    "op7_exact_topk": nearest.op7_exact_topk,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_mix": mixing.op10_mix,
 }
-ORACLES = {"op9_url_rules": url_rules.SQL}
+ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL}
