@@ -1,8 +1,67 @@
-"""The training-data pipeline: quality, near duplicates, decontamination, personal data, mixing."""
+"""The training-data pipeline: quality, near duplicates, decontamination, personal data, mixing.
 
-STAGES: list = []
+``run`` writes each stage as Parquet to the shared folder and reads it again as the
+next stage's documents.  All stages but the last return the columns of ``documents``;
+the last adds size, source_size, target, copies and taken to every row (0 copies: not in the mix).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, jaccard, mixing, pii, quality
+from quillon.llm.common import table, written
+
+#: A document goes if the classifier is surer than this that it is junk (score below it).
+REJECT_BELOW = 0.5
+
+
+def _resized(docs: DataFrame) -> DataFrame:
+    """n_chars of texts that a stage may have changed."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is not below REJECT_BELOW; labels of the held-out fold are never learned from."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_texts(docs, model).where(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one of least doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that hold benchmark windows."""
+    return _resized(decontaminate.removed(decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return _resized(pii.redact(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the copies and words that the mix takes of each."""
+    got = mixing.mix(docs, keep=docs.columns)
+    return got.select(*docs.columns, *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "copies", "taken")))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("personal data", personal_data_stage),
+    ("mixing to target weights", mixing_stage),
+]
+#: The classifier and the deobfuscation have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

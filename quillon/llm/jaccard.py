@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import NON_SPACE, U64, Words, join_hash, mix, n_parts, table, whole_windows, window_hashes, written
 from quillon.llm.quality import slices
@@ -337,14 +338,42 @@ def linked_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return first.select(F.col("node").alias("sid"), "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: the least doc_id reachable by links."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, sid, label, component_id) of each row; sid and label are null for empty sets."""
     meta = written(sets_of(docs, id_col, text_col), "jaccard-rows")
     grouped = meta.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     by_set = grouped.join(linked_sets(docs, text_col), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     by_label = by_set.groupBy("label").agg(F.min("least").alias("component_id"))
-    names = by_set.select("sid", "label").join(by_label, "label").select("sid", "component_id")
-    return meta.join(names, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = by_set.select("sid", "label").join(by_label, "label").select("sid", "label", "component_id")
+    return meta.join(names, "sid", "left").select("doc_id", "n_shingles", "sid", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: the least doc_id reachable by links."""
+    return classes(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each class: the one of least id; rows with empty sets all stay."""
+    of = classes(docs, id_col, text_col).where("sid IS NOT NULL AND doc_id <=> component_id")
+    one = F.min(F.struct("sid")).alias("one")  # one set, should one id stand for several
+    keep = written(of.groupBy("label").agg(one, F.min("doc_id").alias("__id"), F.count(F.lit(1)).alias("__rows")).select("__id", F.col("one.sid").alias("__sid"), "__rows"), "jaccard-kept")
+    names = docs.columns
+
+    def add(batches):
+        index = names.index(text_col)
+        for b in batches:
+            at = 0
+            for (texts,) in slices(pa.RecordBatch.from_arrays([b.column(index)], names=["t"]), "t", limit=BLOCK_BYTES):
+                _, _, sizes, sids = incidence(texts)
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns, pa.array(sids.view(np.int64), mask=sizes == 0)], names=[*names, "__sid"])
+                at += len(texts)
+
+    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())]))
+    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows["__sid"] == keep["__sid"])).drop(keep["__sid"])
+    if keep.where("__rows > 1").limit(1).count():  # repeated rows of one id and one set
+        kept = kept.dropDuplicates([id_col, "__sid"])
+    return kept.select(*names).unionAll(rows.where("__sid IS NULL").select(*names))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

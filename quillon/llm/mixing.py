@@ -23,29 +23,30 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import NON_SPACE, Words, table, written
 
 MAX_SOURCES = 100_000
-BUCKET = 20_000
+BUCKET = 2_000
 CYCLE = (3, 1, 2)
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): word counts of whole texts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    id_type, source_type = (t for _, t in rows.dtypes[:2])
+def sized(docs: DataFrame, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """The ``keep`` columns and __size: word counts of whole texts."""
+    names = list(keep)
+    rows = docs.select(*names, F.col(text_col).alias("__text"))
 
     def count(batches):
         for b in batches:
-            w = Words(b.column("text"), NON_SPACE)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(w.counts().astype(np.int64))], names=["doc_id", "source", "size"])
+            w = Words(b.column(len(names)), NON_SPACE)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(w.counts().astype(np.int64))], names=[*names, "__size"])
 
-    return rows.mapInArrow(count, f"doc_id {id_type}, source {source_type}, size long")
+    return rows.mapInArrow(count, T.StructType([*rows.schema.fields[:-1], T.StructField("__size", T.LongType())]))
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float = 2.0) -> list[float]:
@@ -119,37 +120,43 @@ def diffuse(size: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
     return copies
 
 
-def mix(docs: DataFrame, weights=CYCLE, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each row."""
-    rows = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
+def mix(docs: DataFrame, weights=CYCLE, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (id and source if not given) and __size, __source_size, __target, __copies, __taken of each row."""
     spark = docs.sparkSession
-    totals = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    keep = [id_col, source_col] if keep is None else list(keep)
+    sizes = written(sized(docs, text_col, [source_col]).groupBy(source_col, "__size").agg(F.count(F.lit(1)).alias("n")).toDF("source", "size", "n"), "mix-histogram")
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: give weights for groups of sources")
     totals.sort(key=lambda t: (t.source is None, t.source or ""))
     share_of = [float(weights[i % len(weights)]) for i in range(len(totals))]
     goal = targets([t.total for t in totals], share_of, share * sum(t.total for t in totals), cap)
     per = [(i, t.source, t.total, g, max(1.0, t.total / max(1, t.n)), max(1, math.ceil(t.n / BUCKET))) for i, (t, g) in enumerate(zip(totals, goal, strict=True))]
-    keys = spark.createDataFrame(per, "key int, source string, source_size long, target double, scale double, buckets int")
-    keyed = rows.join(F.broadcast(keys), rows.source.eqNullSafe(keys.source), "inner").drop(keys.source)
-    hist = written(keyed.where("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
+    keys = spark.createDataFrame(per, "__key int, __source string, __source_size long, __target double, __scale double, __buckets int")
+    hist = sizes.join(F.broadcast(keys), sizes.source.eqNullSafe(keys["__source"])).where("size > 0").select(F.col("__key").alias("key"), "size", "n")
     lam = balance(hist, {k: (g, scale, float(cap * total)) for k, _, total, g, scale, _ in per}, float(cap))
-    tilt = spark.createDataFrame([(k, lam.get(k), 0.0 if g <= 0 else float(cap)) for k, _, _, g, _, _ in per], "key int, lam double, edge double")
-    rated = keyed.join(F.broadcast(tilt), "key").select(
-        "doc_id", "source", "size", "source_size", "target", "key",
-        F.when(F.col("lam").isNull(), F.col("edge")).otherwise(_rate(_tilt(F.col("lam"), F.col("size"), F.col("scale")), float(cap))).alias("rate"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")).alias("bucket"),
+    tilt = spark.createDataFrame([(*p, lam.get(p[0]), 0.0 if p[3] <= 0 else float(cap)) for p in per], keys.schema.simpleString()[7:-1].replace(":", " ") + ", __lam double, __edge double")
+    wanted = list(dict.fromkeys([*keep, id_col, source_col]))
+    rows = sized(docs, text_col, wanted)
+    rated = rows.join(F.broadcast(tilt), rows[source_col].eqNullSafe(tilt["__source"])).select(
+        *wanted, "__size", "__source_size", "__target", "__key",
+        F.when(F.col("__lam").isNull(), F.col("__edge")).otherwise(_rate(_tilt(F.col("__lam"), F.col("__size"), F.col("__scale")), float(cap))).alias("__rate"),
+        F.pmod(F.xxhash64(id_col, "__size"), F.col("__buckets")).alias("__bucket"),
     )
+    added = ["__size", "__source_size", "__target"]
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("__size", T.LongType()), T.StructField("__source_size", T.LongType()), T.StructField("__target", T.DoubleType()), T.StructField("__copies", T.LongType()), T.StructField("__taken", T.LongType())])
 
-    def round_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-        pdf["copies"] = diffuse(pdf["size"].to_numpy(), pdf["rate"].to_numpy(), cap)
-        pdf["taken"] = pdf["copies"] * pdf["size"]
-        return pdf[["doc_id", "source", "size", "source_size", "target", "copies", "taken"]]
+    def round_bucket(group: pa.Table) -> pa.Table:
+        order = pa.compute.sort_indices(group.select(["__size", id_col]), sort_keys=[("__size", "descending"), (id_col, "ascending")])
+        group = group.take(order)
+        size = group["__size"].to_numpy()
+        copies = diffuse(size, group["__rate"].to_numpy(), cap)
+        cols = [group[c] for c in [*keep, *added]]
+        return pa.table([*cols, pa.array(copies), pa.array(copies * size)], names=[*keep, *added, "__copies", "__taken"])
 
-    kind = dict(rows.dtypes)
-    return rated.groupBy("key", "bucket").applyInPandas(round_bucket, f"doc_id {kind['doc_id']}, source {kind['source']}, size long, source_size long, target double, copies long, taken long")
+    return rated.groupBy("__key", "__bucket").applyInArrow(round_bucket, schema)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    got = mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
