@@ -10,8 +10,8 @@ set id, so copies enter once.  Exact at every size:
 3. The others are posted under their rarest shingles (prefix of n - ceil(0.8 n) + 1 in
    order of document frequency, then hash): linked sets share one of these.  Under each
    shingle, sizes and positions bound the overlap and discard pairs below it.
-4. First every set meets only the least set id under each of its shingles (a star, linear in
-   postings); overlaps are accumulated over the whole shared lists and tested.  Then components are
+4. First every set meets only the most central set under each of its shingles, the one whose
+   shingles are most frequent (a star, linear in postings: near copies link to what they were copied from); overlaps are accumulated over the whole shared lists and tested.  Then components are
    taken, and a second product takes the remaining pairs, leaving out those within one
    component, which cannot change the result.  A group of near copies is thus never expanded into pairs.
 5. Components by label propagation with pointer jumping over written tables.
@@ -192,7 +192,7 @@ def _sets_that_can_link(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u[part].view(np.int64)), pa.array(n[part]), pa.array(blobs, pa.binary())], names=["sid", "n", "keys"])
 
 
-POST = np.dtype([("hash", np.uint64), ("sid", np.uint64), ("comp", np.uint64), ("n", np.int32), ("rest", np.int32)])
+POST = np.dtype([("hash", np.uint64), ("sid", np.uint64), ("comp", np.uint64), ("n", np.int32), ("rest", np.int32), ("mean", np.float32)])
 
 
 def _post(parts: int):
@@ -209,6 +209,7 @@ def _post(parts: int):
                 p["hash"] = first & U64(0xFFFFFFFFFFFF)
                 p["sid"], p["comp"] = np.int64(sid.as_py()).view(np.uint64), np.int64(comp.as_py()).view(np.uint64)
                 p["n"], p["rest"] = n, n - lone - np.arange(len(first))
+                p["mean"] = (float((keys >> U64(48)).sum()) + lone) / n
                 out.append(p)
             if not out:
                 continue
@@ -233,16 +234,17 @@ def _feasible(p, q):
 
 
 def _sorted_posts(batches):
+    """Postings by hash, the most central set (largest mean document frequency of its shingles) first."""
     _, _, joined, _ = gathered(batches, ["posts"], [POST])
     posts = joined["posts"]
-    posts = posts[np.lexsort((posts["sid"], posts["hash"]))]
+    posts = posts[np.lexsort((posts["sid"], -posts["mean"], posts["hash"]))]
     cut = np.ones(len(posts), bool)
     cut[1:] = posts["hash"][1:] != posts["hash"][:-1]
     return posts, np.flatnonzero(cut)
 
 
 def _star(batches):
-    """Pairs of each posting with the least set id under its shingle."""
+    """Pairs of each posting with the most central set under its shingle."""
     posts, at = _sorted_posts(batches)
     if len(posts):
         lead = np.repeat(at, np.diff(np.append(at, len(posts))))
