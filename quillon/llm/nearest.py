@@ -7,8 +7,8 @@ product its covering radii allow lies below the worst kth score among the node's
 which carries over from block to block.  Leaves are scored by exact matrix products of whole numbers.
 
 A cover-tree node covers its points within its radius; its children are a greedy net at
-``1 / BASE`` of that radius.  A node whose net would need more than a quarter of its points as centres, as
-in high dimensions, stays a leaf.
+``1 / BASE`` of that radius.  A node whose net would need more than a quarter of its points as centres, or
+whose first ``PROBE`` centres cover fewer than two points each, stays a leaf, as in high dimensions.
 
 Query blocks meet candidate blocks, never rows: the data sent is (query blocks) x (runs), and each run
 returns at most k rows a query, merged by a window over (query).
@@ -36,6 +36,7 @@ SCALE = 64
 QUERY_BLOCK, BLOCK = 2048, 8192
 RUN = 16  # candidate blocks a task takes one after the other
 LEAF, BASE = 64, 1.6
+PROBE = 32  # centres after which a net must hold two points a centre
 BITS = 13
 NONE = -(1 << 62)  # below every key, and safe to negate
 
@@ -62,7 +63,7 @@ class Tree:
             if len(members):
                 children.append((c, at[members], near[inside]))
             left = left[~inside]
-            if len(children) * 4 > max(16, len(at)):
+            if len(children) * 4 > max(16, len(at)) or len(children) >= PROBE and len(at) - len(left) < 2 * len(children):
                 return (centre, norm, radius, None, at)
             if len(left):
                 c = self.x[at[left[0]]]
