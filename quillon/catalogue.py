@@ -1,4 +1,4 @@
 """Every query of the engine by name, with its DuckDB oracle where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.plans import retrieval_queries  # noqa: F401  registers its queries
+from quillon.plans.registry import ORACLES, QUERIES  # noqa: F401
