@@ -76,7 +76,7 @@ def edge_key(text: Column) -> Column:
 def lines(pages: DataFrame) -> DataFrame:
     """(document, page, line_no, line, start, end) of (document, page, text); offsets are code points of the page."""
     parts = F.posexplode(X.python_lines(F.col("text"))).alias("line_no", "l")
-    return pages.select("document", "page", parts).select("document", "page", "line_no", F.rtrim(F.col("l.line")).alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
+    return pages.select("document", "page", parts).select("document", "page", "line_no", F.regexp_replace("l.line", r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])$", "").alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
 
 
 def repeated_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:

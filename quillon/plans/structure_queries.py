@@ -146,7 +146,7 @@ def tables(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" |"))
     rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
-    head = F.lit("| line | part |\n| --- | :-: |\n")
+    head = F.lit("| line | part |\n| --- | :---: |\n")
     first = rows.select(F.col("l_orderkey").alias("document"), F.lit(1).alias("page"), F.concat(head, F.array_join(F.slice("rows", 1, 2), "\n"), F.lit("\n")).alias("text"))
     second = rows.where("size(rows) > 2").select(F.col("l_orderkey").alias("document"), F.lit(2).alias("page"), F.concat(F.array_join(F.slice("rows", 3, 100), "\n"), F.lit("\n")).alias("text"))
     return first.unionByName(second)
