@@ -45,8 +45,9 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the copies and words that the mix takes of each."""
-    got = mixing.mix(docs, keep=docs.columns)
-    return got.select(*docs.columns, *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "copies", "taken")))
+    added = ("size", "source_size", "target", "copies", "taken")
+    names = [c for c in docs.columns if c.lower() not in added]  # an input column of such a name makes room
+    return mixing.mix(docs, keep=names).select(*names, *(F.col(f"__{c}").alias(c) for c in added))
 
 
 STAGES = [

@@ -28,7 +28,7 @@ from quillon.llm.common import NON_SPACE, Words, table, text_bytes, written
 SHRINK = 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def _lut(chars: bytes) -> np.ndarray:
