@@ -36,6 +36,7 @@ from quillon.llm.quality import slices
 WINDOW = 20
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 60_000
+BLOCKS_OF_A_TASK = 7  # only spreads blocks evenly over partitions
 LAST = np.iinfo(np.int64).max
 
 
@@ -175,7 +176,9 @@ def _returned(blocks: list[int], source: np.ndarray, values: np.ndarray):
 def _with_texts(blocks: DataFrame, returned: DataFrame) -> DataFrame:
     """Each block's returned rows, then its texts, in one partition."""
     both = returned.select("block", F.lit(0).alias("kind"), "payload").unionAll(blocks.select("block", F.lit(1).alias("kind"), "payload"))
-    return both.repartition(n_parts(blocks.sparkSession), "block").sortWithinPartitions("block", "kind")
+    n = n_parts(blocks.sparkSession)
+    number = F.shiftright("block", 32) * BLOCKS_OF_A_TASK + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF))
+    return both.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions("block", "kind")
 
 
 def _blocks_with(batches, kind):
