@@ -190,3 +190,27 @@ def lookup(wanted: list, rows: DataFrame, key: str) -> DataFrame:
         raise ValueError("ask for 1 to 50")
     asked = rows.sparkSession.createDataFrame([(i, w) for i, w in enumerate(wanted)], f"position int, {key} {dict(rows.dtypes)[key]}")
     return asked.join(rows, key, "left").orderBy("position")
+
+
+def current_products(revisions: DataFrame, lineages: DataFrame) -> DataFrame:
+    """Current revisions with their lineage."""
+    return revisions.where("temporal_status = 'current'").join(lineages, "lineage")
+
+
+def listed_revisions(revisions: DataFrame) -> DataFrame:
+    """Revisions of a listing: current, ambiguous, others; then newest date; then id."""
+    place = F.when(F.col("temporal_status") == "current", 0).when(F.col("temporal_status") == "ambiguous", 1).otherwise(2)
+    return revisions.orderBy(place, F.desc_nulls_last("effective_date"), "revision")
+
+
+def section_filter(nodes: DataFrame, section: str) -> DataFrame:
+    """Nodes whose type or class is the section, whatever its case."""
+    return nodes.where((F.lower("node_type") == section.lower()) | (F.lower("major_class") == section.lower()))
+
+
+def following(rows: DataFrame, order: list[str], anchor: list, n: int) -> tuple[DataFrame, DataFrame]:
+    """The anchor and the n rows after it, and whether more follow."""
+    got = after(rows, order, anchor, n + 2)
+    w = Window.orderBy(*order)
+    at = got.withColumn("__at", F.row_number().over(w))
+    return at.where(F.col("__at") <= n + 1).drop("__at"), at.agg((F.count(F.lit(1)) > n + 1).alias("has_more"))

@@ -161,3 +161,37 @@ def triggers(status: DataFrame, count: int, size: int) -> DataFrame:
     """Which thresholds a status row reaches."""
     why = F.array(F.when(F.col("pending") >= count, "count"), F.when(F.col("pending_bytes") >= size, "bytes"), F.when(F.col("failed") > 0, "failed"))
     return status.withColumn("reasons", F.filter(why, lambda x: x.isNotNull()))
+
+
+def source_coverage(pages: DataFrame) -> DataFrame:
+    """(document, characters, sha256): non-blank characters of all pages in order and the hash of them joined."""
+    solid = F.regexp_replace("text", X.WHITESPACE, "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", solid.alias("t")))), lambda x: x["t"]), "")
+    return pages.groupBy("document").agg(F.sum(F.length(solid)).alias("characters"), joined.alias("t")).select("document", "characters", X.sha256(F.col("t")).alias("sha256"))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides at the same position; a position that one side lacks raises."""
+    both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), key, "full_outer")
+    lone = F.col("__a").isNull() | F.col("__b").isNull()
+    return both.withColumn(key, F.when(lone, F.raise_error(F.concat(F.lit("unmatched position "), F.col(key).cast("string"))).cast(dict(a.dtypes)[key])).otherwise(F.col(key))).drop("__a", "__b")
+
+
+def preflight(repeats: DataFrame, threshold: float) -> DataFrame:
+    """Least and mean cosine of repeated embeddings (text_id, a, b) and whether the least reaches the threshold."""
+    from quillon.functions.vectors import cosine
+
+    return repeats.select(cosine(F.col("a"), F.col("b")).alias("c")).agg(F.min("c").alias("least"), F.avg("c").alias("mean")).withColumn("passed", F.col("least") >= threshold)
+
+
+def wrong_scores(captured: DataFrame, recomputed: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Rows of a captured ranking whose score or rank a new computation does not confirm."""
+    b = recomputed.select("id", F.col("score").alias("again"), F.col("rank").alias("rank_again"))
+    got = captured.join(b, "id", "left")
+    return got.where(F.col("again").isNull() | (F.abs(F.col("score") - F.col("again")) > tolerance) | (F.col("rank") != F.col("rank_again"))).select("id", "score", "rank")
+
+
+def wrong_listing_pages(pages: DataFrame) -> DataFrame:
+    """Listings (source, page, pages_total, rows_total, n_rows) whose pages are not 1..total or whose rows do not add up."""
+    got = pages.groupBy("source").agg(F.max("pages_total").alias("pages_total"), F.max("rows_total").alias("rows_total"), F.count_distinct("page").alias("pages"), F.max("page").alias("last"), F.sum("n_rows").alias("rows"))
+    return got.where("pages <> pages_total OR last <> pages_total OR rows <> rows_total").select("source", "pages", "rows")

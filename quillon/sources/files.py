@@ -145,3 +145,31 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def read_score_matrix(spark: SparkSession, path: str, inventory: DataFrame, n_rows: int) -> DataFrame:
+    """(query_id, row_index, score) from query-major float32 files and their inventory (query_id, file, offset, sha256).
+
+    A segment is ``n_rows`` scores from ``offset`` bytes on; one that is cut short or of another hash raises.
+    """
+
+    def run(batches):
+        import hashlib
+
+        for b in batches:
+            for q, offset, digest, content in zip(*(b.column(c) for c in ("query_id", "offset", "sha256", "content")), strict=True):
+                raw = content.as_py()[offset.as_py() : offset.as_py() + 4 * n_rows]
+                if len(raw) != 4 * n_rows or hashlib.sha256(raw).hexdigest() != digest.as_py():
+                    raise ValueError(f"scores of query {q.as_py()} do not match their inventory")
+                x = np.frombuffer(raw, "<f4").astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([q.as_py()] * n_rows, pa.int64()), pa.array(np.arange(n_rows, dtype=np.int64)), pa.array(x)], names=["query_id", "row_index", "score"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    rows = inventory.select(F.col("query_id").cast("long").alias("query_id"), "file", F.col("offset").cast("long").alias("offset"), "sha256").join(files, "file")
+    return rows.select("query_id", "offset", "sha256", "content").mapInArrow(run, "query_id long, row_index long, score double")
+
+
+def put_once(held: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Content-addressed rows (digest, content) with new ones added; content of another digest raises."""
+    checked = fresh.withColumn("digest", F.when(F.sha2("content", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.lit("content does not match its digest")).cast("string")))
+    return held.unionByName(checked.dropDuplicates(["digest"]).join(held.select("digest"), "digest", "left_anti"))
