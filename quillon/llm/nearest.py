@@ -44,10 +44,15 @@ class Tree:
     """Cover tree: nodes as (centre, norm of centre, radius, children, points); points of leaves only."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x, self.squares = x, (x * x).sum(1)
         at = np.arange(len(x))
-        centre = x[int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))] if len(x) else None
-        self.root = self._node(centre, at, np.sqrt(((x - centre) ** 2).sum(1))) if len(x) else None
+        centre = x[int(np.argmin(self.squares - 2 * (x @ x.mean(0))))] if len(x) else None
+        self.root = self._node(centre, at, self._distances(at, centre)) if len(x) else None
+
+    def _distances(self, at: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """Distances of points to a centre; squares of whole numbers are exact in doubles."""
+        x = self.x if len(at) == len(self.x) else self.x[at]
+        return np.sqrt(np.maximum(self.squares[at] - 2 * (x @ centre) + centre @ centre, 0.0))
 
     def _node(self, centre: np.ndarray, at: np.ndarray, dist: np.ndarray):
         radius = float(dist.max())
@@ -67,7 +72,7 @@ class Tree:
                 return (centre, norm, radius, None, at)
             if len(left):
                 c = self.x[at[left[0]]]
-                near = np.sqrt(((self.x[at[left]] - c) ** 2).sum(1))
+                near = self._distances(at[left], c)
         return (centre, norm, radius, [self._node(*child) for child in children], at)
 
 def search(q: np.ndarray, tree: Tree, c: np.ndarray, ctree: Tree, floor: np.ndarray, k: int) -> np.ndarray:
@@ -192,8 +197,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     dim = max(dim, queries.select(F.max(F.size(vec_col))).first()[0] or 0)
     cand = packed(vectors, dim, BLOCK, id_col, vec_col, "vectors")
     asked = packed(queries, dim, QUERY_BLOCK, id_col, vec_col, "queries")
-    # runs of candidate blocks by hash: their number follows the input, a run holds about RUN blocks
-    runs = max(1, -(-cand.count() // RUN))
+    # runs of candidate blocks by hash: a run holds RUN blocks at most on average, fewer while cores would be idle
+    blocks, groups = cand.count(), max(1, asked.count())
+    runs = max(1, -(-blocks // RUN), min(blocks, -(-n_parts(spark) // groups)))
     run_of = F.pmod(F.xxhash64("block"), F.lit(runs)).cast("int")
     spread = asked.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     pairs = spread.join(cand.withColumn("run", run_of), "run").repartition(n_parts(spark), "qblock", "run").sortWithinPartitions("qblock", "run", "block")
