@@ -34,7 +34,7 @@ from quillon.llm.common import NON_SPACE, U64, Words, n_parts, table, whole_wind
 from quillon.llm.quality import slices
 
 WINDOW = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 60_000
 BLOCKS_OF_A_TASK = 7  # only spreads blocks evenly over partitions
 LAST = np.iinfo(np.int64).max
