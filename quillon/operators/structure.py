@@ -79,22 +79,29 @@ def lines(pages: DataFrame) -> DataFrame:
     return pages.select("document", "page", parts).select("document", "page", "line_no", F.regexp_replace("l.line", r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])$", "").alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
 
 
-def repeated_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:
-    """(document, page, line_no) of running headers and footers: boilerplate among the first or last two lines of two pages or more."""
-    solid = rows.where(F.col("visible").rlike(r"(?U)\S"))
-    by_page = Window.partitionBy("document", "page")
+def mark_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:
+    """``rows`` with ``edge``: running headers and footers, boilerplate among the first or last two solid lines of two pages or more."""
     key = edge_key(F.col("visible"))
     looks = (key == "<page-counter>") | F.col("visible").rlike(PAGE_MARKER) | F.contains(key, F.lit("상품설명서")) | F.contains(key, F.lit("상품 안내"))
     for m in markers:
         looks = looks | F.contains(key, F.lit(m.lower()))
-    edges = F.filter(F.array(F.when(F.col("up") <= window, "header"), F.when(F.col("down") <= window, "footer")), lambda e: e.isNotNull())
-    found = (
-        solid.withColumn("up", F.row_number().over(by_page.orderBy("line_no"))).withColumn("down", F.row_number().over(by_page.orderBy(F.desc("line_no"))))
-        .withColumn("key", key).where(looks & (F.length("key") <= 120) & (F.col("key") != ""))
-        .select("document", "page", "line_no", "key", F.explode(edges).alias("edge"))
-    )
-    twice = found.groupBy("document", "edge", "key").agg(F.count_distinct("page").alias("n")).where("n >= 2")
-    return found.join(twice, ["document", "edge", "key"], "left_semi").select("document", "page", "line_no").distinct()
+    page = Window.partitionBy("document", "page")
+    solid = F.col("visible").rlike(r"(?U)\S").cast("int")
+    up = F.sum(solid).over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.sum(solid).over(page.orderBy("line_no").rowsBetween(0, Window.unboundedFollowing))
+    got = rows.withColumn("__key", key).withColumn("__looks", (solid == 1) & looks & (F.length(key) <= 120) & (key != "")).withColumn("__up", up).withColumn("__down", down)
+    same = Window.partitionBy("document", "__key")
+    edge = F.lit(False)
+    for near in ("__up", "__down"):
+        here = F.col("__looks") & (F.col(near) <= window)
+        pages = F.when(here, F.col("page"))
+        edge = edge | (here & (F.min(pages).over(same) < F.max(pages).over(same)))
+    return got.withColumn("edge", edge).drop("__key", "__looks", "__up", "__down")
+
+
+def repeated_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:
+    """(document, page, line_no) of running headers and footers."""
+    return mark_edges(rows, markers, window).where("edge").select("document", "page", "line_no")
 
 
 def parse(pages: DataFrame, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, markers=()) -> DataFrame:
@@ -102,16 +109,14 @@ def parse(pages: DataFrame, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, markers=
 
     section, item and table hold the sequence number of the line that opens the container (-1: none).
     """
-    rows = lines(pages)
-    edges = repeated_edges(rows, markers).withColumn("edge", F.lit(True))
     t = F.col("visible")
     doc = Window.partitionBy("document").orderBy("page", "line_no")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c, over=upto: F.coalesce(F.last(c, ignorenulls=True).over(over), F.lit(-1))
     base = (
-        rows.join(edges, ["document", "page", "line_no"], "left")
+        mark_edges(lines(pages), markers)
         .withColumn("seq", F.row_number().over(doc) - 1)
-        .withColumn("boiler", F.coalesce("edge", F.lit(False)) | t.rlike(PAGE_MARKER))
+        .withColumn("boiler", F.col("edge") | t.rlike(PAGE_MARKER))
         .withColumn("blank", ~F.col("boiler") & ~t.rlike(r"(?U)\S"))
         .withColumn("solid", ~F.col("boiler") & ~F.col("blank"))
         .withColumn("table_line", F.col("solid") & is_table_line(t))
@@ -146,31 +151,22 @@ def parse(pages: DataFrame, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, markers=
 
 def _with_headers(base: DataFrame) -> DataFrame:
     """Header of each table: its first row that is no separator; a table that opens its page right after one that closed the page
-    before inherits the header, unless its second line declares its own."""
-    per_page = Window.partitionBy("document", "page")
-    first_solid, last_solid = F.min(F.when(F.col("solid"), F.col("seq"))).over(per_page), F.max(F.when(F.col("solid"), F.col("seq"))).over(per_page)
-    rows = base.withColumn("first_solid", first_solid).withColumn("last_solid", last_solid)
-    tables = (
-        rows.where("table >= 0").groupBy("document", "page", "table")
-        .agg(
-            F.min_by("cells", F.when(~F.col("separator"), F.col("seq"))).alias("own_header"),
-            F.bool_or((F.col("seq") == F.col("table") + 1) & F.col("separator")).alias("declares"),
-            F.bool_or(F.col("table") == F.col("first_solid")).alias("opens_page"),
-            F.bool_or(F.col("seq") == F.col("last_solid")).alias("closes_page"),
-        )
-    )
-    pages_held = rows.where("solid").groupBy("document", "page").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("document").orderBy("page")
-    pages_held = pages_held.withColumn("page_before", F.lag("page").over(order)).select("document", "page", "page_before")
-    closing = tables.where("closes_page").select("document", F.col("page").alias("page_before"), F.lit(True).alias("left_open"))
-    linked = tables.join(pages_held, ["document", "page"]).join(closing, ["document", "page_before"], "left")
-    linked = linked.withColumn("continued", F.col("opens_page") & ~F.col("declares") & F.coalesce("left_open", F.lit(False)))
-    # a chain of continued tables takes the header of the table that began it
-    up = Window.partitionBy("document").orderBy("table").rowsBetween(Window.unboundedPreceding, 0)
-    linked = linked.withColumn("headers", F.last(F.when(~F.col("continued"), F.col("own_header")), ignorenulls=True).over(up)).select("document", "table", "headers", "continued")
-    got = rows.join(linked, ["document", "table"], "left")
+    before inherits the header, unless its second line declares its own.  Windows within the document's partition only."""
+    in_doc = Window.partitionBy("document").orderBy("seq")
+    table = Window.partitionBy("document", "table")
+    first_solid = F.min(F.when(F.col("solid"), F.col("seq"))).over(Window.partitionBy("document", "page"))
+    was_table = F.last(F.when(F.col("solid"), F.col("table_line")), ignorenulls=True).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = base.withColumn("__opens", (F.col("seq") == F.col("table")) & (F.col("table") == first_solid) & F.coalesce(was_table, F.lit(False)))
+    rows = (
+        rows.withColumn("__own", F.min_by("cells", F.when(~F.col("separator"), F.col("seq"))).over(table))
+        .withColumn("__declares", F.bool_or((F.col("seq") == F.col("table") + 1) & F.col("separator")).over(table))
+        .withColumn("continued", (F.col("table") >= 0) & F.bool_or("__opens").over(table) & ~F.col("__declares"))
+    )
+    began = F.when((F.col("seq") == F.col("table")) & ~F.col("continued"), F.col("__own"))
+    carried = F.last(began, ignorenulls=True).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("headers", F.when(F.col("table") >= 0, carried))
     role = F.when(F.col("table") < 0, F.lit(None)).when(F.col("separator"), "SEPARATOR").when(F.col("cells") == F.col("headers"), "HEADER").otherwise("BODY")
-    return got.withColumn("role", role).withColumn("continued", F.coalesce("continued", F.lit(False)))
+    return rows.withColumn("role", role)
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
