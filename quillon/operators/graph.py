@@ -9,26 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.registry import held
+
 
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     """(document, seed, node, depth): all nodes reached from each seed along (document, from_node, to_node), the seed at depth 0.
 
     A node keeps its least depth; cycles end because only new nodes are followed.
     """
-    spark = seeds.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    found = seeds.select("document", F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
+    found = held(seeds.select("document", F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
     frontier = found
     for depth in range(1, most + 1):
         step = frontier.select("document", "seed", F.col("node").alias("from_node")).join(edges.select("document", "from_node", "to_node"), ["document", "from_node"])
-        new = step.select("document", "seed", F.col("to_node").alias("node")).distinct().join(found.select("document", "seed", "node"), ["document", "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = held(step.select("document", "seed", F.col("to_node").alias("node")).distinct().join(found.select("document", "seed", "node"), ["document", "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
             return found
-        found, frontier = found.unionByName(new).checkpoint(), new
-    return found
+        found, frontier = found.unionByName(new), new
+    raise ValueError(f"deeper than {most} steps")
 
 
 def child_edges(nodes: DataFrame) -> DataFrame:

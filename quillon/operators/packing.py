@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.registry import held
+
 _PARAGRAPH_END = re.compile(r"\r?\n[ \t]*(?:\r?\n)+")
 
 
@@ -71,12 +73,12 @@ def reduce_rounds(spans: DataFrame, keep, key: str, order: str, size: str, budge
     """
     from quillon.operators.paging import greedy_batches
 
-    frontier = spans.dropDuplicates([key, order]).checkpoint()
+    frontier = held(spans.dropDuplicates([key, order]))
     for _ in range(most_rounds):
         n = frontier.count()
         batched = frontier.join(greedy_batches(frontier, key, order, size, 1 << 30, budget).select(key, order, "batch"), [key, order])
         last = not batched.where("batch > 0").limit(1).count()
-        kept = keep(batched).select(*spans.columns).dropDuplicates([key, order]).checkpoint()
+        kept = held(keep(batched).select(*spans.columns).dropDuplicates([key, order]))
         if last:
             return kept
         if kept.count() >= n:

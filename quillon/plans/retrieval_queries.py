@@ -74,11 +74,11 @@ def node_view_types(spark, sf_dir):
 
 
 DOC = """, d AS (SELECT revision, {agg} AS score FROM l GROUP BY revision)
-SELECT revision, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, revision)::INTEGER AS rank FROM d"""
+SELECT revision, round(score, 8) AS score, row_number() OVER (ORDER BY round(score, 8) DESC, revision)::INTEGER AS rank FROM d"""
 
 
 def _documents(spark, sf_dir, policy):
-    got = R.document_scores(R.lane_max(scores(spark, sf_dir)), policy).withColumn("score", F.round("score", 6))
+    got = R.document_scores(R.lane_max(scores(spark, sf_dir)), policy).withColumn("score", F.round("score", 8))
     return R.ranked(got, "revision")
 
 

@@ -14,7 +14,7 @@ from quillon.functions import text as X
 from quillon.operators import dates, graph
 from quillon.operators import structure as S
 from quillon.operators import validation as V
-from quillon.plans.registry import query, read
+from quillon.plans.registry import held, query, read
 
 BENEFIT, NOTICE = ("thwh", "queaire", "schach"), ("sheds", "erst", "ñas")
 
@@ -88,13 +88,13 @@ def structure_is_lossless(spark, sf_dir):
 
 @query(LINES + "SELECT document, '' AS node, '' AS rule FROM pt WHERE false")
 def check_tree(spark, sf_dir):
-    return V.wrong_tree(S.nodes(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
+    return V.wrong_tree(held(S.nodes(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))))
 
 
 @query(LINES + "SELECT document, '' AS from_node, '' AS to_node, '' AS link_type FROM pt WHERE false")
 def check_links(spark, sf_dir):
-    p = S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)
-    return V.wrong_links(S.links(p), S.nodes(p))
+    p = held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
+    return V.wrong_links(held(S.links(p)), held(S.nodes(p)))
 
 
 @query(LINES + "SELECT document, page, 0::BIGINT AS source, 0::BIGINT AS covered FROM pt WHERE false")
@@ -122,18 +122,18 @@ def check_table_rows(spark, sf_dir):
 
 @query()
 def node_links(spark, sf_dir):
-    return S.links(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
+    return S.links(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
 
 
 @query()
 def derived_views(spark, sf_dir):
-    p = S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)
+    p = held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
     return S.views(p, {"document": F.col("document").cast("string")})
 
 
 @query()
 def detail_views(spark, sf_dir):
-    return S.details(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
+    return S.details(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
 
 
 @query(LINES + "SELECT document, count(*) AS n FROM li GROUP BY document")
@@ -162,7 +162,7 @@ def table_blocks(spark, sf_dir):
 @query("""WITH c AS (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1) SELECT document FROM c WHERE n > 2""")
 def table_fragmentation(spark, sf_dir):
     """Orders whose table blocks no single span of the first 40 characters holds: the containment join."""
-    p = S.parse(tables(spark, sf_dir)).where("table >= 0")
+    p = held(S.parse(tables(spark, sf_dir)).where("table >= 0"))
     blocks = p.groupBy("document", "page", "table").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = p.groupBy("document", "page").agg(F.min("start").alias("start"), F.max(F.when(F.col("page") == 1, F.col("end"))).alias("end"))
     return V.uncovered_blocks(blocks, spans.where("end IS NOT NULL")).select("document").distinct()
