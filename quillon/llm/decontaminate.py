@@ -204,11 +204,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     """``docs`` with __words (count), __spans (merged word spans [start, end) as int64 pairs) and __items (sorted ids)."""
     spark, names = docs.sparkSession, docs.columns
     out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
-    schema = T.StructType([*docs.schema.fields, *_MARKED])
-    for items in list(blocks_of(benchmark)) or [[]]:
+    schema, done = T.StructType([*docs.schema.fields, *_MARKED]), False
+    for items in blocks_of(benchmark):
         held = spark.sparkContext.broadcast(items)
         out = out.mapInArrow(_marker(held, names, names.index(text_col), window), schema)
-    return out
+        done = True
+    return out if done else out.mapInArrow(_marker(spark.sparkContext.broadcast([]), names, names.index(text_col), window), schema)
 
 
 def _marker(held, names: list[str], index: int, window: int):

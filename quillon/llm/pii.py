@@ -211,19 +211,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact_text(text: str | None) -> str | None:
-    """Every found span replaced by its kind in brackets; overlapping spans become one."""
-    spans = find(text)[1]
-    if not spans:
-        return text
-    out, at = [], 0
-    for s, k, e in spans:
-        if s >= at:
-            out += [text[at:s], f"[{KINDS[k].upper()}]"]
-        elif e <= at:
-            continue
-        at = e
-    out.append(text[at:])
-    return "".join(out)
+    """Every found span replaced by its kind in brackets; overlapping spans become one.
+
+    What is left is searched again, as a number that was cut short may now stand alone.
+    """
+    while spans := find(text)[1]:
+        out, at = [], 0
+        for s, k, e in spans:
+            if s >= at:
+                out += [text[at:s], f"[{KINDS[k].upper()}]"]
+            at = max(at, e)
+        out.append(text[at:])
+        text = "".join(out)
+    return text
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -221,6 +221,9 @@ def test_pii_base_and_disguise(docs, empty):
     assert got.count() == docs.count() and got.where("doc_id IS NOT NULL AND base_sha256 IS NULL").count() == 0
     assert pii.find_pii(empty).count() == 0
     assert pii.redact(docs).columns == docs.columns
+    for _ in range(2000):  # nothing is left, and the search ends
+        t = "".join(rng.choice("a1 @.+-(59") for _ in range(rng.randint(0, 60)))
+        assert pii.find(pii.redact_text(t)) == ([], [])
     assert pii.detect("1" * 100_000) == [] and pii.detect("a" * 100_000) == []
 
 
