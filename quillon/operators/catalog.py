@@ -214,3 +214,20 @@ def following(rows: DataFrame, order: list[str], anchor: list, n: int) -> tuple[
     w = Window.orderBy(*order)
     at = got.withColumn("__at", F.row_number().over(w))
     return at.where(F.col("__at") <= n + 1).drop("__at"), at.agg((F.count(F.lit(1)) > n + 1).alias("has_more"))
+
+
+def pick(wanted: list[tuple[str | None, str | None]], products: DataFrame) -> DataFrame:
+    """(position, lineage) for each asked (exact code, or part of a name): exact codes win, several matches raise, none gives null.
+
+    At most 50 are asked, so the asked side is small; a name is matched on normalised text.
+    """
+    if not 1 <= len(wanted) <= 50:
+        raise ValueError("ask for 1 to 50")
+    spark = products.sparkSession
+    asked = spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(wanted)], "position int, code string, part string").withColumn("part", X.nfkc_casefold("part"))
+    named = products.select("lineage", "product_code", X.nfkc_casefold("name").alias("folded"))
+    hit = named.join(F.broadcast(asked), F.when(F.col("code").isNotNull(), F.col("code") == F.col("product_code")).otherwise(F.contains("folded", "part")))
+    got = hit.groupBy("position").agg(F.min("lineage").alias("lineage"), F.count_distinct("lineage").alias("n"))
+    kind = dict(products.dtypes)["lineage"]
+    one = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("ambiguous request "), F.col("position").cast("string"))).cast(kind)).otherwise(F.col("lineage"))
+    return asked.select("position").join(got, "position", "left").select("position", one.alias("lineage"))

@@ -148,3 +148,18 @@ def stratified_draft(rows: DataFrame, seed: str, per_issuer: int, slices: list[s
             used[best.contract] = used.get(best.contract, 0) + 1
             picked.append({"issuer": issuer, "slice": name, "id": best.id, "contract": best.contract})
     return picked
+
+
+def recall_at(run: DataFrame, gold: DataFrame, ks=(5, 10)) -> DataFrame:
+    """Recall of gold (query_id, id) within the first k ranks, for each k."""
+    hits = gold.join(run.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+    return hits.groupBy("query_id").agg(*[(F.count_if(F.col("rank") <= k) / F.count(F.lit(1))).alias(f"recall_{k}") for k in ks])
+
+
+def answer_errors(answers: DataFrame) -> DataFrame:
+    """No-answer confusion and revision accuracy from flag columns (should_refuse, refused, revision_right)."""
+    return answers.agg(
+        F.count_if(~F.col("should_refuse") & F.col("refused")).alias("false_refusals"),
+        F.count_if(F.col("should_refuse") & ~F.col("refused")).alias("missed_refusals"),
+        F.round(F.avg(F.col("revision_right").cast("double")), 12).alias("revision_accuracy"),
+    )

@@ -173,3 +173,14 @@ def put_once(held: DataFrame, fresh: DataFrame) -> DataFrame:
     """Content-addressed rows (digest, content) with new ones added; content of another digest raises."""
     checked = fresh.withColumn("digest", F.when(F.sha2("content", 256) == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.lit("content does not match its digest")).cast("string")))
     return held.unionByName(checked.dropDuplicates(["digest"]).join(held.select("digest"), "digest", "left_anti"))
+
+
+@F.arrow_udf(T.BinaryType())
+def pack_blob(values: pa.Array) -> pa.Array:
+    """Vectors as unit-length packed float32 bytes, as older tables store them; null where there is no direction."""
+    out = []
+    for v in values.to_pylist():
+        x = np.array(v if v is not None else [], np.float64)
+        n = float(np.sqrt(x @ x)) if len(x) else 0.0
+        out.append((x / n).astype("<f4").tobytes() if n > 1e-12 else None)
+    return pa.array(out, pa.binary())
