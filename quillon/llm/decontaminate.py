@@ -29,7 +29,7 @@ from quillon.llm.common import ALNUM, Words, table
 from quillon.llm.quality import slices
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_WORDS = 2_000_000
 SAMPLE = 8
 
