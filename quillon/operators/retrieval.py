@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.operators.ordering import global_rank, running_sum
 
 #: Lanes in their fixed order.
 LANES = ("TITLE", "RAW_ITEM", "CONTEXTUAL_ITEM", "DETAIL", "MAJOR_SECTION", "CONTRACT")
@@ -56,10 +57,11 @@ def document_scores(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def ranked(scores: DataFrame, id_col: str, limit: int | None = None) -> DataFrame:
-    """Rows by (-score, id) with their rank; with a limit the plan is a top-k, not a whole sort."""
-    if limit is not None:
-        scores = scores.orderBy(F.desc("score"), id_col).limit(limit)
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+    """Rows by (-score, id) with their rank; with a limit the plan is a top-k, else ranks are numbered by partition."""
+    order = [F.desc("score"), F.col(id_col)]
+    if limit is None:
+        return global_rank(scores, order)
+    return scores.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def top_nodes(nodes: DataFrame, k: int = 8) -> DataFrame:
@@ -153,8 +155,7 @@ def lexical_additions(lexical: DataFrame, dense: DataFrame) -> DataFrame:
 
 def admit(rows: DataFrame, size: str, budget: int, order: list) -> DataFrame:
     """The ranked rows before the first whose running size would pass the budget."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return running_sum(rows, size, order).where(F.col("used") <= budget)
 
 
 def best_view(matches: DataFrame) -> DataFrame:

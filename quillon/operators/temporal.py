@@ -106,8 +106,7 @@ def retirement(absences: DataFrame, grace_runs: int, ratio: float, max_per_run:
     """
     cap = max(1, min(max_per_run, int(total * ratio)))
     due = absences.where(F.col("consecutive_absences") >= max(2, grace_runs))
-    rank = F.row_number().over(Window.orderBy("issuer", "product_code", "document_id"))
-    picked = due.withColumn("k", rank).where(F.col("k") <= cap).select("document_id", F.lit("retired").alias("status"))
+    picked = due.orderBy("issuer", "product_code", "document_id").limit(cap).select("document_id", F.lit("retired").alias("status"))
     return absences.join(picked, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("absent")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.operators.ordering import global_rank
 from quillon.operators.structure import LEAVES
 
 LINK_TYPES = ("CONTINUATION_OF", "FOOTNOTE_OF", "APPLIES_TO", "PREVIOUS", "NEXT")
@@ -58,7 +59,9 @@ def wrong_tree(nodes: DataFrame) -> DataFrame:
 
 
 def wrong_ordinals(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    """Rows whose ordinal is not their position from 0."""
+    """Rows whose ordinal is not their position from 0 within the key, or in the whole table without one."""
+    if not key:
+        return global_rank(rows, [ordinal], "__at").where(F.col("__at") - 1 != F.col(ordinal)).drop("__at")
     at = F.row_number().over(Window.partitionBy(*key).orderBy(ordinal)) - 1
     return rows.withColumn("__at", at).where(F.col("__at") != F.col(ordinal)).drop("__at")
 

@@ -10,6 +10,7 @@ from quillon.operators import catalog as C
 from quillon.operators import packing, summary
 from quillon.operators import structure as S
 from quillon.operators import validation as V
+from quillon.operators.ordering import global_rank
 from quillon.plans.registry import query, read
 from quillon.plans.relational_queries import REV, revisions
 from quillon.plans.retrieval_queries import dense_ranks
@@ -77,8 +78,8 @@ def check_listing_pages(spark, sf_dir):
 def page_window_corpus(spark, sf_dir):
     """Chunks of every rendered page with contiguous row numbers."""
     rows = rendered(spark, sf_dir).select("document", "page", F.posexplode(X.chunks(F.col("text"))).alias("chunk", "c"))
-    at = F.row_number().over(Window.orderBy("document", "page", "chunk")) - 1
-    return rows.select(at.alias("row_index"), "document", "page", "c.start", "c.end")
+    at = global_rank(rows, ["document", "page", "chunk"])
+    return at.select((F.col("rank") - 1).alias("row_index"), "document", "page", "c.start", "c.end")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_size = 10")
