@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that hold benchmark windows."""
-    return _resized(decontaminate.removed(decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))))
+    return _resized(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

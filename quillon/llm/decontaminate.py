@@ -202,22 +202,47 @@ _MARKED = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.Bi
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with __words (count), __spans (merged word spans [start, end) as int64 pairs) and __items (sorted ids)."""
-    spark, names = docs.sparkSession, docs.columns
-    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
-    schema, done = T.StructType([*docs.schema.fields, *_MARKED]), False
-    for items in blocks_of(benchmark):
-        held = spark.sparkContext.broadcast(items)
-        out = out.mapInArrow(_marker(held, names, names.index(text_col), window), schema)
-        done = True
-    return out if done else out.mapInArrow(_marker(spark.sparkContext.broadcast([]), names, names.index(text_col), window), schema)
+    return _passes(docs, benchmark, text_col, window, cut=False)
+
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the removal spans cut out of the text, in the pass that finds the last of them; untouched texts stay byte for byte."""
+    return _passes(docs, benchmark, text_col, window, cut=True)
 
-def _marker(held, names: list[str], index: int, window: int):
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, cut: bool) -> DataFrame:
+    names, index = docs.columns, docs.columns.index(text_col)
+    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
+    marked, ahead = T.StructType([*docs.schema.fields, *_MARKED]), []
+    for items in blocks_of(benchmark):
+        if ahead:
+            out = out.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(ahead), names, index, window, False), marked)
+        ahead = items
+    last = _marker(docs.sparkSession.sparkContext.broadcast(ahead), names, index, window, cut)
+    return out.mapInArrow(last, T.StructType(docs.schema.fields) if cut else marked)
+
+
+def _without(texts, w: Words, spans: list[np.ndarray]) -> pa.Array:
+    """The texts without their word spans."""
+    raw, out = w.data.tobytes(), []
+    for d, span in enumerate(spans):
+        if not len(span):
+            out.append(texts[d].as_py())
+            continue
+        at, parts = int(w.offsets[d]), []
+        for a, e in span.reshape(-1, 2) + w.first[d]:
+            parts.append(raw[at : int(w.starts[a])])
+            at = int(w.ends[e - 1])
+        out.append(b"".join([*parts, raw[at : int(w.offsets[d + 1])]]).decode())
+    return pa.array(out, pa.string())
+
+
+def _marker(held, names: list[str], index: int, window: int, cut: bool):
     def run(batches):
         block = Block(held.value, window)
         for b in batches:
             column, at = b.column(index), 0
-            for _, texts in slices(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), column], names=["n", "t"]), "n", "t", limit=SHARD_BYTES):
+            for (texts,) in slices(pa.RecordBatch.from_arrays([column], names=["t"]), "t", limit=SHARD_BYTES):
                 part = b.slice(at, len(texts))
                 at += len(texts)
                 w = Words(texts, ALNUM)
@@ -229,43 +254,21 @@ def _marker(held, names: list[str], index: int, window: int):
                 old_spans, old_items = part.column(len(names) + 1), part.column(len(names) + 2)
                 for d in range(len(texts)):
                     h = hit[w.first[d] : w.first[d + 1]].copy()
-                    old = np.frombuffer(old_spans[d].as_py() or b"", np.int64).reshape(-1, 2)
-                    for s, e in old:
+                    for s, e in np.frombuffer(old_spans[d].as_py() or b"", np.int64).reshape(-1, 2):
                         h[s:e] = True
-                    step = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
-                    spans.append(step.astype(np.int64).tobytes())
+                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]]))).astype(np.int64))
                     every.append(sorted(items.get(d, set()) | set(old_items[d].as_py() or ())))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(w.counts().astype(np.int64)), pa.array(spans, pa.binary()), pa.array(every, pa.list_(pa.string()))], names=[*names, "__words", "__spans", "__items"])
+                cols = list(part.columns[: len(names)])
+                if cut:
+                    cols[index] = _without(texts, w, spans)
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                else:
+                    more = [pa.array(w.counts().astype(np.int64)), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array(every, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "__words", "__spans", "__items"])
 
     return run
 
 
-def removed(marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """``mark``'s rows with the removal spans cut out of the text; untouched texts stay byte for byte."""
-    index = marked.columns.index(text_col)
-    keep = [c for c in marked.columns if c not in ("__words", "__spans", "__items")]
-
-    def run(batches):
-        for b in batches:
-            texts, spans = b.column(index), b.column(b.schema.get_field_index("__spans"))
-            out = []
-            for t, s in zip(texts, spans, strict=True):
-                text, cut = t.as_py(), np.frombuffer(s.as_py() or b"", np.int64).reshape(-1, 2)
-                if len(cut):
-                    w = Words(pa.array([text]), ALNUM)
-                    raw, at, parts = text.encode(), 0, []
-                    for a, e in cut:
-                        parts.append(raw[at : int(w.starts[a])])
-                        at = int(w.ends[e - 1])
-                    text = b"".join([*parts, raw[at:]]).decode()
-                out.append(text)
-            cols = [b.column(b.schema.get_field_index(c)) for c in keep]
-            cols[keep.index(text_col)] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=keep)
-
-    return marked.mapInArrow(run, T.StructType([marked.schema[c] for c in keep]))
-
-
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark(rows, table(spark, sf_dir, "benchmark"))

@@ -282,8 +282,16 @@ def test_decontamination(docs, empty, spark):
     marked = decontaminate.mark(docs, bench)
     got = [(r.doc_id, r["__words"], int((x[1::2] - x[::2]).sum()), r["__items"]) for r in marked.collect() for x in [np.frombuffer(bytes(r["__spans"]), np.int64)]]
     assert sorted(got, key=str) == sorted(expected, key=str) and any(e[2] for e in expected)
-    clean = decontaminate.removed(marked)
+    clean = decontaminate.cleaned(docs, bench)
     assert clean.columns == docs.columns
+    by_id = {(r.doc_id, r.lang, r.n_chars): r.text for r in clean.collect()}
+    spans = {(r.doc_id, r.lang, r.n_chars): (r.text, np.frombuffer(bytes(r["__spans"]), np.int64).reshape(-1, 2)) for r in marked.collect()}
+    for key, (text, cut) in spans.items():
+        at, out, found = 0, [], list(re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or ""))
+        for a, e in cut:
+            out.append(text[at : found[a].start()])
+            at = found[e - 1].end()
+        assert by_id[key] == (None if text is None else "".join(out) + text[at:])
     again = decontaminate.mark(clean.where("doc_id = 3"), bench).collect()
     assert all(not r["__items"] for r in again)
     assert decontaminate.mark(empty, bench).count() == 0 and decontaminate.mark(docs, bench.limit(0)).where("size(__items) > 0").count() == 0
