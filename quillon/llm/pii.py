@@ -7,7 +7,8 @@ the source interval it came from: homoglyphs and full-width forms to ASCII, invi
 nothing, runs of at least ``MIN_SPELLED`` spelled digits to digits, and disguises
 of "@" and "." ("[at]", "(dot)", "{punkt}", and the bare words where both occur in one address) to
 the signs.  The same detectors run on the normalised text, and their spans are mapped back to source characters.
-Spans that overlap a base span are left out, so base spans always stay.
+Base spans always stay; a mapped span is added unless a base span of its own kind holds it whole, so
+one that reaches further than the piece the base detectors see is kept beside it.
 
 Detectors never backtrack over a run twice, so long runs cost linear time.
 
@@ -178,13 +179,18 @@ def find(text: str | None) -> tuple[list, list]:
     m = normalised(text)
     if m is None:
         return base, base
-    more = []
-    ends = sorted((s, e) for s, _, e in base)
-    for s, kind, e in detect(m.text):
-        s, e = m.back(s, e)
-        if not any(a < e and s < b for a, b in ends):
-            more.append((s, kind, e))
-    return base, sorted({*base, *more})
+    return base, sorted({*base, *beyond(base, [(*m.back(s, e), kind) for s, kind, e in detect(m.text)])})
+
+
+def beyond(base: list[tuple[int, int, int]], mapped: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The mapped (start, end, kind) that no base span of their kind holds whole, as (start, kind, end)."""
+    out, reach = [], [0] * len(KINDS)
+    for s, e, kind, known in sorted([*((s, e, k, True) for s, k, e in base), *((*x, False) for x in mapped)], key=lambda x: (x[0], -x[1], not x[3])):
+        if known:
+            reach[kind] = max(reach[kind], e)
+        elif e > reach[kind]:
+            out.append((s, kind, e))
+    return out
 
 
 def joined(spans) -> str:

@@ -227,6 +227,17 @@ def test_pii_base_and_disguise(docs, empty):
     assert pii.detect("1" * 100_000) == [] and pii.detect("a" * 100_000) == []
 
 
+def test_pii_disguise_beside_a_base_fragment():
+    for text, kind in [("jоhn@example.com", "email"), ("john@example.cоm", "email"), ("john\u200b.doe@example.com", "email"), ("+49 170 123456７", "phone"), ("192.168.0.1７", "ip")]:
+        base, every = pii.find(f"x: {text}, y")
+        assert base and set(base) < set(every), text  # the fragment stays
+        assert (3, pii.KINDS.index(kind), 3 + len(text)) in every, text
+        assert pii.redact_text(f"x: {text}, y") == f"x: [{kind.upper()}], y"
+    assert pii.find("é a@b.cd а")[1] == pii.find("é a@b.cd а")[0]  # what lies in a base span of its kind adds nothing
+    text = "jоhn@example.com " * 5000
+    assert len(pii.find(text)[1]) == 10_000 and pii.redact_text(text) == "[EMAIL] " * 5000
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(180)]
