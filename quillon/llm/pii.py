@@ -4,9 +4,11 @@ Base spans come from the texts as they are: e-mail addresses, dotted-quad
 addresses, card numbers (12-19 digits, Luhn) and phone numbers (9-15 digits).  Then a
 chain of transducers normalises the text while keeping, for every character made,
 the source interval it came from: homoglyphs and full-width forms to ASCII, invisible characters to
-nothing, runs of at least ``MIN_SPELLED`` spelled digits to digits, and disguises
-of "@" and "." ("[at]", "(dot)", "{punkt}", and the bare words where both occur in one address) to
+nothing, runs of spelled digits to digits, and disguises of "@" and "." ("[at]", "(dot)", "{punkt}", the bare
+words where both occur in one address, and bare dots between digits or beside the labels of an address) to
 the signs.  The same detectors run on the normalised text, and their spans are mapped back to source characters.
+A spelled digit may also be an ordinary word beside a number and spoil it ("un", "one"), so a text is read once for
+each way in ``_WAYS`` to take its spelled digits, and spans of all readings count, of one kind the widest.
 Base spans always stay; a mapped span is added unless a base span of its own kind holds it whole, so
 one that reaches further than the piece the base detectors see is kept beside it.
 
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from quillon.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SPELLED = 4
+LONG_RUN = 4
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -38,6 +40,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_DIGITS = frozenset("0123456789")
 
 # Look-alike letters of other scripts and the ASCII letter each stands for.
 _LOOKS = dict(zip("аеіјоѕԁһӏорсухАВЕІЈКМНОРСТХУαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeijosdhlopcyxABEIJKMHOPCTXYaeiknoptuxABEZHIKMNOPTYX", strict=True))
@@ -50,12 +53,23 @@ _LOOK_RUN = re.compile("[" + re.escape("".join(_LOOKS)) + "]")
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _ONE = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_ONE})[\x20-](?:{_ONE})(?!\w)")
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:{_ONE})(?:[\x20-](?:{_ONE})){{{MIN_SPELLED - 1},}}(?!\w)")
+_WORD_DOT = "dot|punkt|punto|point"
+# A spelled digit with only signs of a number or an address between it and another digit: any other is in no number.
+_GAP = rf"(?:[\x20().\[\]{{}}<>-]|{_WORD_DOT})*+"
+_SPELLED_HINT = re.compile(rf"(?i)(?<!\w)(?:{_ONE})(?!\w){_GAP}(?:[0-9]|(?<!\w)(?:{_ONE})(?!\w))|[0-9+]{_GAP}(?<!\w)(?:{_ONE})(?!\w)")
+
+
+def _runs(words: str, least: int) -> re.Pattern:
+    return re.compile(rf"(?i)(?<!\w)(?:{words})(?!\w)(?:[\x20-](?:{words})(?!\w)){{{least - 1},}}+")
+
+
+_NO_ARTICLE = "|".join(w for w in _ONE.split("|") if w != "un")
+# Ways to take spelled digits: any run, only long ones, and both without the French article; the last is none at all.
+_WAYS = [_runs(words, least) for words in (_ONE, _NO_ARTICLE) for least in (1, LONG_RUN)]
 _SPELLED_ONE = re.compile(rf"(?i){_ONE}")
 _AT = r"\x20?[\[({<]\x20?(?:at|arroba|arobase|ät)\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?(?:dot|punkt|punto|point)\x20?[\])}>]\x20?"
@@ -63,6 +77,8 @@ _SIGN_HINT = re.compile(r"(?i)[\[({<]\x20?(?:at|arroba|arobase|ät|dot|punkt|pun
 _BRACKET_AT, _BRACKET_DOT = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
 _BARE = re.compile(r"(?i)(?<![\w.%+-])[A-Z0-9._%+-]{1,64}(\x20(?:at|arroba)\x20)[A-Z0-9-]{1,63}(?:(?:\x20(?:dot|punkt|punto|point)\x20)[A-Z0-9-]{2,63}){1,4}(?![\w-])")
 _BARE_DOT = re.compile(r"(?i)\x20(?:dot|punkt|punto|point)\x20")
+_TO_AT, _LABELS, _LABEL = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\Z"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*"), re.compile(r"[A-Za-z0-9-]{2}")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]++")
 
 
 def luhn(digits: str) -> bool:
@@ -149,26 +165,67 @@ class Mapped:
         return olds[k][1] + at - new_ends[k] + last
 
 
-def normalised(text: str) -> Mapped | None:
-    """The text through all transducers; None where none changes it."""
-    m = Mapped(text)
-    if not text.isascii():
-        m.apply([(x.start(), x.end(), _LOOKS[x[0]]) for x in _LOOK_RUN.finditer(text)])
-    if _SPELLED_HINT.search(m.text):
-        m.apply([(x.start(), x.end(), "".join(_SPELLED[w[0].lower()] for w in _SPELLED_ONE.finditer(x[0]))) for x in _SPELLED_RUN.finditer(m.text)])
-    if _SIGN_HINT.search(m.text):
-        signs = [(x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text)] + [(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)]
-        for x in _BARE.finditer(m.text):
-            signs.append((x.start(1), x.end(1), "@"))
-            signs += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, x.end(1), x.end())]
-        signs.sort()
-        kept, at = [], 0
-        for s in signs:
-            if s[0] >= at:
-                kept.append(s)
-                at = s[1]
-        m.apply(kept)
-    return m if m.maps else None
+def _spelled(text: str) -> list[list[tuple[int, int, str]]]:
+    """The edits of each way to take the spelled digits of a text; the last has none."""
+    ways = []
+    if _SPELLED_HINT.search(text):
+        for run in _WAYS:
+            edits = [(x.start(), x.end(), "".join(_SPELLED[w[0].lower()] for w in _SPELLED_ONE.finditer(x[0]))) for x in run.finditer(text)]
+            if edits and edits not in ways:
+                ways.append(edits)
+    return [*ways, []]
+
+
+def _bare_dots(text: str) -> list[tuple[int, int, str]]:
+    """Bare dot words between digits, or between labels of an address that has its "@"."""
+    found = [d.span() for d in _BARE_DOT.finditer(text)]
+    good, at, domain = set(), 0, False
+    for s, e in found:
+        digits = text[s - 1 : s] in _DIGITS and text[e : e + 1] in _DIGITS
+        domain = bool(_LABEL.match(text, e) and (domain and _LABELS.fullmatch(text, at, s) or _TO_AT.search(text, at, s)))
+        at = e
+        if digits or domain:
+            good.add((s, e))
+    at = -1  # start of the next dot of a local part
+    for s, e in reversed(found):
+        if text[s - 1 : s] in _LOCAL and (m := _LOCAL_RUN.match(text, e)) and (m.end() == at or text[m.end() : m.end() + 1] == "@"):
+            good.add((s, e))
+            at = s
+    return [(s, e, ".") for s, e in found if (s, e) in good]
+
+
+def _signed(m: Mapped) -> None:
+    """Disguises of "@" and "." become the signs."""
+    if not _SIGN_HINT.search(m.text):
+        return
+    signs = [(x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text)] + [(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)]
+    for x in _BARE.finditer(m.text):
+        signs.append((x.start(1), x.end(1), "@"))
+        signs += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, x.end(1), x.end())]
+    signs.sort()
+    kept, at = [], 0
+    for s in signs:
+        if s[0] >= at:
+            kept.append(s)
+            at = s[1]
+    m.apply(kept)
+    m.apply(_bare_dots(m.text))
+
+
+def readings(text: str) -> list[Mapped]:
+    """The text through all transducers, once for each way to take its spelled digits, where they change it."""
+    looks = [] if text.isascii() else [(x.start(), x.end(), _LOOKS[x[0]]) for x in _LOOK_RUN.finditer(text)]
+    plain = Mapped(text)
+    plain.apply(looks)
+    out = []
+    for edits in _spelled(plain.text):
+        m = Mapped(plain.text)
+        m.maps = list(plain.maps)
+        m.apply(edits)
+        _signed(m)
+        if m.maps:
+            out.append(m)
+    return out
 
 
 def find(text: str | None) -> tuple[list, list]:
@@ -176,20 +233,18 @@ def find(text: str | None) -> tuple[list, list]:
     if not text:
         return [], []
     base = detect(text)
-    m = normalised(text)
-    if m is None:
-        return base, base
-    return base, sorted({*base, *beyond(base, [(*m.back(s, e), kind) for s, kind, e in detect(m.text)])})
+    mapped = [(*m.back(s, e), kind) for m in readings(text) for s, kind, e in detect(m.text)]
+    return base, sorted({*base, *beyond(base, mapped)}) if mapped else base
 
 
 def beyond(base: list[tuple[int, int, int]], mapped: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The mapped (start, end, kind) that no base span of their kind holds whole, as (start, kind, end)."""
+    """The mapped (start, end, kind) that no base span and no wider mapped one of their kind holds whole, as (start, kind, end)."""
     out, reach = [], [0] * len(KINDS)
     for s, e, kind, known in sorted([*((s, e, k, True) for s, k, e in base), *((*x, False) for x in mapped)], key=lambda x: (x[0], -x[1], not x[3])):
-        if known:
-            reach[kind] = max(reach[kind], e)
-        elif e > reach[kind]:
-            out.append((s, kind, e))
+        if e > reach[kind]:
+            reach[kind] = e
+            if not known:
+                out.append((s, kind, e))
     return out
 
 

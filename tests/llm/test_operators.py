@@ -238,6 +238,34 @@ def test_pii_disguise_beside_a_base_fragment():
     assert len(pii.find(text)[1]) == 10_000 and pii.redact_text(text) == "[EMAIL] " * 5000
 
 
+def test_pii_spelled_runs_and_bare_dots():
+    whole = {
+        "ip": ["one two seven (dot) zero (dot) zero (dot) one", "192 dot 168 dot 0 dot 1", "192 dot one six eight dot 0 [dot] one", "un neuf deux point un six huit point zéro point un"],
+        "email": ["name@example dot com", "name@mail.example dot co dot uk", "john dot doe@example dot com", "john dot doe at example dot com", "a dot b dot c [at] d dot ef"],
+        "card": ["4111 one one one one 1111 1111", "four one 11 1111 1111 111 one", "quatre " + " ".join(["un"] * 15)],
+        "phone": ["+49 one seven zero 123456", "+49 170 12345 six seven", "+trois trois un deux trois quatre cinq six sept huit neuf"],
+    }
+    for kind, texts in whole.items():
+        for text in texts:
+            said = f"é: {text}, end"
+            assert (3, pii.KINDS.index(kind), 3 + len(text)) in pii.find(said)[1], text
+            assert pii.redact_text(said) == f"é: [{kind.upper()}], end", text
+    assert pii.redact_text("a@b dot com and c@d dot org") == "[EMAIL] and [EMAIL]"
+    for text in ["un four one one one 1111 1111 1111", "four one one one 1111 1111 1111 un jour", "one ４111 1111 1111 1111", "four one one one 1111 1111 1111 two onerous"]:  # a word beside it spoils no number
+        assert "card" in {pii.KINDS[k] for _, k, _ in pii.find(text)[1]}, text
+    for text in ["one or two, the point is 3 point 5", "un jour, sept ans et huit mois", "on one day in 1990 two dot com firms", "one dot two", "one hundred twenty-two", "x dot y dot z"]:
+        assert pii.find(text) == ([], []), text
+    rng = random.Random(6)
+    parts = ["1", "27", "+", " ", " ", "-", "@", "one", "un", "zéro", "sept", " dot ", " (dot) ", " [at] ", " at ", "ab", "а", "７", "\u200b", "a@b.cd", "[EMAIL]"]
+    for _ in range(5000):  # nothing is left, and the search ends
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        base, every = pii.find(text)
+        assert set(base) <= set(every) and all(0 <= s < e <= len(text) for s, _, e in every)
+        assert pii.find(pii.redact_text(text)) == ([], []), text
+    for part in ["one ", "one dot ", "1 dot ", "+", "un-", "dot ", "a@", "@ dot ", " dot  ", "(", "one("]:
+        assert pii.find(part * 50_000)[0] == [], part  # in linear time
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(180)]
