@@ -97,6 +97,21 @@ def set_intersection(spark, sf_dir):
     return read(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
+@query("SELECT p_partkey, p_brand FROM part")
+def version_sort_all(spark, sf_dir):
+    return read(spark, sf_dir, "part").orderBy(X.version_key(F.col("p_brand")), "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_difference_all(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_intersection_all(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+
+
 @query("SELECT DISTINCT sha256(text) AS digest FROM documents")
 def content_addressed_put(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(X.sha256(F.col("text")).alias("digest"), F.encode("text", "UTF-8").alias("content"), "doc_id")
