@@ -1,4 +1,4 @@
-"""Vector expressions in double precision, and block-wise scoring for many queries."""
+"""Vector expressions in double precision, and block-wise scoring for some or many queries."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def dot(a, b) -> Column:
@@ -58,3 +60,35 @@ def score_blocks(matrix: DataFrame, queries: list[tuple[object, list[float]]], v
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array([name] * len(v), arrow), pa.array(s[:, k].copy())], names=[*names, "query_id", "score"])
 
     return matrix.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + f", query_id {query_type}, score double")
+
+
+ROW_BLOCK, QUERY_BLOCK = 4096, 128
+
+
+def score_pairs(matrix: DataFrame, queries: DataFrame, row_id: str, query_id: str = "query_id", vector: str = "embedding", best: int | None = None) -> DataFrame:
+    """``score_blocks`` for a query set of any size: blocks of rows meet blocks of queries on the executors.
+
+    ``queries`` has ``query_id`` and ``vector``.  With ``best``, only rows that can be among a query's so many best are kept: in each block
+    all that score no less than its least of them after rounding to 6 decimals.  The vectors must be whole and of one length.
+    """
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((matrix, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    names = [c for c in matrix.columns if c != vector]
+    deal = lambda df, key, own, k, other, j: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(k)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(j - 1))))
+    rows = deal(matrix, row_id, "__r", n, "__q", m).groupBy("__r", "__q")
+    asked = deal(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__v")), "query_id", "__q", m, "__r", n).groupBy("__r", "__q")
+    out = T.StructType([*(matrix.schema[c] for c in names), T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(out)
+    empty = schema.empty_table()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return empty
+        x, q = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t, c in ((left, vector), (right, "__v")))
+        s = x @ q.T
+        keep = np.ones(s.shape, bool)
+        if best is not None and best < len(s):
+            keep = s >= np.partition(s, len(s) - best, axis=0)[len(s) - best] - 2e-6
+        at, by = np.nonzero(keep)
+        return pa.table([*(left[c].take(pa.array(at)) for c in names), right["query_id"].take(pa.array(by)), pa.array(s[at, by])], names=schema.names)
+
+    return rows.cogroup(asked).applyInArrow(run, out)

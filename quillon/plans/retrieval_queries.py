@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.functions.vectors import cosine, dot, norm, score_blocks
+from quillon.functions.vectors import cosine, dot, norm, score_blocks, score_pairs
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.operators import validation as V
-from quillon.plans.registry import query, read
+from quillon.plans.registry import held, query, read
 
 CHILD_LANES = ("TITLE", "RAW_ITEM", "CONTEXTUAL_ITEM", "DETAIL", "MAJOR_SECTION")
 WORDS_AND, WORDS_OR = "the of", "queaire les"
@@ -110,6 +110,21 @@ def multi_query_scores(spark, sf_dir):
     return score_blocks(rows, vectors_of(spark, sf_dir, [0, 1, 2, 3, 4])).withColumn("score", F.round("score", 6))
 
 
+#: The query set of searches over whole tables: every row whose id is divisible by 100.
+ASKED = "% 100 = 0"
+
+
+def asked_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where(f"vec_id {ASKED}").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+
+
+@query(f"""SELECT c.vec_id AS row_index, q.vec_id AS query_id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+FROM embeddings c, embeddings q WHERE q.vec_id {ASKED}""")
+def multi_query_scores_all(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
+    return score_pairs(rows, asked_of(spark, sf_dir), "row_index").withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT c.vec_id AS id, round(greatest(-1, least(1, list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))), 6) AS score
 FROM embeddings c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.label = 3 ORDER BY 2 DESC, 1 LIMIT 20""")
 def legacy_cosine_filtered_topk(spark, sf_dir):
@@ -234,6 +249,50 @@ def metrics(spark, sf_dir, ids):
     return out.select("query_id", *[F.round(m, 9).alias(m) for m in E.METRICS])
 
 
+def best_of(spark, sf_dir, best=10):
+    """(query_id, id, rank) of the best rows of every query of the whole set."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    got = score_pairs(e, asked_of(spark, sf_dir), "id", best=best)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best).select("query_id", "id", "rank")
+
+
+def gold_of(spark, sf_dir):
+    asked = asked_of(spark, sf_dir).select("query_id", "label")
+    return read(spark, sf_dir, "embeddings").join(asked, "label").select("query_id", F.col("vec_id").alias("id"), (1 + F.col("vec_id") % 3).alias("relevance"))
+
+
+def metrics_all(spark, sf_dir):
+    out = E.ir_metrics(best_of(spark, sf_dir), gold_of(spark, sf_dir))
+    return out.select("query_id", *[F.round(m, 9).alias(m) for m in E.METRICS])
+
+
+@query(RUN.format(ids=ASKED) + "SELECT * FROM x")
+def ir_metrics_all(spark, sf_dir):
+    return metrics_all(spark, sf_dir)
+
+
+@query(RUN.format(ids=ASKED) + """, m AS (SELECT query_id, unnest(CASE WHEN query_id % 200 = 0 THEN ['all', 'even'] ELSE ['all', 'odd'] END) AS slice FROM x)
+SELECT slice, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(ndcg), 9) AS ndcg, round(avg(mrr), 9) AS mrr FROM x JOIN m USING (query_id) GROUP BY slice""")
+def slice_rollup_all(spark, sf_dir):
+    x = held(metrics_all(spark, sf_dir))
+    members = x.select("query_id", F.when(F.col("query_id") % 200 == 0, F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all"), F.lit("odd"))).alias("slices"))
+    return E.by_slice(x, members).select("slice", "n", *[F.round(m, 9).alias(m) for m in E.METRICS])
+
+
+@query(RUN.format(ids=ASKED) + """SELECT a.query_id, round(a.recall - b.recall, 9) AS recall, round(a.ndcg - b.ndcg, 9) AS ndcg, round(a.mrr - b.mrr, 9) AS mrr
+FROM x a JOIN x b ON b.query_id = a.query_id + 100 WHERE a.query_id % 200 = 0""")
+def paired_deltas_all(spark, sf_dir):
+    x = held(metrics_all(spark, sf_dir))
+    got = E.paired_deltas(x.where("query_id % 200 = 0"), x.where("query_id % 200 <> 0").withColumn("query_id", F.col("query_id") - 100))
+    return got.select("query_id", *[F.round(m, 9).alias(m) for m in E.METRICS])
+
+
+@query(RUN.format(ids=ASKED) + "SELECT gold.query_id, round(count(*) FILTER (WHERE run.rank <= 5) / count(*), 9) AS recall_5, round(count(*) FILTER (WHERE run.rank <= 10) / count(*), 9) AS recall_10 FROM gold JOIN run USING (query_id, id) GROUP BY 1")
+def span_recall_all(spark, sf_dir):
+    return E.recall_at(best_of(spark, sf_dir), gold_of(spark, sf_dir).select("query_id", "id")).select("query_id", F.round("recall_5", 9).alias("recall_5"), F.round("recall_10", 9).alias("recall_10"))
+
+
 @query(RUN.format(ids="IN (0, 1, 2, 3, 4)") + "SELECT * FROM x")
 def ir_metrics(spark, sf_dir):
     return metrics(spark, sf_dir, [0, 1, 2, 3, 4])
@@ -257,7 +316,7 @@ def paired_deltas(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return E.bootstrap(metrics(spark, sf_dir, list(range(40))).withColumn("lane", F.lit("exact")), 7)
+    return E.bootstrap(metrics_all(spark, sf_dir).withColumn("lane", F.lit("exact")), 7)
 
 
 @query("""WITH a AS (SELECT label AS query_id, list(DISTINCT vec_id % 17) AS gold, list(DISTINCT vec_id % 13) FILTER (WHERE vec_id % 2 = 0) AS found FROM embeddings GROUP BY label)

@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.catalogue import QUERIES
+from quillon.functions import vectors
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -16,3 +19,34 @@ def test_sort_and_sets_reach_every_row(spark):
     assert len(got) == part.count() and got == sorted(got)
     less, both = ({r.c_custkey for r in QUERIES[f"set_{x}_all"](spark, SF).collect()} for x in ("difference", "intersection"))
     assert less and both and not less & both and less | both == {r.c_custkey for r in customer.collect()}
+
+
+def test_searches_ask_every_hundredth_row(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = {r.vec_id for r in e.where("vec_id % 100 = 0").collect()}
+    assert len(asked) > 1
+    assert {r.query_id for r in QUERIES["multi_query_scores_all"](spark, SF).select("query_id").distinct().collect()} == asked
+    for name in ("ir_metrics_all", "span_recall_all"):
+        assert {r.query_id for r in QUERIES[name](spark, SF).collect()} == asked
+    assert {r.n for r in QUERIES["bootstrap_ci"](spark, SF).collect()} == {len(asked)}
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5)).round(1)
+    x[50:120] = x[3]  # ties
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    asked = df.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    x = x.astype(np.float32).astype(np.float64)
+    got = vectors.score_pairs(df, asked, "id")
+    assert got.count() == 300 * 30
+    assert all(abs(r.score - x[r.id] @ x[r.query_id]) < 1e-9 for r in got.collect())
+    kept = {}
+    for r in vectors.score_pairs(df, asked, "id", best=10).collect():
+        kept.setdefault(r.query_id, []).append((-round(r.score, 6), r.id))
+    for q in range(0, 300, 10):
+        assert sorted(kept[q])[:10] == sorted((-round(float(x[i] @ x[q]), 6), i) for i in range(300))[:10]
+    assert vectors.score_pairs(df, asked.where("query_id < 0"), "id").count() == 0
+    assert vectors.score_pairs(df.where(F.col("id") < 0), asked, "id").count() == 0
