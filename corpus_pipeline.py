@@ -2,7 +2,7 @@
 
 ``run`` writes each stage as Parquet to the shared folder and reads it again as the
 next stage's documents.  All stages but the last return the columns of ``documents``;
-the last adds size, source_size, target, copies and taken to every row (0 copies: not in the mix).
+the last drops documents given 0 copies and adds size, source_size, target, copies and taken to the others.
 """
 
 from __future__ import annotations
@@ -44,10 +44,10 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the copies and words that the mix takes of each."""
+    """The documents that the mix takes, with the copies and words it takes of each."""
     added = ("size", "source_size", "target", "copies", "taken")
     names = [c for c in docs.columns if c.lower() not in added]  # an input column of such a name makes room
-    return mixing.mix(docs, keep=names).select(*names, *(F.col(f"__{c}").alias(c) for c in added))
+    return mixing.mix(docs, keep=names).where("__copies > 0").select(*names, *(F.col(f"__{c}").alias(c) for c in added))
 
 
 STAGES = [

@@ -407,3 +407,9 @@ def test_pipeline_stages(spark, docs, tmp_path):
         at = spark.read.parquet(str(tmp_path / f"out{k}"))
     assert {"size", "source_size", "target", "copies", "taken"} <= set(at.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_mixing_stage_drops_what_the_mix_leaves(docs):
+    want = sorted((str(r.doc_id), r["__copies"], r["__taken"]) for r in mixing.mix(docs).collect() if r["__copies"])
+    got = corpus_pipeline.mixing_stage(docs.sparkSession, docs, "")
+    assert 0 < len(want) < docs.count() and sorted((str(r.doc_id), r.copies, r.taken) for r in got.collect()) == want
