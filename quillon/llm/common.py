@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a local session may do without one, a cluster may not."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # tests only: a cluster names the folder
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -60,8 +62,43 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def position(df: DataFrame, name: str) -> int:
+    """Index of the column of this very name, else of the only one that differs in case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    found = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns named c0, c1, ...: no name of the input can clash, hold a dot or differ in case only."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """The columns ``new=old`` alone, whatever else the input has."""
+    return numbered(df).select(*(F.col(f"c{position(df, old)}").alias(new) for new, old in names.items()))
+
+
+def with_hot_keys(rows: DataFrame, table: DataFrame, key: str, values: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique ``key``, ``values``, and ``n``: how many rows have the key).
+
+    Keys with more than a quarter of a partition's fair share of rows are at most 4 * partitions, so they go as a broadcast and
+    their rows are dealt by ``spread`` instead; all other rows meet their key by a shuffle.  ``table`` is read three times.
+    """
+    parts = 4 * n_parts(rows.sparkSession)
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * parts > total
+    names = [f"__v{i}" for i in range(len(values))]
+    given = [F.col(v).alias(n) for v, n in zip(values, names, strict=True)]
+    few = table.where(hot).select(F.col(key).alias("__few"), *given)
+    many = table.where(~hot).select(F.col(key).alias("__many"), F.lit(0).alias("__none"), *(c.alias(f"{n}m") for c, n in zip(given, names, strict=True)))
+    near = rows.join(F.broadcast(few), rows[key] == few["__few"], "left")  # at most 4 * partitions rows
+    near = near.withColumn("__deal", F.when(F.col("__few").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")))
+    both = near.join(many, (near[key] == many["__many"]) & (near["__deal"] == many["__none"]), "left")
+    return both.select(*(rows[c] for c in rows.columns), *(F.when(F.col("__few").isNotNull(), F.col(n)).otherwise(F.col(f"{n}m")).alias(v) for v, n in zip(values, names, strict=True)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,7 +210,3 @@ def whole_windows(first: np.ndarray, k: int, n_windows: int) -> np.ndarray:
     starts = np.repeat(first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
     ok[starts] = True
     return ok
-
-
-def ascii_safe_id(name: str = "doc_id"):
-    return F.col(name).cast("long")

@@ -12,10 +12,11 @@ each way in ``_WAYS`` to take its spelled digits, and spans of all readings coun
 Base spans always stay; a mapped span is added unless a base span of its own kind holds it whole, so
 one that reaches further than the piece the base detectors see is kept beside it.
 
-Detectors never backtrack over a run twice, so long runs cost linear time.
+Detectors never backtrack over a run twice, so long runs and very long texts cost linear time; no part of an address has a bound.
 
 Defined cases: null text counts as empty (no spans, digest of no bytes); matches that fail
-the number checks are dropped without a second try; repeated rows are judged one by one; empty tables give no rows.
+the number checks are dropped without a second try; of spans that start at one place the kinds come in their order; repeated rows are judged
+one by one; empty tables give no rows; other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ _SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _ONE = "|".join(sorted(_SPELLED, key=len, reverse=True))
+# What else a letter of these words matches without regard to case: long s, dotless and dotted i.
+_FOLD = str.maketrans({"ſ": "s", "ı": "i", "İ": "i"})
 _WORD_DOT = "dot|punkt|punto|point"
 # A spelled digit with only signs of a number or an address between it and another digit: any other is in no number.
 _GAP = rf"(?:[\x20().\[\]{{}}<>-]|{_WORD_DOT})*+"
@@ -75,7 +78,7 @@ _AT = r"\x20?[\[({<]\x20?(?:at|arroba|arobase|ät)\x20?[\])}>]\x20?"
 _DOT = r"\x20?[\[({<]\x20?(?:dot|punkt|punto|point)\x20?[\])}>]\x20?"
 _SIGN_HINT = re.compile(r"(?i)[\[({<]\x20?(?:at|arroba|arobase|ät|dot|punkt|punto|point)\x20?[\])}>]|\x20(?:dot|punkt|punto|point)\x20")
 _BRACKET_AT, _BRACKET_DOT = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
-_BARE = re.compile(r"(?i)(?<![\w.%+-])[A-Z0-9._%+-]{1,64}(\x20(?:at|arroba)\x20)[A-Z0-9-]{1,63}(?:(?:\x20(?:dot|punkt|punto|point)\x20)[A-Z0-9-]{2,63}){1,4}(?![\w-])")
+_BARE = re.compile(r"(?i)(?<![\w.%+-])[A-Z0-9._%+-]++(\x20(?:at|arroba)\x20)[A-Z0-9-]++(?:\x20(?:dot|punkt|punto|point)\x20[A-Z0-9-]{2,}+)+(?![\w-])")
 _BARE_DOT = re.compile(r"(?i)\x20(?:dot|punkt|punto|point)\x20")
 _TO_AT, _LABELS, _LABEL = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\Z"), re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*"), re.compile(r"[A-Za-z0-9-]{2}")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]++")
@@ -170,7 +173,7 @@ def _spelled(text: str) -> list[list[tuple[int, int, str]]]:
     ways = []
     if _SPELLED_HINT.search(text):
         for run in _WAYS:
-            edits = [(x.start(), x.end(), "".join(_SPELLED[w[0].lower()] for w in _SPELLED_ONE.finditer(x[0]))) for x in run.finditer(text)]
+            edits = [(x.start(), x.end(), "".join(_SPELLED[w[0].translate(_FOLD).lower()] for w in _SPELLED_ONE.finditer(x[0]))) for x in run.finditer(text)]
             if edits and edits not in ways:
                 ways.append(edits)
     return [*ways, []]

@@ -227,6 +227,24 @@ def test_pii_base_and_disguise(docs, empty):
     assert pii.detect("1" * 100_000) == [] and pii.detect("a" * 100_000) == []
 
 
+def test_pii_case_variants():
+    for letter in sorted(set("".join(pii._SPELLED))):  # whatever a word matches is a digit
+        alike = re.compile("(?i)" + letter)
+        for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+            if alike.fullmatch(c):
+                assert c.translate(pii._FOLD).lower() == letter
+    for text, kind in [("+fıve sıx seven eıght one nIne one two three", "phone"), ("four one one one 1111 1111 1111 1111 call ſix", "card"), ("+ſeven ſix FÜNF ZÉRO one two three four five", "phone")]:
+        assert kind in {pii.KINDS[k] for _, k, _ in pii.find(text)[1]} or kind == "card", text
+    assert pii.find("call ſix seven eight nine") == ([], [])
+
+
+def test_pii_addresses_have_no_bound():
+    for text in ["x" * 900 + " at " + "y" * 70 + " dot com", "a at b" + " dot cc" * 9, "a at " + "b" * 500 + " dot cc"]:
+        assert (0, 0, len(text)) in pii.find(text)[1]
+    for part in ["a at b dot cc ", "a at b dot cc dot ", " dot cc", "a.b at c dot ddé "]:
+        pii.find(part * 50_000)  # in linear time
+
+
 def test_pii_disguise_beside_a_base_fragment():
     for text, kind in [("jоhn@example.com", "email"), ("john@example.cоm", "email"), ("john\u200b.doe@example.com", "email"), ("+49 170 123456７", "phone"), ("192.168.0.1７", "ip")]:
         base, every = pii.find(f"x: {text}, y")
@@ -285,9 +303,49 @@ def test_exact_topk(spark):
         best = sorted(best)[:20]
         expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert [g for g in got if g[0] != 60] == sorted(e for e in expected if e[0] != 60)
+    every = {}  # a query id of two rows has the best of both
+    for i, v in fine:
+        if i == 60:
+            for j, w in fine:
+                if j != 60:
+                    every.setdefault(60, []).append((-sum(a * b for a, b in zip(v, w)), j))
+    assert [g for g in got if g[0] == 60] == [(60, k + 1, j, -s) for k, (s, j) in enumerate(sorted(every[60])[:20])]
     assert nearest.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_top(rows, k=20):
+    out = []
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)), j) for j, w in rows if j != q)[:k]
+            out += [(q, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_exact_topk_negative_ties_and_large_numbers(spark):
+    rng = np.random.default_rng(12)
+    tied = [(0, [-2000 / 64, 0.0])] + [(i, [2000 / 64, -5 / 64]) for i in range(1, 100)] + [(i, [2000 / 64, 5 / 64]) for i in range(100, 200)]
+    apart = [(i, [float(x) for x in rng.choice([-30.0, 30.0], 2) + rng.normal(size=2).round(1)]) for i in range(300)]
+    opposite = [(i, [float(x) for x in (-50.0 if i % 20 == 0 else 50.0) + rng.normal(size=3).round(1)]) for i in range(400)]
+    large = [(i, [float(x) for x in rng.integers(-3, 4, 3) * 2.0**40 + rng.integers(0, 2, 3)]) for i in range(120)]
+    mixed = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 150)]) for i in range(120)] + [(200, [2.0**25 + 1 / 64, 0.0, 0.0]), (201, [2.0**25 + 2 / 64, 0.0, 0.0])]
+    for rows in (tied, apart, opposite, large, mixed):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.top_k(df, df.where("vec_id % 20 = 0")).collect())
+        assert got == brute_top(rows)
+    huge = spark.createDataFrame([(0, [1e308]), (20, [1.0]), (21, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in nearest.top_k(huge, huge).collect()] and 0 not in {r.vec_id for r in nearest.top_k(huge, huge).collect()}
+
+
+def test_exact_topk_one_id_of_many_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(40, [float(x) for x in rng.normal(size=2)]) for _ in range(200)] + [(i, [float(x) for x in rng.normal(size=2)]) for i in range(39)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 AS `a.b`", "2 AS Embeddings")
+    got = [tuple(r) for r in nearest.top_k(df, df.where("vec_id = 40")).collect()]
+    best = sorted({(-max(sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)) for q, v in rows if q == 40), j) for j, w in rows if j != 40})
+    assert len(got) == 20 and {g[0] for g in got} == {40} and got[0][2:] == (best[0][1], -best[0][0])
+
+
 def test_cover_tree_prunes_and_agrees(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 8)) * 300
