@@ -1,30 +1,35 @@
 r"""URL filters: nested host/path rules by a sort-merge range join.
 
-``url_key`` turns host and path into a canonical key: host labels reversed, each
-followed by ``\x01``, then ``\x02``, then the path.  A host rule therefore owns the
-interval of keys that begin with its reversed labels, nested rules own nested
-intervals, and one pass over keys in sorted order with a stack of open intervals
-finds every rule whose host covers a URL.  Each open interval keeps that host's
-path prefixes; the longest rule (host plus path, in characters) that fits wins.
-
-Keys are range-partitioned together with the page id, so a host with a third of
-all rows is spread over many tasks.  The rule table is broadcast only up to
-``MAX_BROADCAST_RULES`` rows; a larger one is joined on exploded host suffixes.
-
-Nulls: a null url, or one without ``://``, has empty host and path; no rule fits an
-empty path unless its path is empty.  Repeated rows are judged one by one.  An empty table gives no
-rows.  Other columns of the input are ignored, whatever their names.
+A rule's canonical key is its host with labels reversed, each followed by ``\x01``, then ``\x02``, then its path.  A url asks
+once for its host and once for each domain above it, with the same path; so a rule fits exactly those keys that begin with
+its own, an interval of the sorted keys, and intervals are nested or apart.
+
+Keys are cut into one range a partition at boundaries from a sample of (key, row), so a host or url with a third of all rows
+is spread over many partitions; the sample (at most about ``SAMPLES`` keys a partition) only places the cuts.  A rule goes to each partition its
+interval meets: all rules once, and those that reach over a cut again, at most as many a partition as prefixes of one key.  In each
+partition one pass over rules and keys in sorted order keeps a stack of the open nested rules; the top one
+is the longest that fits.  Rules are a DataFrame of any size or a list; there is one way at every size.
+
+The longest rule (host plus path, in characters) of all of a url's keys wins; equal lengths go to the rule of smaller name
+(host plus path), then to the smaller verdict, in code point order.
+
+Defined cases: a null url, or one without ``://``, has empty host and path; no rule fits an empty path unless its path is empty.
+Rules with a null host or path are no rules, those with a null verdict give the default.  Repeated rows are judged one by one, whatever their
+ids; very long urls are whole keys.  An empty table gives no rows; without rules every row has the default.  Other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import n_parts, table
+from quillon.llm.common import n_parts, picked, table, written
 
-MAX_BROADCAST_RULES = 100_000
+SAMPLES = 64
 #: (host, path, verdict) of the contract, in its order.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -38,85 +43,87 @@ def host_path(url) -> tuple:
     return host, path
 
 
-def reversed_key(host: str) -> str:
-    return "".join(f"{label}\x01" for label in reversed(host.split(".")))
+def _key(host, path):
+    """Canonical key; the signs it is made of are escaped within hosts."""
+    for sign, told in (("\x03", "\x03c"), ("\x01", "\x03a"), ("\x02", "\x03b")):
+        host = F.replace(host, F.lit(sign), F.lit(told))
+    labels = F.reverse(F.split(host, r"\.", -1))
+    return F.concat(F.array_join(labels, "\x01"), F.lit("\x01\x02"), path)
+
+
+def _domains(host):
+    """A host and all domains above it."""
+    parts = F.split(host, r"\.", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
+def _cuts(keys: DataFrame, parts: int) -> list[tuple[str, int]]:
+    """At most parts - 1 ascending (key, row), which cut ``keys`` into ranges of about equal size."""
+    every = max(1, keys.count() // (SAMPLES * parts))
+    held = sorted((r.key, r.row) for r in keys.where(F.pmod(F.xxhash64("row", "key"), F.lit(every)) == 0).collect())
+    return [held[len(held) * i // parts] for i in range(1, parts)] if len(held) >= parts else held[: parts - 1]
+
+
+def _deal_keys(cuts):
+    def run(batches):
+        for b in batches:
+            at = [bisect_right(cuts, x) for x in zip(b.column("key").to_pylist(), b.column("row").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["part", *b.schema.names])
+
+    return run
+
+
+def _deal_rules(cuts):
+    keys = [k for k, _ in cuts]
 
+    def run(batches):
+        for b in batches:
+            parts, rows = [], []
+            for i, key in enumerate(b.column("key").to_pylist()):
+                low = bisect_left(keys, key)
+                high = bisect_left(keys, True, low, key=lambda k: not k.startswith(key))  # noqa: B023
+                parts += range(low, high + 1)
+                rows += [i] * (high + 1 - low)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(c.take(pa.array(rows, pa.int64())) for c in b.columns)], names=["part", *b.schema.names])
 
-class Sweep:
-    """The stack of rules open at the current key; keys must come in ascending order."""
+    return run
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        by: dict[str, list] = {}
-        for host, path, verdict in rules:
-            by.setdefault(reversed_key(host), []).append((len(host) + len(path), path, f"{host}{path}", verdict))
-        self.rules = sorted((key, sorted(got, key=lambda r: (-r[0], r[2], r[3]))) for key, got in by.items())
-        self.next, self.stack = 0, []
 
-    def judge(self, key: str, path: str) -> tuple[str | None, str | None]:
-        while self.stack and not key.startswith(self.stack[-1][0]):
-            self.stack.pop()
-        while self.next < len(self.rules) and self.rules[self.next][0] <= key:
-            rule = self.rules[self.next]
-            self.next += 1
-            if key.startswith(rule[0]):
-                self.stack.append(rule)
-        best = None
-        for _, rules in self.stack:
-            for size, prefix, name, verdict in rules:
-                if best is not None and size < best[0]:
-                    break
-                if path.startswith(prefix) and (best is None or (size, best[1]) > (best[0], name)):
-                    best = (size, name, verdict)
-                    break
-        return (best[1], best[2]) if best else (None, None)
+def _sweep(batches):
+    """(row, size, rule, verdict) of the longest open rule at each key of a partition in key order, rules first."""
+    stack, out = [], []
+    for b in batches:
+        columns = (b.column(c).to_pylist() for c in ("key", "row", "size", "rule", "verdict"))
+        for key, row, size, rule, verdict in zip(*columns, strict=True):
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            if row is None:
+                stack.append((key, size, rule, verdict))
+            elif stack:
+                out.append((row, *stack[-1][1:]))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        out = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["row", "size", "rule", "verdict"])
 
 
 def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) for each row; ``default`` where no rule fits."""
+    """(page_id, host, path, rule, verdict) for each row; ``default`` where no rule fits."""
     spark = pages.sparkSession
-    host, path = host_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    if isinstance(rules, DataFrame):
-        frame = rules.select("host", "path", "verdict")
-        if frame.limit(MAX_BROADCAST_RULES + 1).count() > MAX_BROADCAST_RULES:
-            return _joined(rows, frame, default)
-        rules = [tuple(r) for r in frame.collect()]
-    if len(rules) > MAX_BROADCAST_RULES:
-        return _joined(rows, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
-    held = spark.sparkContext.broadcast(rules)
-
-    def sweep(batches):
-        state = None
-        for batch in batches:
-            keys, paths = batch.column("key").to_pylist(), batch.column("path").to_pylist()
-            state = state or Sweep(held.value)
-            got = [state.judge(k, p) for k, p in zip(keys, paths, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] or default for g in got], pa.string())],
-                names=["page_id", "host", "path", "rule", "verdict"],
-            )
-
-    labels = F.reverse(F.split(F.translate("host", "\x00\x01\x02", "\x03\x03\x03"), r"\.", -1))
-    keyed = rows.withColumn("key", F.concat(F.array_join(labels, "\x01"), F.lit("\x01\x02"), F.col("path")))
-    ordered = keyed.repartitionByRange(n_parts(spark), "key", "page_id").sortWithinPartitions("key")
-    kind = dict(rows.dtypes)["page_id"]
-    return ordered.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rule tables over the broadcast bound: distinct (host, path) pairs meet the rules on each host suffix."""
-    parts = F.split("host", r"\.", -1)
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    pairs = rows.select("host", "path").distinct()
-    best = (
-        pairs.select("host", "path", suffix.alias("rh"))
-        .join(rules.select(F.col("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")), "rh")
-        .where(F.col("path").startswith(F.col("rp")))
-        .select("host", "path", F.struct((F.length("rh") + F.length("rp")).alias("size"), F.concat("rh", "rp").alias("rule"), "rv").alias("best"))
-        .groupBy("host", "path")
-        .agg(F.max("best").alias("best"))
-    )
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rv", F.lit(default)).alias("verdict"))
+    n = n_parts(spark)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    rules = picked(rules, host="host", path="path", verdict="verdict").where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.min(F.coalesce("verdict", F.lit(default))).alias("verdict"))
+    kept = rules.select(_key(F.col("host"), F.col("path")).alias("key"), (F.length("host") + F.length("path")).alias("size"), F.concat("host", "path").alias("rule"), "verdict")
+    host, path = host_path(F.col("url"))
+    rows = written(picked(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "url-rows")
+    keys = rows.select("row", "path", F.explode(_domains(F.col("host"))).alias("domain")).select(_key(F.col("domain"), F.col("path")).alias("key"), "row")
+    cuts = _cuts(keys, n)
+    asked = keys.mapInArrow(_deal_keys(cuts), "part int, key string, row long")
+    given = kept.mapInArrow(_deal_rules(cuts), "part int, key string, size int, rule string, verdict string")
+    both = given.withColumn("row", F.lit(None).cast("long")).unionByName(asked, allowMissingColumns=True)
+    met = both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", F.col("row").asc_nulls_first()).mapInArrow(_sweep, "row long, size int, rule string, verdict string")
+    best = met.groupBy("row").agg(F.min(F.struct((-F.col("size")).alias("size"), "rule", "verdict")).alias("best"))
+    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
