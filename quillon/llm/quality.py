@@ -9,10 +9,13 @@ label 1 from the difference of the two Mahalanobis log-densities, flattened by a
 temperature so that it stays graded.
 
 Neither labels nor lang, source or doc_id enter a score.  Labels are learned from rows
-whose crc32(doc_id as text) mod 4 is not 2.  Defined cases: null text counts as
-empty and is scored like any text; null or conflicting repeated labels are left out
+whose crc32(doc_id as text) mod 4 is not 2, from at most ``FIT_ROWS`` labelled ids (those of least hash); so features are computed for these
+and once for each row that is scored, whatever the size.
+
+Defined cases: null text counts as
+empty and is scored like any text; very long texts are whole; null or conflicting repeated labels are left out
 (a doc_id labelled both 0 and 1), equal repeats count once; with one class or no labels every score is that class's
-rate (0.5 without labels); repeated rows are scored one by one; an empty table gives no rows.
+rate (0.5 without labels); repeated rows are scored one by one; ids of any type; an empty table gives no rows; other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import NON_SPACE, Words, table, text_bytes, written
+from quillon.llm.common import NON_SPACE, Words, numbered, picked, position, table, text_bytes
 
 SHRINK = 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
+FIT_ROWS = 50_000  # labelled ids the model is fitted on
 SLICE_BYTES = 2 << 20
 
 
@@ -130,7 +134,7 @@ class Model:
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f): the feature array of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col)
 
     def run(batches):
         for b in batches:
@@ -159,10 +163,19 @@ def held_out(id_col):
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def train(feats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
+def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, y) of at most ``most`` labelled ids outside the held-out fold, those of least hash."""
+    rows = picked(labels, doc_id=id_col, y=label_col).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    one = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_ROWS) -> Model:
     """Sums over labelled rows outside the held-out fold; only class sums reach the driver."""
-    y = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2").select("doc_id", "y")
-    rows = feats.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False))).join(y, "doc_id").select("y", "f")
+    y = F.broadcast(labelled(labels, "doc_id", label_col, most))  # at most FIT_ROWS ids
+    texts = picked(docs, doc_id=id_col, text=text_col)
+    kept = texts.join(y, "doc_id", "left_semi")
+    rows = featured(kept).join(y, "doc_id").select("y", "f")
 
     def partial(batches):
         stats = {}
@@ -189,39 +202,34 @@ def train(feats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mo
     return Model(stats)
 
 
-def scored(feats: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of ``featured``."""
+def scores_of(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of each row."""
+    rows = picked(docs, doc_id=id_col, text=text_col)
 
     def run(batches):
         for b in batches:
-            x = b.column("f").flatten().to_numpy().reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
-
-    return feats.mapInArrow(run, f"doc_id {dict(feats.dtypes)['doc_id']}, score double")
-
+            for ids, texts in slices(b, "doc_id", "text"):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(features(texts)))], names=["doc_id", "score"])
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    labelled = docs.select("doc_id", "text")
-    return train(written(featured(labelled), "quality-features"), labels)
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
 
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``__score``; other columns are kept as they are."""
-    names = docs.columns
-    index = names.index(text_col)
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns."""
+    index = position(docs, text_col)
+    rows = numbered(docs)
 
     def run(batches):
         for b in batches:
-            texts = b.column(index)
-            for part in slices(pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), texts], names=["i", "t"]), "i", "t"):
-                i = part[0]
-                s = model.score(features(part[1]))
-                yield pa.RecordBatch.from_arrays([*b.slice(i[0].as_py(), len(i)).columns, pa.array(s)], names=[*names, "__score"])
+            keep = [np.zeros(0, bool)]
+            for (texts,) in slices(pa.RecordBatch.from_arrays([b.column(index)], names=["t"]), "t"):
+                keep.append(model.score(features(texts)) >= least)
+            yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields)).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = written(featured(table(spark, sf_dir, "documents")), "quality-features")
-    model = train(feats, table(spark, sf_dir, "labels"))
-    return scored(feats, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return scores_of(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
