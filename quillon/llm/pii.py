@@ -27,10 +27,9 @@ from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
+from quillon.llm.common import numbered, picked, position, table
 
 KINDS = ("email", "ip", "card", "phone")
 LONG_RUN = 4
@@ -257,7 +256,7 @@ def joined(spans) -> str:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; counts are of base spans."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches):
@@ -292,7 +291,8 @@ def redact_text(text: str | None) -> str | None:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced; null texts stay null, other columns are kept."""
-    index = docs.columns.index(text_col)
+    index = position(docs, text_col)
+    rows = numbered(docs)
 
     def run(batches):
         for b in batches:
@@ -300,7 +300,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             cols[index] = pa.array([redact_text(t.as_py()) for t in cols[index]], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields)).toDF(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ space-delimited chunks, whose counts are remembered (two generations of at most
 A model with pieces that break this rule is counted text by text.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
-one by one; an empty table gives no rows; other columns are ignored.  The model file is a
+one by one, in any order and with ids of any type; very long texts are whole; an empty table gives no rows; other columns are ignored, whatever their names.  The model file is a
 parameter and must exist on every executor.
 """
 
@@ -24,9 +24,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillon.llm.common import table, text_bytes
+from quillon.llm.common import picked, table, text_bytes
 
 CACHE = 600_000
 LIMIT = 4096
@@ -132,7 +131,7 @@ def counter(model_file: str) -> PieceCounter:
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row's whole text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = picked(docs, doc_id=id_col, text=text_col)
 
     def run(batches):
         count = counter(model_file).count

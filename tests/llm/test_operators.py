@@ -201,24 +201,69 @@ def test_warc_archives_of_others(spark, tmp_path):
 def test_quality_held_out(spark, empty):
     path = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet").limit(4000), spark.read.parquet(f"{path}/labels.parquet")
-    feats = quality.written(quality.featured(docs), "t")
-    model = quality.train(feats, labels)
-    got = quality.scored(feats, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    model = quality.train(docs, labels)
+    got = quality.scores_of(docs, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
     right = [(r.score >= 0.7) == (r.quality == 1) for r in got]
     assert len(right) > 100 and sum(right) / len(right) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
-    assert quality.scored(quality.featured(empty), model).count() == 0
+    assert quality.scores_of(empty, model).count() == 0
     assert spark.range(20).select(quality.held_out(F.col("id")).alias("h"), "id").where(F.col("h")).count() == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(20))
-    none = quality.train(feats, labels.limit(0))
+    none = quality.train(docs, labels.limit(0))
     assert none.score(np.zeros((2, quality.N_FEATURES))).tolist() == [0.5, 0.5]
+    some = quality.train(docs, labels, most=400)  # a bounded sample serves as well
+    got = quality.scores_of(docs, some).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
+    assert sum((r.score >= 0.7) == (r.quality == 1) for r in got) / len(got) > 0.95
+
+
+def plain_features(text):
+    """The statistics of a text, counted one by one."""
+    raw, w = (text or "").encode(), [x.encode() for x in words(text)]
+    upper, marks, digits = set(range(65, 91)), set(b".,;:'\"()-?"), set(b"0123456789")
+    space = {32, *range(9, 14)}
+    lower_ = set(range(97, 123)) | set(range(128, 256))
+    symbol = set(range(256)) - upper - lower_ - digits - marks - space
+    out = [math.log((sum(b in c for b in raw) + 0.02 * k) / (len(raw) + k)) for c, k in ((upper, 80), (marks, 40), (symbol, 40), ({10}, 40))]
+    n = len(w)
+    pairs = list(zip(w, w[1:]))
+    out += [math.log((sum(map(len, w)) + 30) / (n + 5)), (max((w.count(x) for x in set(w)), default=0) + 1) / (n + 20), math.log((len(set(w)) + 20) / (n + 20)), math.log((len(pairs) - len(set(pairs)) + 0.4) / (n + 20))]
+    return [*out, (sum(x[-1] in symbol for x in w) + 0.02) / (n + 4), (sum(len(x) == 1 and x[0] in symbol for x in w) + 0.02) / (n + 4)]
+
+
+def test_quality_against_plain_formulas(spark):
+    rng = random.Random(11)
+    say = lambda: "".join(rng.choice("aB1.é #|\n  xyz,") for _ in range(rng.randint(0, 200)))
+    rows = [(i, None if i % 40 == 0 else say() * (1 + i % 2 * 3)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = {i: np.array(plain_features(t)) for i, t in rows}
+    taught = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    both = np.array([x[i] for i in taught])
+    mean, scale = both.mean(0), both.std(0)
+    dens = {}
+    for c in (0, 1):
+        z = (np.array([x[i] for i in taught if i % 2 == c]) - mean) / scale
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - quality.SHRINK) * cov + quality.SHRINK * np.trace(cov) / len(cov) * np.eye(len(cov))
+        mu, inv, logdet = z.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        for i, _ in rows:
+            d = (x[i] - mean) / scale - mu
+            dens[i, c] = -0.5 * (d @ inv @ d + logdet)
+    rate = sum(i % 2 for i in taught) / len(taught)
+    for r in quality.scores_of(docs, model).collect():
+        margin = (dens[r.doc_id, 1] - dens[r.doc_id, 0] + math.log(rate / (1 - rate))) / quality.TEMPERATURE
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), abs=1e-6)
 
 
 def test_quality_edge_cases(docs, spark):
     labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (8, 1), (9, None), (None, 1)], "doc_id long, quality int")
-    model = quality.fit(docs, labels)
-    got = quality.score_texts(docs, model)
-    assert got.columns == [*docs.columns, "__score"] and got.count() == docs.count()
-    assert got.where("__score IS NULL OR isnan(__score)").count() == 0
+    assert [tuple(r) for r in quality.labelled(labels).collect()] == [(8, 1)] * (zlib.crc32(b"8") % 4 != 2)
+    model = quality.train(docs, labels)
+    got = quality.scores_of(docs, model)
+    assert got.count() == docs.count() and got.where("score IS NULL OR isnan(score)").count() == 0
+    named = docs.withColumnsRenamed({"lang": "__score", "size": "a.b", "sid": "TEXT"})
+    kept = quality.accepted(named, model, 0.0)
+    assert kept.columns == named.columns and kept.count() == docs.count() and quality.accepted(named, model, 1.1).count() == 0
 
 
 def test_pii_base_and_disguise(docs, empty):
@@ -487,29 +532,74 @@ def test_url_rules_ties_nesting_and_many_rules(spark):
     assert judge("http://x.com/ab")[2:] == ("com/ab", "block")  # as long as x.com/, and the smaller name
 
 
+def reshared(sizes, weights, total, cap=2.0):
+    out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        unit = (total - sum(out)) / sum(weights[i] for i in open_)
+        over = [i for i in open_ if weights[i] * unit > cap * sizes[i]]
+        if not over:
+            for i in open_:
+                out[i] = weights[i] * unit
+            return out
+        for i in over:
+            out[i] = cap * sizes[i]
+        open_ -= set(over)
+    return out
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     sizes, taken, target = defaultdict(int), defaultdict(int), {}
     for r in got:
-        assert r["__copies"] in (0, 1, 2) and r["__taken"] == r["__copies"] * r["__size"]
-        sizes[r.source] += r["__size"]
-        taken[r.source] += r["__taken"]
-        target[r.source] = r["__target"]
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r["size"]
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert sorted((str(r.id), r["size"]) for r in got) == sorted((str(i), len(words(t))) for i, t in rows_of(docs))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weights = [(3, 1, 2)[i % 3] for i in range(len(order))]
-    assert target == pytest.approx(dict(zip(order, mixing.targets([sizes[s] for s in order], weights, 1.5 * sum(sizes.values())))))
-    assert all(r["__source_size"] == sizes[r.source] for r in got)
+    assert target == pytest.approx(dict(zip(order, reshared([sizes[s] for s in order], weights, 1.5 * sum(sizes.values())))))
+    assert all(r.source_size == sizes[r.source] for r in got)
     for s in order:
-        largest = max(r["__size"] for r in got if r.source == s)
+        largest = max(r["size"] for r in got if r.source == s)
         assert abs(taken[s] - target[s]) <= 0.02 * target[s] + largest / 2  # copies are whole
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
-    assert mixing.mix(empty).count() == 0
-
-
-def test_targets_reshare():
-    assert mixing.targets([10, 100, 100], [3, 1, 2], 300.0) == pytest.approx([20, 280 / 3, 560 / 3])
-    assert mixing.targets([0, 10], [1, 1], 15.0) == pytest.approx([0, 15])
-    assert mixing.targets([], [], 0.0) == []
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    text_ids = docs.selectExpr("concat('d', doc_id) AS `doc.id`", "text AS `__key`", "source AS `__size`", "1 AS KEY", "2 AS n", "3 AS row")
+    again = mixing.mix(text_ids, id_col="doc.id", text_col="__key", source_col="__size")
+    assert sorted((str(r.source), r["size"], r.target) for r in again.collect()) == sorted((str(r.source), r["size"], r.target) for r in got)
+
+
+def test_mixing_rates_solve_the_dual(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" * rng.randint(1, 60) for _ in range(1)) + " x" * rng.randint(0, 300), rng.choice("abcdefg")) for i in range(1500)] + [(5000 + i, "", "empty") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.rated(mixing.written(mixing.sized(docs), "t")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for source, rs in by.items():
+        size, rate = np.array([r["size"] for r in rs], float), np.array([r.rate for r in rs])
+        target, total = rs[0].target, size.sum()
+        assert abs((rate * size).sum() - target) <= 1e-5 * max(1, target) and rate.min(initial=0) >= 0 and rate.max(initial=0) <= 2
+        if 0 < target < 2 * total * (1 - 1e-9):  # by halving: the dual has one root
+            scale, low, high = max(1.0, total / len(rs)), -200.0, 200.0
+            for _ in range(200):
+                lam = (low + high) / 2
+                low, high = (lam, high) if (2 / (1 + np.exp(-np.clip(lam * size / scale, -700, 700))) * size).sum() < target else (low, lam)
+            assert rate == pytest.approx(2 / (1 + np.exp(-np.clip(lam * size / scale, -700, 700))), abs=1e-5)
+    few = mixing.mix(docs, weights=(1, 0), share=5.0).collect()  # more than all sources hold: twice of each that has a weight
+    order = sorted({r.source for r in few})
+    assert all(r.copies == (0 if order.index(r.source) % 2 else 2) for r in few if r["size"])
+
+
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    rows = [(1, "a b c", "s", k) for k in range(60)] + [(i, "d " * i, "t", 0) for i in range(2, 40)] + [(None, "a b c", None, 1)] * 7 + [(None, "", "s", 1)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(4)
+    got, told = mixing.mixed(docs).collect(), mixing.mix(docs).where("copies > 0").collect()
+    tell = lambda rs, i: sorted((str(r[i]), str(r.source), r["size"], r.copies, r.taken) for r in rs)
+    assert tell(got, "doc_id") == tell(told, "id") and len(got) < len(rows)
+    assert mixing.mixed(docs).columns == ["doc_id", "text", "source", *mixing.ADDED]
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
@@ -529,6 +619,6 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 
 def test_mixing_stage_drops_what_the_mix_leaves(docs):
-    want = sorted((str(r.doc_id), r["__copies"], r["__taken"]) for r in mixing.mix(docs).collect() if r["__copies"])
+    want = sorted((str(r.id), r.copies, r.taken) for r in mixing.mix(docs).collect() if r.copies)
     got = corpus_pipeline.mixing_stage(docs.sparkSession, docs, "")
     assert 0 < len(want) < docs.count() and sorted((str(r.doc_id), r.copies, r.taken) for r in got.collect()) == want
