@@ -24,8 +24,7 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is not below REJECT_BELOW; labels of the held-out fold are never learned from."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_texts(docs, model).where(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")), REJECT_BELOW)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the copies and words it takes of each."""
-    added = ("size", "source_size", "target", "copies", "taken")
-    names = [c for c in docs.columns if c.lower() not in added]  # an input column of such a name makes room
-    return mixing.mix(docs, keep=names).where("__copies > 0").select(*names, *(F.col(f"__{c}").alias(c) for c in added))
+    return mixing.mixed(docs)
 
 
 STAGES = [
