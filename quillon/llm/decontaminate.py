@@ -7,12 +7,13 @@ remains is indexed: suffix array by prefix doubling, Burrows-Wheeler transform,
 matrix for ranks.  All windows of one length are searched backwards at once; occurrences
 are located by sampled suffix positions (every ``SAMPLE``-th) and LF steps.  Their word spans are merged into removal spans.
 
-Windows are 10 consecutive words of an item; an item of 1 to 9 words is one window.
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (a bounded
-broadcast each); a larger benchmark takes several passes in one narrow stage.  Nothing is shuffled.
+Windows are 10 consecutive words of an item; an item of 1 to 9 words is one window.  They are arrays, built once on the driver
+for each block of at most ``BLOCK_WORDS`` benchmark words (a broadcast of some 60 bytes a word at most); a larger benchmark takes several
+blocks, of which a worker holds one at a time, over a shard that is read once.  Nothing is shuffled.
 
-Defined cases: null text has no words; null item text gives no window; a null item_id is
-named "null"; items that share an id count once; repeated rows are judged one by one; empty tables work.
+Words are equal by 64 bits of hash within one block and shard.  Defined cases: null text has no words; null item text gives no window; a null item_id is
+named "null"; items that share an id count once; repeated rows are judged one by one; very long texts are whole (one alone may be a
+shard); ids of any type; empty tables work; other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import ALNUM, Words, table
+from quillon.llm.common import ALNUM, Words, numbered, picked, position, table, text_bytes
 from quillon.llm.quality import slices
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
-BLOCK_WORDS = 2_000_000
+SHARD_BYTES = 32 << 20
+SLICE_BYTES = 2 << 20  # words are looked up in slices, whose stretches make up the shard
+BLOCK_WORDS = 1_000_000
 SAMPLE = 8
 
 
@@ -119,74 +121,70 @@ class FMIndex:
 
 
 class Block:
-    """The windows of some benchmark items as symbols, with the items each window belongs to."""
+    """The windows of some benchmark items as symbols (0 ends a shard, 1 parts its stretches), with the items each window belongs to."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         w = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
-        hashes = w.hashes(lower=True)
-        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
-        symbols = symbols.astype(np.int64) + 2  # 0 ends a shard, 1 parts its stretches
+        self.vocabulary, symbols = np.unique(w.hashes(lower=True), return_inverse=True)
+        self.alphabet = len(self.vocabulary) + 2
+        symbols = symbols.astype(np.int32) + 2
         self.names = [name for name, _ in items]
-        by_length: dict[int, dict[tuple, set[int]]] = {}
-        pairs = []
-        for i in range(len(items)):
-            s = symbols[w.first[i] : w.first[i + 1]]
-            n = min(window, len(s))
-            if n:
-                pairs.append(s[:-1] * (len(self.vocabulary) + 2) + s[1:])
-                for at in range(len(s) - n + 1):
-                    by_length.setdefault(n, {}).setdefault(tuple(s[at : at + n].tolist()), set()).add(i)
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        self.windows = {n: (np.array(list(got), np.int64), [sorted(x) for x in got.values()]) for n, got in by_length.items()}
-        self.shortest = min(by_length, default=0)
-
-    def search(self, w: Words) -> tuple[np.ndarray, set[tuple[int, int]]]:
-        """(hit flag of each word, pairs of text index and item index) in a batch of texts."""
-        hit, found = np.zeros(len(w), bool), set()
+        counts, item = w.counts(), w.doc()
+        inner = item[1:] == item[:-1]
+        self.pairs = np.unique(symbols[:-1][inner].astype(np.int64) * self.alphabet + symbols[1:][inner])
+        self.windows = []  # (length, distinct windows, first owner of each and one past the last, owners)
+        for n in sorted({min(window, int(c)) for c in np.unique(counts) if c}):
+            mine = np.flatnonzero(counts >= n) if n == window else np.flatnonzero(counts == n)
+            room = counts[mine] - n + 1
+            starts = np.repeat(w.first[mine] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+            rows = symbols[starts[:, None] + np.arange(n)]
+            distinct, which = np.unique(rows, axis=0, return_inverse=True)
+            owned = np.unique(which.ravel().astype(np.int64) * len(items) + np.repeat(mine, room))
+            self.windows.append((n, distinct, np.searchsorted(owned // len(items), np.arange(len(distinct) + 1)), owned % len(items)))
+        self.shortest = self.windows[0][0] if self.windows else 0
+
+    def stretches(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(word positions, symbols) of the stretches of a batch of texts that may hold a window; a 1 follows each stretch."""
+        none = np.empty(0, np.int64)
         if not self.shortest or not len(w):
-            return hit, found
+            return none, none
         hashes = w.hashes(lower=True)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         symbols = np.where(self.vocabulary[at] == hashes, at + 2, 0)
         doc = w.doc()
         linked = np.zeros(len(w), bool)  # word i and i + 1 may stand in one window
-        if len(w) > 1:
-            pair = symbols[:-1] * (len(self.vocabulary) + 2) + symbols[1:]
-            near = (symbols[:-1] > 0) & (symbols[1:] > 0) & (doc[:-1] == doc[1:])
-            k = np.searchsorted(self.pairs, pair[near])
+        near = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0) & (doc[:-1] == doc[1:]))
+        if len(near) and len(self.pairs):
+            pair = symbols[near] * self.alphabet + symbols[near + 1]
+            k = np.searchsorted(self.pairs, pair)
             k[k == len(self.pairs)] = 0
-            if len(self.pairs):
-                linked[np.flatnonzero(near)] = self.pairs[k] == pair[near]
+            linked[near] = self.pairs[k] == pair
         run_start = np.ones(len(w), bool)
         run_start[1:] = ~linked[:-1]
         run = np.cumsum(run_start) - 1
-        keep = (symbols > 0) & (np.bincount(run)[run] >= self.shortest)
-        words = np.flatnonzero(keep)
+        words = np.flatnonzero((symbols > 0) & (np.bincount(run)[run] >= self.shortest))
         if not len(words):
-            return hit, found
-        place = np.arange(len(words)) + np.cumsum(np.append(0, run[words][1:] != run[words][:-1]))
-        text = np.ones(place[-1] + 2, np.int64)
-        text[-1] = 0
-        text[place] = symbols[words]
-        word_at = np.zeros(len(text), np.int64)
-        word_at[place] = words
-        index = FMIndex(text, len(self.vocabulary) + 2)
-        edge = np.zeros(len(w) + 1, np.int64)
-        for n, (windows, owners) in self.windows.items():
+            return none, none
+        ends = np.flatnonzero(np.append(run[words][1:] != run[words][:-1], True)) + 1
+        return np.insert(words, ends, -1), np.insert(symbols[words], ends, 1)
+
+    def search(self, symbols: np.ndarray):
+        """(text positions, window length, owners) of each window that occurs in a shard of stretches."""
+        if not len(symbols):
+            return
+        index = FMIndex(np.append(symbols, 0), self.alphabet)
+        for n, windows, edges, owners in self.windows:
             low, high = index.search(windows)
             for k in np.flatnonzero(high > low):
-                starts = word_at[index.locate(np.arange(low[k], high[k]))]
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + n, -1)
-                found.update((d, i) for d in np.unique(doc[starts]).tolist() for i in owners[k])
-        return np.cumsum(edge[:-1]) > 0, found
+                yield index.locate(np.arange(low[k], high[k])), n, owners[edges[k] : edges[k + 1]]
 
 
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_WORDS):
     """Benchmark items in blocks of about ``limit`` words, read as a stream."""
     block, n = [], 0
-    for name, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
+    rows = picked(benchmark, name=id_col, text=text_col)
+    for name, text in rows.select(F.coalesce(F.col("name").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).toLocalIterator():
         size = len(text) // 2 + 1
         if block and n + size > limit:
             yield block
@@ -197,29 +195,19 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
         yield block
 
 
-_MARKED = [T.StructField("__words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
+_MARKED = [T.StructField("words", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with __words (count), __spans (merged word spans [start, end) as int64 pairs) and __items (sorted ids)."""
-    return _passes(docs, benchmark, text_col, window, cut=False)
+def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc_id, words, spans, items) of each row: word count, merged word spans [start, end) as int64 pairs, and sorted item ids."""
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    return rows.mapInArrow(_marker(rows, benchmark, 1, window, False), T.StructType([rows.schema[0], *_MARKED]))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the removal spans cut out of the text, in the pass that finds the last of them; untouched texts stay byte for byte."""
-    return _passes(docs, benchmark, text_col, window, cut=True)
-
-
-def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, cut: bool) -> DataFrame:
-    names, index = docs.columns, docs.columns.index(text_col)
-    out = docs.withColumns({"__words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
-    marked, ahead = T.StructType([*docs.schema.fields, *_MARKED]), []
-    for items in blocks_of(benchmark):
-        if ahead:
-            out = out.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(ahead), names, index, window, False), marked)
-        ahead = items
-    last = _marker(docs.sparkSession.sparkContext.broadcast(ahead), names, index, window, cut)
-    return out.mapInArrow(last, T.StructType(docs.schema.fields) if cut else marked)
+    """``docs`` with the removal spans cut out of the text; untouched texts stay byte for byte."""
+    rows = numbered(docs)
+    return rows.mapInArrow(_marker(rows, benchmark, position(docs, text_col), window, True), T.StructType(rows.schema.fields)).toDF(*docs.columns)
 
 
 def _without(texts, w: Words, spans: list[np.ndarray]) -> pa.Array:
@@ -237,49 +225,98 @@ def _without(texts, w: Words, spans: list[np.ndarray]) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _marker(held, names: list[str], index: int, window: int, cut: bool):
+class Shard:
+    """Slices of texts, held until they are enough for an index; ``blocks`` gives the benchmark's blocks one at a time."""
+
+    def __init__(self, blocks):
+        self.blocks, self.parts, self.size = blocks, [], 0
+
+    def add(self, part, texts) -> None:
+        self.parts.append((part, texts))
+        self.size += len(text_bytes(texts)[0])
+
+    def found(self):
+        """(part, word counts, hit flags of its words, first word of each text, item names by text) of each slice."""
+        shapes, items, edge = [], {}, None
+        for block in self.blocks():
+            shapes, place, symbols, words = [], [], [], 0
+            for _, texts in self.parts:
+                w = Words(texts, ALNUM)
+                at, kept = block.stretches(w)
+                place.append(np.where(at < 0, -1, at + words))
+                symbols.append(kept)
+                shapes.append((words, w.first))
+                words += len(w)
+            edge = np.zeros(words + 1, np.int64) if edge is None else edge
+            starts = np.concatenate([first[:-1] + base for base, first in shapes] or [np.empty(0, np.int64)])
+            place, symbols = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (place, symbols))
+            for at, n, owners in block.search(symbols):
+                at = place[at]
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + n, -1)
+                for text in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                    items.setdefault(text, set()).update(block.names[i] for i in owners)
+        hit, text = np.cumsum(edge[:-1]) > 0, 0
+        for (part, _), (base, first) in zip(self.parts, shapes, strict=True):
+            n = len(first) - 1
+            yield part, np.diff(first), hit[base : base + first[-1]], first, [items.get(text + d, set()) for d in range(n)]
+            text += n
+        self.parts, self.size = [], 0
+
+
+def _loaded(held):
+    """The blocks, one at a time: each is dropped before the next is loaded, if there are several."""
+
+    def blocks():
+        for h in held:
+            yield h.value
+            if len(held) > 1:
+                del h._value  # loaded again from the executor's copy
+
+    return blocks
+
+
+def _marker(rows: DataFrame, benchmark: DataFrame, index: int, window: int, cut: bool):
+    context = rows.sparkSession.sparkContext
+    held = [context.broadcast(Block(items, window)) for items in blocks_of(benchmark)] or [context.broadcast(Block([], window))]  # each of a bounded size
+    names = rows.columns
+
+    def out(shard: Shard):
+        for part, counts, hit, first, items in shard.found():
+            spans = [np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))).astype(np.int64) for d in range(len(counts))]
+            if cut:
+                cols = list(part.columns)
+                if hit.any():
+                    cols[index] = _without(cols[index], Words(cols[index], ALNUM), spans)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            else:
+                more = [pa.array(counts.astype(np.int64)), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *more], names=[names[0], "words", "spans", "items"])
+
     def run(batches):
-        block = Block(held.value, window)
+        shard = Shard(_loaded(held))
         for b in batches:
-            column, at = b.column(index), 0
-            for (texts,) in slices(pa.RecordBatch.from_arrays([column], names=["t"]), "t", limit=SHARD_BYTES):
-                part = b.slice(at, len(texts))
+            at = 0
+            for (texts,) in slices(pa.RecordBatch.from_arrays([b.column(index)], names=["t"]), "t", limit=SLICE_BYTES):
+                shard.add(b.slice(at, len(texts)) if cut else b.slice(at, len(texts)).select([names[0]]), texts)
                 at += len(texts)
-                w = Words(texts, ALNUM)
-                hit, found = block.search(w)
-                items: dict[int, set[str]] = {}
-                for d, i in found:
-                    items.setdefault(d, set()).add(block.names[i])
-                spans, every = [], []
-                old_spans, old_items = part.column(len(names) + 1), part.column(len(names) + 2)
-                for d in range(len(texts)):
-                    h = hit[w.first[d] : w.first[d + 1]].copy()
-                    for s, e in np.frombuffer(old_spans[d].as_py() or b"", np.int64).reshape(-1, 2):
-                        h[s:e] = True
-                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]]))).astype(np.int64))
-                    every.append(sorted(items.get(d, set()) | set(old_items[d].as_py() or ())))
-                cols = list(part.columns[: len(names)])
-                if cut:
-                    cols[index] = _without(texts, w, spans)
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
-                else:
-                    more = [pa.array(w.counts().astype(np.int64)), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array(every, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*cols, *more], names=[*names, "__words", "__spans", "__items"])
+                if shard.size >= SHARD_BYTES:
+                    yield from out(shard)
+        yield from out(shard)
 
     return run
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = mark(rows, table(spark, sf_dir, "benchmark"))
+    marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
     def digest(batches):
         for b in batches:
-            items = b.column("__items").to_pylist()
-            hits = [int((x[1::2] - x[::2]).sum()) for x in (np.frombuffer(s.as_py(), np.int64) for s in b.column("__spans"))]
+            items = b.column("items").to_pylist()
+            hits = [int((x[1::2] - x[::2]).sum()) for x in (np.frombuffer(s.as_py(), np.int64) for s in b.column("spans"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("__words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
+                [b.column("doc_id"), b.column("words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return marked.drop("text").mapInArrow(digest, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return marked.mapInArrow(digest, f"doc_id {dict(marked.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -453,28 +454,60 @@ def test_decontamination(docs, empty, spark):
                     hit |= set(range(i, i + size))
         expected.append((d, len(w), len(hit), sorted(items)))
     marked = decontaminate.mark(docs, bench)
-    got = [(r.doc_id, r["__words"], int((x[1::2] - x[::2]).sum()), r["__items"]) for r in marked.collect() for x in [np.frombuffer(bytes(r["__spans"]), np.int64)]]
+    got = [(r.doc_id, r.words, int((x[1::2] - x[::2]).sum()), r["items"]) for r in marked.collect() for x in [np.frombuffer(bytes(r.spans), np.int64)]]
     assert sorted(got, key=str) == sorted(expected, key=str) and any(e[2] for e in expected)
-    clean = decontaminate.cleaned(docs, bench)
-    assert clean.columns == docs.columns
-    by_id = {(r.doc_id, r.lang, r.n_chars): r.text for r in clean.collect()}
-    spans = {(r.doc_id, r.lang, r.n_chars): (r.text, np.frombuffer(bytes(r["__spans"]), np.int64).reshape(-1, 2)) for r in marked.collect()}
+    named = docs.withColumnsRenamed({"lang": "a.b", "sid": "TEXT", "size": "words"}).withColumn("key", F.monotonically_increasing_id())
+    named = spark.createDataFrame(named.collect(), named.schema)
+    clean = decontaminate.cleaned(named, bench)
+    assert clean.columns == named.columns
+    by_key = {r.key: r.text for r in clean.collect()}
+    spans = {r.doc_id: (named.where(F.col("key") == r.doc_id).first().text, np.frombuffer(bytes(r.spans), np.int64).reshape(-1, 2)) for r in decontaminate.mark(named, bench, id_col="key").where("size(items) > 0").collect()}
     for key, (text, cut) in spans.items():
         at, out, found = 0, [], list(re.finditer("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or ""))
         for a, e in cut:
             out.append(text[at : found[a].start()])
             at = found[e - 1].end()
-        assert by_id[key] == (None if text is None else "".join(out) + text[at:])
+        assert by_key.pop(key) == "".join(out) + text[at:]
+    assert spans and sorted(map(str, by_key.values())) == sorted(str(r.text) for r in named.collect() if r.key not in spans)
     again = decontaminate.mark(clean.where("doc_id = 3"), bench).collect()
-    assert all(not r["__items"] for r in again)
-    assert decontaminate.mark(empty, bench).count() == 0 and decontaminate.mark(docs, bench.limit(0)).where("size(__items) > 0").count() == 0
+    assert all(not r["items"] for r in again)
+    assert decontaminate.mark(empty, bench).count() == 0 and decontaminate.mark(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
 def test_benchmark_in_blocks(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(["the of and", "to in was", "one"])], "item_id long, text string")
-    whole = {str(r) for r in decontaminate.mark(docs, bench).select("doc_id", "__spans", "__items").collect()}
+    tell = lambda: sorted(str(r) for r in decontaminate.mark(docs, bench).select("doc_id", "spans", "items").collect())
+    whole = tell()
     monkeypatch.setattr(decontaminate, "blocks_of", lambda b: [[(str(i), t)] for i, t in enumerate(["the of and", "to in was", "one"])])
-    assert {str(r) for r in decontaminate.mark(docs, bench).select("doc_id", "__spans", "__items").collect()} == whole
+    assert tell() == whole
+
+
+def test_shards_of_any_size_agree():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    items = [(str(i % 7), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))) for i in range(12)]
+    windows = {}
+    for name, t in items:
+        w = t.split()
+        for i in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(name)
+    for size in (1, 7, 60):
+        shard = decontaminate.Shard(lambda: iter([decontaminate.Block(items[:5]), decontaminate.Block(items[5:])]))
+        got = []
+        for at in range(0, 60, size):
+            shard.add(None, pa.array(texts[at : at + size]))
+            if size == 7 or at + size >= 60:
+                for _, counts, hit, first, found in shard.found():
+                    got += [(hit[first[d] : first[d + 1]].tolist(), found[d]) for d in range(len(counts))]
+        for t, (hit, found) in zip(texts, got, strict=True):
+            w = t.split()
+            want, names = [False] * len(w), set()
+            for i in range(len(w)):
+                for key, owners in windows.items():
+                    if tuple(w[i : i + len(key)]) == key:
+                        want[i : i + len(key)] = [True] * len(key)
+                        names |= owners
+            assert (hit, found) == (want, names)
 
 
 def test_url_rules(spark):
