@@ -31,7 +31,7 @@ from quillon.llm.common import NON_SPACE, Words, numbered, picked, position, tab
 SHRINK = 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
-FIT_ROWS = 50_000  # labelled ids the model is fitted on
+FIT_ROWS = 20_000  # labelled ids the model is fitted on
 SLICE_BYTES = 2 << 20
 
 
