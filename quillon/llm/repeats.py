@@ -3,21 +3,23 @@ r"""Substring dedup by level-wise doubling.
 Texts are packed once into blocks (compressed Arrow, a table in the shared folder).
 Level 1 looks at windows of half the length: of the half windows within each full window
 only the one of least hash is an anchor (equal windows have equal anchors, so none
-is missed).  Anchor hashes are shuffled; anchors that occur once end there.  Level 2
+is missed).  The distinct anchors of each block are shuffled; anchors that occur once end there.  Level 2
 extends the surviving ones to windows of twice the length and shuffles their
-64-bit hashes to the anchor's partition, so that neighbouring windows travel together.  A longer
+96-bit hashes to the anchor's partition, so that neighbouring windows travel together.  A longer
 repeat is a chain of repeated windows of this length, so the doubling ends here: no
 candidate of a further level could add a word.  Each level sends back, block by block, what survived.
 
 A word is removed if it is covered by a window whose word sequence also starts earlier
 (smaller doc_id, or same document and earlier start), judged on the input.
 
-Partitions get one packed row for each block; a hot window adds 14 bytes an occurrence
-to one partition, and no group of rows is ever gathered.  Hashes decide equality (64 bits on the last level).
+Partitions get packed rows of a block, never a row for each window.  An anchor that more than ``HOT`` blocks hold is hot: its windows are
+dealt by block instead, each partition judges what it has, and only the earliest occurrence there goes on to the window's own partition.
+So a passage in a third of all documents is spread over all partitions, and none gets more than one occurrence of it from each.
 
-Defined cases: null text has no words; texts shorter than the window stay whole; rows with a
+Defined cases: null text has no words; texts shorter than the window stay whole; very long texts are one block each; rows with a
 null doc_id count as one last document; rows that share a doc_id count as one document each starting at word 0
-(equal starts are not earlier, so identical rows of one id are not removed by each other); empty tables work; other columns are ignored.
+(equal starts are not earlier, so identical rows of one id are not removed by each other); ids of a whole-number type keep their order, ids of
+any other type are compared as text; empty tables work; other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -30,19 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import NON_SPACE, U64, Words, n_parts, table, whole_windows, window_hashes, written
+from quillon.llm.common import NON_SPACE, U64, Words, join_hash, mix, n_parts, picked, position, table, whole_windows, window_hashes, written
 from quillon.llm.quality import slices
+from quillon.operators.ordering import global_rank
 
 WINDOW = 20
 BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 60_000
 BLOCKS_OF_A_TASK = 7  # only spreads blocks evenly over partitions
+HOT = 24  # blocks
 LAST = np.iinfo(np.int64).max
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> DataFrame:
-    """(block, payload): texts in compressed blocks of about BLOCK_BYTES and at most BLOCK_DOCS rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def pack(rows: DataFrame, name: str = "blocks") -> DataFrame:
+    """(block, payload): rows (doc_id long, text) in compressed blocks of about BLOCK_BYTES and at most BLOCK_DOCS rows."""
 
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -91,7 +94,7 @@ class Windows:
         self.doc = w.doc()
 
     def anchors(self) -> np.ndarray:
-        """48 hash bits over 16 bits of text index, for each anchor position."""
+        """48 hash bits over 16 bits of how often (at most 65535), for each distinct anchor."""
         n = len(self.least)
         if not n:
             return np.empty(0, np.uint64)
@@ -100,11 +103,17 @@ class Windows:
         padded[span - 1 : span - 1 + n] = np.where(self.ok, self.least, U64(0))
         most = sliding(padded, span, np.maximum)[: len(self.halves)]
         at = np.flatnonzero((most == self.halves[: len(most)]) & (most > 0))
-        return keyed(self.halves[at], self.doc[at])
+        found, n = np.unique(self.halves[at] & LEFT, return_counts=True)
+        return found | np.minimum(n, 0xFFFF).astype(np.uint64)
 
+    def full(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 more bits of hash of the windows at these positions, from their halves."""
+        left, right = self.halves[at], self.halves[at + self.window - self.half]
+        more = mix(left * U64(0x9FB21C651E98DF25) + right * U64(0xD6E8FEB86659FD93) + U64(0xA5A3564E27F8865B))
+        return join_hash(left, right), (more >> U64(32)).astype(np.uint32)
 
-def keyed(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (hashes & ~U64(0xFFFF)) | doc.astype(np.uint64)
+
+LEFT = ~U64(0xFFFF)  # the 48 bits of an anchor
 
 
 def part_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -145,7 +154,7 @@ def _send_anchors(window: int, n: int):
         for b in batches:
             for i in range(b.num_rows):
                 _, texts = _decode(b.column("payload")[i].as_py())
-                keys = np.sort(Windows(texts, window).anchors())
+                keys = Windows(texts, window).anchors()
                 got = list(by_part(part_of(keys, n), n))
                 if got:
                     yield _blob_batch([p for p, _ in got], [b.column("block")[i].as_py()] * len(got), [[keys[at].tobytes() for _, at in got]], ["part", "block", "keys"])
@@ -153,16 +162,24 @@ def _send_anchors(window: int, n: int):
     return run
 
 
-def _repeated_anchors(batches):
-    blocks, _, joined, source = gathered(batches, ["keys"], [np.uint64])
-    keys = joined["keys"]
-    order = np.argsort(keys >> U64(16), kind="stable")
-    h = keys[order] >> U64(16)
-    same = h[1:] == h[:-1]
-    twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    yield from _returned(blocks, source[order][twice], keys[order][twice])
+def _repeated_anchors(most: int):
+    """To each block its anchors that occur twice or more, plus 1 if more than ``most`` blocks have them."""
+
+    def run(batches):
+        blocks, _, joined, source = gathered(batches, ["keys"], [np.uint64])
+        keys = joined["keys"]
+        order = np.argsort(keys, kind="stable")
+        keys, source = keys[order], source[order]
+        h = keys & LEFT
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = np.flatnonzero(new)
+        held = np.diff(np.append(first, len(h)))
+        held = np.repeat(held, held)
+        keep = (held > 1) | (keys & ~LEFT > 1)
+        yield from _returned(blocks, source[keep], h[keep] | (held[keep] > most).astype(np.uint64))
+
+    return run
 
 
 def _returned(blocks: list[int], source: np.ndarray, values: np.ndarray):
@@ -200,32 +217,49 @@ def _order_ids(ids) -> np.ndarray:
     return ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _send_windows(window: int, n: int):
-    names = ["part", "block", "ids", "hashes", "docs", "starts"]
+_SENT = ["part", "block", "hot", "ids", "hashes", "mores", "docs", "starts"]
+_KINDS = [np.int64, np.uint64, np.uint32, np.uint16, np.uint32]
+_SENT_SCHEMA = "part int, block long, hot int, ids binary, hashes binary, mores binary, docs binary, starts binary"
+
 
+def _packed(parts, blocks, hots, packs):
+    """Rows of windows: for each (ids, hashes, mores, docs, starts) the ids only of the documents it names, which ``docs`` then numbers."""
+    cols = [[], [], [], [], []]
+    for pack in packs:
+        for col, values, kind in zip(cols, pack, _KINDS, strict=True):
+            col.append(values.astype(kind).tobytes())
+    arrays = [pa.array(parts, pa.int32()), pa.array(blocks, pa.int64()), pa.array(hots, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)]
+    return pa.RecordBatch.from_arrays(arrays, names=_SENT)
+
+
+def _send_windows(window: int, n: int):
     def run(batches):
         for block, ids, texts, keys in _blocks_with(batches, np.uint64):
             if not len(keys):
                 continue
             w = Windows(texts, window)
             at = np.flatnonzero(w.ok)
-            keys = np.unique(keys)
-            mine = keyed(w.least[at], w.doc[at])
-            where = np.searchsorted(keys, mine)
+            keys = np.sort(keys)
+            mine = w.least[at] & LEFT
+            where = np.searchsorted(keys & LEFT, mine)
             where[where == len(keys)] = 0
-            at = at[keys[where] == mine]
+            ok = keys[where] & LEFT == mine
+            at, hot = at[ok], (keys[where[ok]] & ~LEFT).astype(np.int64)
             if not len(at):
                 continue
-            hashes = window_hashes(w.hashes, window)[at]
+            hashes, mores = w.full(at)
             doc = w.doc[at]
             starts = at - w.words.first[doc]
-            order_ids = _order_ids(ids).tobytes()
-            got = list(by_part(part_of(w.least[at], n), n))
-            yield _blob_batch(
-                [p for p, _ in got], [block] * len(got),
-                [[order_ids] * len(got), [hashes[k].tobytes() for _, k in got], [doc[k].astype(np.uint16).tobytes() for _, k in got], [starts[k].astype(np.uint32).tobytes() for _, k in got]],
-                names,
-            )
+            order_ids = _order_ids(ids)
+            parts = part_of(w.least[at], n)
+            salt = int(mix(np.array([block], np.uint64))[0] % U64(n))
+            parts = np.where(hot == 1, (parts + salt) % n, parts)
+            got = list(by_part(parts + n * hot, 2 * n))
+            packs = []
+            for _, k in got:
+                docs, local = np.unique(doc[k], return_inverse=True)  # numbers of texts in the block
+                packs.append((np.stack([order_ids[docs], docs]), hashes[k], mores[k], local, starts[k]))
+            yield _packed([p % n for p, _ in got], [block] * len(got), [p // n for p, _ in got], packs)
 
     return run
 
@@ -233,21 +267,63 @@ def _send_windows(window: int, n: int):
 RUN = np.dtype([("doc", np.uint16), ("start", np.uint32), ("n", np.uint32)])
 
 
-def _later_windows(batches):
-    blocks, apart, joined, source = gathered(batches, ["ids", "hashes", "docs", "starts"], [np.int64, np.uint64, np.uint16, np.uint32])
-    ids = np.empty(len(source), np.int64)
-    edges = np.searchsorted(source, np.arange(len(blocks) + 1))
-    for k in range(len(blocks)):
-        part = slice(edges[k], edges[k + 1])
-        ids[part] = apart["ids"][k][joined["docs"][part]]
-    order = np.lexsort((joined["starts"], ids, joined["hashes"]))
-    h, i, s = joined["hashes"][order], ids[order], joined["starts"][order]
+def _judge(batches, n: int):
+    """Rows of ``_SENT`` and ``runs``: to each block the windows that start earlier elsewhere, as runs; of hot windows the earliest goes on instead."""
+    apart, cols, source = [], [[], [], [], []], []
+    blocks, hots = [], []
+    for b in batches:
+        for i in range(b.num_rows):
+            blocks.append(b.column("block")[i].as_py())
+            hots.append(b.column("hot")[i].as_py())
+            apart.append(np.frombuffer(b.column("ids")[i].as_py(), np.int64).reshape(2, -1))
+            for col, name, kind in zip(cols, _SENT[4:], _KINDS[1:], strict=True):
+                col.append(np.frombuffer(b.column(name)[i].as_py(), kind))
+            source.append(np.full(len(cols[0][-1]), len(blocks) - 1, np.int32))
+    if not blocks:
+        return
+    hashes, mores, local, starts = (np.concatenate(c) for c in cols)
+    source = np.concatenate(source)
+    order = np.argsort(hashes, kind="stable")  # most windows are alone: they go before the finer sort
+    h = hashes[order]
+    same = h[1:] == h[:-1]
+    twice = np.zeros(len(h), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    hot_rows = np.array(hots, bool)
+    kept = order[twice | hot_rows[source[order]]]
+    del order, h, same, twice
+    base = np.cumsum([0, *(x.shape[1] for x in apart)])
+    number = local[kept] + base[source[kept]]
+    ids, texts = np.concatenate(apart, axis=1)
+    i, s, h, m = ids[number], starts[kept], hashes[kept], mores[kept]
+    fine = np.lexsort((s, i, m, h))
+    kept, number, i, s, h, m = kept[fine], number[fine], i[fine], s[fine], h[fine], m[fine]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
-    later = order[(i != i[first]) | (s != s[first])]
-    later = later[np.lexsort((joined["starts"][later], joined["docs"][later], source[later]))]
-    src, doc, start = source[later], joined["docs"][later], joined["starts"][later]
+    new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
+    at = np.flatnonzero(new)
+    first = np.repeat(at, np.diff(np.append(at, len(h))))
+    later = (i != i[first]) | (s != s[first])
+    src, doc = source[kept], texts[number]
+    yield from _runs(blocks, src[later], doc[later], s[later])
+    on = np.flatnonzero(~later & hot_rows[src])
+    if len(on):  # ties of id and start all go on: none of them is earlier than the other
+        parts = part_of(h[on], n)
+        for k in np.unique(src[on]):
+            mine = on[src[on] == k]
+            got = list(by_part(parts[src[on] == k], n))
+            packs = []
+            for _, x in got:
+                docs, local_ = np.unique(doc[mine[x]], return_inverse=True)
+                where = np.searchsorted(apart[k][1], docs)
+                packs.append((np.stack([apart[k][0][where], docs]), h[mine[x]], m[mine[x]], local_, s[mine[x]]))
+            sent = _packed([p for p, _ in got], [blocks[k]] * len(got), [0] * len(got), packs)
+            yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(len(got), pa.binary())], names=[*_SENT, "runs"])
+
+
+def _runs(blocks: list[int], src: np.ndarray, doc: np.ndarray, start: np.ndarray):
+    """The windows of each row's block as runs of neighbours."""
+    order = np.lexsort((start, doc, src))
+    src, doc, start = src[order], doc[order], start[order].astype(np.int64)
     if not len(src):
         return
     cut = np.ones(len(src), bool)
@@ -255,7 +331,9 @@ def _later_windows(batches):
     at = np.flatnonzero(cut)
     runs = np.empty(len(at), RUN)
     runs["doc"], runs["start"], runs["n"] = doc[at], start[at], np.diff(np.append(at, len(src)))
-    yield from _returned(blocks, src[at], runs)
+    for back in _returned(blocks, src[at], runs):
+        none = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays([none[0], back.column("block"), none[0], *([none[1]] * 5), back.column("payload")], names=[*_SENT, "runs"])
 
 
 def _finish(window: int, with_text: bool):
@@ -292,12 +370,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     if window < 2 or window % 2:
         raise ValueError("window must be even: its halves are the level below")
     n = n_parts(docs.sparkSession)
-    blocks = pack(docs, id_col, text_col, "repeat-blocks")
+    rows, ranks, kind = picked(docs, doc_id=id_col, text=text_col), None, dict(docs.dtypes)[docs.columns[position(docs, id_col)]]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        ranks = written(global_rank(rows.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct(), [F.col("id")], "rank"), "repeat-ranks")
+        rows = rows.join(ranks, F.col("doc_id").cast("string") == ranks.id, "left").select(F.col("rank").alias("doc_id"), "text")
+    judged = _SENT_SCHEMA + ", runs binary"
+    blocks = pack(rows.select(F.col("doc_id").cast("long"), "text"), "repeat-blocks")
     anchors = blocks.mapInArrow(_send_anchors(window, n), "part int, block long, keys binary").repartitionById(n, F.col("part"))
-    survivors = anchors.mapInArrow(_repeated_anchors, "block long, payload binary")
-    windows = _with_texts(blocks, survivors).mapInArrow(_send_windows(window, n), "part int, block long, ids binary, hashes binary, docs binary, starts binary")
-    later = windows.repartitionById(n, F.col("part")).mapInArrow(_later_windows, "block long, payload binary")
-    return _with_texts(blocks, later).mapInArrow(_finish(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    survivors = anchors.mapInArrow(_repeated_anchors(HOT), "block long, payload binary")
+    windows = _with_texts(blocks, survivors).mapInArrow(_send_windows(window, n), _SENT_SCHEMA)
+    met = written(windows.repartitionById(n, F.col("part")).mapInArrow(lambda batches: _judge(batches, n), judged), "repeat-windows")
+    last = met.where("runs IS NULL").select(*_SENT).repartitionById(n, F.col("part")).mapInArrow(lambda batches: _judge(batches, n), judged)
+    later = met.unionAll(last).where("runs IS NOT NULL").select("block", F.col("runs").alias("payload"))
+    out = _with_texts(blocks, later).mapInArrow(_finish(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    if ranks is not None:
+        out = out.join(ranks, out.doc_id == ranks["rank"], "left").select("id", *out.columns[1:]).withColumnRenamed("id", "doc_id")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

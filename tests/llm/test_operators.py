@@ -105,30 +105,53 @@ def test_many_near_copies_link_without_all_pairs(spark):
     assert got.select("component_id").distinct().count() == 1
 
 
-def test_substring_dedup(docs, empty):
-    rows = rows_of(docs)
-    order = lambda d: 1 << 62 if d is None else d
+def brute_repeats(rows, order, window=20):
+    """(doc_id, words, removed, digest, kept text) of (doc_id, text) rows, all windows by their words."""
     first = {}
     for d, t in rows:
         w = words(t)
-        for i in range(len(w) - 19):
-            key = tuple(w[i : i + 20])
-            first[key] = min(first.get(key, (1 << 63, 0)), (order(d), i))
-    expected = []
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            first[key] = min(first.get(key, (order(d), i)), (order(d), i))
+    out = []
     for d, t in rows:
         w = words(t)
         gone = [False] * len(w)
-        for i in range(len(w) - 19):
-            if first[tuple(w[i : i + 20])] < (order(d), i):
-                gone[i : i + 20] = [True] * 20
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < (order(d), i):
+                gone[i : i + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone) if not g)
-        expected.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return sorted(out, key=str)
+
+
+def test_substring_dedup(docs, empty):
+    expected = brute_repeats(rows_of(docs), lambda d: 1 << 62 if d is None else d)
     got = [tuple(r) for r in repeats.remove_repeats(docs).collect()]
-    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sorted(got, key=str) == expected
     assert any(e[2] for e in expected)
     assert repeats.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         repeats.remove_repeats(docs, window=7)
+    named = docs.selectExpr("concat('d', doc_id) AS `doc.id`", "text AS TEXT", "1 AS doc_id", "2 AS block", "3 AS `a.b`")
+    got = [tuple(r) for r in repeats.remove_repeats(named, id_col="doc.id", text_col="TEXT").collect()]
+    assert sorted(got, key=str) == brute_repeats([(r[0], r[1]) for r in named.collect()], lambda d: (d is None, d or ""))
+
+
+def test_hot_passages_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_DOCS", 3)
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(n))
+    hot, other = say(57), say(33)
+    rows = [(i, f"{say(rng.randint(0, 25))} {hot if i % 3 else other} {say(rng.randint(0, 25))} {hot if i % 7 == 0 else ''}") for i in range(240)]
+    rows += [(5, rows[4][1]), (5, rows[4][1]), (None, hot), (None, hot), (-3, other)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats(rows, lambda d: 1 << 62 if d is None else d)
+    for limit in (1, 10, 10**9):
+        monkeypatch.setattr(repeats, "HOT", limit)
+        assert sorted((tuple(r) for r in repeats.remove_repeats(df).collect()), key=str) == want
+        assert sorted((tuple(r) for r in repeats.remove_repeats(df, window=6).collect()), key=str) == brute_repeats(rows, lambda d: 1 << 62 if d is None else d, 6)
 
 
 def test_token_counts(docs, empty):
