@@ -82,14 +82,15 @@ def picked(df: DataFrame, **names: str) -> DataFrame:
     return numbered(df).select(*(F.col(f"c{position(df, old)}").alias(new) for new, old in names.items()))
 
 
-def with_hot_keys(rows: DataFrame, table: DataFrame, key: str, values: list[str], spread: list[str]) -> DataFrame:
+def with_hot_keys(rows: DataFrame, table: DataFrame, key: str, values: list[str], spread: list[str], total: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``table`` (unique ``key``, ``values``, and ``n``: how many rows have the key).
 
     Keys with more than a quarter of a partition's fair share of rows are at most 4 * partitions, so they go as a broadcast and
     their rows are dealt by ``spread`` instead; all other rows meet their key by a shuffle.  ``table`` is read three times.
     """
     parts = 4 * n_parts(rows.sparkSession)
-    total = table.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * parts > total
     names = [f"__v{i}" for i in range(len(values))]
     given = [F.col(v).alias(n) for v, n in zip(values, names, strict=True)]

@@ -64,8 +64,8 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard(docs, empty):
-    rows = rows_of(docs)
+def brute_classes(rows):
+    """Sets of (doc_id, text) rows, and for each row the number of its class, by testing all pairs."""
     sets = [shingles(t) for _, t in rows]
     group = list(range(len(rows)))
 
@@ -79,17 +79,70 @@ def test_jaccard(docs, empty):
             inter = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter):
                 group[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def brute_jaccard(rows):
+    sets, group = brute_classes(rows)
     least = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        least[find(i)].append(d)
-    name = lambda i: min((d for d in least[find(i)] if d is not None), default=None)
-    expected = sorted(((d, len(sets[i]), name(i) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+    for g, (d, _) in zip(group, rows):
+        least[g].append(d)
+    return sorted(((d, len(sets[i]), min((x for x in least[group[i]] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_jaccard(docs, empty):
+    rows = rows_of(docs)
     got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str)
-    assert got == expected
+    assert got == brute_jaccard(rows)
     assert jaccard.near_duplicates(empty).count() == 0
-    kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == sum(not s for s in sets) + len({find(i) for i in range(len(rows)) if sets[i]})
+    named = docs.selectExpr("concat('d', doc_id) AS `doc.id`", "text AS TEXT", "1 AS doc_id", "2 AS __sid", "3 AS sid", "lang AS `a.b`")
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(named, "doc.id", "TEXT").collect()), key=str)
+    assert got == brute_jaccard([(r[0], r[1]) for r in named.collect()])
+    sets, group = brute_classes(rows)
+    for df, id_col, text_col in ((docs, "doc_id", "text"), (named, "doc.id", "TEXT")):
+        kept = jaccard.keep_one(df, id_col, text_col)
+        assert kept.columns == df.columns
+        assert kept.count() == sum(not s for s in sets) + len({g for g, s in zip(group, sets) if s})
+
+
+def test_sets_of_one_id_are_told_apart(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "ID_BITS", 4)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == brute_jaccard(rows_of(docs))
+
+
+def test_hot_shingles_and_hubs(spark, monkeypatch):
+    rng = random.Random(19)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # near copies of one text, some of which link only with another copy
+        w = list(base if i % 5 else base[:30] + [f"v{k}" for k in range(30)])
+        for k in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            w[k] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w[: rng.choice([60, 60, 55, 20])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_jaccard(rows)
+    for posts, pairs in ((3, 2), (20, 10**9), (10**9, 5)):
+        monkeypatch.setattr(jaccard, "HOT_POSTS", posts)
+        monkeypatch.setattr(jaccard, "HOT_PAIRS", pairs)
+        assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == want
+
+
+def test_product_of_a_block():
+    rng = np.random.default_rng(8)
+    some = lambda n: np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+    hubs = [some(40), some(3), np.empty(0, np.uint64)]
+    members, of = [], []
+    for k in range(300):
+        h = k % 3
+        keep = rng.random(len(hubs[h])) < rng.choice([0.5, 0.85, 1.0])
+        members.append(rng.permutation(np.concatenate([hubs[h][keep], some(rng.integers(0, 9))])))
+        of.append(h)
+    lone = rng.integers(0, 3, 300)
+    sizes = np.array([len(m) for m in members]) + lone
+    ok = jaccard.product(np.repeat(np.arange(3), [len(h) for h in hubs]), np.concatenate(hubs), np.array([len(h) for h in hubs]), np.array(of), np.repeat(np.arange(300), [len(m) for m in members]), np.concatenate(members), sizes)
+    want = [100 * (i := len(np.intersect1d(hubs[h], m))) >= 80 * (len(hubs[h]) + n - i) for h, m, n in zip(of, members, sizes)]
+    assert ok.tolist() == want and any(want) and not all(want)
 
 
 def test_many_near_copies_link_without_all_pairs(spark):
