@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+ROW_GROUP = 16 << 20  # bytes a task holds of a table it writes
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Words ``[^\x20\x09-\x0D]+``.
@@ -54,7 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table written to the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

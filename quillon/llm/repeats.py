@@ -257,8 +257,9 @@ def _send_windows(window: int, n: int):
             got = list(by_part(parts + n * hot, 2 * n))
             packs = []
             for _, k in got:
-                docs, local = np.unique(doc[k], return_inverse=True)  # numbers of texts in the block
-                packs.append((np.stack([order_ids[docs], docs]), hashes[k], mores[k], local, starts[k]))
+                new = np.append(True, doc[k][1:] != doc[k][:-1])  # positions ascend, and so do the numbers of texts in the block
+                docs = doc[k][new]
+                packs.append((np.stack([order_ids[docs], docs]), hashes[k], mores[k], np.cumsum(new) - 1, starts[k]))
             yield _packed([p % n for p, _ in got], [block] * len(got), [p // n for p, _ in got], packs)
 
     return run
@@ -290,20 +291,24 @@ def _judge(batches, n: int):
     twice[1:] |= same
     twice[:-1] |= same
     hot_rows = np.array(hots, bool)
-    kept = order[twice | hot_rows[source[order]]]
+    if hot_rows.any():
+        twice |= hot_rows[source[order]]
+    kept = order[twice]
     del order, h, same, twice
+    hashes, mores, local, starts, source = (x[kept] for x in (hashes, mores, local, starts, source))
     base = np.cumsum([0, *(x.shape[1] for x in apart)])
-    number = local[kept] + base[source[kept]]
+    number = local + base[source]
     ids, texts = np.concatenate(apart, axis=1)
-    i, s, h, m = ids[number], starts[kept], hashes[kept], mores[kept]
-    fine = np.lexsort((s, i, m, h))
-    kept, number, i, s, h, m = kept[fine], number[fine], i[fine], s[fine], h[fine], m[fine]
+    fine = np.lexsort((starts, ids[number], mores, hashes))
+    number, s, h, m, source = (x[fine] for x in (number, starts, hashes, mores, source))
+    i = ids[number]
+    del hashes, mores, local, starts, kept, fine
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
     at = np.flatnonzero(new)
     first = np.repeat(at, np.diff(np.append(at, len(h))))
     later = (i != i[first]) | (s != s[first])
-    src, doc = source[kept], texts[number]
+    src, doc = source, texts[number]
     yield from _runs(blocks, src[later], doc[later], s[later])
     on = np.flatnonzero(~later & hot_rows[src])
     if len(on):  # ties of id and start all go on: none of them is earlier than the other
@@ -369,7 +374,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of each row; ``window`` is even."""
     if window < 2 or window % 2:
         raise ValueError("window must be even: its halves are the level below")
-    n = n_parts(docs.sparkSession)
+    n = 2 * n_parts(docs.sparkSession)  # windows are many: half as much in a task
     rows, ranks, kind = picked(docs, doc_id=id_col, text=text_col), None, dict(docs.dtypes)[docs.columns[position(docs, id_col)]]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         ranks = written(global_rank(rows.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct(), [F.col("id")], "rank"), "repeat-ranks")
