@@ -12,7 +12,8 @@ candidate of a further level could add a word.  Each level sends back, block by
 A word is removed if it is covered by a window whose word sequence also starts earlier
 (smaller doc_id, or same document and earlier start), judged on the input.
 
-Partitions get packed rows of a block, never a row for each window.  An anchor that more than ``HOT`` blocks hold is hot: its windows are
+Partitions get packed rows, never a row for each window.  An anchor that occurs more than ``HOT`` times, and more often than a sixteenth of
+all the anchors that blocks send to its partition, is hot: its windows are
 dealt by block instead, each partition judges what it has, and only the earliest occurrence there goes on to the window's own partition.
 So a passage in a third of all documents is spread over all partitions, and none gets more than one occurrence of it from each.
 
@@ -40,7 +41,7 @@ WINDOW = 20
 BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 60_000
 BLOCKS_OF_A_TASK = 7  # only spreads blocks evenly over partitions
-HOT = 24  # blocks
+HOT = 64  # occurrences
 LAST = np.iinfo(np.int64).max
 
 
@@ -86,10 +87,9 @@ class Windows:
     def __init__(self, texts, window: int):
         self.words = w = Words(texts, NON_SPACE)
         self.window, self.half = window, window // 2
-        self.hashes = w.hashes()
         n = max(0, len(w) - window + 1)
         self.ok = whole_windows(w.first, window, n)
-        self.halves = window_hashes(self.hashes, self.half)
+        self.halves = window_hashes(w.hashes(), self.half)
         self.least = sliding(self.halves, window - self.half + 1, np.minimum) if n else np.empty(0, np.uint64)
         self.doc = w.doc()
 
@@ -162,22 +162,24 @@ def _send_anchors(window: int, n: int):
     return run
 
 
-def _repeated_anchors(most: int):
-    """To each block its anchors that occur twice or more, plus 1 if more than ``most`` blocks have them."""
+def _repeated_anchors(least: int):
+    """To each block its anchors that occur twice or more, plus 1 if they are hot."""
 
     def run(batches):
         blocks, _, joined, source = gathered(batches, ["keys"], [np.uint64])
         keys = joined["keys"]
+        if not len(keys):
+            return
         order = np.argsort(keys, kind="stable")
         keys, source = keys[order], source[order]
         h = keys & LEFT
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         first = np.flatnonzero(new)
-        held = np.diff(np.append(first, len(h)))
-        held = np.repeat(held, held)
-        keep = (held > 1) | (keys & ~LEFT > 1)
-        yield from _returned(blocks, source[keep], h[keep] | (held[keep] > most).astype(np.uint64))
+        times = np.add.reduceat((keys & ~LEFT).astype(np.int64), first)
+        keep = np.repeat(times > 1, np.diff(np.append(first, len(h))))
+        hot = np.repeat(times > max(least, len(keys) // 16), np.diff(np.append(first, len(h))))
+        yield from _returned(blocks, source[keep], (h | hot.astype(np.uint64))[keep])
 
     return run
 
@@ -217,18 +219,18 @@ def _order_ids(ids) -> np.ndarray:
     return ids.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_SENT = ["part", "block", "hot", "ids", "hashes", "mores", "docs", "starts"]
-_KINDS = [np.int64, np.uint64, np.uint32, np.uint16, np.uint32]
-_SENT_SCHEMA = "part int, block long, hot int, ids binary, hashes binary, mores binary, docs binary, starts binary"
+_SENT = ["part", "hot", "texts", "hashes", "mores", "places", "starts"]
+_KINDS = [np.int64, np.uint64, np.uint32, np.uint32, np.uint32]
+_SENT_SCHEMA = "part int, hot int, texts binary, hashes binary, mores binary, places binary, starts binary"
 
 
-def _packed(parts, blocks, hots, packs):
-    """Rows of windows: for each (ids, hashes, mores, docs, starts) the ids only of the documents it names, which ``docs`` then numbers."""
+def _packed(parts, hots, packs):
+    """Rows of windows: for each (texts, hashes, mores, places, starts) its texts as (block, number in it, order of id), which ``places`` count."""
     cols = [[], [], [], [], []]
     for pack in packs:
         for col, values, kind in zip(cols, pack, _KINDS, strict=True):
             col.append(values.astype(kind).tobytes())
-    arrays = [pa.array(parts, pa.int32()), pa.array(blocks, pa.int64()), pa.array(hots, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)]
+    arrays = [pa.array(parts, pa.int32()), pa.array(hots, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)]
     return pa.RecordBatch.from_arrays(arrays, names=_SENT)
 
 
@@ -259,8 +261,8 @@ def _send_windows(window: int, n: int):
             for _, k in got:
                 new = np.append(True, doc[k][1:] != doc[k][:-1])  # positions ascend, and so do the numbers of texts in the block
                 docs = doc[k][new]
-                packs.append((np.stack([order_ids[docs], docs]), hashes[k], mores[k], np.cumsum(new) - 1, starts[k]))
-            yield _packed([p % n for p, _ in got], [block] * len(got), [p // n for p, _ in got], packs)
+                packs.append((np.stack([np.full(len(docs), block), docs, order_ids[docs]]), hashes[k], mores[k], np.cumsum(new) - 1, starts[k]))
+            yield _packed([p % n for p, _ in got], [p // n for p, _ in got], packs)
 
     return run
 
@@ -269,76 +271,69 @@ RUN = np.dtype([("doc", np.uint16), ("start", np.uint32), ("n", np.uint32)])
 
 
 def _judge(batches, n: int):
-    """Rows of ``_SENT`` and ``runs``: to each block the windows that start earlier elsewhere, as runs; of hot windows the earliest goes on instead."""
-    apart, cols, source = [], [[], [], [], []], []
-    blocks, hots = [], []
+    """Rows of ``_SENT``, with ``block`` and ``runs``: to each block its windows that start earlier elsewhere, as runs; of hot windows the earliest goes on."""
+    texts, cols, hots = [], [[], [], [], []], []
+    base = 0
     for b in batches:
         for i in range(b.num_rows):
-            blocks.append(b.column("block")[i].as_py())
-            hots.append(b.column("hot")[i].as_py())
-            apart.append(np.frombuffer(b.column("ids")[i].as_py(), np.int64).reshape(2, -1))
-            for col, name, kind in zip(cols, _SENT[4:], _KINDS[1:], strict=True):
+            texts.append(np.frombuffer(b.column("texts")[i].as_py(), np.int64).reshape(3, -1))
+            for col, name, kind in zip(cols, _SENT[3:], _KINDS[1:], strict=True):
                 col.append(np.frombuffer(b.column(name)[i].as_py(), kind))
-            source.append(np.full(len(cols[0][-1]), len(blocks) - 1, np.int32))
-    if not blocks:
+            cols[2][-1] = cols[2][-1] + np.uint32(base)
+            hots.append(np.full(texts[-1].shape[1], b.column("hot")[i].as_py() == 1))
+            base += texts[-1].shape[1]
+    if not texts:
         return
-    hashes, mores, local, starts = (np.concatenate(c) for c in cols)
-    source = np.concatenate(source)
+    hashes, mores, places, starts = (np.concatenate(c) for c in cols)
+    blocks, docs, ids = np.concatenate(texts, axis=1)
+    hots = np.concatenate(hots)
+    del texts, cols
     order = np.argsort(hashes, kind="stable")  # most windows are alone: they go before the finer sort
     h = hashes[order]
-    same = h[1:] == h[:-1]
     twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    hot_rows = np.array(hots, bool)
-    if hot_rows.any():
-        twice |= hot_rows[source[order]]
+    np.equal(h[1:], h[:-1], out=twice[1:])
+    twice[:-1] |= twice[1:]
+    if hots.any():
+        twice |= hots[places[order]]
     kept = order[twice]
-    del order, h, same, twice
-    hashes, mores, local, starts, source = (x[kept] for x in (hashes, mores, local, starts, source))
-    base = np.cumsum([0, *(x.shape[1] for x in apart)])
-    number = local + base[source]
-    ids, texts = np.concatenate(apart, axis=1)
-    fine = np.lexsort((starts, ids[number], mores, hashes))
-    number, s, h, m, source = (x[fine] for x in (number, starts, hashes, mores, source))
-    i = ids[number]
-    del hashes, mores, local, starts, kept, fine
+    del order, h, twice
+    hashes, mores, places, starts = (x[kept] for x in (hashes, mores, places, starts))
+    fine = np.lexsort((starts, ids[places], mores, hashes))
+    h, m, p, s = (x[fine] for x in (hashes, mores, places, starts))
+    del hashes, mores, places, starts, kept, fine
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (m[1:] != m[:-1])
     at = np.flatnonzero(new)
     first = np.repeat(at, np.diff(np.append(at, len(h))))
-    later = (i != i[first]) | (s != s[first])
-    src, doc = source, texts[number]
-    yield from _runs(blocks, src[later], doc[later], s[later])
-    on = np.flatnonzero(~later & hot_rows[src])
+    later = (ids[p] != ids[p][first]) | (s != s[first])
+    on = np.flatnonzero(~later & hots[p])
+    yield from _runs(blocks[p[later]], docs[p[later]], s[later])
     if len(on):  # ties of id and start all go on: none of them is earlier than the other
-        parts = part_of(h[on], n)
-        for k in np.unique(src[on]):
-            mine = on[src[on] == k]
-            got = list(by_part(parts[src[on] == k], n))
-            packs = []
-            for _, x in got:
-                docs, local_ = np.unique(doc[mine[x]], return_inverse=True)
-                where = np.searchsorted(apart[k][1], docs)
-                packs.append((np.stack([apart[k][0][where], docs]), h[mine[x]], m[mine[x]], local_, s[mine[x]]))
-            sent = _packed([p for p, _ in got], [blocks[k]] * len(got), [0] * len(got), packs)
-            yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(len(got), pa.binary())], names=[*_SENT, "runs"])
-
-
-def _runs(blocks: list[int], src: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """The windows of each row's block as runs of neighbours."""
-    order = np.lexsort((start, doc, src))
-    src, doc, start = src[order], doc[order], start[order].astype(np.int64)
-    if not len(src):
+        got = list(by_part(part_of(h[on], n), n))
+        packs = []
+        for _, k in got:
+            used, local = np.unique(p[on[k]], return_inverse=True)
+            packs.append((np.stack([blocks[used], docs[used], ids[used]]), h[on[k]], m[on[k]], local, s[on[k]]))
+        sent = _packed([x for x, _ in got], [0] * len(got), packs)
+        yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary())], names=[*_SENT, "block", "runs"])
+
+
+def _runs(block: np.ndarray, doc: np.ndarray, start: np.ndarray):
+    """The windows of each block as runs of neighbours."""
+    if not len(block):
         return
-    cut = np.ones(len(src), bool)
-    cut[1:] = (src[1:] != src[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    order = np.lexsort((start, doc, block))
+    block, doc, start = block[order], doc[order], start[order].astype(np.int64)
+    cut = np.ones(len(block), bool)
+    cut[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(cut)
     runs = np.empty(len(at), RUN)
-    runs["doc"], runs["start"], runs["n"] = doc[at], start[at], np.diff(np.append(at, len(src)))
-    for back in _returned(blocks, src[at], runs):
-        none = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())]
-        yield pa.RecordBatch.from_arrays([none[0], back.column("block"), none[0], *([none[1]] * 5), back.column("payload")], names=[*_SENT, "runs"])
+    runs["doc"], runs["start"], runs["n"] = doc[at], start[at], np.diff(np.append(at, len(block)))
+    which = block[at]
+    edges = np.append(np.flatnonzero(np.append(True, which[1:] != which[:-1])), len(which))
+    m = len(edges) - 1
+    none = [pa.nulls(m, pa.int32()), *([pa.nulls(m, pa.binary())] * 5)]
+    yield pa.RecordBatch.from_arrays([none[0], *none, pa.array(which[edges[:-1]]), pa.array([runs[a:e].tobytes() for a, e in zip(edges, edges[1:], strict=False)], pa.binary())], names=[*_SENT, "block", "runs"])
 
 
 def _finish(window: int, with_text: bool):
@@ -379,7 +374,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         ranks = written(global_rank(rows.select(F.col("doc_id").cast("string").alias("id")).where("id IS NOT NULL").distinct(), [F.col("id")], "rank"), "repeat-ranks")
         rows = rows.join(ranks, F.col("doc_id").cast("string") == ranks.id, "left").select(F.col("rank").alias("doc_id"), "text")
-    judged = _SENT_SCHEMA + ", runs binary"
+    judged = _SENT_SCHEMA + ", block long, runs binary"
     blocks = pack(rows.select(F.col("doc_id").cast("long"), "text"), "repeat-blocks")
     anchors = blocks.mapInArrow(_send_anchors(window, n), "part int, block long, keys binary").repartitionById(n, F.col("part"))
     survivors = anchors.mapInArrow(_repeated_anchors(HOT), "block long, payload binary")
