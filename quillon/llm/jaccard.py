@@ -51,7 +51,7 @@ BLOCK_DOCS = 60_000
 HASH = ~U64(0xFFFF)  # the 48 bits of a shingle's hash that are kept
 LOW48 = U64(0xFFFFFFFFFFFF)
 ID_BITS = 64  # of a set id; fewer only in tests
-HOT_POSTS, HOT_PAIRS = 1000, 500  # least number of postings of a hot shingle, of pairs of a hot hub
+HOT_POSTS, HOT_PAIRS = 1000, 48  # least number of postings of a hot shingle, of pairs of a hot hub
 COLUMN_BLOCKS = 4
 PRODUCT_BYTES = 8 << 20  # of the rows that meet hubs at a time
 
