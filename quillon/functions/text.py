@@ -56,12 +56,37 @@ def bounded(text, limit: int) -> Column:
 
 
 def tokens(text) -> Column:
-    """Distinct ASCII-folded runs of letters and digits."""
+    """Distinct search forms of the runs of letters and digits."""
     return F.array_distinct(all_tokens(text))
 
 
+def _accented() -> dict[str, str]:
+    """Letters that decompose to an ASCII letter and combining marks, and that letter."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            found[c] = base
+    return found
+
+
+_ACCENTED = _accented()
+MARKS = "[\u0300-\u0331]"
+
+
+def unaccented(text) -> Column:
+    """Latin letters without their diacritics, as full-text search folds them; combining marks go."""
+    return F.regexp_replace(F.translate(text, "".join(_ACCENTED), "".join(_ACCENTED.values())), MARKS, "")
+
+
+def fold_word(word: str) -> str:
+    """The search form of a word of a query: as ``all_tokens`` folds texts."""
+    return "".join(_ACCENTED.get(c, c) for c in word if not "\u0300" <= c <= "\u0331").lower()
+
+
 def all_tokens(text) -> Column:
-    return F.filter(F.split(ascii_fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters and digits, lower-cased and without diacritics."""
+    return F.filter(F.split(F.lower(unaccented(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def stable_rank(seed: str, *parts) -> Column:

@@ -40,10 +40,11 @@ def score_blocks(matrix: DataFrame, queries: list[tuple[object, list[float]]], v
     """Every row of ``matrix`` times every query: the other columns with query_id and score.
 
     A batch of rows is one matrix product, so the matrix is read once whatever the number of queries;
-    the query matrix is bounded and sent with the tasks.
+    the query matrix is bounded and sent with the tasks.  More queries than the bound take several passes of it.
     """
-    if sum(len(v) for _, v in queries) > MAX_QUERY_VALUES:
-        raise ValueError("score in several runs: the query matrix is over its bound")
+    if len(queries) > 1 and sum(len(v) for _, v in queries) > MAX_QUERY_VALUES:
+        half = len(queries) // 2
+        return score_blocks(matrix, queries[:half], vector, query_type).unionAll(score_blocks(matrix, queries[half:], vector, query_type))
     names = [c for c in matrix.columns if c != vector]
     ids, q = [i for i, _ in queries], np.array([v for _, v in queries], np.float64)
     kinds = dict(matrix.dtypes)

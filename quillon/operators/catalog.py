@@ -203,6 +203,12 @@ def listed_revisions(revisions: DataFrame) -> DataFrame:
     return revisions.orderBy(place, F.desc_nulls_last("effective_date"), "revision")
 
 
+def revision_ranks(revisions: DataFrame) -> DataFrame:
+    """Every revision with its ``rank`` in the listing of its lineage."""
+    place = F.when(F.col("temporal_status") == "current", 0).when(F.col("temporal_status") == "ambiguous", 1).otherwise(2)
+    return revisions.withColumn("rank", F.row_number().over(Window.partitionBy("lineage").orderBy(place, F.desc_nulls_last("effective_date"), "revision")))
+
+
 def section_filter(nodes: DataFrame, section: str) -> DataFrame:
     """Nodes whose type or class is the section, whatever its case."""
     return nodes.where((F.lower("node_type") == section.lower()) | (F.lower("major_class") == section.lower()))

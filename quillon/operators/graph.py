@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.registry import held
+from quillon.holding import held
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(document, seed, node, depth): all nodes reached from each seed along (document, from_node, to_node), the seed at depth 0.
 
     A node keeps its least depth; cycles end because only new nodes are followed.
     """
     found = held(seeds.select("document", F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
-    frontier = found
-    for depth in range(1, most + 1):
+    frontier, depth = found, 0
+    while True:
+        depth += 1
         step = frontier.select("document", "seed", F.col("node").alias("from_node")).join(edges.select("document", "from_node", "to_node"), ["document", "from_node"])
         new = held(step.select("document", "seed", F.col("to_node").alias("node")).distinct().join(found.select("document", "seed", "node"), ["document", "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
             return found
-        found, frontier = found.unionByName(new), new
-    raise ValueError(f"deeper than {most} steps")
+        found, frontier = held(found.unionByName(new)) if depth % 16 == 0 else found.unionByName(new), new  # plans stay short
 
 
 def child_edges(nodes: DataFrame) -> DataFrame:
@@ -96,12 +96,35 @@ def hydrate(spans: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     return parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_ordinal", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
-def seal(groups: list[dict], most_bytes: int = 65_536) -> tuple[list[dict], list[dict]]:
-    """Admit whole ranked groups while the pretty ASCII JSON fits; an oversized one is skipped and the next tried."""
+def seal(groups: DataFrame, most_bytes: int = 65_536, key: str = "request", order: str = "rank", body: str = "body") -> DataFrame:
+    """(request, rank, admitted, bytes, reason): whole ranked groups admitted while the pretty ASCII JSON list of them fits.
+
+    ``body`` is a group's JSON.  A group that does not fit is skipped and the next tried; ``bytes`` is the size of the list after each group.
+    The choice is sequential within a request; requests run in parallel, and a request's groups come in order, one at a time.
+    """
     import json
 
-    size = lambda x: len(json.dumps(x, ensure_ascii=True, indent=2).encode())
-    kept, left = [], []
-    for group in groups:
-        (kept if size([*kept, group]) <= most_bytes else left).append(group)
-    return kept, left
+    import pyarrow as pa
+
+    kinds = dict(groups.dtypes)
+    names = [key, order, "admitted", "bytes", "reason"]
+
+    def run(batches):
+        at, used, n = None, 0, 0
+        for b in batches:
+            out = []
+            for request, text in zip(b.column("request").to_pylist(), b.column("body").to_pylist(), strict=True):
+                if (request,) != at:
+                    at, used, n = (request,), 2, 0  # "[]"
+                lines = json.dumps(json.loads(text), ensure_ascii=True, indent=2).split("\n") if text else ["null"]
+                size = sum(len(x) + 3 for x in lines) - 1  # two blanks and a line end each
+                whole = size + 4 if not n else used + size + 2  # brackets on lines of their own, or a comma
+                fits = whole <= most_bytes
+                if fits:
+                    used, n = whole, n + 1
+                out.append((fits, used, None if fits else "too_large" if size + 4 > most_bytes else "budget"))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column("request"), b.column("place"), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=names)
+
+    rows = groups.select(F.col(key).alias("request"), F.col(order).alias("place"), F.col(body).alias("body"))
+    return rows.repartition("request").sortWithinPartitions("request", "place").mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean, bytes long, reason string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.plans.registry import held
+from quillon.holding import held
 
 
 def _spread(df: DataFrame, order: list) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.registry import held
+from quillon.holding import held
 
 _PARAGRAPH_END = re.compile(r"\r?\n[ \t]*(?:\r?\n)+")
 

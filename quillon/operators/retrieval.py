@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.holding import held
 from quillon.operators.ordering import global_rank, running_sum
 
 #: Lanes in their fixed order.
@@ -78,7 +79,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
 
 
 def query_tokens(query: str) -> list[str]:
-    words = [w.translate(str.maketrans(X.ASCII_UPPER, X.ASCII_LOWER)) for w in query.split()]
+    words = [w for w in map(X.fold_word, query.split()) if w]
     if not words:
         raise ValueError("a lexical query needs a word")
     return list(dict.fromkeys(words))
@@ -99,16 +100,16 @@ def match_any(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the texts that hold every query word; idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6.
 
-    One pass: only the counts of the query's words leave the scan.
+    The texts are read and cut into words once: a row's counts of the query's words are kept, and both the totals and the scores read those.
     """
     words = query_tokens(query)
     toks = docs.select(F.col(id_col).alias("id"), X.all_tokens(F.col(text_col)).alias("t"))
 
-    def held(word: str):
+    def count(word: str):
         return F.size(F.filter("t", lambda x: x == F.lit(word)))
 
-    tf = [held(w) for w in words]
-    counted = toks.select("id", F.size("t").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    tf = [count(w) for w in words]
+    counted = held(toks.select("id", F.size("t").alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     joined = counted.where(reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(stats))  # one row of totals
 

@@ -170,9 +170,10 @@ def _with_headers(base: DataFrame) -> DataFrame:
 
 
 def nodes(parsed: DataFrame) -> DataFrame:
-    """(document, node, parent, node_type, major_class, start_seq, text): containers and leaves of the tree.
+    """(document, node, parent, node_type, major_class, start_seq, text, ordinal): containers and leaves of the tree.
 
-    Node names are stable within a document: root, s<seq>, i<seq>, t<seq> and l<seq>.
+    Node names are stable within a document: root, s<seq>, i<seq>, t<seq> and l<seq>.  Ordinals number a document's nodes from 0 in reading order,
+    containers before what they hold.
     """
     doc = "document"
     section = F.when(F.col("section") >= 0, F.concat(F.lit("s"), F.col("section").cast("string"))).otherwise("root")
@@ -185,7 +186,10 @@ def nodes(parsed: DataFrame) -> DataFrame:
     sections = made((F.col("seq") == F.col("section")), section, F.lit("root"), "MAJOR_SECTION", F.col("section_class"), F.col("section"))
     items = made((F.col("seq") == F.col("item")), item, section, "ITEM", F.col("item_class"), F.col("item"))
     tables = made((F.col("seq") == F.col("table")), table, item, "TABLE", F.col("major_class"), F.col("table"))
-    return root.unionByName(sections).unionByName(items).unionByName(tables).unionByName(leaves)
+    every = root.unionByName(sections).unionByName(items).unionByName(tables).unionByName(leaves)
+    depth = F.array_position(F.array(*(F.lit(k) for k in ("ROOT", "MAJOR_SECTION", "ITEM", "TABLE"))), F.col("node_type"))
+    order = Window.partitionBy("document").orderBy("start_seq", F.when(depth == 0, 5).otherwise(depth))
+    return every.withColumn("ordinal", F.row_number().over(order) - 1)
 
 
 def links(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import global_rank, running_sum
+
 
 def active(revisions: DataFrame, include_history: bool = False) -> DataFrame:
     """Current and ambiguous revisions, or all of them."""
@@ -173,3 +175,43 @@ def refresh_dates(rows: DataFrame, key: str, day: str) -> DataFrame:
     from quillon.functions.text import hash_fraction
 
     return rows.withColumn("refresh", F.date_add(F.lit(day).cast("date"), (F.lit(15) + F.floor(F.lit(15.0) * hash_fraction(F.col(key).cast("string")))).cast("int")))
+
+
+def recently_used(entries: DataFrame, uses: DataFrame, key: list[str], capacity: int, size: str | None = None, most_bytes: int | None = None) -> DataFrame:
+    """A least-recently-used cache: ``entries`` after the ``uses`` (key, used), the ``capacity`` last used ones, and of them as many as fit ``most_bytes``.
+
+    Entries with no use count as used when they were ``stored``; ties stay in key order.  ``last_used`` is added.
+    """
+    last = uses.groupBy(*key).agg(F.max("used").alias("last"))
+    got = entries.join(last, key, "left").withColumn("last_used", F.greatest(F.coalesce("last", "stored"), "stored")).drop("last")
+    kept = got.orderBy(F.desc("last_used"), *key).limit(capacity)
+    if most_bytes is None:
+        return kept
+    return running_sum(kept, size, [F.desc("last_used"), *key]).where(F.col("used") <= most_bytes).drop("used")
+
+
+def pruned(objects: DataFrame, protected: DataFrame, most_bytes: int = 0) -> DataFrame:
+    """The objects (path, bytes, last_used) to delete: unprotected ones, least recently used first, until the unprotected rest is at most ``most_bytes``."""
+    free = objects.join(protected.select("path").distinct(), "path", "left_anti")
+    return running_sum(free, "bytes", [F.desc("last_used"), "path"], "__kept").where(F.col("__kept") > most_bytes).drop("__kept")
+
+
+def rotation(issuers: DataFrame, days: DataFrame, order: str = "issuer") -> DataFrame:
+    """(day, issuer): one issuer a day in turn, in the order of the roster; days count from the first."""
+    roster = global_rank(issuers.select(F.col(order).alias("issuer")).distinct(), ["issuer"], "turn")
+    turns = global_rank(days.select("day").distinct(), ["day"], "nth").crossJoin(F.broadcast(roster.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return turns.where("n > 0").withColumn("turn", (F.pmod(F.col("nth") - 1, F.col("n")) + 1).cast("int")).join(roster, "turn").select("day", "issuer")
+
+
+def next_turn(pool: DataFrame, ledger: DataFrame, day: str, most_attempts: int = 3) -> DataFrame:
+    """(issuer, attempt) to run on ``day``: that day's issuer again while it has attempts left, else the one whose last turn is longest ago.
+
+    ``pool`` has (issuer, place), ``ledger`` (issuer, day, attempt), one row an attempt.  Issuers that had no turn yet come first, by place; a day
+    whose attempts are used up gives no row.
+    """
+    today = F.col("day").cast("date") == F.lit(day).cast("date")
+    told = ledger.groupBy("issuer").agg(F.max(F.col("day").cast("date")).alias("last"), F.count_if(today).alias("tries"))
+    roster = pool.select("issuer", "place").join(told, "issuer", "left").withColumn("tries", F.coalesce("tries", F.lit(0)))
+    begun = ledger.where(today).agg((F.count(F.lit(1)) > 0).alias("begun"))
+    fits = F.when(F.col("begun"), (F.col("tries") > 0) & (F.col("tries") < most_attempts)).otherwise(True)
+    return roster.crossJoin(F.broadcast(begun)).where(fits).orderBy(F.asc_nulls_first("last"), "place").limit(1).select("issuer", (F.col("tries") + 1).alias("attempt"))  # begun: one row

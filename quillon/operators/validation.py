@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.holding import held
 from quillon.operators.ordering import global_rank
 from quillon.operators.structure import LEAVES
 
@@ -35,11 +36,30 @@ def wrong_ids(rows: DataFrame, id_col: str, prefix: str, fields: list[str]) -> D
     return rows.where(F.col(id_col) != X.identity(prefix, **{f: F.col(f) for f in fields}))
 
 
+def on_cycles(revisions: DataFrame) -> DataFrame:
+    """(revision): those that lie on a cycle of ``supersedes`` links, of any length.
+
+    Each has at most one predecessor, so steps are doubled: chains that end are gone after log of their length, and after as many steps as there are
+    links whatever is left ends on a cycle.
+    """
+    step = held(revisions.where("supersedes IS NOT NULL").select("revision", F.col("supersedes").alias("to")).distinct())
+    length, n = 1, step.count()
+    total = n
+    while n and length < total:
+        ahead = step.select(F.col("revision").alias("to"), F.col("to").alias("further"))
+        step = held(step.join(ahead, "to").select("revision", F.col("further").alias("to")))
+        length, n = 2 * length, step.count()
+    return step.select(F.col("to").alias("revision")).distinct()
+
+
 def wrong_supersession(revisions: DataFrame) -> DataFrame:
-    """Revisions that supersede one of another lineage, one that is absent, or themselves; and pairs that supersede each other."""
-    before = revisions.select(F.col("revision").alias("supersedes"), F.col("lineage").alias("other"), F.col("supersedes").alias("back"))
+    """(lineage, revision, supersedes, rule): predecessors that are absent or of another lineage, and revisions on a cycle."""
+    before = revisions.select(F.col("revision").alias("supersedes"), F.col("lineage").alias("other")).distinct()
     got = revisions.where("supersedes IS NOT NULL").join(before, "supersedes", "left")
-    return got.where("other IS NULL OR other <> lineage OR supersedes = revision OR back = revision").select("lineage", "revision", "supersedes")
+    rule = F.when(F.col("other").isNull(), "absent").when(F.col("other") != F.col("lineage"), "other lineage")
+    far = got.withColumn("rule", rule).where("rule IS NOT NULL").select("lineage", "revision", "supersedes", "rule")
+    round_ = revisions.join(on_cycles(revisions), "revision", "left_semi").select("lineage", "revision", "supersedes", F.lit("cycle").alias("rule"))
+    return far.unionByName(round_)
 
 
 def wrong_status(revisions: DataFrame) -> DataFrame:
@@ -49,13 +69,24 @@ def wrong_status(revisions: DataFrame) -> DataFrame:
 
 
 def wrong_tree(nodes: DataFrame) -> DataFrame:
-    """(document, node, rule): several or no roots, parents that are absent, leaf nodes with children."""
+    """(document, node, rule): several or no roots, parents that are absent, leaf nodes with children.
+
+    With a column ``ordinal`` also: the root is not the first, ordinals are not 0, 1, 2, ... of the document, or a parent does not come before its child.
+    """
     roots = nodes.groupBy("document").agg(F.count_if(F.col("parent").isNull()).alias("n")).where("n <> 1").select("document", F.lit("").alias("node"), F.lit("one root").alias("rule"))
-    names = nodes.select("document", F.col("node").alias("parent"), F.col("node_type").alias("parent_type"))
+    ordered = "ordinal" in nodes.columns
+    names = nodes.select("document", F.col("node").alias("parent"), F.col("node_type").alias("parent_type"), *([F.col("ordinal").alias("parent_ordinal")] if ordered else []))
     child = nodes.where("parent IS NOT NULL").join(names, ["document", "parent"], "left")
     absent = child.where("parent_type IS NULL").select("document", "node", F.lit("parent present").alias("rule"))
     under = child.where(F.col("parent_type").isin(*LEAVES)).select("document", "node", F.lit("leaf without children").alias("rule"))
-    return roots.unionByName(absent).unionByName(under)
+    found = roots.unionByName(absent).unionByName(under)
+    if not ordered:
+        return found
+    told = lambda rows, rule: rows.select("document", "node", F.lit(rule).alias("rule"))
+    first = told(nodes.where("parent IS NULL AND ordinal IS DISTINCT FROM 0"), "root first")
+    gaps = told(wrong_ordinals(nodes, ["document"], "ordinal"), "contiguous ordinals")
+    late = told(child.where("parent_ordinal >= ordinal"), "parent before child")
+    return found.unionByName(first).unionByName(gaps).unionByName(late)
 
 
 def wrong_ordinals(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -63,7 +94,7 @@ def wrong_ordinals(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     if not key:
         return global_rank(rows, [ordinal], "__at").where(F.col("__at") - 1 != F.col(ordinal)).drop("__at")
     at = F.row_number().over(Window.partitionBy(*key).orderBy(ordinal)) - 1
-    return rows.withColumn("__at", at).where(F.col("__at") != F.col(ordinal)).drop("__at")
+    return rows.withColumn("__at", at).where(~F.col("__at").eqNullSafe(F.col(ordinal))).drop("__at")
 
 
 def wrong_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,8 +174,7 @@ def wrong_launch_evidence(revisions: DataFrame, evidence: DataFrame) -> DataFram
 
 def uncovered_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Table blocks (document, page, start, end) that no single span of their page holds whole."""
-    held = blocks.alias("b").join(spans.alias("s"), (F.col("b.document") == F.col("s.document")) & (F.col("b.page") == F.col("s.page")) & (F.col("s.start") <= F.col("b.start")) & (F.col("s.end") >= F.col("b.end")), "left_anti")
-    return held
+    return blocks.alias("b").join(spans.alias("s"), (F.col("b.document") == F.col("s.document")) & (F.col("b.page") == F.col("s.page")) & (F.col("s.start") <= F.col("b.start")) & (F.col("s.end") >= F.col("b.end")), "left_anti")
 
 
 def chunk_quality(chunks: DataFrame) -> DataFrame:

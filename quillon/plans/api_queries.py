@@ -15,7 +15,7 @@ from quillon.plans import search
 from quillon.plans.registry import held, query, read
 from quillon.plans.relational_queries import PROD, products
 from quillon.plans.retrieval_queries import BM25, DOC, LANE, MATRIX, RUN, WORDS_AND, dense_ranks, matrix, scores, vectors_of
-from quillon.plans.structure_queries import BENEFIT, LINES, NOTICE, rendered, turns
+from quillon.plans.structure_queries import BENEFIT, NOTICE, SEQ, rendered, turns
 from quillon.sources.files import pack_blob, unpack_blob
 from quillon.sources.snapshot import Snapshot, unfinished
 
@@ -67,13 +67,16 @@ def resume_by_shards(spark, sf_dir):
     return unfinished(r, r.where("revision % 3 = 0"), "revision")
 
 
-@query(BM25.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)").replace("round(greatest", "(greatest").replace(", 6) AS score FROM c, g", ") AS score FROM c, g") + """, den AS (SELECT d.doc_id AS id, row_number() OVER (ORDER BY list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) DESC, d.doc_id)::INTEGER AS rank
-FROM documents d JOIN embeddings c ON c.vec_id = d.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 1) q),
+@query(BM25.replace("round(greatest", "(greatest").replace(", 6) AS score FROM c, g", ") AS score FROM c, g") + """, den AS (SELECT d.doc_id AS id, row_number() OVER (ORDER BY list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) DESC, d.doc_id)::INTEGER AS rank
+FROM documents d JOIN embeddings c ON c.vec_id = d.doc_id % (SELECT count(*) FROM embeddings), (SELECT embedding FROM embeddings WHERE vec_id = 1) q),
 l2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM x), f AS (SELECT id, coalesce(1.0 / (60 + den.rank), 0) + coalesce(1.0 / (60 + l2.rank), 0) AS s FROM (FROM den WHERE rank <= 20) den FULL JOIN (FROM l2 WHERE rank <= 20) l2 USING (id))
 SELECT id, round(s, 9) AS score FROM f ORDER BY s DESC, id LIMIT 20""")
 def search_evidence(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(e, "id")
+    """Every document takes part: its vector is that of its id modulo the number of vectors."""
+    e = read(spark, sf_dir, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    docs = read(spark, sf_dir, "documents").crossJoin(F.broadcast(n))  # one row
+    rows = docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % F.col("n")).alias("vec_id")).join(e.select("vec_id", "embedding"), "vec_id").select("id", "text", "embedding")
     (_, v), = vectors_of(spark, sf_dir, [1])
     return search.search_evidence(rows, WORDS_AND, v, 20).select("id", F.round("score", 9).alias("score"))
 
@@ -95,18 +98,6 @@ def product_pick(spark, sf_dir):
     return C.pick([("p7", None), ("none", None), ("p12", None)], products(spark, sf_dir))
 
 
-@query(RUN.format(ids="IN (0, 1, 2, 3, 4)") + "SELECT gold.query_id, round(count(*) FILTER (WHERE run.rank <= 5) / count(*), 9) AS recall_5, round(count(*) FILTER (WHERE run.rank <= 10) / count(*), 9) AS recall_10 FROM gold JOIN run USING (query_id, id) GROUP BY 1")
-def span_recall(spark, sf_dir):
-    from quillon.functions.vectors import score_blocks
-
-    e = read(spark, sf_dir, "embeddings")
-    got = score_blocks(e.select(F.col("vec_id").alias("id"), "label", "embedding"), vectors_of(spark, sf_dir, [0, 1, 2, 3, 4]))
-    run = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")))
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label")
-    gold = e.join(F.broadcast(asked), "label").select("query_id", F.col("vec_id").alias("id"))
-    return E.recall_at(run, gold).select("query_id", F.round("recall_5", 9).alias("recall_5"), F.round("recall_10", 9).alias("recall_10"))
-
-
 @query("SELECT count(*) FILTER (WHERE vec_id % 2 = 1 AND vec_id % 3 = 0) AS false_refusals, count(*) FILTER (WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0) AS missed_refusals, round(avg((vec_id % 5 > 0)::INT), 12) AS revision_accuracy FROM embeddings")
 def answer_errors(spark, sf_dir):
     v = F.col("vec_id")
@@ -119,20 +110,24 @@ def legacy_blobs(spark, sf_dir):
     return e.select("vec_id", F.octet_length("blob").alias("n_bytes"), F.round(unpack_blob("blob")[0].cast("double"), 5).alias("first"))
 
 
-@query("SELECT c_custkey FROM customer WHERE false")
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3")
 def check_ids(spark, sf_dir):
+    """Every seventh id is made from another name."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("issuer"))
-    c = c.withColumn("id", X.identity("lineage", issuer=F.col("issuer"), c_name=F.col("c_name")))
+    name = F.when(F.col("c_custkey") % 7 == 3, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    c = c.withColumn("id", X.identity("lineage", issuer=F.col("issuer"), c_name=name))
     return V.wrong_ids(c, "id", "lineage", ["issuer", "c_name"]).select("c_custkey")
 
 
-@query(LINES + "SELECT document, '' AS node FROM li WHERE false")
+@query(SEQ + "SELECT document, 'l' || seq AS node FROM sq WHERE seq % 10 = 7")
 def check_display(spark, sf_dir):
+    """Every tenth line's node has a letter more than its spans."""
     pages = rendered(spark, sf_dir)
     p = held(S.parse(pages, BENEFIT, NOTICE))
     node = F.concat(F.lit("l"), F.col("seq").cast("string"))
     spans = p.select("document", node.alias("node"), "page", "start", "end", F.lit(0).alias("span_ordinal"))
-    return V.wrong_display(p.select("document", node.alias("node"), F.col("line").alias("text")), spans, pages)
+    text = F.when(F.col("seq") % 10 == 7, F.concat("line", F.lit("x"))).otherwise(F.col("line"))
+    return V.wrong_display(p.select("document", node.alias("node"), text.alias("text")), spans, pages)
 
 
 @query("SELECT o_orderkey AS revision FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'P'")
@@ -144,15 +139,17 @@ def check_launch_evidence(spark, sf_dir):
     return V.wrong_launch_evidence(revisions, evidence)
 
 
-@query(MATRIX + "SELECT revision FROM m WHERE false")
+@query(MATRIX + "SELECT DISTINCT revision FROM m WHERE revision % 3 = 1")
 def check_views_present(spark, sf_dir):
+    """A third of the revisions are made to lack their contract view."""
     m = matrix(spark, sf_dir)
-    return V.missing(m.select("revision"), m.where("view_type = 'CONTRACT'"), ["revision"])
+    return V.missing(m.select("revision"), m.where("view_type = 'CONTRACT' AND revision % 3 <> 1"), ["revision"])
 
 
-@query(MATRIX + "SELECT revision, node, view_type, count(*) AS n FROM m GROUP BY ALL HAVING n > 1")
+@query(MATRIX + ", w AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE row_index % 9 = 4) SELECT revision, node, view_type, count(*) AS n FROM w GROUP BY ALL HAVING n > 1")
 def check_duplicate_views(spark, sf_dir):
-    return V.duplicate_views(matrix(spark, sf_dir))
+    m = matrix(spark, sf_dir)
+    return V.duplicate_views(m.unionByName(m.where("row_index % 9 = 4")))
 
 
 @query("""WITH c AS (SELECT conv_id AS document, turn FROM conversations), s AS (SELECT document FROM c WHERE turn = 2), e AS (SELECT document, 'root' AS node FROM s UNION SELECT c.document, 't' || c.turn FROM c JOIN s USING (document) WHERE c.turn IN (1, 2, 3, 5)),

@@ -13,10 +13,12 @@ from quillon.operators import validation as V
 from quillon.operators.ordering import global_rank
 from quillon.plans.registry import query, read
 from quillon.plans.relational_queries import REV, revisions
-from quillon.plans.retrieval_queries import dense_ranks
+from quillon.plans.retrieval_queries import DENSE, dense_ranks
 from quillon.plans.structure_queries import BENEFIT, LINES, NOTICE, rendered, turns
 from quillon.sources.files import put_once
 
+DENSE_50 = "WITH " + DENSE.strip().removeprefix(",").replace("LIMIT 100", "LIMIT 50") + ", d AS (FROM dense) "
+
 
 @query(REV + "SELECT lineage, revision, effective_date, c_name AS name FROM rev JOIN customer ON c_custkey = lineage WHERE temporal_status = 'current'")
 def current_products(spark, sf_dir):
@@ -24,14 +26,16 @@ def current_products(spark, sf_dir):
     return C.current_products(revisions(spark, sf_dir), names).select("lineage", "revision", "effective_date", "name")
 
 
-@query(REV + "SELECT lineage, revision, effective_date, temporal_status FROM rev WHERE lineage = 1")
+@query(REV + "SELECT lineage, revision, effective_date, temporal_status, row_number() OVER (PARTITION BY lineage ORDER BY CASE temporal_status WHEN 'current' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END, effective_date DESC NULLS LAST, revision)::INTEGER AS rank FROM rev")
 def product_revisions(spark, sf_dir):
-    return C.listed_revisions(revisions(spark, sf_dir).where("lineage = 1")).select("lineage", "revision", "effective_date", "temporal_status")
+    return C.revision_ranks(revisions(spark, sf_dir)).select("lineage", "revision", "effective_date", "temporal_status", "rank")
 
 
-@query("SELECT conv_id AS document, 't' || turn AS node FROM conversations")
+@query("SELECT conv_id AS document, 't' || turn AS node FROM conversations WHERE role = 'user'")
 def section_filter(spark, sf_dir):
-    return C.section_filter(turns(spark, sf_dir)[0], "Benefit").select("document", "node")
+    c = read(spark, sf_dir, "conversations")
+    nodes = c.select(F.col("conv_id").alias("document"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("node"), F.lit("ITEM").alias("node_type"), F.when(F.col("role") == "user", "BENEFIT").otherwise("NOTICE").alias("major_class"))
+    return C.section_filter(nodes, "Benefit").select("document", "node")
 
 
 @query("SELECT source, doc_id, n_chars FROM documents WHERE (source, doc_id) >= ('src3', 43) ORDER BY source, doc_id LIMIT 6")
@@ -61,17 +65,24 @@ def provider_preflight(spark, sf_dir):
     return V.preflight(pairs, 0.5).select(F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), "passed")
 
 
-@query("SELECT vec_id AS id, 0.0::DOUBLE AS score, 1::INTEGER AS rank FROM embeddings WHERE false")
+@query(DENSE_50 + "SELECT id, round(CASE WHEN id % 7 = 0 THEN score + 0.001 ELSE score END, 6) AS score, (CASE WHEN id % 5 = 0 THEN rank + 1 ELSE rank END)::INTEGER AS rank FROM d WHERE id % 7 = 0 OR id % 5 = 0")
 def rank_revalidation(spark, sf_dir):
-    return V.wrong_scores(dense_ranks(spark, sf_dir, 0, 50), dense_ranks(spark, sf_dir, 0, None))
+    """A captured ranking some of whose scores and ranks were altered, against a new computation."""
+    got = dense_ranks(spark, sf_dir, 0, 50)
+    score = F.when(F.col("id") % 7 == 0, F.col("score") + 0.001).otherwise(F.col("score"))
+    captured = got.select("id", F.round(score, 6).alias("score"), (F.col("rank") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("rank"))
+    return V.wrong_scores(captured, dense_ranks(spark, sf_dir, 0, None))
 
 
-@query("SELECT '' AS source, 0::BIGINT AS pages, 0::BIGINT AS \"rows\" FROM conversations WHERE false")
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id::VARCHAR AS source, CASE WHEN conv_id % 4 = 1 THEN n - 1 ELSE n END AS pages, CASE WHEN conv_id % 4 = 1 THEN n - 1 ELSE n END AS "rows" FROM c WHERE conv_id % 4 = 2 OR conv_id % 4 = 1 AND n > 1""")
 def check_listing_pages(spark, sf_dir):
+    """Some listings lack their first page, some state a row more than they have."""
     c = read(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id")
-    pages = c.withColumn("n", F.count(F.lit(1)).over(w)).select(F.col("conv_id").cast("string").alias("source"), F.row_number().over(w.orderBy("turn")).alias("page"), F.col("n").alias("pages_total"), F.col("n").alias("rows_total"), F.lit(1).alias("n_rows"))
-    return V.wrong_listing_pages(pages)
+    k = F.col("conv_id") % 4
+    pages = c.withColumn("n", F.count(F.lit(1)).over(w)).select("conv_id", F.col("conv_id").cast("string").alias("source"), F.row_number().over(w.orderBy("turn")).alias("page"), F.col("n").alias("pages_total"), (F.col("n") + F.when(k == 2, 1).otherwise(0)).alias("rows_total"), F.lit(1).alias("n_rows"))
+    return V.wrong_listing_pages(pages.where((k != 1) | (F.col("page") > 1)))
 
 
 @query()
@@ -82,33 +93,19 @@ def page_window_corpus(spark, sf_dir):
     return at.select((F.col("rank") - 1).alias("row_index"), "document", "page", "c.start", "c.end")
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE p_size = 10")
+@query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^\\D*'), regexp_extract(p_brand, '\\d+')::INTEGER, p_partkey)::INTEGER AS rank FROM part")
 def version_sort(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_size = 10").orderBy(X.version_key(F.col("p_brand")), "p_partkey").select("p_partkey", "p_brand")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_nationkey < 5 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def set_difference(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_nationkey < 5 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def set_intersection(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
-
-
-@query("SELECT p_partkey, p_brand FROM part")
-def version_sort_all(spark, sf_dir):
-    return read(spark, sf_dir, "part").orderBy(X.version_key(F.col("p_brand")), "p_partkey").select("p_partkey", "p_brand")
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return global_rank(rows.withColumn("key", X.version_key(F.col("p_brand"))), ["key", "p_partkey"]).drop("key")
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def set_difference_all(spark, sf_dir):
+def set_difference(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
-def set_intersection_all(spark, sf_dir):
+def set_intersection(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").intersect(read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 

@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.holding import held as held
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once where a plan reads it several times: a checkpoint in the session's folder, which survives lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))  # tests only: a cluster names the folder
-    return df.checkpoint()
-
-
 def query(oracle: str | None = None):
     def add(function):
         QUERIES[function.__name__] = function

@@ -139,14 +139,14 @@ def corpus_diff_categories(spark, sf_dir):
     return T.corpus_diff(before, now)
 
 
-@query("""WITH c AS (SELECT o_custkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 3 = 0), l AS (SELECT o_custkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 11 = 0),
+@query("""WITH c AS (SELECT o_custkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 3 <> 2), l AS (SELECT o_custkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 3 <> 0),
 a AS (SELECT k, count(DISTINCT h) AS n, min(h) AS h FROM c GROUP BY k), b AS (SELECT k, count(DISTINCT h) AS n, min(h) AS h FROM l GROUP BY k),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn, a.h AS ah, b.h AS bh FROM a FULL JOIN b ON a.k = b.k),
 o AS (SELECT *, CASE WHEN coalesce(an, 0) > 1 OR coalesce(bn, 0) > 1 THEN 'blocked' WHEN ah IS NULL THEN 'legacy' WHEN bh IS NOT NULL AND bh <> ah THEN 'current_conflict' ELSE 'current' END AS outcome FROM j)
 SELECT k, outcome, CASE WHEN outcome = 'blocked' THEN NULL ELSE coalesce(ah, bh) END AS digest FROM o""")
 def two_source_reconcile(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("h"), "o_orderkey")
-    return T.reconcile(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 11 = 0"), ["k"], "h")
+    return T.reconcile(o.where("o_orderkey % 3 <> 2"), o.where("o_orderkey % 3 <> 0"), ["k"], "h")  # sides that overlap and hold every order
 
 
 @query("""SELECT o_orderkey, CASE WHEN l AND n THEN 'updated_to_latest' WHEN NOT l AND n THEN 'past_excluded' WHEN l AND a THEN 'provisional_acquired' ELSE 'current_error' END AS decision FROM (SELECT o_orderkey, o_orderstatus = 'O' AS l, o_orderkey % 2 = 0 AS n, o_orderkey % 3 = 0 AS a FROM orders)""")
@@ -180,18 +180,23 @@ def products(spark, sf_dir):
     return c.select(F.concat(F.lit("i"), F.col("c_nationkey").cast("string")).alias("issuer"), F.col("c_name").alias("name"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("product_code"), F.col("c_custkey").alias("lineage"), F.col("c_custkey").alias("revision"), day.alias("launch_date"))
 
 
+def numbered(page, first=1):
+    """A page of a sorted listing, which is one partition in its order, with the rank of each row."""
+    return page.withColumn("rank", (F.monotonically_increasing_id() + first).cast("int"))
+
+
 PROD = """WITH p AS (SELECT 'i' || c_nationkey AS issuer, c_name AS name, 'p' || c_custkey AS product_code, c_custkey AS lineage, c_custkey AS revision, CASE WHEN c_custkey % 4 <> 0 THEN DATE '1995-01-01' + (c_custkey % 900)::INTEGER END AS launch_date FROM customer)
 """
 
 
-@query(PROD + "SELECT * FROM p ORDER BY issuer, lower(name), product_code, lineage, revision LIMIT 20 OFFSET 40")
+@query(PROD + "SELECT *, row_number() OVER (ORDER BY issuer, lower(name), product_code, lineage, revision)::INTEGER AS rank FROM p QUALIFY rank BETWEEN 41 AND 60")
 def catalog_page_by_name(spark, sf_dir):
-    return C.page(C.sorted_catalog(products(spark, sf_dir)), 40, 20)
+    return numbered(C.page(C.sorted_catalog(products(spark, sf_dir)), 40, 20), 41)
 
 
-@query(PROD + "SELECT * FROM p ORDER BY launch_date DESC NULLS LAST, issuer, product_code, lineage, revision LIMIT 60")
+@query(PROD + "SELECT *, row_number() OVER (ORDER BY launch_date DESC NULLS LAST, issuer, product_code, lineage, revision)::INTEGER AS rank FROM p QUALIFY rank <= 60")
 def catalog_by_launch_date(spark, sf_dir):
-    return C.page(C.sorted_catalog(products(spark, sf_dir), "launch_date"), 0, 60)
+    return numbered(C.page(C.sorted_catalog(products(spark, sf_dir), "launch_date"), 0, 60))
 
 
 @query(PROD + "SELECT issuer, product_code, launch_date FROM p WHERE launch_date BETWEEN DATE '1996-02-29' - INTERVAL 12 MONTH AND DATE '1996-02-29'")
@@ -317,14 +322,27 @@ def backup_triggers(spark, sf_dir):
     return V.triggers(V.backup_status(o), 5, 1 << 40).select("pending", F.array_join("reasons", ",").alias("reasons")).where("reasons <> ''")
 
 
-@query(REV + "SELECT r.lineage, r.revision, r.supersedes FROM rev r LEFT JOIN rev p ON p.revision = r.supersedes WHERE r.supersedes IS NOT NULL AND (p.lineage IS NULL OR p.lineage <> r.lineage)")
+@query(REV + """, w AS (SELECT lineage, revision, CASE revision % 8 WHEN 3 THEN -revision WHEN 5 THEN revision ELSE supersedes END AS supersedes FROM rev),
+c AS (SELECT lineage, min(revision) AS a, max(revision) AS b FROM rev GROUP BY lineage HAVING count(*) > 1 AND count(*) FILTER (WHERE revision % 8 IN (3, 5)) = 0),
+z AS (SELECT w.lineage, w.revision, CASE WHEN w.revision = c.a THEN c.b ELSE w.supersedes END AS supersedes, c.a IS NOT NULL OR w.supersedes = w.revision AS round FROM w LEFT JOIN c ON c.lineage = w.lineage AND w.lineage % 2 = 0)
+SELECT lineage, revision, supersedes, CASE WHEN round THEN 'cycle' ELSE 'absent' END AS rule FROM z WHERE round OR supersedes < 0""")
 def check_supersession(spark, sf_dir):
-    return V.wrong_supersession(revisions(spark, sf_dir))
+    """Some revisions are made to supersede absent ones or themselves, and the first of some whole lineages the last: a cycle through all."""
+    r = revisions(spark, sf_dir).select("lineage", "revision", "supersedes")
+    k = F.col("revision") % 8
+    made = r.withColumn("supersedes", F.when(k == 3, -F.col("revision")).when(k == 5, F.col("revision")).otherwise(F.col("supersedes")))
+    whole = r.groupBy("lineage").agg(F.min("revision").alias("a"), F.max("revision").alias("b"), F.count(F.lit(1)).alias("n"), F.count_if(k.isin(3, 5)).alias("other")).where("n > 1 AND other = 0 AND lineage % 2 = 0")
+    made = made.join(whole.select("lineage", "a", "b"), "lineage", "left").withColumn("supersedes", F.when(F.col("revision") == F.col("a"), F.col("b")).otherwise(F.col("supersedes")))
+    return V.wrong_supersession(made.select("lineage", "revision", "supersedes"))
 
 
-@query(REV + "SELECT lineage, count(*) FILTER (WHERE temporal_status = 'current') AS n_current, 0::BIGINT AS n_ambiguous FROM rev GROUP BY lineage HAVING n_current <> 1")
+@query(REV + """, w AS (SELECT lineage, CASE WHEN lineage % 5 = 1 AND temporal_status = 'current' THEN 'ambiguous' WHEN lineage % 5 = 2 AND temporal_status = 'current' THEN 'superseded' WHEN lineage % 5 = 3 THEN 'current' ELSE temporal_status END AS s FROM rev)
+SELECT lineage, count(*) FILTER (WHERE s = 'current') AS n_current, count(*) FILTER (WHERE s = 'ambiguous') AS n_ambiguous FROM w GROUP BY lineage HAVING NOT (n_current = 1 AND n_ambiguous = 0 OR n_current = 0 AND n_ambiguous >= 1)""")
 def check_status(spark, sf_dir):
-    return V.wrong_status(revisions(spark, sf_dir))
+    """Lineages are made ambiguous (allowed), left without a current revision, or given several."""
+    k, current = F.col("lineage") % 5, F.col("temporal_status") == "current"
+    status = F.when((k == 1) & current, "ambiguous").when((k == 2) & current, "superseded").when(k == 3, "current").otherwise(F.col("temporal_status"))
+    return V.wrong_status(revisions(spark, sf_dir).withColumn("temporal_status", status))
 
 
 @query("SELECT 'orders' AS \"table\", 7::BIGINT AS stated, count(*) AS counted FROM orders")

@@ -37,6 +37,10 @@ li AS (SELECT *, (sum(length(visible) + 1) OVER (PARTITION BY document, page ORD
 """
 
 
+#: Lines with their number in the document and their whole text.
+SEQ = LINES + ", sq AS (SELECT *, (row_number() OVER (PARTITION BY document ORDER BY page, line_no) - 1)::INTEGER AS seq, visible || chr(10) AS line FROM li) "
+
+
 @query(LINES + "SELECT document, page, line_no, start, (start + length(visible) + 1)::INTEGER AS \"end\", sha256(visible || chr(10)) AS line_sha FROM li")
 def span_lines_with_offsets(spark, sf_dir):
     return S.lines(rendered(spark, sf_dir)).select("document", "page", "line_no", "start", "end", X.sha256(F.col("line")).alias("line_sha"))
@@ -86,38 +90,56 @@ def structure_is_lossless(spark, sf_dir):
     return p.groupBy("document").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"), F.count_if(F.col("node_type") == "BOILERPLATE").alias("n_boilerplate"))
 
 
-@query(LINES + "SELECT document, '' AS node, '' AS rule FROM pt WHERE false")
+@query(SEQ + """SELECT document, 'l' || seq AS node, 'parent present' AS rule FROM sq WHERE seq % 10 = 3 UNION ALL SELECT document, 'l' || seq, 'leaf without children' FROM sq WHERE seq % 10 = 5
+UNION ALL SELECT document, 'root', unnest(['root first', 'contiguous ordinals']) FROM (SELECT DISTINCT document FROM pt WHERE document % 3 = 2)""")
 def check_tree(spark, sf_dir):
-    return V.wrong_tree(held(S.nodes(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))))
+    """Some leaves are hung under nodes that are absent, some under the leaf before them, and some roots lose their number."""
+    nodes = S.nodes(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
+    seq = F.when(F.col("node").startswith("l"), F.col("start_seq"))
+    parent = F.when(seq % 10 == 3, "gone").when(seq % 10 == 5, F.concat(F.lit("l"), (seq - 1).cast("string"))).otherwise(F.col("parent"))
+    ordinal = F.when((F.col("node") != "root") | (F.col("document") % 3 != 2), F.col("ordinal"))
+    return V.wrong_tree(held(nodes.withColumn("parent", parent).withColumn("ordinal", ordinal)))
 
 
-@query(LINES + "SELECT document, '' AS from_node, '' AS to_node, '' AS link_type FROM pt WHERE false")
+@query(SEQ + """SELECT document, 'l' || seq AS from_node, CASE seq % 10 WHEN 3 THEN 'l' || seq WHEN 4 THEN 'none' ELSE 'root' END AS to_node, CASE seq % 10 WHEN 5 THEN 'OTHER' ELSE 'NEXT' END AS link_type FROM sq WHERE seq % 10 IN (3, 4, 5)""")
 def check_links(spark, sf_dir):
+    """The links of the tree, and some to themselves, to absent nodes and of unknown type."""
     p = held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
-    return V.wrong_links(held(S.links(p)), held(S.nodes(p)))
+    k, here = F.col("seq") % 10, F.concat(F.lit("l"), F.col("seq").cast("string"))
+    bad = p.where(k.isin(3, 4, 5)).select("document", here.alias("from_node"), F.when(k == 3, here).when(k == 4, "none").otherwise("root").alias("to_node"), F.when(k == 5, "OTHER").otherwise("NEXT").alias("link_type"))
+    return V.wrong_links(held(S.links(p).unionByName(bad)), held(S.nodes(p)))
 
 
-@query(LINES + "SELECT document, page, 0::BIGINT AS source, 0::BIGINT AS covered FROM pt WHERE false")
+@query(LINES + r"""SELECT document, page, sum(n)::BIGINT AS source, coalesce(sum(n) FILTER (WHERE line_no > 0), 0)::BIGINT AS covered FROM (SELECT *, length(regexp_replace(visible, '\s', '', 'g')) AS n FROM li) WHERE page % 2 = 0 GROUP BY ALL HAVING source <> covered""")
 def check_coverage(spark, sf_dir):
+    """The first lines of every other page are left out of the spans."""
     pages = rendered(spark, sf_dir)
-    got = V.uncovered(S.parse(pages, BENEFIT, NOTICE).select("document", "page", "start", "end"), pages)
+    spans = S.parse(pages, BENEFIT, NOTICE).where("page % 2 = 1 OR line_no > 0").select("document", "page", "start", "end")
+    got = V.uncovered(spans, pages)
     return got.select("document", "page", F.col("source").cast("long").alias("source"), F.col("covered").cast("long").alias("covered"))
 
 
-@query(LINES + "SELECT document, page, start, start AS \"end\", '' AS text_sha256 FROM li WHERE false")
+@query(SEQ + """SELECT document, page, start, (start + length(line) + CASE WHEN line_no % 5 = 3 THEN 1000000 ELSE 0 END)::INTEGER AS "end", sha256(CASE WHEN line_no % 5 = 2 THEN 'x' ELSE line END) AS text_sha256 FROM sq WHERE line_no % 5 IN (2, 3)""")
 def check_spans(spark, sf_dir):
+    """Some spans have the hash of another text, some end beyond their page."""
     pages = rendered(spark, sf_dir)
-    return V.wrong_spans(S.lines(pages).select("document", "page", "start", "end", X.sha256(F.col("line")).alias("text_sha256")), pages)
+    k = F.col("line_no") % 5
+    spans = S.lines(pages).select("document", "page", "start", F.when(k == 3, F.col("end") + 1_000_000).otherwise(F.col("end")).alias("end"), X.sha256(F.when(k == 2, "x").otherwise(F.col("line"))).alias("text_sha256"))
+    return V.wrong_spans(spans, pages)
 
 
-@query(LINES + "SELECT document, page, start FROM li WHERE false")
+@query(LINES + "SELECT document, page, (start - 1)::INTEGER AS start FROM li WHERE line_no % 5 = 2")
 def check_overlaps(spark, sf_dir):
-    return V.overlapping_spans(S.lines(rendered(spark, sf_dir)).select("document", "page", "start", "end")).select("document", "page", "start")
+    """Some spans begin a character too early."""
+    rows = S.lines(rendered(spark, sf_dir)).select("document", "page", (F.col("start") - F.when(F.col("line_no") % 5 == 2, 1).otherwise(0)).alias("start"), "end")
+    return V.overlapping_spans(rows).select("document", "page", "start")
 
 
-@query(LINES + "SELECT document, line_no AS seq FROM li WHERE false")
+@query("SELECT document, seq::INTEGER AS seq FROM (SELECT document, unnest(range(0, n + 2)) AS seq FROM (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1)) WHERE seq % 4 IN (1, 3)")
 def check_table_rows(spark, sf_dir):
-    return V.wrong_table_rows(S.parse(tables(spark, sf_dir)))
+    """Some rows are made to lack their cells, some their role."""
+    p, k = S.parse(tables(spark, sf_dir)), F.col("seq") % 4
+    return V.wrong_table_rows(p.withColumn("cells", F.when(k != 1, F.col("cells"))).withColumn("role", F.when(k != 3, F.col("role"))))
 
 
 @query()
@@ -191,10 +213,13 @@ def chunk_windows(spark, sf_dir):
     return d.select("doc_id", "chunk", "c.start", "c.end", X.sha256(F.substr("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))).alias("text_sha256"))
 
 
-@query("SELECT doc_id, sha256(substr(text, 3, 20) || substr(text, 31, 10)) AS text_sha256 FROM documents WHERE length(text) > 40")
+@query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE length(text) > 0")
 def hydrate_spans(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("length(text) > 40").select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), "text")
-    spans = d.select("document", "page", F.inline(F.expr("array(struct(1 AS span_ordinal, 30 AS start, 40 AS end), struct(0 AS span_ordinal, 2 AS start, 22 AS end))")))
+    """Spans of 1000 characters that tile every text, joined again."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), "text")
+    n = F.ceil(F.length("text") / 1000).cast("int")
+    spans = d.where("length(text) > 0").select("document", "page", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("span_ordinal"))
+    spans = spans.select("document", "page", "span_ordinal", (F.col("span_ordinal") * 1000).alias("start"), F.least(F.col("span_ordinal") * 1000 + 1000, F.col("n")).alias("end"))
     return graph.hydrate(spans, d, ["document"]).select(F.col("document").alias("doc_id"), X.sha256(F.col("text")).alias("text_sha256"))
 
 
@@ -272,9 +297,13 @@ def full_or_partial(spark, sf_dir):
     return graph.full_or_partial(turns(spark, sf_dir)[0], 5, 2000)
 
 
-@query("SELECT DISTINCT conv_id AS document, 'root' AS node FROM conversations")
+@query("SELECT conv_id AS document, 't' || turn AS node FROM conversations WHERE role <> 'user' UNION SELECT conv_id, 'root' FROM conversations")
 def bundle_scope(spark, sf_dir):
-    return graph.bundle_scope(turns(spark, sf_dir)[0], "notices").select("document", "node")
+    """Turns of the user are benefits, the others notices."""
+    user = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("node"), (F.col("role") == "user").alias("user"))
+    nodes = turns(spark, sf_dir)[0].join(user, ["document", "node"], "left")
+    nodes = nodes.withColumn("major_class", F.when(F.col("node_type") == "ROOT", "UNKNOWN").when(F.col("user"), "BENEFIT").otherwise("NOTICE"))
+    return graph.bundle_scope(nodes, "notices").select("document", "node")
 
 
 @query("""WITH c AS (SELECT n_chars % 7 = 0 AS a, n_chars % 5 = 0 AS b, n_chars % 3 = 0 AS f FROM documents), g AS (SELECT count(*) AS chunks, count(*) FILTER (WHERE a) AS starts_mid_word, count(*) FILTER (WHERE b) AS splits_table, count(*) FILTER (WHERE f) AS splits_fact FROM c)

@@ -1,7 +1,10 @@
 """Operator semantics on hand-made rows."""
 
 import datetime as dt
+import hashlib
+import json
 import math
+import warnings
 
 import numpy as np
 import pytest
@@ -137,6 +140,9 @@ def test_lexical_and_fusion(spark):
     assert rows(retrieval.match_all(docs, "Cash back")) == [(1,)] and rows(retrieval.match_any(docs, "cash back")) == [(1,), (2,), (3,)]
     with pytest.raises(ValueError):
         retrieval.match_all(docs, "  ")
+    told = spark.createDataFrame([(1, "Crème BRÛLÉE, Ångström"), (2, "creme brulee angstrom"), (3, "cre\u0300me Nguyễn ø ß"), (4, "й")], "id long, text string")
+    for asked, ids in (("crème", [1, 2, 3]), ("CREME brulée", [1, 2]), ("ångstrom", [1, 2]), ("nguyen", [3]), ("ø", [3]), ("o", []), ("й", [4]), ("и", [])):
+        assert [r[0] for r in rows(retrieval.match_all(told, asked))] == ids, asked
     score = retrieval.bm25(docs, "back").where("id = 3").first().score
     n, df, avgdl = 4, 2, 6 / 4
     assert score == pytest.approx(max(1e-6, math.log((n - df + 0.5) / (df + 0.5))) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / avgdl)))
@@ -145,8 +151,17 @@ def test_lexical_and_fusion(spark):
     assert dict(rows(retrieval.rrf([a, b], cutoffs=[1, None]), "id", "score")) == pytest.approx({1: 1 / 61, 2: 1 / 61})
     admitted = retrieval.admit(spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "k int, n int"), "n", 10, ["k"])
     assert rows(admitted, "k") == [(1,)]  # stops at the first overflow
-    kept, left = graph.seal([{"t": "x" * 50}, {"t": "y" * 500}, {"t": "z" * 50}], 250)
-    assert [k["t"][0] for k in kept] == ["x", "z"] and len(left) == 1  # skips the oversized one
+    groups = [{"t": "x" * 50}, {"t": "y" * 500}, {"t": "z" * 50, "u": [1, "é"]}, {"t": "v" * 40}]
+    for most in (20, 80, 150, 250, 700):
+        kept, want = [], []
+        for g in groups:
+            fits = len(json.dumps([*kept, g], ensure_ascii=True, indent=2)) <= most
+            kept += [g] * fits
+            want.append((fits, len(json.dumps(kept, ensure_ascii=True, indent=2))))
+        sealed = graph.seal(spark.createDataFrame([(q, i, json.dumps(g)) for q in ("a", "b") for i, g in enumerate(groups)], "request string, rank int, body string"), most)
+        for q in ("a", "b"):
+            assert [(r.admitted, r.bytes) for r in sealed.where(F.col("request") == q).orderBy("rank").collect()] == want
+    assert {r.reason for r in sealed.collect()} <= {None, "budget"} and {r.reason for r in graph.seal(spark.createDataFrame([(1, 1, json.dumps(groups[1]))], "request int, rank int, body string"), 100).collect()} == {"too_large"}
 
 
 def test_vectors(spark):
@@ -257,7 +272,7 @@ def test_summary(spark):
     assert one.annual_fee == "연회비 본인 10,000원" and one.benefits == ["커피 10% 할인 (전월 실적 30만원 이상)"]
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, monkeypatch):
     run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "query_id string, id string, rank int")
     gold = spark.createDataFrame([("q", "b", 2), ("q", "z", 1), ("r", "a", 1)], "query_id string, id string, relevance int")
     got = {r.query_id: r for r in evaluation.ir_metrics(run, gold).collect()}
@@ -265,6 +280,12 @@ def test_evaluation(spark):
     assert (got["q"].recall, got["q"].mrr) == (0.5, 0.5) and got["q"].ndcg == pytest.approx(3 / math.log2(3) / ideal) and got["r"].ndcg == 0
     v = np.array([0.1, np.nan, 0.5, 0.9])
     mean, low, high = evaluation.bootstrap_interval(v, 1, "x")
+    rng = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(b"1:x").digest()[:8], "big")))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        means = np.nanmean(v[rng.integers(0, 4, (2000, 4))], axis=1)
+    assert (low, high) == tuple(round(float(x), 12) for x in np.nanquantile(means, [0.025, 0.975]))
+    monkeypatch.setattr(evaluation, "DRAWN", 28)  # in blocks, the same draws
     assert mean == 0.5 and low <= mean <= high and evaluation.bootstrap_interval(v, 1, "x") == (mean, low, high)
     with pytest.raises(ValueError):
         evaluation.bootstrap_interval(v, 1, "x", 10)
@@ -279,8 +300,6 @@ def test_checks_find_faults(spark):
     links = spark.createDataFrame([(1, "l", "l", "NEXT"), (1, "l", "root", "OTHER"), (1, "l", "none", "NEXT"), (1, "l", "root", "NEXT")], "document int, from_node string, to_node string, link_type string")
     assert V.wrong_links(links, nodes).count() == 3
     pages = spark.createDataFrame([(1, 1, "ab cd")], "document int, page int, text string")
-    import hashlib
-
     h = lambda t: hashlib.sha256(t.encode()).hexdigest()
     spans = spark.createDataFrame([(1, 1, 0, 2, h("ab")), (1, 1, 3, 9, h("cd")), (1, 1, 3, 5, h("xx")), (2, 1, 0, 1, h("a"))], "document int, page int, start int, end int, text_sha256 string")
     assert V.wrong_spans(spans, pages).count() == 3 and V.overlapping_spans(spans).count() == 1
@@ -289,9 +308,62 @@ def test_checks_find_faults(spark):
     assert rows(V.wrong_vectors(vec, 2), "id") == [(2,), (3,), (4,), (5,)]
     assert V.schema_differences(pages, [("document", "int"), ("page", "bigint"), ("text", "string"), ("x", "int")]) == ["missing x", "page is int, not bigint"]
     rev = spark.createDataFrame([("l", "a", "b", "current"), ("l", "b", "a", "current"), ("m", "c", "a", "superseded")], "lineage string, revision string, supersedes string, temporal_status string")
-    assert V.wrong_supersession(rev).count() == 3 and rows(V.wrong_status(rev), "lineage") == [("l",), ("m",)]
+    assert rows(V.wrong_supersession(rev), "revision", "rule") == [("a", "cycle"), ("b", "cycle"), ("c", "other lineage")] and rows(V.wrong_status(rev), "lineage") == [("l",), ("m",)]
     launch = spark.createDataFrame([("a", D(2024, 1, 1), "confirmed"), ("b", D(2024, 1, 1), "missing"), ("c", D(2024, 1, 1), "confirmed")], "revision string, launch_date date, launch_status string")
     evidence = spark.createDataFrame([("a", "2024-01-01")], "revision string, normalized_value string")
     assert rows(V.wrong_launch_evidence(launch, evidence)) == [("b",), ("c",)]
     with pytest.raises(Exception, match="unmatched position"):
         V.zipped(pages, pages.withColumn("page", F.lit(2)), "page").collect()
+
+
+def test_cycles_of_any_length(spark):
+    links = [(f"r{i}", f"r{i - 1}") for i in range(1, 12)] + [("r0", None), ("x", "x"), ("y", "gone")]
+    links += [("c0", "c2"), ("c1", "c0"), ("c2", "c1"), ("behind", "c1"), ("far", "behind")] + [(f"d{i}", f"d{(i + 1) % 7}") for i in range(7)]
+    rev = spark.createDataFrame([("l", a, b) for a, b in links], "lineage string, revision string, supersedes string")
+    want = [("behind",)] * 0 + sorted([("x",), ("c0",), ("c1",), ("c2",)] + [(f"d{i}",) for i in range(7)])
+    assert rows(V.on_cycles(rev)) == want
+    assert rows(V.wrong_supersession(rev).where("rule <> 'cycle'"), "revision", "rule") == [("y", "absent")]
+    assert V.on_cycles(rev.where("revision LIKE 'r%'")).count() == 0 and V.on_cycles(rev.limit(0)).count() == 0
+
+
+def test_tree_ordinals(spark):
+    good = [(1, "root", None, "ROOT", 0), (1, "s", "root", "MAJOR_SECTION", 1), (1, "l", "s", "PARAGRAPH", 2)]
+    kind = "document int, node string, parent string, node_type string, ordinal int"
+    assert V.wrong_tree(spark.createDataFrame(good, kind)).count() == 0
+    bad = [*good, (2, "root", None, "ROOT", 1), (2, "s", "root", "ITEM", 0), (3, "root", None, "ROOT", 0), (3, "a", "root", "ITEM", 3), (3, "b", "a", "PARAGRAPH", 2)]
+    got = {(r.document, r.node, r.rule) for r in V.wrong_tree(spark.createDataFrame(bad, kind)).collect()}
+    assert got == {(2, "root", "root first"), (2, "s", "parent before child"), (3, "b", "contiguous ordinals"), (3, "a", "contiguous ordinals"), (3, "b", "parent before child")}
+    pages = spark.createDataFrame([(1, 1, "# 혜택\n- 할인\n| a | b |\n| 1 | 2 |\n## 유의\nx\n"), (2, 1, "x\n")], "document int, page int, text string")
+    assert V.wrong_tree(S.nodes(S.parse(pages))).count() == 0
+
+
+def test_deep_closure(spark):
+    chain = spark.createDataFrame([(1, f"n{i}", f"n{i + 1}") for i in range(70)], "document int, from_node string, to_node string")
+    assert graph.closure(spark.createDataFrame([(1, "n0")], "document int, node string"), chain).agg(F.max("depth")).first()[0] == 70
+
+
+def test_queries_beyond_one_matrix(spark, monkeypatch):
+    from quillon.functions import vectors
+
+    monkeypatch.setattr(vectors, "MAX_QUERY_VALUES", 5)
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [1.0, 0.0])], "id long, embedding array<float>")
+    assert rows(vectors.score_blocks(df, [(k, [float(k), 1.0]) for k in range(7)])) == sorted([(1, k, 3.0 * k + 4) for k in range(7)] + [(2, k, float(k)) for k in range(7)], key=str)
+
+
+def test_caches_and_turns(spark):
+    at = lambda d: D(2024, 1, d)
+    entries = spark.createDataFrame([("a", 10, at(1)), ("b", 20, at(2)), ("c", 30, at(3)), ("d", 40, at(4))], "k string, bytes int, stored date")
+    uses = spark.createDataFrame([("a", at(9)), ("a", at(5)), ("b", at(3)), ("zz", at(9))], "k string, used date")
+    assert rows(temporal.recently_used(entries, uses, ["k"], 3), "k") == [("a",), ("b",), ("d",)]  # b and c tie, and keys decide
+    assert rows(temporal.recently_used(entries, uses, ["k"], 3, "bytes", 50), "k") == [("a",), ("d",)]
+    objects = spark.createDataFrame([("p1", 5, at(1)), ("p2", 5, at(2)), ("p3", 5, at(3)), ("p4", 5, at(4))], "path string, bytes int, last_used date")
+    keep = spark.createDataFrame([("p1",)], "path string")
+    assert rows(temporal.pruned(objects, keep), "path") == [("p2",), ("p3",), ("p4",)] and rows(temporal.pruned(objects, keep, 10), "path") == [("p2",)]
+    pool = spark.createDataFrame([("kb", 2), ("bc", 1), ("hana", 3)], "issuer string, place int")
+    days = spark.createDataFrame([(at(d),) for d in (1, 2, 3, 5)], "day date")
+    assert rows(temporal.rotation(pool, days)) == [(at(1), "bc"), (at(2), "hana"), (at(3), "kb"), (at(5), "bc")]
+    ledger, turn = [], lambda d: [tuple(r) for r in temporal.next_turn(pool, spark.createDataFrame(ledger, "issuer string, day string, attempt int"), d).collect()]
+    for day, want in (("2024-01-01", ("bc", 1)), ("2024-01-01", ("bc", 2)), ("2024-01-02", ("kb", 1)), ("2024-01-03", ("hana", 1)), ("2024-01-04", ("bc", 1)), ("2024-01-04", ("bc", 2)), ("2024-01-04", ("bc", 3))):
+        assert turn(day) == [want]
+        ledger.append((want[0], day, want[1]))
+    assert turn("2024-01-04") == [] and turn("2024-01-05") == [("kb", 1)]
