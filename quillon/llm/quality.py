@@ -132,19 +132,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f): the feature array of each row."""
-    rows = picked(docs, doc_id=id_col, text=text_col)
-
-    def run(batches):
-        for b in batches:
-            for ids, texts in slices(b, "doc_id", "text"):
-                x = features(texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))], names=["doc_id", "f"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, f array<double>")
-
-
 def slices(batch, *names, limit: int = SLICE_BYTES):
     """A batch cut into runs of rows of about ``limit`` bytes of its last named column."""
     cols = [batch.column(n) for n in names]
@@ -173,20 +160,18 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qualit
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_ROWS) -> Model:
     """Sums over labelled rows outside the held-out fold; only class sums reach the driver."""
     y = F.broadcast(labelled(labels, "doc_id", label_col, most))  # at most FIT_ROWS ids
-    texts = picked(docs, doc_id=id_col, text=text_col)
-    kept = texts.join(y, "doc_id", "left_semi")
-    rows = featured(kept).join(y, "doc_id").select("y", "f")
+    rows = picked(docs, doc_id=id_col, text=text_col).join(y, "doc_id").select(F.col("y").cast("int").alias("y"), "text")
 
-    def partial(batches):
+    def partial(batches):  # features and their sums in one pass: a second one would double the Python workers
         stats = {}
         for b in batches:
-            x = b.column("f").flatten().to_numpy().reshape(-1, N_FEATURES)
-            ys = b.column("y").to_numpy()
-            for c in (0, 1):
-                got = x[ys == c]
-                if len(got):
-                    n, s, q = stats.get(c, (0, 0.0, 0.0))
-                    stats[c] = (n + len(got), s + got.sum(0), q + got.T @ got)
+            for ys, texts in slices(b, "y", "text"):
+                x, ys = features(texts), ys.to_numpy()
+                for c in (0, 1):
+                    got = x[ys == c]
+                    if len(got):
+                        n, s, q = stats.get(c, (0, 0.0, 0.0))
+                        stats[c] = (n + len(got), s + got.sum(0), q + got.T @ got)
         for c, (n, s, q) in stats.items():
             v = np.concatenate([[float(n)], s, q.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["y", "i", "v"])
