@@ -18,8 +18,6 @@ shard); ids of any type; empty tables work; other columns and their names do not
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -195,11 +193,11 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
         yield block
 
 
-_MARKED = [T.StructField("words", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
+_MARKED = [T.StructField("words", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, words, spans, items) of each row: word count, merged word spans [start, end) as int64 pairs, and sorted item ids."""
+    """(doc_id, words, hits, spans, items) of each row: counts of words and of those in spans, merged word spans [start, end) as int64 pairs, and sorted item ids."""
     rows = picked(docs, doc_id=id_col, text=text_col)
     return rows.mapInArrow(_marker(rows, benchmark, 1, window, False), T.StructType([rows.schema[0], *_MARKED]))
 
@@ -290,8 +288,9 @@ def _marker(rows: DataFrame, benchmark: DataFrame, index: int, window: int, cut:
                     cols[index] = _without(cols[index], Words(cols[index], ALNUM), spans)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             else:
-                more = [pa.array(counts.astype(np.int64)), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *more], names=[names[0], "words", "spans", "items"])
+                total = np.append(0, np.cumsum(hit))
+                more = [pa.array(counts.astype(np.int64)), pa.array(total[first[1:]] - total[first[:-1]], pa.int64()), pa.array([s.tobytes() for s in spans], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *more], names=[names[0], "words", "hits", "spans", "items"])
 
     def run(batches):
         shard = Shard(_loaded(held))
@@ -309,14 +308,5 @@ def _marker(rows: DataFrame, benchmark: DataFrame, index: int, window: int, cut:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-    def digest(batches):
-        for b in batches:
-            items = b.column("items").to_pylist()
-            hits = [int((x[1::2] - x[::2]).sum()) for x in (np.frombuffer(s.as_py(), np.int64) for s in b.column("spans"))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return marked.mapInArrow(digest, f"doc_id {dict(marked.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    items = F.sha2(F.array_join("items", ","), 256)
+    return marked.select("doc_id", F.col("words").alias("n_words"), F.col("hits").alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("hits") > 0).alias("contaminated"))
