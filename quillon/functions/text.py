@@ -37,6 +37,12 @@ def nfkc_casefold(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()) for v in values.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def nfkc(values: pa.Array) -> pa.Array:
+    """The compatibility form of Unicode, which Spark lacks."""
+    return pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
+
+
 def normalised_contains(text, keyword: str) -> Column:
     folded = " ".join(unicodedata.normalize("NFKC", keyword).casefold().split())
     return nfkc_casefold(text).contains(folded)

@@ -204,7 +204,23 @@ def launch_date_status(spark, sf_dir):
     day, dotted = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy년 M월 d일")
     k = F.col("o_orderkey") % 5
     text = F.when(k == 0, F.concat(F.lit("상품 출시일: "), day)).when(k == 1, F.concat(dotted, F.lit(" 신규 출시"))).when(k == 2, F.concat(F.lit("개정일: "), day, F.lit(" 출시"))).when(k == 3, F.lit("출시일 2020.13.40")).otherwise(F.concat(F.lit("출시일 "), day, F.lit(" 그리고 발매일 1901-01-01")))
-    return o.select("o_orderkey", dates.launch_date(F.array(text)).alias("d")).select("o_orderkey", "d.launch_date", "d.status")
+    got = dates.launch_dates(dates.segments_of(o.select("o_orderkey", F.array(text).alias("texts")), "o_orderkey", "texts"))
+    return got.withColumnRenamed("document", "o_orderkey")
+
+
+@query("""WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d, 'p' || o_orderkey AS n FROM orders)
+SELECT o_orderkey AS document, 0 AS candidate_ordinal, 'explicit_label' AS match_kind, d AS normalized_value, '출시일: (' || d || ') 이후' AS excerpt, n || 'a,' || n || 'b' AS nodes FROM o WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 0, 'date_before_launch', d, '이전 ' || d || ' 출시 안내', n || 'a' FROM o WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_orderkey, 0, 'explicit_label', NULL, '발매일 24.01.02', n || 'a' FROM o WHERE o_orderkey % 4 = 2""")
+def launch_date_evidence(spark, sf_dir):
+    """Labels and dates of two touching blocks, dates before the launch word, two-digit years, and dates of other kinds."""
+    o = read(spark, sf_dir, "orders")
+    k, day, page = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(1).alias("page")
+    first = F.when(k == 0, "출시일:").when(k == 1, F.concat(F.lit("이전 "), day, F.lit(" 출시 안내"))).when(k == 2, "발매일 24.01.02").otherwise(F.concat(F.lit("시행일: "), day, F.lit(" 출시")))
+    second = F.when(k == 0, F.concat(F.lit("("), day, F.lit(") 이후"))).otherwise("끝")
+    block = lambda i, text, a, b: o.select(F.col("o_orderkey").alias("document"), F.lit(i).alias("ordinal"), text.alias("text"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit("ab"[i])).alias("node"), page, a.alias("start"), b.alias("end"))
+    segments = block(0, first, F.lit(0), F.length(first)).unionByName(block(1, second, F.length(first), F.length(first) + F.length(second)))
+    return dates.evidence(segments).withColumn("nodes", F.array_join("nodes", ","))
 
 
 @query()

@@ -59,33 +59,51 @@ def test_numeric_facts(spark):
     assert df.select(X.numeric_facts(F.col("t"))).first()[0] == ["10,000원", "5%", "12개월", "1.5배"]
 
 
-@pytest.mark.parametrize(
-    ("texts", "day", "status"),
-    [
-        (["상품 출시일: 2024년 3월 5일"], D(2024, 3, 5), "confirmed"),
-        (["2023.1.2 신규 출시"], D(2023, 1, 2), "confirmed"),
-        (["출시일 24.01.02"], None, "invalid"),
-        (["출시일 2024.13.02"], None, "invalid"),
-        (["출시일 2024-01-02", "발매일 2024-01-03"], None, "conflicting"),
-        (["개정일: 2024-01-02 출시"], None, "missing"),
-        (["시행일 2024-01-02"], None, "missing"),
-        ([], None, "missing"),
-        ([None, "출시일 1899-01-01"], None, "invalid"),
-        (["출시일 2024-01-02", "출시일 2024.1.2."], D(2024, 1, 2), "confirmed"),
-    ],
-)
-def test_launch_dates(texts, day, status):
-    assert dates.resolve([{"text": t} for t in texts]) == (day, status)
-
-
-def test_launch_date_across_segments(spark):
-    touching = [{"text": "출시일", "page": 1, "start": 0, "end": 3}, {"text": "(2024-01-02)", "page": 1, "start": 3, "end": 15}]
-    assert dates.resolve(touching) == (D(2024, 1, 2), "confirmed")
-    apart = [dict(touching[0]), dict(touching[1], page=2)]
-    assert dates.resolve(apart) == (None, "missing")
-    assert dates.resolve([dict(t, group="g", page=None) for t in touching]) == (D(2024, 1, 2), "confirmed")
-    got = spark.createDataFrame([(["출시일 2024-01-02"],), (None,)], "t array<string>").select(dates.launch_date("t").alias("d")).select("d.*").collect()
-    assert [tuple(r) for r in got] == [(D(2024, 1, 2), "confirmed"), (None, "missing")]
+LAUNCHES = [
+    (["상품 출시일: 2024년 3월 5일"], D(2024, 3, 5), "confirmed"),
+    (["2023.1.2 신규 출시"], D(2023, 1, 2), "confirmed"),
+    (["출시일 24.01.02"], None, "invalid"),
+    (["출시일 2024.13.02"], None, "invalid"),
+    (["출시일 2024-01-02", "발매일 2024-01-03"], None, "conflicting"),
+    (["개정일: 2024-01-02 출시"], None, "missing"),
+    (["시행일 2024-01-02"], None, "missing"),
+    ([None, "출시일 1899-01-01"], None, "invalid"),
+    (["출시일 2024-01-02", "출시일 2024.1.2."], D(2024, 1, 2), "confirmed"),
+    (["출시일 2024-02-30"], None, "invalid"),
+    (["출시일 2024-001-02"], None, "invalid"),
+    (["출시일 2024.1.2.3"], None, "missing"),
+    (["１２ 출시일：２０２４－０１－０２"], D(2024, 1, 2), "confirmed"),
+    (["출시\u200b일 2024-01-02"], D(2024, 1, 2), "confirmed"),
+    (["약관 변경일 2020-01-01 그리고 출시일 2024-01-02"], D(2024, 1, 2), "confirmed"),
+    (["출시일", "2024-01-02"], None, "missing"),
+    (["x2024-01-02 출시"], None, "missing"),
+    (["판매개시일 [2021/7/8] 및 2021-07-08 출시"], D(2021, 7, 8), "confirmed"),
+]
+
+
+def test_launch_dates(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LAUNCHES)], "k int, t array<string>")
+    got = {r.document: (r.launch_date, r.status) for r in dates.launch_dates(dates.segments_of(df, "k", "t")).collect()}
+    assert [got[i] for i in range(len(LAUNCHES))] == [(d, s) for _, d, s in LAUNCHES]
+
+
+def test_launch_date_evidence(spark):
+    touching = [("t", 0, "출시일", 1, 0, 3, None, None), ("t", 1, "(2024-01-02)", 1, 3, 15, None, None)]
+    apart = [("a", o, t, p + o, s, e, g, c) for _, o, t, p, s, e, g, c in touching]
+    grouped = [("g", o, t, None, None, None, "x", None) for _, o, t, *_ in touching]
+    continued = [("c", o, t, None, None, None, None, o == 1) for _, o, t, *_ in touching]
+    many = [("m", i, f"출시일 2024-01-{i + 1:02d} 및 출시일 2024-01-{i + 1:02d}", None, None, None, None, None) for i in range(12)]
+    rows_ = [(d, o, f"{d}{o}", t, p, s, e, g, c) for d, o, t, p, s, e, g, c in touching + apart + grouped + continued + many]
+    segments = spark.createDataFrame(rows_, "document string, ordinal int, node string, text string, page int, start int, end int, group string, continued boolean")
+    status = {r.document: (r.launch_date, r.status) for r in dates.launch_dates(segments).collect()}
+    assert status == {"t": (D(2024, 1, 2), "confirmed"), "a": (None, "missing"), "g": (D(2024, 1, 2), "confirmed"), "c": (D(2024, 1, 2), "confirmed"), "m": (None, "conflicting")}
+    found = dates.evidence(segments).orderBy("document", "candidate_ordinal").collect()
+    assert [(r.document, r.candidate_ordinal, r.match_kind, r.normalized_value, r.excerpt, r.nodes) for r in found if r.document == "t"] == [("t", 0, "explicit_label", "2024-01-02", "출시일 (2024-01-02)", ["t0", "t1"])]
+    mine = [r for r in found if r.document == "m"]
+    assert [r.candidate_ordinal for r in mine] == list(range(8)) and [r.normalized_value for r in mine] == [f"2024-01-{i + 1:02d}" for i in range(8)]
+    long = spark.createDataFrame([("l", 0, "가 " * 100 + "출시일 2024-01-02" + " 나" * 200)], "document string, ordinal int, text string")
+    one = dates.evidence(long).first()
+    assert one.excerpt == ("가 " * 20 + "출시일 2024-01-02" + " 나" * 40) and dates.launch_dates(long.limit(0)).count() == 0
 
 
 def revisions(spark, data):
