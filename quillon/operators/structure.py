@@ -2,7 +2,7 @@ r"""Lossless document trees from page text, as window expressions over lines.
 
 Every line of every page is one row; kinds are regular expressions; sections, items
 and tables are the last heading (or table start) at or before a line, found by windows over
-(document, line).  No per-document loop runs, so a plan over any number of documents is three sorts of one partitioning.
+(document, line).  No per-document loop runs: a plan over any number of documents has one exchange by document, and sorts within its partitions.
 
 Node kinds: ROOT, MAJOR_SECTION, ITEM, TABLE (containers) and the leaves PARAGRAPH, LIST_ITEM,
 TABLE_ROW, FOOTNOTE, BOILERPLATE, UNCLASSIFIED; each source line belongs to exactly one leaf.
@@ -24,6 +24,14 @@ FOOTNOTE = r"^\s*(?:※|\*{1,3}(?![\s*])|\[\d+\]|주\s*[):.]|[¹²³⁴⁵⁶⁷
 BULLET = r"^\s*[-+*]\s+\S"
 PAGE_COUNTER = r"(?i)^\s*-?\s*(?:(?:page|페이지)\s*)?\d+\s*(?:(?:/|of)\s*\d+)?\s*-?\s*$"
 PAGE_MARKER = r"^## Page ([1-9][0-9]*)\s*$"
+# Fixed values of the domain: of each issuer its markers in running headers, and what begins its major and item headings.
+PROFILES = {
+    "kb": (("kb국민카드", "국민카드"), ("■", "▣", "◆"), ("□", "▶", "◇", "●")),
+    "samsung": (("삼성카드",), ("■", "▣", "◆"), ("혜택 ", "서비스 ", "□", "▶")),
+    "shinhan": (("신한카드",), ("■", "▣", "◎"), ("□", "▶", "○", "●")),
+    "woori": (("우리카드",), ("■", "▣", "Ⅰ", "Ⅱ", "Ⅲ", "Ⅳ"), ("□", "▶", "1.", "2.", "3.", "4.")),
+}
+OTHER_PROFILE = (("■", "▣", "◆"), ("□", "▶", "◇", "●"))
 LEAVES = ("PARAGRAPH", "LIST_ITEM", "TABLE_ROW", "FOOTNOTE", "BOILERPLATE", "UNCLASSIFIED")
 
 
@@ -33,11 +41,22 @@ def major_class(text: Column, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS) -> Col
     return F.when(has(benefit) & has(notice), "MIXED").when(has(benefit), "BENEFIT").when(has(notice), "NOTICE").otherwise("UNKNOWN")
 
 
+def _listed(values) -> Column:
+    """Texts as an array column, or that column itself."""
+    return values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def profile(issuer: Column) -> tuple[Column, Column, Column]:
+    """(markers, major prefixes, item prefixes) of an issuer column; an issuer without a profile has its code as marker and common prefixes, null none."""
+    pick = lambda k, other: F.coalesce(*(F.when(issuer == code, _listed(p[k])) for code, p in PROFILES.items()), F.when(issuer.isNotNull(), other), _listed(()))
+    return pick(0, F.array(issuer)), pick(1, _listed(OTHER_PROFILE[0])), pick(2, _listed(OTHER_PROFILE[1]))
+
+
 def heading_kind(text: Column, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, major_prefixes=(), item_prefixes=()) -> Column:
     """major, item or null: markdown level, issuer prefixes, numbered benefits, bold or bracketed lines, short classified lines."""
     t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     level = F.length(F.regexp_extract(t, r"^(#{1,6})[ \t]+\S.*$", 1))
-    starts = lambda prefixes: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: t.startswith(p)) if prefixes else F.lit(False)
+    starts = lambda prefixes: F.exists(_listed(prefixes), lambda p: t.startswith(p))
     short = (major_class(t, benefit, notice) != "UNKNOWN") & (F.length(t) <= 45) & ~t.rlike(r"(?:다|요)\.$")
     plain = ~((t == "") | (F.length(t) > 120) | F.contains(t, F.lit("|")) | text.rlike(BULLET) | text.rlike(FOOTNOTE))
     bold = t.rlike(r"^(?:\*\*|\[)") & t.rlike(r"(?:\*\*|\])$")
@@ -74,17 +93,22 @@ def edge_key(text: Column) -> Column:
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(document, page, line_no, line, start, end) of (document, page, text); offsets are code points of the page."""
-    parts = F.posexplode(X.python_lines(F.col("text"))).alias("line_no", "l")
-    return pages.select("document", "page", parts).select("document", "page", "line_no", F.regexp_replace("l.line", r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])$", "").alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
+    r"""(document, page, line_no, line, start, end[, issuer]) of (document, page, text[, issuer]); offsets are code points of the page.
+
+    Pages whose only line ends are ``\n`` and ``\r\n`` are cut by built-in functions; the others, which are few, in Python.
+    """
+    own = [c for c in pages.columns if c == "issuer"]
+    native = ~F.coalesce(F.col("text").rlike(r"[\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]|\r(?!\n)"), F.lit(True))
+    cut = lambda keep, how: pages.where(keep).select("document", "page", *own, F.posexplode(how(F.col("text"))).alias("line_no", "l"))
+    rows = cut(native, X.split_lines).unionByName(cut(~native, X.python_lines))
+    return rows.select("document", "page", *own, "line_no", F.regexp_replace("l.line", r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])$", "").alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
 
 
 def mark_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:
     """``rows`` with ``edge``: running headers and footers, boilerplate among the first or last two solid lines of two pages or more."""
     key = edge_key(F.col("visible"))
     looks = (key == "<page-counter>") | F.col("visible").rlike(PAGE_MARKER) | F.contains(key, F.lit("상품설명서")) | F.contains(key, F.lit("상품 안내"))
-    for m in markers:
-        looks = looks | F.contains(key, F.lit(m.lower()))
+    looks = looks | F.exists(_listed(markers), lambda m: F.contains(key, F.lower(m)))
     page = Window.partitionBy("document", "page")
     solid = F.col("visible").rlike(r"(?U)\S").cast("int")
     up = F.sum(solid).over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
@@ -107,12 +131,18 @@ def repeated_edges(rows: DataFrame, markers=(), window: int = 2) -> DataFrame:
 def parse(pages: DataFrame, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, markers=()) -> DataFrame:
     """One row a line with its place in the tree: (…, node_type, major_class, section, item, table, role, headers, cells).
 
+    Pages with a column ``issuer`` are read by their issuer's profile: its markers in running headers, its prefixes of headings.
+
     section, item and table hold the sequence number of the line that opens the container (-1: none).
     """
     t = F.col("visible")
     doc = Window.partitionBy("document").orderBy("page", "line_no")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c, over=upto: F.coalesce(F.last(c, ignorenulls=True).over(over), F.lit(-1))
+    majors, items = (), ()
+    if "issuer" in pages.columns:
+        known, majors, items = profile(F.col("issuer"))
+        markers = F.concat(_listed(markers), known)
     base = (
         mark_edges(lines(pages), markers)
         .withColumn("seq", F.row_number().over(doc) - 1)
@@ -120,7 +150,7 @@ def parse(pages: DataFrame, benefit=BENEFIT_TERMS, notice=NOTICE_TERMS, markers=
         .withColumn("blank", ~F.col("boiler") & ~t.rlike(r"(?U)\S"))
         .withColumn("solid", ~F.col("boiler") & ~F.col("blank"))
         .withColumn("table_line", F.col("solid") & is_table_line(t))
-        .withColumn("heading", F.when(F.col("solid") & ~F.col("table_line"), heading_kind(t, benefit, notice)))
+        .withColumn("heading", F.when(F.col("solid") & ~F.col("table_line"), heading_kind(t, benefit, notice, majors, items)))
         .withColumn("own", major_class(t, benefit, notice))
         .withColumn("section", last(F.when(F.col("heading") == "major", F.col("seq"))))
     )

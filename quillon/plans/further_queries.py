@@ -129,11 +129,20 @@ def map_units(spark, sf_dir):
     return packing.map_units(p, 1500)
 
 
-@query("""WITH x AS (SELECT o_orderkey, o_custkey % 2 = 0 AS b, (o_totalprice / 1000)::BIGINT AS n, o_orderkey % 3 AS k FROM orders)
-SELECT o_orderkey AS document, CASE k WHEN 0 THEN 'annual_fee' WHEN 1 THEN 'benefit' ELSE 'condition' END AS field, CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 ELSE 8 END AS score FROM x""")
+@query("""WITH x AS (SELECT l_orderkey AS document, l_linenumber AS seq, l_quantity::BIGINT || '만원' AS q, round(l_discount * 100)::BIGINT AS d, l_orderkey % 5 AS k FROM lineitem)
+SELECT document, seq, CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 2 END AS part, CASE k WHEN 0 THEN 'annual_fee' WHEN 2 THEN 'condition' ELSE 'benefit' END AS field,
+CASE k WHEN 0 THEN 10 WHEN 2 THEN 8 ELSE 10 END AS score, false AS heading,
+CASE k WHEN 0 THEN '연회비 본인 ' || q WHEN 1 THEN '커피 ' || d || '% 할인(전월 실적 ' || q || ' 이상)' WHEN 2 THEN '전월 실적 ' || q || ' 이상' ELSE '주유 적립 | ' || d || '% 할인' END AS text FROM x WHERE k <> 4
+UNION ALL SELECT document, seq, 0, 'condition', 8, false, '전월 실적 ' || q || ' 이상' FROM x WHERE k = 1
+UNION ALL SELECT document, seq, 1, 'benefit', 0, true, '주유 적립' FROM x WHERE k = 3
+UNION ALL SELECT document, seq, 3, 'condition', 8, false, '월 ' || q || ' 한도' FROM x WHERE k = 3""")
 def summary_candidates(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    k, n = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
-    text = F.when(k == 0, F.concat(F.lit("연회비 본인 "), n, F.lit("원"))).when(k == 1, F.concat(F.lit("커피 "), n, F.lit("% 할인"))).otherwise(F.concat(F.lit("전월 실적 "), n, F.lit("만원 이상")))
-    rows = o.select(F.col("o_orderkey").alias("document"), F.lit(0).alias("seq"), F.lit(0).alias("item"), F.lit("PARAGRAPH").alias("node_type"), text.alias("text"), F.lit("").alias("context"))
-    return summary.candidates(rows).select("document", "field", "score")
+    """Line items as lines of documents: fees, offers with a condition, conditions, table rows with column roles, and examples, which are none."""
+    li = read(spark, sf_dir, "lineitem")
+    k, q = F.col("l_orderkey") % 5, F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("만원"))
+    rate = F.concat(F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit("% 할인"))
+    cells = F.when(k == 3, F.array(F.lit("주유 적립"), rate, F.concat(F.lit("월 "), q, F.lit(" 한도"))))
+    line = F.when(k == 0, F.concat(F.lit("연회비 본인 "), q)).when(k == 1, F.concat(F.lit("커피 "), rate, F.lit("(전월 실적 "), q, F.lit(" 이상)"))).when(k == 2, F.concat(F.lit("전월  실적 "), q, F.lit(" 이상"))).when(k == 4, F.concat(F.lit("[예시] 커피 "), rate))
+    text = F.coalesce(line, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")))
+    rows = li.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("seq"), F.col("l_linenumber").alias("item"), F.when(k == 3, "TABLE_ROW").otherwise("PARAGRAPH").alias("node_type"), text.alias("text"), F.lit("").alias("context"), cells.alias("cells"), F.when(k == 3, F.array(F.lit("대상"), F.lit("혜택"), F.lit("한도"))).alias("headers"))
+    return summary.candidates(rows)

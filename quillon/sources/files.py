@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.structure import PAGE_MARKER
+from quillon.sources.snapshot import byte_range, object_path
 
 MAX_LINE = 1 << 20
+WHOLE = (1 << 31) - 64  # bytes of a file that is read as one value, at most
 
 
 def _strict(text: str, most: int) -> str | None:
@@ -49,23 +51,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, most: int = MAX_LINE
     return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+RECORD = 4 << 20  # bytes of a file read as one value, at most, where its size allows
+
+
+def _sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of the files below a path; their content is not read."""
+    return sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
+
+
+def _records(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """(offset, content) of a file as records of one length, split over tasks: a file of any size."""
+    base = "org.apache.hadoop."
+    rows = spark.sparkContext.newAPIHadoopFile(path, base + "mapreduce.lib.input.FixedLengthInputFormat", base + "io.LongWritable", base + "io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(length)})
+    return spark.createDataFrame(rows.map(lambda r: (r[0], bytes(r[1]))), "offset long, content binary")
+
+
 def read_f32(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(file, row_index, embedding) of row-major little-endian float32 matrices; files whose size is no whole number of rows raise."""
+    """(file, row_index, embedding) of row-major little-endian float32 matrices; files whose size is no whole number of rows raise.
+
+    A file is read as records of whole rows, as many as divide it within ``RECORD`` bytes, by as many tasks as it has splits.
+    """
+    width = 4 * dim
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                raw = content.as_py()
-                if len(raw) % (4 * dim):
-                    raise ValueError(f"{name} is no matrix of width {dim}")
-                x = np.frombuffer(raw, "<f4")
-                n = len(x) // dim
-                for at in range(0, n, 4096):
-                    part = x[at * dim : (at + 4096) * dim].astype(np.float32)
-                    m = len(part) // dim
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.array(np.arange(at, at + m, dtype=np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(part))], names=["file", "row_index", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row_index long, embedding array<float>")
+            for offset, content in zip(b.column("offset").to_pylist(), b.column("content"), strict=True):
+                x = np.frombuffer(content.as_py(), "<f4").astype(np.float32)
+                m = len(x) // dim
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int64) + offset // width), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(x))], names=["row_index", "embedding"])
+
+    out = spark.createDataFrame([], "file string, row_index long, embedding array<float>")
+    for name, size in _sizes(spark, path):
+        if size % width:
+            raise ValueError(f"{name} is no matrix of width {dim}")
+        n = size // width
+        rows = next(r for r in range(max(1, min(n, RECORD // width)), 0, -1) if n % r == 0)
+        if n:
+            out = out.unionByName(_records(spark, name, rows * width).mapInArrow(run, "row_index long, embedding array<float>").select(F.lit(name).alias("file"), "row_index", "embedding"))
+    return out
 
 
 def encode_f32(matrix: DataFrame, rows_per_block: int = 4096) -> DataFrame:
@@ -136,37 +159,165 @@ def read_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, title string, entries array<string>, links array<string>")
 
 
+class ListingRules:
+    """How an issuer's listing is laid out, for ``read_rows``: patterns with one group each, searched in a row of its table.
+
+    ``link`` picks the file link among a row's hrefs, ``code`` the product code in an onclick or href, ``day`` the date (eight digits) in the link;
+    ``name_cell`` is the cell of the name; ``headers``, if given, must be the table's header cells, or the layout has changed.
+    """
+
+    def __init__(self, link: str, code: str, day: str, name_cell: int = 0, headers: tuple[str, ...] | None = None, base: str = ""):
+        self.link, self.code, self.day, self.name_cell, self.headers, self.base = link, code, day, name_cell, headers, base
+
+
+class _Rows(HTMLParser):
+    """Rows of a page's tables: texts of their cells, the header cells, and the targets of their elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.headers, self.buffer = [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        held = dict(attrs)
+        if tag == "tr":
+            self.rows.append(([], []))
+        elif tag in ("td", "th"):
+            self.buffer = []
+        if self.rows:
+            self.rows[-1][1].extend(v for k in ("onclick", "href") if (v := held.get(k)))
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.buffer is not None:
+            text = " ".join("".join(self.buffer).split())
+            (self.headers if tag == "th" else self.rows[-1][0] if self.rows else []).append(text)
+            self.buffer = None
+
+    def handle_data(self, data):
+        if self.buffer is not None:
+            self.buffer.append(data)
+
+
+def read_rows(pages: DataFrame, rules: ListingRules, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, product_code, product_name, effective_date, source_url, file_name) of the rows of HTML listings.
+
+    Rows without a file link and a code are no products.  Other headers than the rules', a file without a date, and two products of one page with
+    one code and file raise: the layout has changed.
+    """
+    import re
+
+    kind = dict(pages.dtypes)[id_col]
+    link, code, day = (re.compile(p) for p in (rules.link, rules.code, rules.day))
+    names = ["id", "product_code", "product_name", "day", "source_url", "file_name"]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, html in zip(b.column("id"), b.column("html").to_pylist(), strict=True):
+                page, seen = _Rows(), set()
+                page.feed(html or "")
+                if html and rules.headers is not None and tuple(page.headers) != rules.headers:
+                    raise ValueError(f"listing headers are {page.headers}, not {list(rules.headers)}")
+                for cells, targets in page.rows:
+                    file = next((m[1] for t in targets if (m := link.search(t))), None)
+                    product = next((m[1].strip() for t in targets if (m := code.search(t))), None)
+                    if file is None or not product or len(cells) <= rules.name_cell:
+                        continue
+                    date = day.search(file)
+                    if date is None:
+                        raise ValueError(f"no date in {file}")
+                    if (product, file) in seen:
+                        raise ValueError(f"product {product} is listed twice")
+                    seen.add((product, file))
+                    out.append((i.as_py(), product, cells[rules.name_cell], date[1], rules.base + file, file.rsplit("/", 1)[-1]))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("id").type), *(pa.array(c, pa.string()) for c in cols[1:])], names=names)
+
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, product_code string, product_name string, day string, source_url string, file_name string")
+    return rows.select("id", "product_code", "product_name", F.to_date("day", "yyyyMMdd").alias("effective_date"), "source_url", "file_name")
+
+
+def read_json_pages(pages: DataFrame, rows_path: str, fields: dict[str, str], count_path: str | None = None, more_path: str | None = None, success: tuple[str, str] | None = None, skip: dict[str, str] | None = None) -> DataFrame:
+    """(source, page, position, fields...) of the records in paged JSON listings (source, page, body); paths are JSON paths.
+
+    Raises where the layout has changed: no success mark, no array of records, another count than stated, a last page that promises more, an earlier one that
+    does not, or a record without a field.  ``skip`` names field values that mark placeholder records.
+    """
+    from pyspark.sql import Window
+
+    body = F.try_parse_json("body")
+    got = lambda path, kind="string": F.try_variant_get(F.col("v"), path, kind)
+    fail = lambda text: F.raise_error(F.concat(F.lit(f"{text}: "), F.col("source").cast("string"), F.lit(" page "), F.col("page").cast("string")))
+    rows = pages.select("source", "page", body.alias("v")).withColumn("list", got(rows_path, "array<variant>"))
+    last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("page"))) == 1
+    faults = [(F.col("list").isNull(), "no records")]
+    if success:
+        faults.append((~F.coalesce(got(success[0]) == success[1], F.lit(False)), "no success"))
+    if count_path:
+        faults.append((~F.coalesce(got(count_path, "int") == F.size("list"), F.lit(False)), "another count than stated"))
+    if more_path:
+        more = F.coalesce(F.lower(got(more_path)).isin("true", "y", "1"), F.lit(False))
+        faults += [(last & more, "a page is missing after"), (~last & ~more, "a page beyond the end after")]
+    records = F.col("list")  # the check is part of the value, so no filter can go before it
+    for bad, text in reversed(faults):
+        records = F.when(bad, fail(text).cast("array<variant>")).otherwise(records)
+    each = rows.select("source", "page", records.alias("list")).select("source", "page", F.posexplode("list").alias("position", "r"))
+    read = {name: F.trim(F.try_variant_get(F.col("r"), path, "string")) for name, path in fields.items()}
+    values = each.select("source", "page", "position", *(c.alias(n) for n, c in read.items()))
+    for name, value in (skip or {}).items():
+        values = values.where(~F.col(name).eqNullSafe(F.lit(value)))
+    need = lambda n: F.when(F.coalesce(F.col(n), F.lit("")) != "", F.col(n)).otherwise(fail(f"no {n}").cast("string")).alias(n)
+    return values.select("source", "page", "position", *(need(n) for n in fields))
+
+
 def read_json_listing(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
     """Fields of a JSON column by path; malformed rows give nulls."""
     return rows.select("*", *[F.get_json_object(column, path).alias(name) for name, path in fields.items()]).drop(column)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file below a path but empty ones, which Spark does not list; files over 2 GB, no value of Spark's, have a null hash."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    known = files.load(path).select("path", "length")
+    hashed = files.load(path).where(F.col("length") < WHOLE).select("path", F.sha2("content", 256).alias("sha256"))
+    return known.join(hashed, "path", "left").select("path", "length", "sha256")
+
+
+def read_range(spark: SparkSession, root: str, digest: str, header: str | None = None) -> DataFrame:
+    """(digest, size, start, end, content) of a content-addressed object: all its bytes, or the single range that a header asks for."""
+    path = f"{root.rstrip('/')}/{object_path(digest)}"
+    files = spark.read.format("binaryFile").load(path)
+    (size,) = files.select("length").first()
+    start, end = (0, size - 1) if header is None else byte_range(header, size)
+    return files.select(F.lit(digest).alias("digest"), F.col("length").alias("size"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.substring("content", start + 1, max(0, end - start + 1)).alias("content"))
 
 
 def read_score_matrix(spark: SparkSession, path: str, inventory: DataFrame, n_rows: int) -> DataFrame:
     """(query_id, row_index, score) from query-major float32 files and their inventory (query_id, file, offset, sha256).
 
-    A segment is ``n_rows`` scores from ``offset`` bytes on; one that is cut short or of another hash raises.
+    A file is segments of ``n_rows`` scores, one a query; ``offset`` is in bytes.  Each segment is read once and meets its own query; one that is
+    missing, cut short or of another hash raises.
     """
+    width = 4 * n_rows
 
     def run(batches):
         import hashlib
 
         for b in batches:
-            for q, offset, digest, content in zip(*(b.column(c) for c in ("query_id", "offset", "sha256", "content")), strict=True):
-                raw = content.as_py()[offset.as_py() : offset.as_py() + 4 * n_rows]
-                if len(raw) != 4 * n_rows or hashlib.sha256(raw).hexdigest() != digest.as_py():
+            for q, digest, content in zip(*(b.column(c) for c in ("query_id", "sha256", "content")), strict=True):
+                raw = content.as_py() or b""
+                if len(raw) != width or hashlib.sha256(raw).hexdigest() != digest.as_py():
                     raise ValueError(f"scores of query {q.as_py()} do not match their inventory")
                 x = np.frombuffer(raw, "<f4").astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([q.as_py()] * n_rows, pa.int64()), pa.array(np.arange(n_rows, dtype=np.int64)), pa.array(x)], names=["query_id", "row_index", "score"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = inventory.select(F.col("query_id").cast("long").alias("query_id"), "file", F.col("offset").cast("long").alias("offset"), "sha256").join(files, "file")
-    return rows.select("query_id", "offset", "sha256", "content").mapInArrow(run, "query_id long, row_index long, score double")
+    segments = spark.createDataFrame([], "file string, offset long, content binary")
+    for name, size in _sizes(spark, path):
+        if size % width:
+            raise ValueError(f"{name} does not match its inventory: it is no whole number of segments")
+        if size:
+            segments = segments.unionByName(_records(spark, name, width).select(F.lit(name.rsplit("/", 1)[-1]).alias("file"), "offset", "content"))
+    rows = inventory.select(F.col("query_id").cast("long").alias("query_id"), "file", F.col("offset").cast("long").alias("offset"), "sha256").join(segments, ["file", "offset"], "left")
+    return rows.select("query_id", "sha256", "content").mapInArrow(run, "query_id long, row_index long, score double")
 
 
 def put_once(held: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -287,7 +287,53 @@ def test_summary(spark):
     got = {(r.seq, r.field) for r in summary.candidates(df).collect()}
     assert {(0, "annual_fee"), (1, "annual_fee"), (2, "benefit"), (2, "condition"), (4, "condition"), (6, "condition")} <= got and (4, "benefit") not in got and (5, "annual_fee") not in got
     one = summary.summaries(summary.candidates(df)).first()
-    assert one.annual_fee == "연회비 본인 10,000원" and one.benefits == ["커피 10% 할인 (전월 실적 30만원 이상)"]
+    assert one.annual_fee == "연회비 본인 10,000원" and one.benefits == ["커피 10% 할인 (전월 실적 30만원 이상)"] and "전월 실적 30만원 이상" in one.conditions
+
+
+SUMMARY = "document int, seq int, item int, node_type string, text string, context string, heading string, ancestors array<string>, headers array<string>, cells array<string>, role string"
+
+
+def told(spark, text, kind="PARAGRAPH", context="", heading=None, ancestors=None, headers=None, cells=None, role=None, more=()):
+    """(field, heading, text) of the candidates of one line after some others."""
+    every = [*more, (kind, text, context, heading, ancestors, headers, cells, role)]
+    rows_ = [(1, i, 0, k, t, c, h, a, hs, cs, r) for i, (k, t, c, h, a, hs, cs, r) in enumerate(every)]
+    found = summary.candidates(spark.createDataFrame(rows_, SUMMARY)).where(F.col("seq") == len(more)).collect()
+    return {(r.field, r.heading, r.text) for r in found}
+
+
+def test_summary_lines(spark):
+    for text in ("[예시: 10% 할인]", "※ 예시) 2천원 캐시백", "30,000원 X 12개월 = 360,000포인트 적립", "신용평점 1점 할인 10%", "자세한 할인 10%는 홈페이지 참조", "***", None):
+        assert told(spark, text) == set(), text
+    text = "전월 실적 30만원 이상 이용 시 2% 할인(무이자 할부 제외), 월 2회"
+    got = told(spark, text)
+    conditions = {t for f, _, t in got if f == "condition"}
+    assert ("benefit", False, text) in got and "월 2회" in conditions and "무이자 할부 제외" in conditions and text not in conditions and any("30만원 이상" in c for c in conditions)
+    text = "전 가맹점 이용금액 1,500원당 1마일 - 전월 실적 30만원 이상 이용 시"
+    got = told(spark, text)
+    assert ("benefit", False, text) in got and ("condition", False, text) not in got and any(f == "condition" and "30만원 이상" in t for f, _, t in got)
+    intro = ("PARAGRAPH", "서비스 제외 대상은 아래와 같습니다.", "", None, None, None, None, None)
+    assert told(spark, "- 무이자 할부 이용금액", "LIST_ITEM", more=[intro]) == {("condition", False, "- 무이자 할부 이용금액")}
+    assert told(spark, "커피 10% 할인", "ITEM", heading="### 커피 할인") == {("benefit", True, "커피 할인"), ("benefit", False, "커피 10% 할인")}
+    assert told(spark, "유의사항", "PARAGRAPH") == set() and told(spark, "할인 혜택", "PARAGRAPH", ancestors=["## 할인 혜택"]) == set()
+    assert told(spark, "전월 실적 조건 없이 이용") == {("condition", False, "전월 실적 조건 없이 이용")}
+
+
+def test_summary_column_roles(spark):
+    row = lambda headers, cells, **k: told(spark, "| " + " | ".join(cells) + " |", "TABLE_ROW", headers=headers, cells=cells, role=k.pop("role", "BODY"), **k)
+    assert not any(f == "benefit" for f, _, _ in row(["서비스", "혜택"], ["식당", "×"]))
+    assert row(["서비스", "혜택"], ["커피", "5%"], role="HEADER") == set()
+    got = row(["구분", "혜택"], ["온라인", "5% 포인트 미적립"])
+    assert not any(f == "benefit" for f, _, _ in got) and any(f == "condition" and "미적립" in t for f, _, t in got)
+    assert not any(f == "benefit" or h for f, h, _ in row(["구분", "혜택"], ["마일리지 적립", "×"]))
+    got = row(["구분", "혜택"], ["쇼핑", "국내 5% 할인(무이자할부 제외)"])
+    assert ("benefit", True, "쇼핑") not in got or any(f == "benefit" and "5% 할인" in t for f, _, t in got)
+    assert ("benefit", False, "쇼핑 | 국내 5% 할인(무이자할부 제외)") in got and any(f == "condition" and "무이자할부 제외" in t for f, _, t in got)
+    got = row(["대상", "조건", "할인"], ["주유", "전월 30만원 이상", "60원/ℓ 할인 10%"])
+    assert ("condition", False, "전월 30만원 이상") in got and any(f == "benefit" and not h and t.startswith("주유") for f, h, t in got)
+    assert row(["구분", "금액"], ["본인 연회비", "10,000원"]) == {("annual_fee", False, "| 본인 연회비 | 10,000원 |")}
+    got = row(["혜택", ""], ["10% 할인", "5% 적립"])  # a blank header takes the one before it
+    assert {("benefit", False, "10% 할인"), ("benefit", False, "5% 적립")} <= got
+    assert summary.candidates(spark.createDataFrame([], SUMMARY)).count() == 0
 
 
 def test_evaluation(spark, monkeypatch):
@@ -385,3 +431,20 @@ def test_caches_and_turns(spark):
         assert turn(day) == [want]
         ledger.append((want[0], day, want[1]))
     assert turn("2024-01-04") == [] and turn("2024-01-05") == [("kb", 1)]
+
+
+def test_issuer_profiles(spark):
+    pages = [(1, 1, "■ 안내 사항\n□ 커피\n국민카드 안내\n1 / 2\n", "kb"), (1, 2, "x\n국민카드 안내\n", "kb"), (2, 1, "Ⅰ 처음\n1. 하나\n○ 둘\n", "woori"), (3, 1, "◆ 처음\n● 하나\nⅠ 셋\n", "lotte"), (4, 1, "■ 처음\n□ 하나\n", None)]
+    p = S.parse(spark.createDataFrame(pages, "document int, page int, text string, issuer string")).collect()
+    kinds = {(r.document, r.visible): r.heading for r in p}
+    assert [kinds[1, "■ 안내 사항"], kinds[1, "□ 커피"], kinds[2, "Ⅰ 처음"], kinds[2, "1. 하나"], kinds[2, "○ 둘"], kinds[3, "◆ 처음"], kinds[3, "● 하나"], kinds[3, "Ⅰ 셋"], kinds[4, "■ 처음"]] == ["major", "item", "major", "item", None, "major", "item", None, None]
+    assert {r.node_type for r in p if r.visible == "국민카드 안내"} == {"BOILERPLATE"}
+
+
+def test_lines_of_every_kind(spark):
+    texts = ["a\nb\r\nc", "a\rb\x0cc\n", "", "\n", "x\u2028y", "a\r\n\r\nb\n", "\r", None]
+    got = S.lines(spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "document int, page int, text string")).orderBy("document", "line_no").collect()
+    for i, t in enumerate(texts):
+        assert [r.line for r in got if r.document == i] == (t or "").splitlines(keepends=True)
+        assert [r.visible for r in got if r.document == i] == (t or "").splitlines()
+        assert all((t or "")[r.start : r.end] == r.line for r in got if r.document == i)

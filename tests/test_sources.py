@@ -69,6 +69,77 @@ def test_helpers():
         snapshot.object_path("xyz")
 
 
+def test_ranges_of_objects(spark, tmp_path):
+    body = bytes(range(256))
+    digest = hashlib.sha256(body).hexdigest()
+    place = tmp_path / snapshot.object_path(digest)
+    place.parent.mkdir(parents=True)
+    place.write_bytes(body)
+    ask = lambda header: files.read_range(spark, str(tmp_path), digest, header).first()
+    assert bytes(ask(None).content) == body and bytes(ask("bytes=10-19").content) == body[10:20] and bytes(ask("bytes=-3").content) == body[-3:]
+    assert (ask("bytes=250-").start, ask("bytes=250-").end, ask("bytes=250-").size) == (250, 255, 256)
+    with pytest.raises(ValueError):
+        files.read_range(spark, str(tmp_path), digest, "bytes=300-")
+
+
+def test_listings_by_rules(spark):
+    rules = files.ListingRules(link=r"(/card/\S+\.(?:pdf|zip))$", code=r"goDetail\('([^']+)'", day=r"_(\d{8})\.", headers=("name", "file"), base="https://x")
+    row = lambda code, name, file: f"<tr><td><a onclick=\"goDetail('{code}', '1')\">{name}</a></td><td><a href='{file}'>PDF</a></td></tr>"
+    head = "<table><tr><th>name</th><th>file</th></tr>"
+    page = lambda *rows: head + "".join(rows) + "</table>"
+    df = lambda *htmls: spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")
+    got = files.read_rows(df(page(row("01", "Deep  Card", "/card/a_20240102.pdf"), row("02", "B &amp; C", "/card/b_20230405.zip"), "<tr><td>no file</td></tr>"), None), rules)
+    assert sorted((r.id, r.product_code, r.product_name, str(r.effective_date), r.source_url, r.file_name) for r in got.collect()) == [(0, "01", "Deep Card", "2024-01-02", "https://x/card/a_20240102.pdf", "a_20240102.pdf"), (0, "02", "B & C", "2023-04-05", "https://x/card/b_20230405.zip", "b_20230405.zip")]
+    for bad, why in ((page(row("1", "n", "/card/a.pdf")), "no date"), (page(*[row("1", "n", "/card/a_20240101.pdf")] * 2), "twice"), ("<table><tr><th>other</th></tr></table>", "headers")):
+        with pytest.raises(Exception, match=why):
+            files.read_rows(df(bad), rules).collect()
+
+
+def test_paged_json_listings(spark):
+    body = lambda rows, more, n=None, ok="success": '{"result": "%s", "data": {"list": [%s], "count": %d, "more": "%s"}}' % (ok, ",".join(rows), len(rows) if n is None else n, more)
+    row = lambda code, name: '{"code": "%s", "name": " %s "}' % (code, name)
+    df = lambda *pages: spark.createDataFrame([("s", i + 1, p) for i, p in enumerate(pages)], "source string, page int, body string")
+    read = lambda *pages: files.read_json_pages(df(*pages), "$.data.list", {"code": "$.code", "name": "$.name"}, "$.data.count", "$.data.more", ("$.result", "success"), {"code": "-"})
+    got = read(body([row("1", "a"), row("-", "none")], "Y"), body([row("2", "b")], "N"))
+    assert sorted((r.page, r.position, r.code, r.name) for r in got.collect()) == [(1, 0, "1", "a"), (2, 0, "2", "b")]
+    for pages, why in (((body([row("1", "a")], "Y"),), "a page is missing"), ((body([], "N"), body([], "N")), "beyond the end"), ((body([row("1", "a")], "N", 3),), "another count"), ((body([], "N", ok="error"),), "no success"), (("{}",), "no records"), (("{",), "no records"), ((body([row("1", " ")], "N"),), "no name")):
+        with pytest.raises(Exception, match=why):
+            read(*pages).collect()
+
+
+def test_resources(spark):
+    from quillon.operators.catalog import Cursor
+    from quillon.plans import resources
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rev = spark.createDataFrame([("L1", "r1", "current", "kb", "001", "Deep Blue", "2021-01-01", "d1", sha("1")), ("L2", "r2", "current", "bc", "002", "ＤＥＥＰ Sea", None, "d2", sha("2")), ("L3", "r3", "superseded", "bc", "002", "Old", "2020-01-01", "d3", sha("3")), ("L4", "r4", "current", "kb", "003", "Light", "2022-01-01", "d4", sha("4")), ("L5", "r5", "current", "kb", "003", "Light two", "2022-01-01", "d5", sha("5"))], "lineage string, revision string, temporal_status string, issuer string, product_code string, name string, day string, document_id string, pdf_sha256 string").withColumn("launch_date", F.to_date("day")).drop("day")
+    pages = spark.createDataFrame([("r1", 1, "one", sha("one")), ("r1", 2, "two", sha("two"))], "revision string, page int, text string, text_sha256 string")
+    issuers = spark.createDataFrame([("kb", "KB", 2), ("bc", "BC", 1), ("lotte", "Lotte", 3)], "issuer string, display_name string, sort_order int")
+    none = spark.createDataFrame([("bc", "009")], "issuer string, product_code string")
+    snap = snapshot.Snapshot("g", {"revisions": rev, "pages": pages, "issuers": issuers, "unsupported": none, "failed": none.limit(0), "evidence": spark.createDataFrame([("e1", "t")], "evidence_id string, text string")})
+    assert [r.issuer for r in resources.issuers(snap).collect()] == ["bc", "kb", "lotte"]
+    assert {(r.issuer, r.product_code, r.status) for r in resources.products(snap).collect()} == {("kb", "001", "available"), ("bc", "002", "available"), ("kb", "003", None), ("bc", "009", "unsupported_drm")}
+    one = resources.product(snap, "국민카드", "001").first()
+    assert (one.status, one.revision) == ("available", "r1") and resources.product(snap, "bc", "009").first().revision is None and resources.product(snap, "kb", "777").count() == 0
+    assert resources.document(snap, "d1").first().pdf_path == snapshot.object_path(sha("1")) == resources.pdf_path(snap, "d1")
+    assert resources.page(snap, "d1", 2).first().text == "two" and resources.page(snap, "d1", 3).count() == 0 and resources.evidence(snap, "e1").count() == 1
+    with pytest.raises(ValueError):
+        resources.pdf_path(snap, "nope")
+    cursors = Cursor(b"k")
+    find = lambda **k: resources.find_products(snap, resources.FindProducts(**k), cursors)
+    got = find(keyword=" deep")
+    assert [(r["rank"], r.revision) for r in got["items"].collect()] == [(1, "r2"), (2, "r1")] and (got["total"], got["next_cursor"]) == (2, None)
+    first = find(mode="catalog", sort="launch_date", limit=3)
+    rest = find(mode="catalog", sort="launch_date", limit=3, cursor=first["next_cursor"])
+    assert [r.revision for r in first["items"].collect()] + [r.revision for r in rest["items"].collect()] == ["r4", "r5", "r1", "r2"] and rest["next_cursor"] is None
+    assert {(r.issuer, r.products, r.loaded) for r in find(mode="coverage", issuers=("kb", "bc"))["coverage"].collect()} == {("kb", 2, True), ("bc", 2, True)}
+    for bad in ({}, {"mode": "catalog", "keyword": "x"}, {"mode": "coverage", "limit": 3}, {"mode": "other"}, {"keyword": "x", "sort": "size"}, {"keyword": "x", "limit": 101}):
+        with pytest.raises(ValueError):
+            resources.FindProducts(**bad)
+    with pytest.raises(ValueError):
+        find(mode="catalog", sort="name", limit=3, cursor=first["next_cursor"])
+
+
 def test_jsonl(spark, tmp_path):
     good = tmp_path / "good.jsonl"
     good.write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
@@ -92,8 +163,21 @@ def test_matrix_files(spark, tmp_path):
     seg = x.tobytes()[20:40]
     inventory = spark.createDataFrame([(9, "v.f32", 20, hashlib.sha256(seg).hexdigest())], "query_id int, file string, offset int, sha256 string")
     assert [r.score for r in files.read_score_matrix(spark, str(tmp_path / "v.f32"), inventory, 5).orderBy("row_index").collect()] == [5.0, 6.0, 7.0, 8.0, 9.0]
-    with pytest.raises(Exception, match="inventory"):
-        files.read_score_matrix(spark, str(tmp_path / "v.f32"), inventory.withColumn("sha256", F.lit("x")), 5).collect()
+    for wrong in (inventory.withColumn("sha256", F.lit("x")), inventory.withColumn("offset", F.lit(400)), inventory.withColumn("offset", F.lit(4))):
+        with pytest.raises(Exception, match="inventory"):
+            files.read_score_matrix(spark, str(tmp_path / "v.f32"), wrong, 5).collect()
+    with pytest.raises(ValueError, match="inventory"):
+        files.read_score_matrix(spark, str(tmp_path / "v.f32"), inventory, 7)
+    wide = np.random.default_rng(1).normal(size=(70_001, 16)).astype("<f4")  # several records and splits
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.f32").write_bytes(wide.tobytes())
+    (tmp_path / "m" / "b.f32").write_bytes(x.reshape(-1)[:16].tobytes())
+    (tmp_path / "m" / "c.f32").write_bytes(b"")
+    got = files.read_f32(spark, str(tmp_path / "m"), 16)
+    assert sorted((r.file.rsplit("/", 1)[-1], r.n, r.last) for r in got.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("row_index").alias("last")).collect()) == [("a.f32", 70_001, 70_000), ("b.f32", 1, 0)]
+    assert all(np.array_equal(np.array(r.embedding, np.float32), wide[r.row_index]) for r in got.where("file LIKE '%a.f32' AND row_index % 9973 = 0").collect())
+    hashes = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256) for r in files.inventory(spark, str(tmp_path / "m")).collect()}
+    assert hashes["a.f32"] == (wide.nbytes, hashlib.sha256(wide.tobytes()).hexdigest())
     blob = spark.createDataFrame([(bytearray(x[0].tobytes()),), (None,)], "b binary")
     assert [r[0] for r in blob.select(files.unpack_blob("b")).collect()] == [[0.0, 1.0, 2.0], None]
 
