@@ -121,6 +121,11 @@ def part_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> U64(40)) * U64(n)) >> U64(24)).astype(np.int32)
 
 
+def anchor_part(anchors: np.ndarray, n: int) -> np.ndarray:
+    """Partition of anchors by their 48 bits mixed again: as the least of several hashes they are mostly small."""
+    return part_of(mix(anchors & LEFT), n)
+
+
 def by_part(parts: np.ndarray, n: int):
     """(part, positions) of each part that occurs."""
     order = np.argsort(parts, kind="stable")
@@ -155,7 +160,7 @@ def _send_anchors(window: int, n: int):
             for i in range(b.num_rows):
                 _, texts = _decode(b.column("payload")[i].as_py())
                 keys = Windows(texts, window).anchors()
-                got = list(by_part(part_of(keys, n), n))
+                got = list(by_part(anchor_part(keys, n), n))
                 if got:
                     yield _blob_batch([p for p, _ in got], [b.column("block")[i].as_py()] * len(got), [[keys[at].tobytes() for _, at in got]], ["part", "block", "keys"])
 
@@ -253,7 +258,7 @@ def _send_windows(window: int, n: int):
             doc = w.doc[at]
             starts = at - w.words.first[doc]
             order_ids = _order_ids(ids)
-            parts = part_of(w.least[at], n)
+            parts = anchor_part(w.least[at], n)
             salt = int(mix(np.array([block], np.uint64))[0] % U64(n))
             parts = np.where(hot == 1, (parts + salt) % n, parts)
             got = list(by_part(parts + n * hot, 2 * n))
