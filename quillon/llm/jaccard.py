@@ -35,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -109,13 +110,13 @@ def _send_incidence(n: int, clash: np.ndarray, bits: int):
     """Row blocks of the matrix by column partition (block 0), and the rows themselves (block 1), which only pass through."""
 
     def run(batches):
-        turn = 0
+        turn = TaskContext.get().partitionId() * 7  # deals the rows of tasks and slices evenly
         for b in batches:
             for at in range(0, b.num_rows, BLOCK_DOCS):
                 for ids, prints, texts in slices(b.slice(at, BLOCK_DOCS), "doc_id", "print", "text", limit=BLOCK_BYTES):
                     rows, hashes, sizes, sids, second = incidence(texts, clash, bits)
                     turn += 1
-                    out = [(turn * 7919 % n, 1, sids.tobytes(), sizes.astype(np.int32).tobytes(), _stream(ids, prints, second))]
+                    out = [(turn % n, 1, sids.tobytes(), sizes.astype(np.int32).tobytes(), _stream(ids, prints, second))]
                     _, keep = np.unique(sids, return_index=True)  # copies within the block enter once
                     first = np.zeros(len(sids), bool)
                     first[keep] = True
