@@ -99,8 +99,8 @@ def lines(pages: DataFrame) -> DataFrame:
     """
     own = [c for c in pages.columns if c == "issuer"]
     native = ~F.coalesce(F.col("text").rlike(r"[\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]|\r(?!\n)"), F.lit(True))
-    cut = lambda keep, how: pages.where(keep).select("document", "page", *own, F.posexplode(how(F.col("text"))).alias("line_no", "l"))
-    rows = cut(native, X.split_lines).unionByName(cut(~native, X.python_lines))
+    cut = F.when(native, X.split_lines(F.col("text"))).otherwise(X.python_lines(F.when(~native, F.col("text"))))  # Python sees the others only
+    rows = pages.select("document", "page", *own, F.posexplode(cut).alias("line_no", "l"))
     return rows.select("document", "page", *own, "line_no", F.regexp_replace("l.line", r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])$", "").alias("visible"), F.col("l.line").alias("line"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
 
 

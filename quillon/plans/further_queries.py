@@ -14,7 +14,7 @@ from quillon.operators.ordering import global_rank
 from quillon.plans.registry import query, read
 from quillon.plans.relational_queries import REV, revisions
 from quillon.plans.retrieval_queries import DENSE, dense_ranks
-from quillon.plans.structure_queries import BENEFIT, LINES, NOTICE, rendered, turns
+from quillon.plans.structure_queries import BENEFIT, CHUNKS, LINES, NOTICE, PARSED, rendered
 from quillon.sources.files import put_once
 
 DENSE_50 = "WITH " + DENSE.strip().removeprefix(",").replace("LIMIT 100", "LIMIT 50") + ", d AS (FROM dense) "
@@ -85,7 +85,7 @@ def check_listing_pages(spark, sf_dir):
     return V.wrong_listing_pages(pages.where((k != 1) | (F.col("page") > 1)))
 
 
-@query()
+@query("WITH RECURSIVE " + LINES.strip().removeprefix("WITH ") + ", src AS (SELECT (document, page) AS id, text FROM pt)," + CHUNKS + """SELECT (row_number() OVER (ORDER BY id, chunk) - 1)::INTEGER AS row_index, id[1] AS document, id[2] AS page, start, "end" FROM ch""")
 def page_window_corpus(spark, sf_dir):
     """Chunks of every rendered page with contiguous row numbers."""
     rows = rendered(spark, sf_dir).select("document", "page", F.posexplode(X.chunks(F.col("text"))).alias("chunk", "c"))
@@ -123,7 +123,12 @@ def map_units_cover_all(spark, sf_dir):
     return packing.map_units(p, 1500).groupBy("document").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("characters"))
 
 
-@query()
+@query(PARSED.replace("WITH pg", "WITH RECURSIVE pg", 1) + """, w AS (SELECT document, section, seq, length(visible) + 1 AS n, sum(length(visible) + 1) OVER (PARTITION BY document) AS whole FROM ps),
+c AS (SELECT document, section, seq, whole, (1500 * i)::INTEGER AS a, least(n, 1500 * i + 1500)::INTEGER AS b FROM (SELECT *, unnest(range(0, (n + 1499) // 1500)) AS i FROM w)),
+o AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY seq, a) AS k FROM c WHERE whole > 1500),
+u AS (SELECT document, section, seq, a, b, k, 0 AS unit, b - a AS total FROM o WHERE k = 1
+UNION ALL SELECT o.document, o.section, o.seq, o.a, o.b, o.k, CASE WHEN o.section <> u.section OR u.total + o.b - o.a > 1500 THEN u.unit + 1 ELSE u.unit END, CASE WHEN o.section <> u.section OR u.total + o.b - o.a > 1500 THEN o.b - o.a ELSE u.total + o.b - o.a END FROM u JOIN o ON o.document = u.document AND o.k = u.k + 1)
+SELECT document, unit, section::VARCHAR AS scope, seq::BIGINT AS position, a AS start, b AS "end" FROM u UNION ALL SELECT document, 0, 'document', seq, 0, n::INTEGER FROM w WHERE whole <= 1500""")
 def map_units(spark, sf_dir):
     p = S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE).select("document", F.col("section").cast("string").alias("section"), F.col("seq").alias("position"), F.col("line").alias("text"))
     return packing.map_units(p, 1500)

@@ -289,7 +289,10 @@ def capacity_prediction(spark, sf_dir):
     return P.storage_estimate(read(spark, sf_dir, "documents").select("text"), "text")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b AS (SELECT source, doc_id, n_chars, k, 0 AS batch, 1 AS n, n_chars AS total FROM o WHERE k = 1
+UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.k, CASE WHEN b.n >= 64 OR b.total + o.n_chars > 20000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 64 OR b.total + o.n_chars > 20000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 64 OR b.total + o.n_chars > 20000 THEN o.n_chars ELSE b.total + o.n_chars END FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1)
+SELECT source, doc_id, n_chars, batch FROM b""")
 def token_budget_batches(spark, sf_dir):
     return P.greedy_batches(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 64, 20_000)
 
@@ -299,9 +302,10 @@ def json_props_extract(spark, sf_dir):
     return read_json_listing(read(spark, sf_dir, "events").select("event_id", "props"), "props", {"page": "$.page", "ref": "$.ref"})
 
 
-@query()
+@query(r"""SELECT page_id AS id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS title, array_to_string(list_transform(regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1), lambda x: replace(x, '&amp;', '&')), '|') AS entries, array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), '|') AS links FROM pages""")
 def listing_parse(spark, sf_dir):
-    return read_listing(read(spark, sf_dir, "pages"))
+    got = read_listing(read(spark, sf_dir, "pages"))
+    return got.withColumns({c: F.array_join(c, "|") for c in ("entries", "links")})
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -355,9 +355,10 @@ def native_dot(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(dot("embedding", "embedding"), 6).alias("self_score"))
 
 
-@query()
+@query("""WITH r AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, sha256('draft' || chr(31) || source || chr(31) || doc_id)) AS k FROM documents WHERE lang IN ('en', 'de', 'fr', 'es'))
+SELECT source AS issuer, lang AS slice, doc_id AS id, doc_id AS contract FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY k, list_position(['en', 'de', 'fr', 'es'], lang)) <= 4""")
 def gold_draft(spark, sf_dir):
     """Stratified draft of gold questions from the documents: sources as issuers, languages as slices."""
     docs = read(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("issuer"), F.col("doc_id").alias("id"), F.col("doc_id").alias("contract"), F.array("lang").alias("slices"), F.col("n_chars").cast("double").alias("slice_score"))
-    return spark.createDataFrame(E.stratified_draft(rows, "draft", 4, ["en", "de", "fr", "es"]), "issuer string, slice string, id long, contract long")
+    return spark.createDataFrame(E.stratified_draft(rows, "draft", 4, ["en", "de", "fr", "es"]), "issuer string, slice string, id long, contract long")
\ No newline at end of file

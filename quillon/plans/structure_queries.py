@@ -62,6 +62,44 @@ CLASSED = LINES + """, cl AS (SELECT *, contains(lower(visible), 'thwh') OR cont
 """
 
 
+# The whole parse: sections, items and tables as the last line that opens one, classes from above, headers carried over pages.
+PARSED = CLASSED + rf""", s0 AS (SELECT *, (row_number() OVER (PARTITION BY document ORDER BY page, line_no) - 1)::INTEGER AS seq, {CLASS} AS own, trim(visible) AS t,
+ regexp_matches(visible, '^\d+ / 4$') AND min(page) OVER (PARTITION BY document) < max(page) OVER (PARTITION BY document) AS boiler FROM cl),
+s1 AS (SELECT *, NOT boiler AND t = '' AS blank, NOT boiler AND t <> '' AS solid, NOT boiler AND length(regexp_replace(visible, '[^|]', '', 'g')) >= 2 AS table_line FROM s0),
+s2 AS (SELECT *, CASE WHEN NOT solid OR table_line THEN NULL WHEN regexp_matches(t, '^#{{1,2}}[ \t]+\S') THEN 'major' WHEN regexp_matches(t, '^#{{3,6}}[ \t]+\S') THEN 'item'
+ WHEN length(t) > 120 OR contains(t, '|') OR regexp_matches(visible, '^\s*[-+*]\s+\S') OR regexp_matches(visible, '^\s*(※|\*{{1,3}}[^\s*]|\[\d+\])') THEN NULL
+ WHEN regexp_matches(t, '^(\*\*|\[)') AND regexp_matches(t, '(\*\*|\])$') THEN 'item' WHEN (b OR n) AND length(t) <= 45 THEN 'major' END AS heading,
+ coalesce(lag(table_line) OVER (PARTITION BY document, page ORDER BY seq), false) AS before,
+ CASE WHEN table_line THEN list_transform(string_split(regexp_replace(t, '^\|+|\|+$', '', 'g'), '|'), lambda x: trim(x)) END AS cells FROM s1),
+s3 AS (SELECT *, coalesce(last_value(CASE WHEN heading = 'major' THEN seq END IGNORE NULLS) OVER (PARTITION BY document ORDER BY seq), -1) AS section,
+ CASE WHEN table_line THEN coalesce(last_value(CASE WHEN table_line AND NOT before THEN seq END IGNORE NULLS) OVER (PARTITION BY document ORDER BY seq), -1) ELSE -1 END AS "table",
+ table_line AND len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-{{3,}}:?$'))) = 0 AS separator FROM s2),
+s4 AS (SELECT *, CASE WHEN heading = 'major' THEN -1 ELSE coalesce(last_value(CASE WHEN heading = 'item' THEN seq END IGNORE NULLS) OVER w, first_value(CASE WHEN solid AND heading IS DISTINCT FROM 'major' THEN seq END IGNORE NULLS) OVER w, -1) END AS item,
+ CASE WHEN section >= 0 THEN max(CASE WHEN seq = section THEN own END) OVER (PARTITION BY document, section) ELSE 'UNKNOWN' END AS section_class,
+ min(CASE WHEN solid THEN seq END) OVER (PARTITION BY document, page) AS first_solid, last_value(CASE WHEN solid THEN table_line END IGNORE NULLS) OVER (PARTITION BY document ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was_table,
+ arg_min(cells, CASE WHEN NOT separator THEN seq END) OVER (PARTITION BY document, "table") AS own_head, bool_or(seq = "table" + 1 AND separator) OVER (PARTITION BY document, "table") AS declares
+ FROM s3 WINDOW w AS (PARTITION BY document, section ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s5 AS (SELECT *, coalesce(max(CASE WHEN seq = item AND heading = 'item' THEN CASE WHEN own = 'UNKNOWN' THEN section_class ELSE own END END) OVER (PARTITION BY document, item, section), section_class) AS item_class,
+ "table" >= 0 AND bool_or(seq = "table" AND "table" = first_solid AND coalesce(was_table, false)) OVER (PARTITION BY document, "table") AND NOT declares AS continued FROM s4),
+s6 AS (SELECT *, CASE WHEN item >= 0 THEN item_class ELSE section_class END AS above, CASE WHEN "table" >= 0 THEN last_value(CASE WHEN seq = "table" AND NOT continued THEN own_head END IGNORE NULLS) OVER (PARTITION BY document ORDER BY seq) END AS headers FROM s5),
+ps AS (SELECT *, CASE WHEN boiler THEN 'UNKNOWN' WHEN blank OR table_line THEN above WHEN heading = 'major' THEN own WHEN own = 'UNKNOWN' THEN above ELSE own END AS major_class,
+ CASE WHEN boiler THEN 'BOILERPLATE' WHEN blank THEN 'UNCLASSIFIED' WHEN table_line THEN 'TABLE_ROW' WHEN heading IS NOT NULL THEN 'PARAGRAPH' WHEN regexp_matches(visible, '^\s*(※|\*{{1,3}}[^\s*]|\[\d+\]\s*\S)') THEN 'FOOTNOTE'
+  WHEN regexp_matches(visible, '^\s*([-+*]|\d+[.)]|[가-힣][.)])\s+\S') THEN 'LIST_ITEM' WHEN above <> 'UNKNOWN' OR own <> 'UNKNOWN' THEN 'PARAGRAPH' ELSE 'UNCLASSIFIED' END AS node_type,
+ CASE WHEN "table" < 0 THEN NULL WHEN separator THEN 'SEPARATOR' WHEN cells = headers THEN 'HEADER' ELSE 'BODY' END AS role FROM s6)
+"""
+
+# Windows of 1600 characters of (id, text) rows in ``src`` that overlap by 160 and end at the last blank or line end past their middle, as ``ch``.
+CHUNKS = """st AS (SELECT id, text, length(text) AS n, 0 AS p, 0 AS stop, NULL::INTEGER AS a, NULL::INTEGER AS b FROM src WHERE length(text) > 0
+UNION ALL SELECT id, text, n, CASE WHEN stop >= n THEN n ELSE greatest(p + 1, stop - 160) END, stop, l, r FROM (
+ SELECT *, p + length(piece) - length(ltrim(piece, chr(32) || chr(10))) AS l, stop - (length(piece) - length(rtrim(piece, chr(32) || chr(10)))) AS r FROM (
+  SELECT id, text, n, p, stop, substr(text, p + 1, stop - p) AS piece FROM (
+   SELECT id, text, n, p, CASE WHEN whole < n AND cut > p + 800 THEN cut ELSE whole END AS stop FROM (
+    SELECT *, p + 1600 - least(CASE WHEN strpos(rev, ' ') = 0 THEN 1601 ELSE strpos(rev, ' ') END, CASE WHEN strpos(rev, chr(10)) = 0 THEN 1601 ELSE strpos(rev, chr(10)) END) AS cut FROM (
+     SELECT id, text, n, p, least(n, p + 1600) AS whole, reverse(substr(text, p + 1, 1600)) AS rev FROM st WHERE p < n))))) ),
+ch AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY a) - 1)::INTEGER AS chunk, a::INTEGER AS start, b::INTEGER AS "end" FROM st WHERE a < b)
+"""
+
+
 @query(CLASSED + f"SELECT document, page, line_no, {CLASS} AS major_class FROM cl")
 def major_class(spark, sf_dir):
     return S.lines(rendered(spark, sf_dir)).select("document", "page", "line_no", S.major_class(F.col("visible"), BENEFIT, NOTICE).alias("major_class"))
@@ -79,9 +117,10 @@ def line_kind(spark, sf_dir):
     return S.lines(rendered(spark, sf_dir)).select("document", "page", "line_no", S.line_kind(F.col("visible")).alias("kind"))
 
 
-@query()
+@query(PARSED + """SELECT document, page, line_no, seq, start, (start + length(visible) + 1)::INTEGER AS "end", node_type, major_class, heading, section, item, "table", continued, role, array_to_string(headers, '|') AS headers, array_to_string(cells, '|') AS cells, section_class, item_class FROM ps""")
 def structure_parse(spark, sf_dir):
-    return S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE).drop("line", "visible")
+    p = S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE).drop("line", "visible")
+    return p.withColumns({c: F.array_join(c, "|") for c in ("headers", "cells")})
 
 
 @query(LINES + "SELECT document, count(*) AS n_lines, sum(length(visible) + 1)::BIGINT AS n_chars, count(*) FILTER (WHERE regexp_matches(visible, '^\\d+ / 4$') AND document IN (SELECT document FROM pt GROUP BY document HAVING count(*) >= 2)) AS n_boilerplate FROM li GROUP BY document")
@@ -142,18 +181,38 @@ def check_table_rows(spark, sf_dir):
     return V.wrong_table_rows(p.withColumn("cells", F.when(k != 1, F.col("cells"))).withColumn("role", F.when(k != 3, F.col("role"))))
 
 
-@query()
+@query(PARSED + """, x AS (SELECT *, lead(seq) OVER d AS next, last_value(CASE WHEN semantic AND node_type <> 'FOOTNOTE' THEN seq END IGNORE NULLS) OVER p AS rs, last_value(CASE WHEN semantic AND node_type <> 'FOOTNOTE' THEN major_class END IGNORE NULLS) OVER p AS rc,
+ last_value(CASE WHEN semantic THEN seq END IGNORE NULLS) OVER p AS ws, last_value(CASE WHEN semantic THEN page END IGNORE NULLS) OVER p AS wp FROM (SELECT *, node_type <> 'BOILERPLATE' AND t <> '' AS semantic FROM ps)
+ WINDOW d AS (PARTITION BY document ORDER BY seq), p AS (PARTITION BY document ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT * FROM x WHERE node_type = 'FOOTNOTE' AND rs IS NOT NULL), it AS (SELECT * FROM ps WHERE seq = item),
+ib AS (SELECT *, last_value(CASE WHEN item_class IN ('BENEFIT', 'MIXED') THEN item END IGNORE NULLS) OVER (PARTITION BY document ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_item FROM it)
+SELECT document, 'l' || seq AS from_node, 'l' || next AS to_node, 'NEXT' AS link_type FROM x WHERE next IS NOT NULL UNION SELECT document, 'l' || next, 'l' || seq, 'PREVIOUS' FROM x WHERE next IS NOT NULL
+UNION SELECT document, 'l' || seq, 'l' || rs, unnest(['FOOTNOTE_OF', 'APPLIES_TO']) FROM f
+UNION SELECT document, 'l' || seq, 'l' || rs, 'APPLIES_TO' FROM x WHERE semantic AND node_type <> 'FOOTNOTE' AND heading IS NULL AND "table" < 0 AND major_class IN ('NOTICE', 'MIXED') AND rc IN ('BENEFIT', 'MIXED')
+UNION SELECT document, 'l' || seq, 'l' || ws, 'CONTINUATION_OF' FROM x WHERE semantic AND wp < page AND heading IS NULL AND ("table" < 0 OR continued)
+UNION SELECT m.document, 's' || m.section, 'i' || b.item, 'APPLIES_TO' FROM ps m JOIN it b ON b.document = m.document AND b.item < m.section WHERE m.seq = m.section AND m.section_class IN ('NOTICE', 'MIXED') AND b.item_class IN ('BENEFIT', 'MIXED')
+UNION SELECT document, 'i' || item, 'i' || before_item, 'APPLIES_TO' FROM ib WHERE heading = 'item' AND item_class IN ('NOTICE', 'MIXED') AND section_class NOT IN ('NOTICE', 'MIXED') AND before_item IS NOT NULL""")
 def node_links(spark, sf_dir):
     return S.links(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
 
 
-@query()
+@query(PARSED + """, v AS (SELECT *, visible || chr(10) AS line, regexp_replace(trim(visible), '\\s+', ' ', 'g') AS flat FROM ps), bd AS (SELECT * FROM v WHERE node_type <> 'BOILERPLATE'),
+it AS (SELECT document, section, item, item_class, string_agg(line, '' ORDER BY seq) AS text FROM bd WHERE item >= 0 GROUP BY ALL),
+e AS (SELECT document, CASE WHEN heading = 'item' THEN 'i' || item ELSE 's' || section END AS node, 'TITLE' AS view_type, flat AS text FROM v WHERE heading IS NOT NULL
+UNION ALL SELECT document, 'i' || item, 'RAW_ITEM', text FROM it
+UNION ALL SELECT it.document, 'i' || it.item, 'CONTEXTUAL_ITEM', concat_ws(chr(10), 'document: ' || it.document, 'major_class: ' || it.item_class, 'heading: ' || h.flat, it.text) FROM it LEFT JOIN (SELECT document, section, flat FROM v WHERE seq = section) h ON h.document = it.document AND h.section = it.section
+UNION ALL SELECT document, 's' || section, 'MAJOR_SECTION', string_agg(line, '' ORDER BY seq) FROM bd WHERE section >= 0 AND section_class IN ('BENEFIT', 'NOTICE') GROUP BY document, section
+UNION ALL SELECT document, 'root', 'CONTRACT', string_agg(line, '' ORDER BY seq) FROM bd GROUP BY document)
+SELECT * FROM e WHERE length(text) <= 30000 AND trim(text, ' ' || chr(10)) <> ''""")
 def derived_views(spark, sf_dir):
     p = held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE))
     return S.views(p, {"document": F.col("document").cast("string")})
 
 
-@query()
+@query(PARSED.replace("WITH pg", "WITH RECURSIVE pg", 1) + """, o AS (SELECT document, item, visible || chr(10) AS line, length(visible) + 1 AS n, row_number() OVER (PARTITION BY document, item ORDER BY seq) AS k FROM ps WHERE item >= 0 AND node_type <> 'BOILERPLATE'),
+g AS (SELECT document, item, line, n, k, 0 AS batch, n AS total FROM o WHERE k = 1
+UNION ALL SELECT o.document, o.item, o.line, o.n, o.k, CASE WHEN g.total + o.n > 2000 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.total + o.n > 2000 THEN o.n ELSE g.total + o.n END FROM g JOIN o ON o.document = g.document AND o.item = g.item AND o.k = g.k + 1)
+SELECT document, item, batch, string_agg(line, '' ORDER BY k) AS text FROM g GROUP BY document, item, batch""")
 def detail_views(spark, sf_dir):
     return S.details(held(S.parse(rendered(spark, sf_dir), BENEFIT, NOTICE)))
 
@@ -223,7 +282,7 @@ def launch_date_evidence(spark, sf_dir):
     return dates.evidence(segments).withColumn("nodes", F.array_join("nodes", ","))
 
 
-@query()
+@query("WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents)," + CHUNKS + 'SELECT id AS doc_id, chunk, start, "end", sha256(substr(text, start + 1, "end" - start)) AS text_sha256 FROM ch JOIN src USING (id)')
 def chunk_windows(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(X.chunks(F.col("text"))).alias("chunk", "c"))
     return d.select("doc_id", "chunk", "c.start", "c.end", X.sha256(F.substr("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))).alias("text_sha256"))
