@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import NON_SPACE, Words, numbered, picked, position, table, text_bytes
+from quillon.llm.common import NON_SPACE, Words, numbered, picked, position, table, text_bytes, written
 
 SHRINK = 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
 FIT_ROWS = 20_000  # labelled ids the model is fitted on
+PLACES = 1 << 40
 SLICE_BYTES = 2 << 20
 
 
@@ -153,8 +154,12 @@ def held_out(id_col):
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = FIT_ROWS) -> DataFrame:
     """(doc_id, y) of at most ``most`` labelled ids outside the held-out fold, those of least hash."""
     rows = picked(labels, doc_id=id_col, y=label_col).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    one = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
+    one = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("doc_id", "y")
+    one = written(one.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))), "quality-labels")
+    total = one.count()
+    if total > most:  # a little more than wanted comes to one task, whatever the table
+        one = one.where(F.col("place") <= int(1.1 * most / total * PLACES))
+    return one.orderBy("place", "doc_id").limit(most).select("doc_id", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_ROWS) -> Model:
