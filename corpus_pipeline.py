@@ -3,6 +3,12 @@
 ``run`` writes each stage as Parquet to the shared folder and reads it again as the
 next stage's documents.  All stages but the last return the columns of ``documents``;
 the last drops documents given 0 copies and adds size, source_size, target, copies and taken to the others.
+
+Defined cases, stage by stage: a null text is scored like an empty one, links with nothing, is never cut or changed, has size 0 and so is not in
+the mix; very long texts are whole throughout.  Of near duplicates the least doc_id stays, of equal rows of one doc_id one; documents without words are
+no duplicates.  A document that loses all its words to decontamination or redaction stays until the mix.  Null sources are a source of their own; null
+doc_ids are scored (never learned from) and kept like others.  Empty tables give empty results, labels or benchmark items may be missing.  Further columns
+of ``documents``, whatever their names, are kept; ``n_chars`` follows the text; columns named as the last stage's additions make room for them.
 """
 
 from __future__ import annotations
