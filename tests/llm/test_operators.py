@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import decontaminate, jaccard, mixing, nearest, pii, quality, repeats, tokens, url_rules, warc
+from quillon.llm.common import with_hot_keys
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, sid string, label int, n_words int"
 WORDS = ["the", "of", "Éa", "and", "to", "in", "x1", "Über", "ñ", "was"]
@@ -731,3 +732,31 @@ def test_mixing_stage_drops_what_the_mix_leaves(docs):
     want = sorted((str(r.id), r.copies, r.taken) for r in mixing.mix(docs).collect() if r.copies)
     got = corpus_pipeline.mixing_stage(docs.sparkSession, docs, "")
     assert 0 < len(want) < docs.count() and sorted((str(r.doc_id), r.copies, r.taken) for r in got.collect()) == want
+
+
+def test_ids_of_any_type_and_clashing_names(docs, spark):
+    named = docs.selectExpr("concat('d', doc_id) AS `doc.id`", "text AS TEXT", "source AS Source", "1 AS n", "2 AS sid", "3 AS print", "4 AS c0", "5 AS `a.b`", "6 AS __few", "7 AS row")
+    ids = sorted(str(r[0]) for r in named.select("`doc.id`").collect())
+    tell = lambda df, column: sorted(str(r[0]) for r in df.select(column).collect())
+    bench = spark.createDataFrame([("x", "the of and")], "Name string, TEXT string")
+    model = quality.train(docs, spark.createDataFrame([(7, 1), (8, 0), (10, 1), (11, 0), (13, 1), (14, 0)], "doc_id long, quality int"))
+    assert tell(quality.scores_of(named, model, "doc.id", "TEXT"), "doc_id") == ids
+    assert tell(pii.find_pii(named, "doc.id", "TEXT"), "doc_id") == ids
+    assert tell(decontaminate.mark(named, bench.withColumnsRenamed({"Name": "item_id", "TEXT": "text"}), "doc.id", "TEXT"), "doc_id") == ids
+    assert tell(mixing.mix(named, id_col="doc.id", text_col="TEXT", source_col="Source"), "id") == ids
+    for out in (pii.redact(named, "TEXT"), quality.accepted(named, model, 0.0, "TEXT"), decontaminate.cleaned(named, bench.withColumnsRenamed({"Name": "item_id", "TEXT": "text"}), "TEXT")):
+        assert out.columns == named.columns and out.count() == len(ids)
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    assert tell(tokens.count_tokens(named, public_tokenizers.path("piece_bpe_32k.model"), id_col="doc.id", text_col="TEXT"), "doc_id") == ids
+
+
+def test_hot_keys_meet_their_values(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}") for i in range(900)] + [(1000, None), (1001, "alone")]
+    df = spark.createDataFrame(rows, "id long, key string")
+    counts = defaultdict(int)
+    for _, k in rows:
+        counts[k] += 1
+    table = spark.createDataFrame([(k, n, f"v{k}", n) for k, n in counts.items() if k not in (None, "alone")], "key string, n long, value string, size long")
+    got = with_hot_keys(df, table, "key", ["value", "size"], ["id"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, k, f"v{k}" if k not in (None, "alone") else None, counts[k] if k not in (None, "alone") else None)) for i, k in rows)
+    assert with_hot_keys(df.limit(0), table, "key", ["value"], ["id"]).count() == 0 and with_hot_keys(df, table.limit(0), "key", ["value"], ["id"]).where("value IS NULL").count() == len(rows)
