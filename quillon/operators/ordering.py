@@ -18,21 +18,27 @@ def _spread(df: DataFrame, order: list) -> DataFrame:
     return held(ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
 
 
-def _with_offset(rows: DataFrame, total) -> DataFrame:
+def running_sums(df: DataFrame, order: list, **values) -> DataFrame:
+    """For each ``name=value``, the sum of ``value`` over all rows up to and including each, as column ``name``."""
+    rows = _spread(df.withColumns({f"__v_{n}": v for n, v in values.items()}), order)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("__part").agg(total.alias("__total"), F.min("__at").alias("__first"))
-    offsets = totals.select("__part", "__first", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    return rows.join(F.broadcast(offsets), "__part")  # one row a partition
-
-
-def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Position of each row from 1 in the whole order."""
-    rows = _with_offset(_spread(df, order), F.count(F.lit(1)))
-    return rows.withColumn(name, (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("int")).drop("__part", "__at", "__first", "__before")
+    totals = rows.groupBy("__part").agg(*(F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values))
+    offsets = totals.select("__part", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in values))
+    upto = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(offsets), "__part")  # one row a partition
+    return rows.select(*df.columns, *((F.sum(f"__v_{n}").over(upto) + F.col(f"__b_{n}")).alias(n) for n in values))
 
 
 def running_sum(df: DataFrame, value: str, order: list, name: str = "used") -> DataFrame:
     """Sum of ``value`` over all rows up to and including each."""
-    rows = _with_offset(_spread(df, order), F.sum(value))
-    own = F.sum(value).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, own + F.col("__before")).drop("__part", "__at", "__first", "__before")
+    return running_sums(df, order, **{name: F.col(value)})
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Position of each row from 1 in the whole order, as a long."""
+    rows = _spread(df, order)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__total"), F.min("__at").alias("__first"))
+    offsets = totals.select("__part", (F.coalesce(F.sum("__total").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    rows = rows.join(F.broadcast(offsets), "__part")  # one row a partition
+    return rows.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))

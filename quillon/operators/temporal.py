@@ -200,7 +200,7 @@ def rotation(issuers: DataFrame, days: DataFrame, order: str = "issuer") -> Data
     """(day, issuer): one issuer a day in turn, in the order of the roster; days count from the first."""
     roster = global_rank(issuers.select(F.col(order).alias("issuer")).distinct(), ["issuer"], "turn")
     turns = global_rank(days.select("day").distinct(), ["day"], "nth").crossJoin(F.broadcast(roster.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    return turns.where("n > 0").withColumn("turn", (F.pmod(F.col("nth") - 1, F.col("n")) + 1).cast("int")).join(roster, "turn").select("day", "issuer")
+    return turns.where("n > 0").withColumn("turn", F.pmod(F.col("nth") - 1, F.col("n")) + 1).join(roster, "turn").select("day", "issuer")
 
 
 def next_turn(pool: DataFrame, ledger: DataFrame, day: str, most_attempts: int = 3) -> DataFrame:

@@ -90,13 +90,13 @@ def page_window_corpus(spark, sf_dir):
     """Chunks of every rendered page with contiguous row numbers."""
     rows = rendered(spark, sf_dir).select("document", "page", F.posexplode(X.chunks(F.col("text"))).alias("chunk", "c"))
     at = global_rank(rows, ["document", "page", "chunk"])
-    return at.select((F.col("rank") - 1).alias("row_index"), "document", "page", "c.start", "c.end")
+    return at.select((F.col("rank") - 1).cast("int").alias("row_index"), "document", "page", "c.start", "c.end")
 
 
 @query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY regexp_extract(p_brand, '^\\D*'), regexp_extract(p_brand, '\\d+')::INTEGER, p_partkey)::INTEGER AS rank FROM part")
 def version_sort(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return global_rank(rows.withColumn("key", X.version_key(F.col("p_brand"))), ["key", "p_partkey"]).drop("key")
+    return global_rank(rows.withColumn("key", X.version_key(F.col("p_brand"))), ["key", "p_partkey"]).select("p_partkey", "p_brand", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
