@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines; nothing else in the package imports them."""
 
-from quillon.llm import decontaminate, jaccard, mixing, nearest, pii, quality, repeats, tokens, url_rules, warc
+from quillon.llm import decontaminate, jaccard, mixing, nearest, pii, prefix_trie, quality, repeats, tokens, url_rules, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_mix": mixing.op10_mix,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL}
