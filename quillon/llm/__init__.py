@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines; nothing else in the package imports them."""
 
-from quillon.llm import decontaminate, jaccard, mixing, nearest, pii, prefix_trie, quality, repeats, tokens, toxicity, url_rules, warc
+from quillon.llm import collocations, decontaminate, jaccard, mixing, nearest, pii, prefix_trie, quality, repeats, tokens, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_mix": mixing.op10_mix,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_collocations": collocations.op12_collocations,
     "op13_toxicity": toxicity.op13_toxicity,
 }
-ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL}
+ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL, "op12_collocations": collocations.SQL}
