@@ -151,3 +151,37 @@ def summary_candidates(spark, sf_dir):
     text = F.coalesce(line, F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")))
     rows = li.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("seq"), F.col("l_linenumber").alias("item"), F.when(k == 3, "TABLE_ROW").otherwise("PARAGRAPH").alias("node_type"), text.alias("text"), F.lit("").alias("context"), cells.alias("cells"), F.when(k == 3, F.array(F.lit("대상"), F.lit("혜택"), F.lit("한도"))).alias("headers"))
     return summary.candidates(rows)
+
+
+_STATED = f"""WITH x AS (
+SELECT l_orderkey AS document, l_linenumber AS seq, trim(
+  CASE l_linenumber % 4 WHEN 0 THEN '연회비 본인' WHEN 1 THEN '연회비 가족' WHEN 2 THEN '커피' ELSE '주유' END
+  || CASE WHEN l_suppkey % 7 < 2 THEN ' ' || l_quantity::BIGINT || '만원' WHEN l_suppkey % 7 = 2 THEN ' 라운지 이용' ELSE ' ' || round(l_discount * 100)::BIGINT || '% 할인' END
+  || CASE l_returnflag WHEN 'A' THEN ' 제외' WHEN 'R' THEN '' ELSE ' (전월 실적 ' || l_quantity::BIGINT || '만원 이상)' END
+  || CASE l_quantity::BIGINT % 5 WHEN 0 THEN ', 월 ' || l_linenumber || '회' WHEN 1 THEN ' 조건 없이' WHEN 2 THEN ' 바우처 신청' WHEN 3 THEN ' 연체 시' ELSE '' END) AS text FROM lineitem
+), v AS (SELECT *, regexp_replace(text, '{summary.EXEMPTION}', '', 'g') AS rest, regexp_replace(text, '\\([^()]*\\)', ' ', 'g') AS main FROM x
+), f AS (SELECT *, contains(text, '연회비') AS fee, regexp_matches(text, '{summary.AMOUNT}') AS amount, regexp_matches(text, '{summary.BENEFIT}') AS words, regexp_matches(text, '\\d+(?:\\.\\d+)?\\s*%|무료\\s*(?:제공|이용)') AS rated,
+  (regexp_matches(text, '{{rate}}') OR regexp_matches(text, '{{sum}}')) AND NOT regexp_matches(text, '{{procedure}}') AS concrete, regexp_matches(text, '{{cap_line}}') AS cap_line, regexp_matches(text, '{{cap_words}}') AS cap_words,
+  regexp_matches(main, '{summary.NEGATED}') AND NOT regexp_matches(regexp_replace(main, '{summary.NEGATED}', '', 'g'), '{summary.BENEFIT}') OR regexp_matches(text, '{{not_given}}') OR regexp_matches(text, '{{no_offer}}') AS void,
+  regexp_matches(rest, '{summary.CONDITION}') OR contains(rest, '조건') AS left_over, regexp_matches(text, '{summary.EXEMPTION}') AS exempt,
+  list_distinct(regexp_extract_all(text, '{summary.QUALIFIER}') || regexp_extract_all(text, '{summary.EXEMPTION}') || list_filter(regexp_extract_all(text, '\\(([^()]*)\\)', 1), lambda y: regexp_matches(y, '{summary.CONDITION}|한함|해당'))) AS within FROM v
+), o AS (SELECT *, words AND concrete AND NOT (rated IS FALSE AND (cap_words OR cap_line)) AND NOT void AS offer, left_over OR cap_line AND NOT rated OR void AND regexp_matches(text, '{{denied}}') AS bound FROM f)
+SELECT document, seq, 0 AS part, 'annual_fee' AS field, (CASE WHEN contains(text, '본인') THEN 10 ELSE 5 END - CASE WHEN contains(text, '가족') AND NOT contains(text, '본인') THEN 5 ELSE 0 END)::INTEGER AS score, false AS heading, text FROM o WHERE fee AND amount AND NOT regexp_matches(text, '{summary.FEE_BAD}')
+UNION ALL SELECT document, seq, 0, 'benefit', 10, false, text FROM o WHERE NOT fee AND offer
+UNION ALL SELECT document, seq, 0, 'condition', CASE WHEN len(within) > 0 OR exempt OR regexp_matches(t, '{summary.STRONG_TERM}') THEN 8 ELSE 1 END, false, t FROM (SELECT *, unnest(CASE WHEN offer THEN within ELSE [text] END) AS t FROM o WHERE NOT fee AND (bound OR exempt AND NOT offer))"""
+for _name, _, _pattern in summary.SIGNALS:
+    _STATED = _STATED.replace("{" + _name + "}", _pattern)
+
+
+@query(_STATED)
+def summary_fields(spark, sf_dir):
+    """Line items as lines put together from a name, an amount, an exclusion and a term that do not depend on each other; the SQL finds the facts in the text."""
+    q, linenumber = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    pick = lambda on, *texts: F.element_at(F.array(*(t if not isinstance(t, str) else F.lit(t) for t in texts)), (on + 1).cast("int"))
+    name = pick(linenumber % 4, "연회비 본인", "연회비 가족", "커피", "주유")
+    rate = F.concat(F.lit(" "), F.round(F.col("l_discount") * 100).cast("long").cast("string"), F.lit("% 할인"))
+    amount = F.when(F.col("l_suppkey") % 7 < 2, F.concat(F.lit(" "), q.cast("string"), F.lit("만원"))).when(F.col("l_suppkey") % 7 == 2, " 라운지 이용").otherwise(rate)
+    kept = F.when(F.col("l_returnflag") == "A", " 제외").when(F.col("l_returnflag") == "R", "").otherwise(F.concat(F.lit(" (전월 실적 "), q.cast("string"), F.lit("만원 이상)")))
+    term = pick(q % 5, F.concat(F.lit(", 월 "), linenumber.cast("string"), F.lit("회")), " 조건 없이", " 바우처 신청", " 연체 시", "")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document"), linenumber.alias("seq"), linenumber.alias("item"), F.lit("PARAGRAPH").alias("node_type"), F.trim(F.concat(name, amount, kept, term)).alias("text"), F.lit("").alias("context"))
+    return summary.candidates(rows)
