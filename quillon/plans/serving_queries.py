@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
@@ -13,6 +16,7 @@ from quillon.plans import resources
 from quillon.plans.registry import query, read
 from quillon.plans.relational_queries import PROD, products
 from quillon.sources import files, snapshot
+from quillon.sources.commits import CommitLog
 
 SPELLINGS = ("BC Card", "하나-카드", "현대 카드", "ＫＢ국민카드", "lotte_card", "삼성", "Shinhan", "우리카드")
 CODES = ("bc", "hana", "hyundai", "kb", "lotte", "samsung", "shinhan", "woori")
@@ -26,12 +30,31 @@ def issuer_aliases(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def generation_round_trip(spark, sf_dir):
-    """Published, found through the pointer, checked against its seal, pinned and read."""
+    """Published, found through the log, checked against its seal, pinned and read."""
     root = shared_folder(spark, "generations")
     published = snapshot.publish(spark, root, {"nation": read(spark, sf_dir, "nation"), "region": read(spark, sf_dir, "region")}, {"nation": ["n_nationkey"]})
     return snapshot.poll(spark, root, None).require(published)["nation"].select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query("SELECT o_orderpriority, 1 + dense_rank() OVER (ORDER BY o_orderpriority) AS number, o_orderkey FROM orders")
+def generations_in_order(spark, sf_dir):
+    """A generation for each priority, published by several at once over a first one; the log gives each a number, and a reader that polls after each sees them in order.
+
+    Numbers are given by arrival, so rows carry the place of their generation in the order of priorities instead; every number must have been taken once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, orders = shared_folder(spark, "publishers"), read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+    snapshot.publish(spark, root, {"orders": orders.limit(0)})
+    kinds = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]  # five
+    with ThreadPoolExecutor(len(kinds) or 1) as pool:
+        made = list(pool.map(lambda kind: snapshot.publish(spark, root, {"orders": orders.where(F.col("o_orderpriority") == kind)}), kinds))
+    entries = CommitLog(spark, root).history()
+    if sorted(e.number for e in entries) != list(range(len(kinds) + 1)) or {e.generation for e in entries[:-1]} != set(made) or snapshot.poll(spark, root, None).generation != entries[0].generation:
+        raise ValueError("the log lost a generation")
+    tables = [snapshot.load(spark, root, g)["orders"].select("o_orderpriority", F.lit(i + 2).cast("long").alias("number"), "o_orderkey") for i, g in enumerate(made)]
+    return reduce(DataFrame.unionByName, tables)
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def strict_jsonl(spark, sf_dir):
     """Written as JSON lines and read by the strict reader."""

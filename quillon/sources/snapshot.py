@@ -1,27 +1,36 @@
-"""Immutable generations: tables written beside each other, sealed last, found through a pointer.
+"""Immutable generations: tables written beside each other, sealed, then made known by an entry of the commit log.
 
-A generation is a folder of Parquet tables with a seal (row counts and schema of each); readers
-see it only through the pointer table, which is rewritten last.  Queries hold a ``Snapshot``, so a swap never changes
-what a running query reads.  All access goes through Spark, so any storage it can reach works.
+A generation is a folder of Parquet tables with a seal (rows, columns and a checksum of each); readers see it only through the log
+(``commits``), whose entry is written last.  Queries hold a ``Snapshot``, so a swap never changes what a running query reads.
+All access goes through Spark and its file systems, so any storage they can reach works.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import canonical_json
+from quillon.sources.commits import Commit, CommitLog
+
+log = logging.getLogger(__name__)
 
 
 class GenerationMismatch(ValueError):
     """A request names another generation than the one pinned."""
 
 
+class SealBroken(ValueError):
+    """A generation's tables are not those that were sealed."""
+
+
 class Snapshot:
-    def __init__(self, generation: str, tables: dict[str, DataFrame]):
-        self.generation, self.tables = generation, tables
+    def __init__(self, generation: str, tables: dict[str, DataFrame], number: int | None = None):
+        self.generation, self.tables, self.number = generation, tables, number
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -36,48 +45,84 @@ def _folder(root: str, generation: str) -> str:
     return f"{root.rstrip('/')}/gen={generation}"
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> str:
-    """Write a generation, seal it, and point to it; returns its id.  Tables with keys are range-partitioned and sorted by them."""
+def _checksum(df: DataFrame) -> int:
+    """A number that does not depend on the order of rows: the exclusive or of their hashes and how often each occurs."""
+    text = F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if "map" in t or "variant" in t else F.col(f"`{c}`").alias(f"c{i}") for i, (c, t) in enumerate(df.dtypes))))
+    each = df.select(F.xxhash64(text).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.bit_xor(F.xxhash64("h", "n"))).first()[0] or 0
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, parent: int | None = None) -> str:
+    """Write a generation, seal it and enter it in the log; returns its id.  Tables with keys are range-partitioned and sorted by them.
+
+    With ``parent``, the number of the snapshot it was made from, a commit made meanwhile raises ``CommitConflict``; without, it comes after whatever is there.
+    """
     generation = uuid.uuid4().hex
     for name, df in tables.items():
         by = (keys or {}).get(name)
         ordered = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
         ordered.write.parquet(f"{_folder(root, generation)}/{name}")
-    seal = [(name, spark.read.parquet(f"{_folder(root, generation)}/{name}").count(), canonical_json(df.dtypes)) for name, df in tables.items()]
-    spark.createDataFrame(seal, "name string, n long, columns string").coalesce(1).write.parquet(f"{_folder(root, generation)}/sealed_tables")
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/pointer")
+    written = {name: spark.read.parquet(f"{_folder(root, generation)}/{name}") for name in tables}
+    seal = [(name, written[name].count(), canonical_json(df.dtypes), _checksum(written[name])) for name, df in tables.items()]
+    spark.createDataFrame(seal, "name string, n long, columns string, checksum long").coalesce(1).write.parquet(f"{_folder(root, generation)}/sealed_tables")
+    CommitLog(spark, root).commit(generation, parent)
     return generation
 
 
-def current(spark: SparkSession, root: str) -> str:
-    """The generation the pointer names: the row written last."""
-    rows = spark.read.parquet(f"{root.rstrip('/')}/pointer").select("generation", "_metadata.file_modification_time")
-    return rows.orderBy(F.desc("file_modification_time"), F.desc("generation")).first().generation
+def current(spark: SparkSession, root: str, since: int | None = None) -> Commit:
+    """The last entry of the log (from entry ``since`` on)."""
+    found = CommitLog(spark, root).last(since)
+    if found is None:
+        raise FileNotFoundError(f"nothing is published at {root}")
+    return found
 
 
-def load(spark: SparkSession, root: str, generation: str | None = None) -> Snapshot:
-    """Read a sealed generation; row counts and columns must be those of its seal."""
-    generation = generation or current(spark, root)
+def load(spark: SparkSession, root: str, generation: str | None = None, whole: bool = False) -> Snapshot:
+    """Read a sealed generation, the last one unless it is named; rows and columns (and with ``whole`` every value) must be those of its seal."""
+    number = None
+    if generation is None:
+        number, generation, _ = current(spark, root)
     tables = {}
-    for name, n, columns in spark.read.parquet(f"{_folder(root, generation)}/sealed_tables").collect():
-        df = spark.read.parquet(f"{_folder(root, generation)}/{name}")
-        if canonical_json(df.dtypes) != columns or df.count() != n:
-            raise ValueError(f"{name} of generation {generation} does not match its seal")
-        tables[name] = df
-    return Snapshot(generation, tables)
+    try:
+        sealed = spark.read.parquet(f"{_folder(root, generation)}/sealed_tables").collect()  # one row a table
+        for name, n, columns, checksum in sealed:
+            df = spark.read.parquet(f"{_folder(root, generation)}/{name}")
+            if canonical_json(df.dtypes) != columns or df.count() != n or whole and _checksum(df) != checksum:
+                raise SealBroken(f"{name} of generation {generation} does not match its seal")
+            tables[name] = df
+    except AnalysisException as error:  # a folder or its footers are gone
+        raise SealBroken(f"generation {generation} cannot be read") from error
+    return Snapshot(generation, tables, number)
 
 
 def poll(spark: SparkSession, root: str, held: Snapshot | None) -> Snapshot:
-    """The held snapshot while the pointer names it; a new one once it is readable; the held one if the new one is broken."""
-    newest = current(spark, root)
-    if held is not None and held.generation == newest:
-        return held
-    try:
-        return load(spark, root, newest)
-    except Exception:
-        if held is None:
-            raise
+    """The newest readable generation after the held one; the held one while there is none.
+
+    Entries are tried from the newest back to the held one, never further; those that are broken are logged.  Without a held one the newest that can be read is taken, and
+    if there is none the newest one's fault raises.
+    """
+    entries = CommitLog(spark, root)
+    at = None if held is None else held.number
+    newest = entries.last(at)
+    if newest is None and at is None:
+        raise FileNotFoundError(f"nothing is published at {root}")
+    if newest is None or newest.number == at or held is not None and newest.generation == held.generation:
         return held
+    fault = None
+    for entry in entries.history(newest.number):
+        if at is not None and entry.number <= at or held is not None and entry.generation == held.generation:
+            return held
+        try:
+            got = load(spark, root, entry.generation)
+        except SealBroken as error:
+            log.warning("entry %d: %s", entry.number, error)
+            fault = fault or error
+        else:
+            got.number = entry.number
+            return got
+    if held is None:
+        raise fault
+    return held
 
 
 def object_path(digest: str) -> str:

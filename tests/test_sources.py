@@ -1,6 +1,8 @@
 """Snapshots, file formats, search over a pinned generation, and streaming forms."""
 
 import hashlib
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans import search
 from quillon.sources import files, snapshot
+from quillon.sources.commits import CommitConflict, CommitLog
 from quillon.streaming import ledger
 
 
@@ -49,8 +52,47 @@ def test_poll_keeps_what_works(spark, root, tmp_path):
     assert snapshot.poll(spark, root, held) is held
     newer = snapshot.publish(spark, root, {"revisions": held["revisions"], "matrix": held["matrix"]})
     assert snapshot.poll(spark, root, held).generation == newer
-    spark.createDataFrame([("broken",)], "generation string").write.mode("append").parquet(f"{root}/pointer")
+    held = snapshot.poll(spark, root, held)
+    CommitLog(spark, root).commit("broken")
     assert snapshot.poll(spark, root, held) is held
+    assert snapshot.poll(spark, root, None).generation == held.generation  # the newest that can be read
+
+
+def test_commits_have_one_order(spark, tmp_path):
+    """Publishers at once, equal file times and clocks that go back give one order; readers never go back."""
+    root = str(tmp_path)
+    log = CommitLog(spark, root)
+    assert log.last() is None and log.history() == []
+    with pytest.raises(FileNotFoundError):
+        snapshot.poll(spark, root, None)
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: CommitLog(spark, root).commit(f"g{i}"), range(24)))
+    assert sorted(c.number for c in made) == list(range(24)) and len({c.generation for c in made}) == 24
+    for k, c in enumerate(made):  # file times say nothing: all equal, then turned round
+        os.utime(tmp_path / "commits" / f"{c.number:020d}.json", (1000, 1000))
+    want = max(made)
+    assert log.last() == want == log.last(0) == log.last(23) and log.history()[0] == want and log.read(99) is None
+    for c in made:
+        os.utime(tmp_path / "commits" / f"{c.number:020d}.json", (2000 - c.number, 2000 - c.number))
+    assert log.last() == want and [c.number for c in log.history(5)] == [5, 4, 3, 2, 1, 0]
+    with pytest.raises(CommitConflict):
+        log.commit("late", parent=22)
+    assert log.commit("next", parent=23).parent == 23
+    assert not list((tmp_path / "commits").glob("_*"))  # no files left behind
+
+
+def test_seal_tells_changed_tables(spark, tmp_path):
+    root, rows_ = str(tmp_path), spark.range(50).withColumn("m", F.create_map(F.lit("k"), F.col("id")))
+    g = snapshot.publish(spark, root, {"t": rows_})
+    held = snapshot.load(spark, root, whole=True)
+    assert held.number == 0 and held["t"].count() == 50
+    spark.range(1, 51).withColumn("m", F.create_map(F.lit("k"), F.col("id"))).write.mode("overwrite").parquet(f"{root}/gen={g}/t")
+    assert snapshot.load(spark, root).generation == g  # as many rows, same columns
+    with pytest.raises(snapshot.SealBroken):
+        snapshot.load(spark, root, whole=True)
+    spark.range(3).write.mode("overwrite").parquet(f"{root}/gen={g}/t")
+    with pytest.raises(snapshot.SealBroken):
+        snapshot.poll(spark, root, None)
 
 
 def test_hybrid(spark):
