@@ -38,6 +38,7 @@ SMOOTH = 0.5
 PENALTY = 1e-3
 THRESHOLD = 0.5
 PLACES = 1 << 40
+PIECE = 512 << 10  # bytes of text whose n-grams a worker holds at a time, or one text
 BUCKETS = 22  # bits of the filter in front of the exact lookup
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -158,7 +159,7 @@ def _sample(labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
 def _toxic_grams(batches):
     """(hash, texts that hold it) of each batch of toxic texts."""
     for b in batches:
-        for (texts,) in slices(b, "text"):
+        for (texts,) in slices(b, "text", limit=PIECE):
             g = Grams(texts)
             each = []
             for _, h, whole in g.hashes():
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def held(batches):
         words, counts = Vocabulary(known), np.zeros((2, len(known)), np.int64)
         for b in batches:
-            for ys, t in slices(b, "y", "text"):
+            for ys, t in slices(b, "y", "text", limit=PIECE):
                 d, f = words.found(Grams(t))
                 of = ys.to_numpy()[d]
                 for c in (0, 1):
@@ -220,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def present(batches):
         words = Vocabulary(hashes)
         for b in batches:
-            for ys, places, t in slices(b, "y", "place", "text"):
+            for ys, places, t in slices(b, "y", "place", "text", limit=PIECE):
                 d, f = words.found(Grams(t))
                 cuts = np.searchsorted(d, np.arange(len(t) + 1))
                 yield pa.RecordBatch.from_arrays([ys, places, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(f.astype(np.int32)))], names=["y", "place", "features"])
@@ -247,7 +248,7 @@ def scores_of(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for b in batches:
-            for ids, texts in slices(b, "doc_id", "text"):
+            for ids, texts in slices(b, "doc_id", "text", limit=PIECE):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(texts))], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
