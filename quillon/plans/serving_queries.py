@@ -12,10 +12,11 @@ from quillon.holding import shared_folder
 from quillon.operators import catalog as C
 from quillon.operators import graph
 from quillon.operators import temporal as T
+from quillon.operators.ordering import global_rank
 from quillon.plans import resources
 from quillon.plans.registry import query, read
 from quillon.plans.relational_queries import PROD, products
-from quillon.sources import files, snapshot
+from quillon.sources import files, ranges, snapshot
 from quillon.sources.commits import CommitLog
 
 SPELLINGS = ("BC Card", "하나-카드", "현대 카드", "ＫＢ국민카드", "lotte_card", "삼성", "Shinhan", "우리카드")
@@ -156,3 +157,29 @@ def vector_blocks(spark, sf_dir):
     """The matrix as blocks of float32 bytes, which decode to the vectors again."""
     m = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
     return files.encode_f32(m, 1000).select("block", F.octet_length("content").alias("n_bytes"))
+
+
+_NUMBERED = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_index, embedding FROM embeddings"
+
+
+@query(f"SELECT row_index, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last, len(embedding)::INTEGER AS width FROM ({_NUMBERED})")
+def matrix_round_trip(spark, sf_dir):
+    """Vectors written as a sealed matrix of several parts, read again with every part's hash checked."""
+    rows = global_rank(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "nth").select((F.col("nth") - 1).alias("row_index"), "embedding")
+    path = shared_folder(spark, "matrix")
+    ranges.write_matrix(rows, path, 64, unit=False)
+    got = files.read_matrix(spark, path, 64, verify=True)
+    return got.select("row_index", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"), F.size("embedding").alias("width"))
+
+
+@query(f"SELECT row_index // 100 AS query_id, row_index % 100 AS row_index, embedding[1]::DOUBLE AS score FROM ({_NUMBERED}) WHERE row_index // 100 < (SELECT count(*) // 100 FROM embeddings)")
+def score_matrix_round_trip(spark, sf_dir):
+    """The first component of every vector as scores of a hundred rows a query: written, listed with a hash a segment, and read again through the list."""
+    rows = global_rank(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "nth").select((F.col("nth") - 1).alias("at"), F.col("embedding")[0].alias("x"))
+    segments = rows.groupBy(F.floor(F.col("at") / 100).cast("long").alias("row_index")).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).where(F.size("s") == 100)
+    path = shared_folder(spark, "scores")
+    seal = ranges.write_matrix(segments.select("row_index", F.transform("s", lambda v: v["x"]).alias("embedding")), path, 100, unit=False)
+    parts = spark.createDataFrame([(p["file"], p["first"]) for p in seal["parts"]], "file string, first long")
+    found = ranges.source(spark, ranges.ByteRanges, width=400).load(path).withColumn("file", F.element_at(F.split("file", "/"), -1)).join(parts, "file")
+    index = found.select((F.col("first") + (F.col("offset") / 400).cast("long")).alias("query_id"), "file", "offset", F.sha2("content", 256).alias("sha256"))
+    return files.read_score_matrix(spark, path, index, 100)

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.structure import PAGE_MARKER
+from quillon.sources import ranges
 from quillon.sources.snapshot import byte_range, object_path
 
 MAX_LINE = 1 << 20
-WHOLE = (1 << 31) - 64  # bytes of a file that is read as one value, at most
+PIECE = 16 << 20  # bytes of an object in one row
 
 
 def _strict(text: str, most: int) -> str | None:
@@ -51,44 +52,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, most: int = MAX_LINE
     return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-RECORD = 4 << 20  # bytes of a file read as one value, at most, where its size allows
-
-
-def _sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, length) of the files below a path; their content is not read."""
-    return sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
-
-
-def _records(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """(offset, content) of a file as records of one length, split over tasks: a file of any size."""
-    base = "org.apache.hadoop."
-    rows = spark.sparkContext.newAPIHadoopFile(path, base + "mapreduce.lib.input.FixedLengthInputFormat", base + "io.LongWritable", base + "io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(length)})
-    return spark.createDataFrame(rows.map(lambda r: (r[0], bytes(r[1]))), "offset long, content binary")
-
-
 def read_f32(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """(file, row_index, embedding) of row-major little-endian float32 matrices; files whose size is no whole number of rows raise.
+    """(file, row_index, embedding) of row-major little-endian float32 matrices, each file numbered from 0; one scan of byte ranges over all of them."""
+    return ranges.source(spark, ranges.Matrix, dim=dim).load(path)
 
-    A file is read as records of whole rows, as many as divide it within ``RECORD`` bytes, by as many tasks as it has splits.
-    """
-    width = 4 * dim
 
-    def run(batches):
-        for b in batches:
-            for offset, content in zip(b.column("offset").to_pylist(), b.column("content"), strict=True):
-                x = np.frombuffer(content.as_py(), "<f4").astype(np.float32)
-                m = len(x) // dim
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(m, dtype=np.int64) + offset // width), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(x))], names=["row_index", "embedding"])
-
-    out = spark.createDataFrame([], "file string, row_index long, embedding array<float>")
-    for name, size in _sizes(spark, path):
-        if size % width:
-            raise ValueError(f"{name} is no matrix of width {dim}")
-        n = size // width
-        rows = next(r for r in range(max(1, min(n, RECORD // width)), 0, -1) if n % r == 0)
-        if n:
-            out = out.unionByName(_records(spark, name, rows * width).mapInArrow(run, "row_index long, embedding array<float>").select(F.lit(name).alias("file"), "row_index", "embedding"))
-    return out
+def read_matrix(spark: SparkSession, path: str, dim: int, verify: bool = False) -> DataFrame:
+    """(row_index, embedding) of a sealed matrix; sizes, and with ``verify`` the hash of each part, must be those of its seal."""
+    seal = ranges.read_seal(path)
+    if seal is None or seal["dim"] != dim:
+        raise ValueError(f"{path} is no sealed matrix of width {dim}")
+    return ranges.source(spark, ranges.Matrix, dim=dim, sealed=True, verify=verify).load(path).select("row_index", "embedding")
 
 
 def encode_f32(matrix: DataFrame, rows_per_block: int = 4096) -> DataFrame:
@@ -275,20 +249,23 @@ def read_json_listing(rows: DataFrame, column: str, fields: dict[str, str]) -> D
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file below a path but empty ones, which Spark does not list; files over 2 GB, no value of Spark's, have a null hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    known = files.load(path).select("path", "length")
-    hashed = files.load(path).where(F.col("length") < WHOLE).select("path", F.sha2("content", 256).alias("sha256"))
-    return known.join(hashed, "path", "left").select("path", "length", "sha256")
+    """(path, length, sha256) of every file below a path, of any size: each is hashed as a stream by one task, small ones share a task."""
+    return ranges.source(spark, ranges.FileDigests).load(path)
+
 
+def read_range(spark: SparkSession, root: str, digest: str, header: str | None = None, piece: int = PIECE) -> DataFrame:
+    """(digest, size, start, end, offset, content) of a content-addressed object: all its bytes, or the single range that a header asks for.
 
-def read_range(spark: SparkSession, root: str, digest: str, header: str | None = None) -> DataFrame:
-    """(digest, size, start, end, content) of a content-addressed object: all its bytes, or the single range that a header asks for."""
+    Only that range is read, by as many tasks as it has parts; a row holds at most ``piece`` bytes from ``offset`` on, so objects may have any size.
+    """
     path = f"{root.rstrip('/')}/{object_path(digest)}"
-    files = spark.read.format("binaryFile").load(path)
-    (size,) = files.select("length").first()
+    ((_, size),) = ranges.listed(path)
     start, end = (0, size - 1) if header is None else byte_range(header, size)
-    return files.select(F.lit(digest).alias("digest"), F.col("length").alias("size"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.substring("content", start + 1, max(0, end - start + 1)).alias("content"))
+    told = [F.lit(digest).alias("digest"), F.lit(size).cast("long").alias("size"), F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end")]
+    if size == 0:
+        return spark.range(1).select(*told, F.lit(0).cast("long").alias("offset"), F.lit(b"").alias("content"))
+    got = ranges.source(spark, ranges.ByteRanges, width=piece, start=start, stop=end + 1).load(path)
+    return got.select(*told, "offset", "content")
 
 
 def read_score_matrix(spark: SparkSession, path: str, inventory: DataFrame, n_rows: int) -> DataFrame:
@@ -310,12 +287,10 @@ def read_score_matrix(spark: SparkSession, path: str, inventory: DataFrame, n_ro
                 x = np.frombuffer(raw, "<f4").astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array([q.as_py()] * n_rows, pa.int64()), pa.array(np.arange(n_rows, dtype=np.int64)), pa.array(x)], names=["query_id", "row_index", "score"])
 
-    segments = spark.createDataFrame([], "file string, offset long, content binary")
-    for name, size in _sizes(spark, path):
+    for name, size in ranges.listed(path):
         if size % width:
             raise ValueError(f"{name} does not match its inventory: it is no whole number of segments")
-        if size:
-            segments = segments.unionByName(_records(spark, name, width).select(F.lit(name.rsplit("/", 1)[-1]).alias("file"), "offset", "content"))
+    segments = ranges.source(spark, ranges.ByteRanges, width=width).load(path).withColumn("file", F.element_at(F.split("file", "/"), -1))
     rows = inventory.select(F.col("query_id").cast("long").alias("query_id"), "file", F.col("offset").cast("long").alias("offset"), "sha256").join(segments, ["file", "offset"], "left")
     return rows.select("query_id", "sha256", "content").mapInArrow(run, "query_id long, row_index long, score double")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.plans import search
-from quillon.sources import files, snapshot
+from quillon.sources import files, ranges, snapshot
 from quillon.sources.commits import CommitConflict, CommitLog
 from quillon.streaming import ledger
 
@@ -224,6 +224,78 @@ def test_matrix_files(spark, tmp_path):
     assert [r[0] for r in blob.select(files.unpack_blob("b")).collect()] == [[0.0, 1.0, 2.0], None]
 
 
+def test_many_matrix_files_are_one_scan(spark, tmp_path):
+    """A prime number of rows, empty and hidden files, and more files than partitions."""
+    x = np.random.default_rng(2).normal(size=(10_007, 3)).astype("<f4")
+    cuts = [0, *sorted(np.random.default_rng(3).integers(0, len(x), 399).tolist()), len(x)]
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / f"{k:05d}.f32").write_bytes(x[a:z].tobytes())
+    (tmp_path / "_hidden").write_bytes(b"12345")
+    got = files.read_f32(spark, str(tmp_path), 3)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("BatchScan") == 1 and "Union" not in plan and got.rdd.getNumPartitions() == 1
+    rows_ = sorted((r.file, r.row_index, tuple(r.embedding)) for r in got.collect())
+    assert [r[2] for r in rows_] == [tuple(float(v) for v in r) for r in x]
+    small = ranges.source(spark, ranges.Matrix, dim=3, rangebytes=4096).load(str(tmp_path))
+    assert small.rdd.getNumPartitions() > 10 and small.count() == len(x)
+    assert ranges.packed([("a", 10), ("b", 0), ("c", 25)], 4, 8)[:2] == [[("a", 0, 8)], [("a", 8, 2)]]
+    assert sum(n for g in ranges.packed([("a", 10), ("c", 25)], 4, 8) for _, _, n in g) == 35
+
+
+def test_sealed_matrix(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(1009, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_index long, embedding array<float>").repartition(7)
+    path = str(tmp_path / "v")
+    seal = ranges.write_matrix(df, path, 8)
+    parts = [(tmp_path / "v" / p["file"]).read_bytes() for p in seal["parts"]]
+    assert b"".join(parts) == x.tobytes() and seal["rows"] == 1009 and [p["sha256"] for p in seal["parts"]] == [hashlib.sha256(b).hexdigest() for b in parts]
+    assert not (tmp_path / "v" / "_temporary" / "x").exists() and not any((tmp_path / "v").glob("_temporary/*"))
+    for verify in (False, True):
+        assert [tuple(r.embedding) for r in files.read_matrix(spark, path, 8, verify).orderBy("row_index").collect()] == [tuple(float(v) for v in r) for r in x]
+    with pytest.raises(Exception, match="sealed"):
+        ranges.write_matrix(df, path, 8)
+    with pytest.raises(ValueError, match="no sealed matrix"):
+        files.read_matrix(spark, path, 4)
+    first = tmp_path / "v" / seal["parts"][0]["file"]
+    data = bytearray(first.read_bytes())
+    data[5] ^= 1
+    first.write_bytes(bytes(data))
+    assert files.read_matrix(spark, path, 8).count() == 1009  # sizes are right
+    with pytest.raises(Exception, match="seal"):
+        files.read_matrix(spark, path, 8, verify=True).count()
+    first.write_bytes(bytes(data[:32]))
+    with pytest.raises(Exception, match="seal"):
+        files.read_matrix(spark, path, 8).count()
+    wrong = {"missing": df.where("row_index <> 500"), "follow": df.unionByName(df.where("row_index = 3")), "width": df.withColumn("embedding", F.when(F.col("row_index") == 9, F.slice("embedding", 1, 7)).otherwise(F.col("embedding"))),
+             "length 1": df.withColumn("embedding", F.transform("embedding", lambda v: v * F.lit(1.01).cast("float"))), "null": df.withColumn("embedding", F.when(F.col("row_index") != 9, F.col("embedding")))}
+    for k, (_, bad) in enumerate(wrong.items()):
+        with pytest.raises(Exception):
+            ranges.write_matrix(bad, str(tmp_path / f"w{k}"), 8)
+        assert ranges.read_seal(str(tmp_path / f"w{k}")) is None and not list((tmp_path / f"w{k}").glob("**/*.f32"))
+    assert ranges.write_matrix(df.limit(0), str(tmp_path / "none"), 8)["rows"] == 0 and files.read_matrix(spark, str(tmp_path / "none"), 8, True).count() == 0
+
+
+def test_objects_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file of 2.3 GB: hashed as a stream, and ranges of it read without the rest."""
+    size, mark = (2300 << 20) + 7, b"mark"
+    place = tmp_path / snapshot.object_path("ab" * 32)
+    place.parent.mkdir(parents=True)
+    with open(place, "wb") as f:
+        f.truncate(size)
+        f.seek(size - 4)
+        f.write(mark)
+    got = files.read_range(spark, str(tmp_path), "ab" * 32, "bytes=-10").collect()
+    assert [(r.size, r.start, r.end, r.offset, bytes(r.content)) for r in got] == [(size, size - 10, size - 1, size - 10, b"\0" * 6 + mark)]
+    middle = files.read_range(spark, str(tmp_path), "ab" * 32, f"bytes=5-{100 << 20}", piece=8 << 20)
+    assert middle.rdd.getNumPartitions() > 2 and middle.agg(F.sum(F.octet_length("content")), F.min("offset")).first() == ((100 << 20) - 4, 5)
+    digest = hashlib.sha256()
+    for _ in range(size // (1 << 20)):
+        digest.update(bytes(1 << 20))
+    digest.update(b"\0" * (size % (1 << 20) - 4) + mark)
+    assert [(r.length, r.sha256) for r in files.inventory(spark, str(tmp_path)).collect()] == [(size, digest.hexdigest())]
+
+
 def test_pages_and_listing(spark):
     docs = spark.createDataFrame([(1, "## Page 2\nalpha\n## Page 3\nbeta\n", 2, 3)], "document int, text string, first int, last int")
     assert sorted(tuple(r) for r in files.split_pages(docs).collect()) == [(1, 2, "alpha"), (1, 3, "beta")]
