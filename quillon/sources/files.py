@@ -19,7 +19,7 @@ MAX_LINE = 1 << 20
 PIECE = 16 << 20  # bytes of an object in one row
 
 
-def _strict(text: str, most: int) -> str | None:
+def _strict(text: str, most: int, canonical: bool = False) -> str | None:
     """What is wrong with a line, or null."""
 
     def pairs(items):
@@ -31,24 +31,40 @@ def _strict(text: str, most: int) -> str | None:
     def constant(name):
         raise ValueError(f"{name} is no JSON number")
 
+    if not text:
+        return "blank line"
+    if text.startswith("\ufeff"):
+        return "byte order mark"
     if len(text.encode()) > most:
         return "line too long"
     try:
-        json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        if not isinstance(value, dict):
+            return "no object"
+        if canonical and json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) != text:
+            return "no canonical JSON"
     except ValueError as error:
         return str(error)
     return None
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, most: int = MAX_LINE) -> DataFrame:
-    """Rows of strict JSON lines: duplicate keys, NaN, over-long or malformed lines raise when read."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, most: int = MAX_LINE, canonical: bool = False) -> DataFrame:
+    """Rows of strict JSON lines; what is not strict raises when read.
+
+    That is: duplicate keys, NaN, lines that are blank, over-long, malformed or no objects, a byte order mark, a carriage return, with ``canonical`` lines that are not canonical
+    JSON, and files whose last line does not end.  A file has as many bytes as its lines and their ends, which tells the last; only lengths are read for it.
+    Files without a byte have no rows.
+    """
 
     @F.arrow_udf(T.StringType())
     def fault(values: pa.Array) -> pa.Array:
-        return pa.array([_strict(v, most) for v in values.to_pylist()], pa.string())
+        return pa.array([_strict(v, most, canonical) for v in values.to_pylist()], pa.string())
 
-    rows = spark.read.text(path).where(F.length("value") > 0)
-    checked = rows.withColumn("why", fault(F.col("value"))).withColumn("value", F.when(F.col("why").isNotNull(), F.raise_error(F.col("why")).cast("string")).otherwise(F.col("value")))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    sizes = lines.select("_metadata.file_path", "_metadata.file_size", F.octet_length("value").alias("n")).groupBy("file_path", "file_size").agg(F.sum(F.col("n") + 1).alias("n"))
+    open_end = sizes.agg(F.min(F.when(F.col("n") != F.col("file_size"), F.concat(F.lit("no line end at the end of "), F.col("file_path")))).alias("open"))
+    checked = lines.crossJoin(F.broadcast(open_end)).withColumn("why", F.coalesce("open", fault(F.when(F.contains("value", F.lit("\r")), "\r").otherwise(F.col("value")))))  # one row
+    checked = checked.withColumn("value", F.when(F.col("why").isNotNull(), F.raise_error(F.col("why")).cast("string")).otherwise(F.col("value")))
     return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

@@ -191,6 +191,22 @@ def test_jsonl(spark, tmp_path):
         bad.write_text(line + "\n")
         with pytest.raises(Exception):
             files.read_jsonl(spark, str(bad), "a int").collect()
+    for content in ('{"a": 1}\n{"a": 2}', '{"a": 1}\n\n{"a": 2}\n', "\n", '\ufeff{"a": 1}\n', '{"a": 1}\r\n', "[1]\n", "3\n"):
+        bad.write_text(content)
+        with pytest.raises(Exception):
+            files.read_jsonl(spark, str(bad), "a int").collect()
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(5):
+        (many / f"{k}.jsonl").write_text(f'{{"a":{k},"b":"é"}}\n' * (k + 1))
+    assert files.read_jsonl(spark, str(many), "a int, b string", canonical=True).count() == 15
+    (many / "5.jsonl").write_text('{"a":5}')
+    with pytest.raises(Exception, match="5.jsonl"):
+        files.read_jsonl(spark, str(many), "a int").collect()
+    (many / "5.jsonl").write_text('{"a": 5}\n')
+    assert files.read_jsonl(spark, str(many), "a int").count() == 16
+    with pytest.raises(Exception, match="canonical"):
+        files.read_jsonl(spark, str(many), "a int", canonical=True).collect()
 
 
 def test_matrix_files(spark, tmp_path):
