@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as X
 from quillon.functions.vectors import cosine, dot, norm, score_blocks, score_pairs
+from quillon.holding import shared_folder
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
 from quillon.operators import validation as V
 from quillon.operators.ordering import global_rank
 from quillon.plans.registry import held, query, read
+from quillon.sources import lexical
 
 CHILD_LANES = ("TITLE", "RAW_ITEM", "CONTEXTUAL_ITEM", "DETAIL", "MAJOR_SECTION")
 WORDS_AND, WORDS_OR = "the of", "queaire les"
@@ -169,6 +171,46 @@ def bm25_topk(spark, sf_dir):
     return lexical_ranks(spark, sf_dir)
 
 
+def indexed(spark, sf_dir):
+    """The index of all texts, written to the shared folder."""
+    path = shared_folder(spark, "lexical")
+    lexical.build(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return lexical.LexicalIndex(spark, path)
+
+
+@query(BM25 + "SELECT * FROM lex")
+def bm25_topk_indexed(spark, sf_dir):
+    """``bm25_topk`` from a persisted index: the search reads postings, not texts."""
+    asked = spark.createDataFrame([(0, R.query_tokens(WORDS_AND))], "query_id int, words array<string>")
+    return indexed(spark, sf_dir).search(asked, 100, places=6).select("id", "score", "rank")
+
+
+ASKED = TOKENS.rstrip() + """, q AS (SELECT id AS query_id, unnest(list_distinct([w[1], w[len(w)]])) AS token FROM t WHERE id % 100 = 0 AND len(w) > 0),
+nq AS (SELECT query_id, count(*) AS n_words FROM q GROUP BY query_id),
+c AS (SELECT id, token, len(w) AS dl, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM t) GROUP BY id, token, len(w)),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM t), df AS (SELECT token, count(*)::DOUBLE AS d FROM c GROUP BY token)
+"""
+
+
+@query(ASKED + """, x AS (SELECT q.query_id, c.id, round(sum(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, count(*) AS held
+FROM q JOIN c ON c.token = q.token JOIN df ON df.token = q.token, g GROUP BY q.query_id, c.id)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM x JOIN nq USING (query_id) WHERE held = n_words
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""")
+def indexed_searches(spark, sf_dir):
+    """Every document whose id is divisible by 100 asks with its first and last word; the ten best texts of each, from one index."""
+    words = X.all_tokens(F.col("text"))
+    asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where(F.size("w") > 0).select("query_id", F.array(F.col("w")[0], F.element_at("w", -1)).alias("words"))
+    return indexed(spark, sf_dir).search(asked, 10, places=6)
+
+
+@query(ASKED + "SELECT q.query_id, count(DISTINCT c.id) AS texts FROM q JOIN c ON c.token = q.token GROUP BY q.query_id")
+def indexed_matches(spark, sf_dir):
+    """How many texts hold the first or the last word of every hundredth document."""
+    words = X.all_tokens(F.col("text"))
+    asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where(F.size("w") > 0).select("query_id", F.array(F.col("w")[0], F.element_at("w", -1)).alias("words"))
+    return indexed(spark, sf_dir).matching(asked, every=False).groupBy("query_id").agg(F.count(F.lit(1)).alias("texts"))
+
+
 DENSE = """, dense AS (SELECT c.vec_id AS id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (ORDER BY round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.vec_id)::INTEGER AS rank
 FROM embeddings c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 100)
 """
