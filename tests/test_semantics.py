@@ -281,6 +281,30 @@ def test_packing(spark):
     assert batches.groupBy("batch").count().where("count > 3").count() == 0
 
 
+def plain_batches(rows_, most_rows, most_size):
+    out, state = [], {}
+    for k, o, s in sorted(rows_, key=lambda r: (r[0] is not None, r[0], r[1])):
+        batch, n, total = state.get(k, (0, 0, 0))
+        if n and (n >= most_rows or total + (s or 0) > most_size):
+            batch, n, total = batch + 1, 0, 0
+        state[k] = (batch, n + 1, total + (s or 0))
+        out.append((k, o, s, batch))
+    return out
+
+
+@pytest.mark.parametrize(("most_rows", "most_size"), [(7, 40), (1 << 30, 100), (5, 1 << 40), (1, 3), (64, 0)])
+def test_greedy_batches_over_blocks(spark, monkeypatch, most_rows, most_size):
+    """One key of nearly all rows over many blocks and partitions, small keys, null keys and sizes, rows beyond the cap, zeros."""
+    monkeypatch.setattr(paging, "BLOCK", 8)
+    rng = np.random.default_rng(most_rows % 97)
+    rows_ = [("a", i, int(s)) for i, s in enumerate(rng.integers(0, 30, 500))] + [(f"b{i % 3}", i, int(i % 50)) for i in range(40)] + [(None, i, 9) for i in range(30)] + [("z", 1, None), ("z", 2, 1000), ("z", 3, 1)]
+    df = spark.createDataFrame(rows_, "k string, o long, s long").repartition(5)
+    got = paging.greedy_batches(df, "k", "o", "s", most_rows, most_size)
+    key = lambda r: (r[0] is not None, r[0], r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=key) == plain_batches(rows_, most_rows, most_size)
+    assert paging.greedy_batches(df.limit(0), "k", "o", "s", most_rows, most_size).collect() == []
+
+
 def test_summary(spark):
     lines = [(1, 0, "PARAGRAPH", "연회비 본인 10,000원", ""), (1, 1, "PARAGRAPH", "연회비 가족 5,000원", ""), (1, 2, "LIST_ITEM", "커피 10% 할인 (전월 실적 30만원 이상)", ""), (1, 3, "PARAGRAPH", "아래 항목은 제외", ""), (1, 4, "LIST_ITEM", "주유 5% 할인", ""), (1, 5, "PARAGRAPH", "연회비 반환 금액 1,000원", ""), (1, 6, "PARAGRAPH", "적립 대상에서 제외", "")]
     df = spark.createDataFrame([(d, s, 0, k, t, c) for d, s, k, t, c in lines], "document int, seq int, item int, node_type string, text string, context string")
