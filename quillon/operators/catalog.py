@@ -9,10 +9,12 @@ import json
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
+from quillon.holding import held
 
 ISSUERS = ("bc", "hana", "hyundai", "kb", "lotte", "samsung", "shinhan", "woori")
 # Spellings of each issuer, separators removed and case folded.
@@ -151,21 +153,65 @@ def merchant_hits(passages: DataFrame, needle: str, most: int = 5, width: int =
     line = X.ws_collapse(F.col("text"))
     short = F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 3), F.lit("..."))).otherwise(line)
     found = passages.where(X.like_contains(F.col("text"), needle)).select("issuer", "product_code", "name", "position", short.alias("passage"))
-    one = found.groupBy("issuer", "product_code", "name", "passage").agg(F.min("position").alias("position"))
-    return one.groupBy("issuer", "product_code", "name").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("position", "passage"))), lambda x: x["passage"]), 1, most).alias("passages"))
+    key = ["issuer", "product_code", "name"]
+    one = found.groupBy(*key, "passage").agg(F.min("position").alias("position"))
+    first = one.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("position", "passage"))).where(F.col("k") <= most)  # limited in each task first
+    return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "passage"))), lambda x: x["passage"]).alias("passages"))
+
+
+SHARD = 200_000  # names of one automaton
+
+
+def _named(batches):
+    """(query_id, q, lineage, n) of the names in each query; a shard's names come before its queries."""
+    import ahocorasick
+
+    names, automaton = {}, None
+    for b in batches:
+        at, out = -1, []
+        for n, lineage, q in zip(*(b.column(c).to_pylist() for c in ("n", "lineage", "q")), strict=True):
+            at += 1
+            if q is None:
+                names.setdefault(n, []).append(lineage)
+                continue
+            if automaton is None:
+                automaton = ahocorasick.Automaton()
+                for name in names:
+                    automaton.add_word(name, name)
+                automaton.make_automaton()
+            if names:
+                out += [(at, q, lineage_, name) for name in {name for _, name in automaton.iter(q)} for lineage_ in names[name]]
+        rows = pa.array([o[0] for o in out], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("query_id").take(rows), *(pa.array([o[k] for o in out], b.schema.field(c).type) for k, c in ((1, "q"), (2, "lineage"), (3, "n")))], names=["query_id", "q", "lineage", "n"])
+
+
+def _hits(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, q, lineage, n) of every name that occurs in a query's text.
+
+    Names are cut into shards of about ``SHARD``; each is a trie automaton, through which a text passes once.  A shard's queries are dealt over many tasks, each of which
+    gets the shard's names ahead of its queries.
+    """
+    spark = queries.sparkSession
+    shards = max(1, -(-products.count() // SHARD))
+    deals = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "q": "string", "lineage": dict(products.dtypes)["lineage"], "n": "string"}
+    empty = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    given = products.select(empty("query_id"), empty("q"), "lineage", "n", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.pmod(F.xxhash64("n"), F.lit(shards)).cast("int").alias("shard"))
+    asked = queries.where("q IS NOT NULL").select("query_id", "q", empty("lineage"), empty("n"), F.pmod(F.xxhash64("query_id", "q"), F.lit(deals)).cast("int").alias("deal"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    place = F.col("shard") * deals + F.col("deal")
+    both = given.unionByName(asked).withColumn("place", place.cast("int")).repartitionById(shards * deals, F.col("place"))
+    met = both.sortWithinPartitions("place", F.col("q").isNotNull()).select("query_id", "q", "lineage", "n")
+    return met.mapInArrow(_named, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
 def resolve_names(queries: DataFrame, products: DataFrame) -> DataFrame:
     """Products named in each query: resolution is resolved, ambiguous or unresolved.
 
-    A name that lies within a longer named one at every place it occurs is left out.  The products are joined
-    to the queries on their first three letters as they occur in the query, so the candidates are few.
+    A name that lies within a longer named one at every place it occurs is left out.
     """
     q = queries.select("query_id", X.nfkc_casefold(F.col("query")).alias("q"))
     p = products.select("lineage", X.nfkc_casefold(F.col("name")).alias("n")).where("n <> ''")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("q"))), lambda i: F.substr(F.col("q"), i, F.least(F.lit(3), F.length("q") - i + 1))))
-    heads = F.array_distinct(F.concat(grams, F.transform(grams, lambda g: F.substring(g, 1, 2)), F.transform(grams, lambda g: F.substring(g, 1, 1))))
-    hit = q.withColumn("head", F.explode(heads)).join(p.withColumn("head", F.substring("n", 1, 3)), "head").where(F.contains("q", "n")).select("query_id", "q", "lineage", "n")
+    hit = held(_hits(q, p))
     names = hit.groupBy("query_id").agg(F.collect_set("n").alias("names"))
     # a name stays if it still occurs once every longer name that holds it is blanked out
     longer = F.filter("names", lambda m: (m != F.col("n")) & F.contains(m, F.col("n")))

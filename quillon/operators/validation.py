@@ -173,8 +173,15 @@ def wrong_launch_evidence(revisions: DataFrame, evidence: DataFrame) -> DataFram
 
 
 def uncovered_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Table blocks (document, page, start, end) that no single span of their page holds whole."""
-    return blocks.alias("b").join(spans.alias("s"), (F.col("b.document") == F.col("s.document")) & (F.col("b.page") == F.col("s.page")) & (F.col("s.start") <= F.col("b.start")) & (F.col("s.end") >= F.col("b.end")), "left_anti")
+    """Table blocks (document, page, start, end) that no single span of their page holds whole.
+
+    One sweep of a page in the order of starts, spans first: a block is held if the furthest end of the spans begun so far reaches its own.
+    """
+    edge = ["document", "page", "start", "end"]
+    both = spans.select(*edge, F.lit(0).alias("kind")).unionByName(blocks.select(*edge, F.lit(1).alias("kind")))
+    begun = Window.partitionBy("document", "page").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.max(F.when(F.col("kind") == 0, F.col("end"))).over(begun)
+    return both.withColumn("reached", reached).where("kind = 1 AND (reached IS NULL OR reached < end)").select(*edge)
 
 
 def chunk_quality(chunks: DataFrame) -> DataFrame:

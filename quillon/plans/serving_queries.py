@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as X
 from quillon.holding import shared_folder
 from quillon.operators import catalog as C
-from quillon.operators import graph
+from quillon.operators import dispositions, graph
 from quillon.operators import temporal as T
 from quillon.operators.ordering import global_rank
 from quillon.plans import resources
@@ -183,3 +183,45 @@ def score_matrix_round_trip(spark, sf_dir):
     found = ranges.source(spark, ranges.ByteRanges, width=400).load(path).withColumn("file", F.element_at(F.split("file", "/"), -1)).join(parts, "file")
     index = found.select((F.col("first") + (F.col("offset") / 400).cast("long")).alias("query_id"), "file", "offset", F.sha2("content", 256).alias("sha256"))
     return files.read_score_matrix(spark, path, index, 100)
+
+
+def _source_json(key, name: str, blank: str = "") -> str:
+    """SQL of the canonical JSON of a source; ``blank`` spoils it."""
+    fields = {"category": "'cards'", "document_type": "'terms'", "effective_date": "'2024-01-01'", "file_name": f"{key} || '.pdf'", "issuer": "issuer", "product_code": key, "product_name": name, "source_post_id": "'7'", "source_url": "url", "source_version": "'v1'"}
+    text = {**{k: f"'\"' || {v} || '\"'" for k, v in fields.items()}, "metadata": "'{\"n\":' || c_custkey || '}'"}
+    return "'{" + blank + "' || " + " || ',' || ".join(f"'\"{k}\":' || {text[k]}" for k in sorted(text)) + " || '}'"
+
+
+_REFUSED = f"""c AS (SELECT c_custkey, c_custkey % 13 AS k, c_custkey || 'p' AS code, CASE c_custkey % 13 WHEN 1 THEN 'nobody' ELSE 'kb' END AS issuer, c_name AS name, CASE c_custkey % 13 WHEN 2 THEN 'http://x/' ELSE 'https://x/' END || c_custkey AS url FROM customer),
+s AS (SELECT *, CASE k WHEN 3 THEN {_source_json('code', "'another'")} WHEN 4 THEN {_source_json('code', 'name', ' ')} ELSE {_source_json('code', 'name')} END AS source FROM c),
+r AS (SELECT *, 'source_' || CASE k WHEN 5 THEN repeat('0', 64) ELSE sha256(source) END AS source_id, CASE k WHEN 6 THEN 'NONE' ELSE 'SCDSA002' END AS magic, CASE k WHEN 7 THEN 0 ELSE c_custkey + 1 END AS size, sha256(code) AS digest FROM s)"""
+
+
+def refused(spark, sf_dir):
+    """Customers as protected products, some with planted faults by key."""
+    k, key = F.col("c_custkey") % 13, F.col("c_custkey").cast("string")
+    rows = read(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(key, F.lit("p")).alias("product_code"), F.when(k == 1, "nobody").otherwise("kb").alias("issuer"), F.col("c_name").alias("name"), F.lit(dispositions.UNSUPPORTED).alias("disposition"),
+        F.lit("v1").alias("source_version"), F.concat(F.when(k == 2, "http://x/").otherwise("https://x/"), key).alias("source_url"), F.when(k == 6, "NONE").otherwise("SCDSA002").alias("protected_magic"), F.when(k == 7, 0).otherwise(F.col("c_custkey") + 1).alias("protected_size_bytes"),
+    )
+    said = lambda name: F.to_json(F.struct(F.lit("cards").alias("category"), F.lit("terms").alias("document_type"), F.lit("2024-01-01").alias("effective_date"), F.concat("product_code", F.lit(".pdf")).alias("file_name"), "issuer", F.struct(F.col("c_custkey").alias("n")).alias("metadata"), "product_code", name.alias("product_name"), F.lit("7").alias("source_post_id"), "source_url", "source_version"))
+    plain = said(F.col("name"))
+    rows = rows.withColumn("source_payload_json", F.when(k == 3, said(F.lit("another"))).when(k == 4, F.concat(F.lit("{ "), F.substr(plain, F.lit(2)))).otherwise(plain))
+    return rows.withColumns({"source_id": F.concat(F.lit("source_"), F.when(k == 5, "0" * 64).otherwise(F.sha2("source_payload_json", 256))), "protected_sha256": F.sha2("product_code", 256)})
+
+
+@query("""SELECT c_custkey || 'p' AS product_code, CASE WHEN c_custkey % 13 = 5 THEN CASE WHEN (SELECT count(*) FROM customer WHERE c_custkey % 13 = 5) > 1 THEN 'source_id,repeated' ELSE 'source_id' END ELSE ['issuer', 'source_url', 'bound', 'payload', '', 'protected_magic', 'protected_size_bytes', 'active'][c_custkey % 13] END AS reasons
+FROM customer WHERE c_custkey % 13 BETWEEN 1 AND 8""")
+def check_dispositions(spark, sf_dir):
+    """Planted: unknown issuers, other schemes, payloads of another product or not canonical, wrong ids (all alike), marks, sizes, and products that are served."""
+    rows = refused(spark, sf_dir)
+    active = rows.where("c_custkey % 13 = 8").select("issuer", "product_code")
+    found = dispositions.wrong_unsupported(rows, spark.createDataFrame([("kb",), ("bc",)], "issuer string"), active)
+    return found.select("product_code", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("WITH " + _REFUSED + """, p AS (SELECT '{"disposition":"unsupported_drm","protected_magic":"' || magic || '","protected_sha256":"' || digest || '","protected_size_bytes":' || size || ',"source":' || source || ',"source_id":"' || source_id || '"}' AS j FROM r WHERE k NOT BETWEEN 1 AND 8)
+SELECT count(*) AS n, sha256('{"documents":[' || string_agg(j, ',' ORDER BY j) || '],"schema_version":"refused.v1"}') AS sha256 FROM p""")
+def disposition_seal(spark, sf_dir):
+    """The hash of the list of all sound rows in canonical order."""
+    return dispositions.seal(refused(spark, sf_dir).where("c_custkey % 13 NOT BETWEEN 1 AND 8"), dispositions.unsupported_payload(), "refused.v1")
