@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import canonical_json
+from quillon.holding import held
 
 METRICS = ("recall", "ndcg", "mrr")
 
@@ -81,21 +83,91 @@ def bootstrap_interval(values: np.ndarray, seed: int, context: str, samples: int
     return round(float(known.sum() / there.sum()), 12), round(float(low), 12), round(float(high), 12)
 
 
-def bootstrap(metrics: DataFrame, seed: int, key: str = "lane", names=METRICS, samples: int = 2_000) -> DataFrame:
-    """(key, metric, n, mean, low, high): one resampling task a (key, metric), which holds one number a query and draws in blocks."""
-    import pyarrow as pa
+HALVES = 1 << 21  # 32-bit numbers of the stream that a task reads
 
-    long = metrics.select(key, "query_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])))
-    kind = dict(metrics.dtypes)[key]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("query_id")
-        lane, metric = group[key][0].as_py(), group["metric"][0].as_py()
-        v = group["value"].to_numpy().astype(float)
-        mean, low, high = bootstrap_interval(v, seed, f"{lane}:{metric}", samples) if np.isfinite(v).any() else (None, None, None)
-        return pa.table({key: group[key].slice(0, 1), "metric": [metric], "n": [len(v)], "mean": pa.array([mean], pa.float64()), "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
+def _generator(seed: int, context: str) -> np.random.PCG64:
+    return np.random.PCG64(int.from_bytes(hashlib.sha256(f"{seed}:{context}".encode()).digest()[:8], "big"))
+
+
+def _halves(seed: int, context: str, start: int, n: int) -> np.ndarray:
+    """Numbers ``start`` .. of the generator's stream of 32-bit halves, found by jumping ahead."""
+    g = _generator(seed, context)
+    g.advance(start // 2)
+    return g.random_raw((start + n + 1) // 2 - start // 2).view(np.uint32)[start % 2 :][:n]
+
+
+def _drawn(halves: np.ndarray, n: int) -> np.ndarray:
+    """Indices below n that ``integers`` makes of a stretch of halves: high words of products, low ones below a bound being passed over."""
+    wide = halves.astype(np.uint64) * np.uint64(n)
+    return (wide >> np.uint64(32)).astype(np.int64)[(wide & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - n) % n)]
+
 
-    return long.groupBy(key, "metric").applyInArrow(run, f"{key} {kind}, metric string, n long, mean double, low double, high double")
+def bootstrap(metrics: DataFrame, seed: int, key: str = "lane", names=METRICS, samples: int = 2_000, halves: int = HALVES) -> DataFrame:
+    """(key, metric, n, mean, low, high) as ``bootstrap_interval`` gives them, its draws split over tasks.
+
+    The stream of a (key, metric) is cut into stretches; a task jumps to its own.  How many numbers of each are passed over is counted first, so every resample knows where its draws begin;
+    then resamples are made in blocks, each by a task that holds one number a query.  Only the means, ``samples`` a (key, metric), meet again.
+    """
+    if samples < 2_000:
+        raise ValueError("at least 2000 samples")
+    kind = dict(metrics.dtypes)[key]
+    long = metrics.select(key, "query_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])))
+    vectors = long.groupBy(key, "metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "value"))), lambda x: x["value"]).alias("v"))  # one number a query
+    vectors = held(vectors.withColumn("n", F.size("v").cast("long")).withColumn("known", F.exists("v", lambda x: x.isNotNull() & ~F.isnan(x))))
+    # a little more than the draws, for those passed over
+    stretches = F.when(F.col("known") & (F.col("n") > 1), F.ceil((F.col("n") * samples * (1 + 8 * F.col("n") / F.lit(float(1 << 32))) + 64) / halves).cast("long")).otherwise(F.lit(0).cast("long"))
+    pieces = vectors.where(stretches > 0).select(key, "metric", "n", F.explode(F.sequence(F.lit(0).cast("long"), stretches - 1)).alias("piece"))
+
+    def counted(batches):
+        for b in batches:
+            rows = zip(b.column("context").to_pylist(), b.column("n").to_pylist(), b.column("piece").to_pylist(), strict=True)
+            made = [len(_drawn(_halves(seed, c, p * halves, halves), n)) for c, n, p in rows]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("metric"), b.column("piece"), pa.array(made, pa.int64())], names=[key, "metric", "piece", "made"])
+
+    context = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("metric")).alias("context")
+    dealt = pieces.select(key, "metric", "n", "piece", context).repartition(F.col(key), F.col("metric"), F.col("piece"))
+    made = dealt.mapInArrow(counted, f"{key} {kind}, metric string, piece long, made long")
+    made = made.groupBy(key, "metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", "made"))), lambda x: x["made"]).alias("made"))  # a number a stretch
+    block = F.greatest(F.lit(1), F.floor(F.lit(halves) / F.greatest(F.col("n"), F.lit(1)))).cast("long")
+    blocks = vectors.where("known").join(made, [key, "metric"], "left").withColumn("block", block).select(key, "metric", "n", "v", "made", context, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"), F.col("block"))).alias("at"))
+
+    def means(batches):
+        for b in batches:
+            for k, row in enumerate(b.select(["n", "v", "made", "context", "block", "at"]).to_pylist()):
+                n, at, m = row["n"], row["at"], min(row["block"], samples - row["at"])
+                v = np.array([np.nan if x is None else x for x in row["v"]])
+                there = np.isfinite(v)
+                known = np.where(there, v, 0.0)
+                if n == 1:
+                    drawn = np.zeros((m, 1), np.int64)
+                else:
+                    upto = np.concatenate([[0], np.cumsum(row["made"])])
+                    p = int(np.searchsorted(upto, at * n, "right")) - 1
+                    skip, parts, have = at * n - int(upto[p]), [], -(at * n - int(upto[p]))
+                    while have < m * n:
+                        parts.append(_drawn(_halves(seed, row["context"], p * halves, halves), n))
+                        have, p = have + len(parts[-1]), p + 1
+                    drawn = np.concatenate(parts)[skip : skip + m * n].reshape(m, n)
+                counts = there[drawn].sum(1)
+                got = known[drawn].sum(1)[counts > 0] / counts[counts > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(key)[k].as_py()] * len(got), b.schema.field(key).type), pa.array([b.column("metric")[k].as_py()] * len(got), pa.string()), pa.array(got)], names=[key, "metric", "m"])
+
+    def ends(group: pa.Table) -> pa.Table:
+        low, high = np.quantile(group["m"].to_numpy(), [0.025, 0.975])
+        return pa.table({key: group[key].slice(0, 1), "metric": group["metric"].slice(0, 1), "low": [round(float(low), 12)], "high": [round(float(high), 12)]})
+
+    resampled = blocks.repartition(F.col(key), F.col("metric"), F.col("at")).mapInArrow(means, f"{key} {kind}, metric string, m double")
+    intervals = resampled.groupBy(key, "metric").applyInArrow(ends, f"{key} {kind}, metric string, low double, high double")
+
+    def averaged(batches):
+        for b in batches:
+            v = [np.array([np.nan if x is None else x for x in row]) for row in b.column("v").to_pylist()]
+            mean = [round(float(np.where(np.isfinite(x), x, 0.0).sum() / np.isfinite(x).sum()), 12) if np.isfinite(x).any() else None for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("metric"), b.column("n"), pa.array(mean, pa.float64())], names=[key, "metric", "n", "mean"])
+
+    means_of = vectors.select(key, "metric", "n", "v").mapInArrow(averaged, f"{key} {kind}, metric string, n long, mean double")
+    return means_of.join(intervals, [key, "metric"], "left").select(key, "metric", "n", "mean", "low", "high")
 
 
 def blind_preferences(ratings: DataFrame) -> DataFrame:

@@ -382,6 +382,32 @@ def test_evaluation(spark, monkeypatch):
     assert evaluation.release_gate({"ndcg": 0.1}, 0.96, 0) == [] and len(evaluation.release_gate({"ndcg": 0.0}, 0.5, 1)) == 3
 
 
+def test_draws_are_those_of_the_generator():
+    """Stretches found by jumping ahead, with many numbers passed over, make the same indices."""
+    for n in (2, 7, 1000, 3_000_000_000):
+        want = np.random.Generator(evaluation._generator(5, "c")).integers(0, n, 4000)
+        got = np.concatenate([evaluation._drawn(evaluation._halves(5, "c", a, 333), n) for a in range(0, 9990, 333)])
+        assert (got[:4000] == want).all() and len(got) <= 9990
+    assert len(evaluation._drawn(evaluation._halves(5, "c", 0, 9999), 3_000_000_000)) < 8000
+
+
+@pytest.mark.parametrize("halves", [1 << 21, 1000])
+def test_bootstrap_in_tasks(spark, halves):
+    """Means and intervals equal to those of one task, also with nulls, one query, or none known."""
+    rng = np.random.default_rng(6)
+    rows_ = [("a", f"q{i:04d}", float(rng.random()), None if i % 3 else float(rng.random()), float("nan")) for i in range(137)] + [("b", "q", 0.25, 0.5, None)]
+    df = spark.createDataFrame(rows_, "lane string, query_id string, recall double, ndcg double, mrr double").repartition(4)
+    got = {(r.lane, r.metric): (r.n, r["mean"], r.low, r.high) for r in evaluation.bootstrap(df, 7, halves=halves).collect()}
+    assert len(got) == 6
+    for lane in "ab":
+        for k, metric in enumerate(evaluation.METRICS):
+            v = np.array([np.nan if r[2 + k] is None else r[2 + k] for r in sorted(r for r in rows_ if r[0] == lane)])
+            want = evaluation.bootstrap_interval(v, 7, f"{lane}:{metric}") if np.isfinite(v).any() else (None, None, None)
+            assert got[lane, metric] == (len(v), *want), (lane, metric)
+    with pytest.raises(ValueError):
+        evaluation.bootstrap(df, 7, samples=5)
+
+
 def test_checks_find_faults(spark):
     nodes = spark.createDataFrame([(1, "root", None, "ROOT"), (1, "x", "gone", "ITEM"), (1, "l", "root", "PARAGRAPH"), (1, "y", "l", "ITEM"), (2, "a", None, "ROOT"), (2, "b", None, "ROOT")], "document int, node string, parent string, node_type string")
     assert {(r.document, r.rule) for r in V.wrong_tree(nodes).collect()} == {(1, "parent present"), (1, "leaf without children"), (2, "one root")}
