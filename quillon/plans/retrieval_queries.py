@@ -185,14 +185,14 @@ def bm25_topk_indexed(spark, sf_dir):
     return indexed(spark, sf_dir).search(asked, 100, places=6).select("id", "score", "rank")
 
 
-ASKED = TOKENS.rstrip() + """, q AS (SELECT id AS query_id, unnest(list_distinct([w[1], w[len(w)]])) AS token FROM t WHERE id % 100 = 0 AND len(w) > 0),
+ASKED_WORDS = TOKENS.rstrip() + """, q AS (SELECT id AS query_id, unnest(list_distinct([w[1], w[len(w)]])) AS token FROM t WHERE id % 100 = 0 AND len(w) > 0),
 nq AS (SELECT query_id, count(*) AS n_words FROM q GROUP BY query_id),
 c AS (SELECT id, token, len(w) AS dl, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM t) GROUP BY id, token, len(w)),
 g AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS a FROM t), df AS (SELECT token, count(*)::DOUBLE AS d FROM c GROUP BY token)
 """
 
 
-@query(ASKED + """, x AS (SELECT q.query_id, c.id, round(sum(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, count(*) AS held
+@query(ASKED_WORDS + """, x AS (SELECT q.query_id, c.id, round(sum(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, count(*) AS held
 FROM q JOIN c ON c.token = q.token JOIN df ON df.token = q.token, g GROUP BY q.query_id, c.id)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM x JOIN nq USING (query_id) WHERE held = n_words
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""")
@@ -203,7 +203,7 @@ def indexed_searches(spark, sf_dir):
     return indexed(spark, sf_dir).search(asked, 10, places=6)
 
 
-@query(ASKED + "SELECT q.query_id, count(DISTINCT c.id) AS texts FROM q JOIN c ON c.token = q.token GROUP BY q.query_id")
+@query(ASKED_WORDS + "SELECT q.query_id, count(DISTINCT c.id) AS texts FROM q JOIN c ON c.token = q.token GROUP BY q.query_id")
 def indexed_matches(spark, sf_dir):
     """How many texts hold the first or the last word of every hundredth document."""
     words = X.all_tokens(F.col("text"))
@@ -403,4 +403,81 @@ def gold_draft(spark, sf_dir):
     """Stratified draft of gold questions from the documents: sources as issuers, languages as slices."""
     docs = read(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("issuer"), F.col("doc_id").alias("id"), F.col("doc_id").alias("contract"), F.array("lang").alias("slices"), F.col("n_chars").cast("double").alias("slice_score"))
-    return spark.createDataFrame(E.stratified_draft(rows, "draft", 4, ["en", "de", "fr", "es"]), "issuer string, slice string, id long, contract long")
\ No newline at end of file
+    return spark.createDataFrame(E.stratified_draft(rows, "draft", 4, ["en", "de", "fr", "es"]), "issuer string, slice string, id long, contract long")
+
+
+# Searches of the whole query set: (query, revision) stands where the operators expect a revision.
+
+
+def _of_query(name: str):
+    return F.concat_ws("/", "query_id", name)
+
+
+def _split(df: DataFrame, name: str, kind: str) -> DataFrame:
+    parts = F.split(name, "/")
+    return df.withColumns({"query_id": parts[0].cast("long"), name: parts[1].cast(kind)})
+
+
+def asked_scores(spark, sf_dir):
+    got = score_pairs(matrix(spark, sf_dir), asked_of(spark, sf_dir), "row_index").withColumn("score", F.round("score", 6))
+    return got.withColumn("revision", _of_query("revision")).drop("query_id")
+
+
+ASKED_LANE = f"""
+WITH b AS (SELECT vec_id AS row_index, label AS revision, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings),
+m AS (SELECT row_index, revision, embedding, CASE WHEN r = 0 THEN 'n0' ELSE 'n' || ((r - 1) // 5 + 1) END AS node,
+      CASE WHEN r = 0 THEN 'CONTRACT' ELSE (['TITLE','RAW_ITEM','CONTEXTUAL_ITEM','DETAIL','MAJOR_SECTION'])[(r - 1) % 5 + 1] END AS view_type FROM b),
+s AS (SELECT query_id, row_index, revision, node, view_type, round(list_inner_product(m.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+      FROM m, (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id {ASKED}) q),
+l AS (SELECT query_id, revision, node, view_type, max(score) AS score, arg_min(row_index, (-score, row_index)) AS row_index FROM s GROUP BY ALL)
+"""
+
+
+@query(ASKED_LANE + "SELECT query_id, row_index, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_index)::INTEGER AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_index) <= 20")
+def asked_dense_topk(spark, sf_dir):
+    """The 20 best rows of every hundredth row's vector; blocks keep what can be among them."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
+    got = score_pairs(rows, asked_of(spark, sf_dir), "row_index", best=20).withColumn("score", F.round("score", 6))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_index"))
+    return got.withColumn("rank", nth).where(F.col("rank") <= 20).select("query_id", "row_index", "score", "rank")
+
+
+@query(ASKED_LANE + "SELECT query_id, revision, node, view_type, score, row_index FROM l")
+def asked_lane_max(spark, sf_dir):
+    return _split(R.lane_max(asked_scores(spark, sf_dir)), "revision", "int")
+
+
+@query(ASKED_LANE + """, d AS (SELECT query_id, revision, max(score) FILTER (WHERE view_type <> 'CONTRACT') AS max_child, list_avg(list_slice(list(score ORDER BY score DESC) FILTER (WHERE view_type <> 'CONTRACT'), 1, 3)) AS top3_mean,
+  0.5 * max(score) FILTER (WHERE view_type = 'CONTRACT') + 0.5 * max(score) FILTER (WHERE view_type <> 'CONTRACT') AS contract_plus_child FROM l GROUP BY query_id, revision),
+p AS (SELECT query_id, revision, 'max_child' AS policy, round(max_child, 8) AS score FROM d UNION ALL SELECT query_id, revision, 'top3_mean', round(top3_mean, 8) FROM d UNION ALL SELECT query_id, revision, 'contract_plus_child', round(contract_plus_child, 8) FROM d)
+SELECT *, row_number() OVER (PARTITION BY query_id, policy ORDER BY score DESC, revision)::INTEGER AS rank FROM p""")
+def asked_documents(spark, sf_dir):
+    """Documents of every query by each policy, ranked."""
+    lanes = held(R.lane_max(asked_scores(spark, sf_dir)))
+    parts = [R.document_scores(lanes, p).select("revision", F.lit(p).alias("policy"), F.round("score", 8).alias("score")) for p in R.POLICIES]
+    every = _split(parts[0].unionByName(parts[1]).unionByName(parts[2]), "revision", "int")
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "policy").orderBy(F.desc("score"), "revision")))
+
+
+@query(ASKED_LANE + """, n AS (SELECT query_id, revision, node, max(score) AS score FROM l GROUP BY ALL)
+SELECT query_id, revision, node, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, revision ORDER BY score DESC, node)::INTEGER AS rank FROM n) WHERE rank <= 8""")
+def asked_top_nodes(spark, sf_dir):
+    top = R.top_nodes(R.node_scores(R.lane_max(asked_scores(spark, sf_dir))))
+    return _split(top.select("revision", "node", "score", "rank"), "revision", "int")
+
+
+@query(ASKED_WORDS + f""", x AS (SELECT q.query_id, c.id, round(sum(greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, count(*) AS held
+FROM q JOIN c ON c.token = q.token JOIN df ON df.token = q.token, g GROUP BY q.query_id, c.id),
+lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM x JOIN nq USING (query_id) WHERE held = n_words QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 100),
+ds AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id {ASKED}),
+dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 100)
+SELECT query_id, id, dense.rank AS dense_rank, lex.rank AS lexical_rank, round(coalesce(1.0 / (60 + dense.rank), 0) + coalesce(1.0 / (60 + lex.rank), 0), 9) AS score FROM dense FULL JOIN lex USING (query_id, id)""")
+def asked_fusion(spark, sf_dir):
+    """Every hundredth row asks with its vector, and the document of its id with its first and last word; both lists of 100 are fused."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    dense = score_pairs(rows, asked_of(spark, sf_dir), "id", best=100).withColumn("score", F.round("score", 6))
+    dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= 100)
+    words = X.all_tokens(F.col("text"))
+    asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where(F.size("w") > 0).select("query_id", F.array(F.col("w")[0], F.element_at("w", -1)).alias("words"))
+    lists = [d.select(_of_query("id").alias("id"), "rank") for d in (dense, indexed(spark, sf_dir).search(asked, 100, places=6))]
+    return _split(R.fused_ranks(*lists).withColumn("score", F.round("score", 9)), "id", "long")
