@@ -61,7 +61,7 @@ def targets(sources: DataFrame, weights, share: float, cap: float) -> DataFrame:
     """
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     ranked = global_rank(sources, [F.col("key") == "n", F.col("key")], "rank")
-    ranked = written(ranked.withColumn("weight", F.element_at(cycle, F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1)), "mix-sources")
+    ranked = written(ranked.withColumn("weight", F.element_at(cycle, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))), "mix-sources")
     whole = float(share) * float(ranked.agg(F.sum("total")).first()[0] or 0)
     unit, full = 0.0, -1
     while True:
