@@ -14,7 +14,7 @@ from quillon.operators import validation as V
 from quillon.plans import search
 from quillon.plans.registry import held, query, read
 from quillon.plans.relational_queries import PROD, products
-from quillon.plans.retrieval_queries import BM25, DOC, LANE, MATRIX, RUN, WORDS_AND, dense_ranks, matrix, scores, vectors_of
+from quillon.plans.retrieval_queries import BM25, DOC, LANE, MATRIX, RUN, WORDS_AND, dense_ranks, matrix, scores, small_ranks, vectors_of
 from quillon.plans.structure_queries import BENEFIT, NOTICE, SEQ, rendered, turns
 from quillon.sources.files import pack_blob, unpack_blob
 from quillon.sources.snapshot import Snapshot, unfinished
@@ -90,7 +90,7 @@ def shadow_rerank(spark, sf_dir):
 
 @query(MATRIX + DOC.format(agg="max(score) FILTER (WHERE view_type <> 'CONTRACT')").replace("FROM l GROUP", "FROM s GROUP"))
 def offline_accumulator(spark, sf_dir):
-    return R.ranked(R.document_scores(scores(spark, sf_dir), "max_child").withColumn("score", F.round("score", 8)), "revision")
+    return small_ranks(R.ranked(R.document_scores(scores(spark, sf_dir), "max_child").withColumn("score", F.round("score", 8)), "revision"))
 
 
 @query(PROD + """SELECT 0 AS position, lineage FROM p WHERE product_code = 'p7' UNION ALL SELECT 1, NULL UNION ALL SELECT 2, lineage FROM p WHERE product_code = 'p12'""")

@@ -80,9 +80,14 @@ DOC = """, d AS (SELECT revision, {agg} AS score FROM l GROUP BY revision)
 SELECT revision, round(score, 8) AS score, row_number() OVER (ORDER BY round(score, 8) DESC, revision)::INTEGER AS rank FROM d"""
 
 
+def small_ranks(df: DataFrame) -> DataFrame:
+    """Ranks as the int of the oracles; the tables here have fewer rows."""
+    return df.withColumn("rank", F.col("rank").cast("int"))
+
+
 def _documents(spark, sf_dir, policy):
     got = R.document_scores(R.lane_max(scores(spark, sf_dir)), policy).withColumn("score", F.round("score", 8))
-    return R.ranked(got, "revision")
+    return small_ranks(R.ranked(got, "revision"))
 
 
 @query(LANE + DOC.format(agg="max(score) FILTER (WHERE view_type <> 'CONTRACT')"))
@@ -163,7 +168,7 @@ def lexical_ranks(spark, sf_dir, limit=100):
 
 def dense_ranks(spark, sf_dir, query_id=0, limit=100):
     got = score_blocks(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), vectors_of(spark, sf_dir, [query_id]))
-    return R.ranked(got.select("id", F.round("score", 6).alias("score")), "id", limit)
+    return small_ranks(R.ranked(got.select("id", F.round("score", 6).alias("score")), "id", limit))
 
 
 @query(BM25 + "SELECT * FROM lex")
@@ -244,7 +249,7 @@ def rank_change_count(spark, sf_dir):
 @query(MATRIX + """, r AS (SELECT revision AS contract, row_number() OVER (ORDER BY score DESC, row_index) AS rank FROM s), f AS (SELECT contract, min(rank)::INTEGER AS first_rank FROM r GROUP BY contract)
 SELECT contract, first_rank, row_number() OVER (ORDER BY first_rank, contract)::INTEGER AS rank FROM f""")
 def first_occurrence_contracts(spark, sf_dir):
-    ranks = R.ranked(scores(spark, sf_dir).select(F.col("row_index").alias("id"), "revision", "score"), "id")
+    ranks = small_ranks(R.ranked(scores(spark, sf_dir).select(F.col("row_index").alias("id"), "revision", "score"), "id"))
     return R.first_by_contract(ranks.select(F.col("revision").alias("contract"), "rank"))
 
 
