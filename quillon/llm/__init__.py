@@ -17,4 +17,4 @@ QUERIES = {
     "op12_collocations": collocations.op12_collocations,
     "op13_toxicity": toxicity.op13_toxicity,
 }
-ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL, "op12_collocations": collocations.SQL}
+ORACLES = {"op7_exact_topk": nearest.SQL, "op9_url_rules": url_rules.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_collocations": collocations.SQL}

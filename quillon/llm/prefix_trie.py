@@ -204,3 +204,33 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs, turns = rebuilt(turns_of(table(spark, sf_dir, "conversations")))
     return prefix_trie(convs, turns)
+
+
+#: CRC-32 bit by bit, as DuckDB has no function of that name.
+SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda x, b: list_reduce(range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(x, b)), 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT t.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)) AS pos, said FROM t JOIN c ON c.conv_id = t.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE t.pos >= c.h
+  UNION ALL SELECT c.conv_id, t.pos, said FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h
+), s AS (
+  SELECT c.conv_id, list(r.said ORDER BY r.pos) FILTER (WHERE r.conv_id IS NOT NULL) AS seq, count(r.conv_id) AS n FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), p AS (
+  SELECT conv_id, n, depth, coalesce(seq[1 : depth], []) AS node FROM (SELECT *, unnest(range(0, n + 1)) AS depth FROM s)
+), nd AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM p GROUP BY depth, node
+), up AS (
+  SELECT ch.*, pa.conv_id AS parent_conv_id FROM nd ch LEFT JOIN nd pa ON pa.depth = ch.depth - 1 AND pa.node = ch.node[1 : ch.depth - 1]
+), k AS (
+  SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL
+), own AS (
+  SELECT up.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN up.depth > 0 THEN (n_convs - 1) * strlen(node[up.depth].text) ELSE 0 END AS saved FROM up LEFT JOIN k ON k.depth = up.depth AND k.conv_id = up.conv_id
+), below AS (
+  SELECT d AS depth, node[1 : d] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own) GROUP BY d, node[1 : d]
+)
+SELECT o.conv_id, o.depth, o.parent_conv_id, o.n_convs, o.n_children, b.n_leaves, b.saved_tokens, o.ends_sha256 FROM own o JOIN below b ON b.depth = o.depth AND b.node = o.node
+"""
