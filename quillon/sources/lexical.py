@@ -1,8 +1,8 @@
 """A persisted inverted index: postings in blocks with bounds, bucketed by token; searches read postings, never texts.
 
-A text is a row of its own in one of the blocks of about ``block_rows`` texts (by a hash of its number).  The postings of a token in a block are one record: how many
-they are, the largest term frequency and the shortest text among them, and (row, id, frequency, length) of each.  Records are sorted by (bucket, token, block) and range-partitioned, so a
-common token is spread over many files, and written in one folder a bucket, so a search opens the buckets of its words alone.
+A text is a row of its own in one of the blocks of at most ``block_rows`` texts that are read together.  The postings of a token in a block are one record: how many
+they are, the largest term frequency and the shortest text among them, and (row, id, frequency, length) of each.  Records are dealt by bucket and block, so a
+common token is spread over many tasks, sorted by token, and written in one folder a bucket, so a search opens the buckets of its words alone.
 
 A search of the best k texts that hold all words first reads the heads of records.  A block's bound is the sum of what its largest frequency at its shortest
 length would score.  The blocks of highest bound are scored; the k-th score found there is a threshold, and blocks whose bound is below it are left out, which no text of theirs could pass.
@@ -14,8 +14,12 @@ nothing; equal scores go by id; an empty index finds nothing.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions import text as X
 from quillon.holding import held
@@ -28,23 +32,53 @@ def _bucket(token: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(token), buckets).cast("int")
 
 
+def _records(block_rows: int, id_type: pa.DataType):
+    """Posting records of the texts of a task, ``block_rows`` at a time, and one without a token that counts them."""
+    posting = pa.struct([("row", pa.int64()), ("id", id_type), ("tf", pa.int32()), ("dl", pa.int32())])
+    schema = pa.schema([("token", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("max_tf", pa.int32()), ("min_dl", pa.int32()), ("docs", pa.int64()), ("texts", pa.int64()), ("length", pa.int64()), ("postings", pa.list_(posting))])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), block_rows):
+                ids, lists, row = (b.column(c).slice(at, block_rows) for c in ("id", "t", "row"))
+                block, flat = row[0].as_py(), lists.flatten().dictionary_encode()
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                told = [["", block, 0, None, None, len(lists), len(lists) - lists.null_count, int(size.sum()), []]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*told, strict=True), schema, strict=True)], schema=schema)
+                if not len(flat):
+                    continue
+                # one key a (token, text): sorted, the texts of a token stand together
+                keys, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
+                token, doc = np.divmod(keys, len(size))
+                cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+                n, dl = np.diff(cuts), size[doc]
+                held = pa.StructArray.from_arrays([row.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], fields=list(posting))
+                none = pa.array(np.zeros(len(n), np.int64))
+                columns = [
+                    flat.dictionary.take(pa.array(token[cuts[:-1]])), pa.array(np.full(len(n), block)), pa.array(n), pa.array(np.maximum.reduceat(tf, cuts[:-1]).astype(np.int32)), pa.array(np.minimum.reduceat(dl, cuts[:-1]).astype(np.int32)),
+                    none, none, none, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), held),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
 def build(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS, block_rows: int = BLOCK_ROWS) -> None:
-    """Write the index of ``docs`` to a folder that holds none; its statistics are written last and make it one.  Texts are read and cut into words once."""
+    """Write the index of ``docs`` to a folder that holds none; its statistics are written last and make it one.
+
+    Texts are read and cut into words once, and their records made where they are read; one shuffle brings the records of a bucket together, in as many tasks as there are partitions a bucket.
+    """
     spark = docs.sparkSession
-    blocks = max(1, -(-docs.count() // block_rows))
-    words = X.all_tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("t"), F.monotonically_increasing_id().alias("row"))
-    each = rows.select("row", "id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("at", "token"))
-    counted = each.groupBy("row", "id", "dl", F.coalesce("token", F.lit("")).alias("token")).agg(F.count(F.lit(1)).cast("int").alias("tf"), (F.coalesce(F.min("at"), F.lit(0)) == 0).alias("first"))
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
-    records = counted.groupBy("token", block).agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count_if("first").alias("docs"), F.count_if(F.col("first") & F.col("dl").isNotNull()).alias("texts"), F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).alias("length"),
-        F.collect_list(F.struct("row", "id", "tf", "dl")).alias("postings"),  # block_rows texts or so
-    )
-    order = ["bucket", "token", "block"]
-    records = records.withColumn("bucket", _bucket(F.col("token"), F.lit(buckets))).repartitionByRange(*order).sortWithinPartitions(*order)
-    records.write.partitionBy("bucket").parquet(f"{path}/postings")
-    stats = spark.read.schema(records.schema).parquet(f"{path}/postings").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).withColumn("buckets", F.lit(buckets))
+    kind, id_type = dict(docs.dtypes)[id_col], to_arrow_type(docs.schema[id_col].dataType)
+    rows = docs.select(F.col(id_col).alias("id"), X.all_tokens(F.col(text_col)).alias("t"), F.monotonically_increasing_id().alias("row"))
+    records = rows.mapInArrow(_records(block_rows, id_type), f"token string, block long, n long, max_tf int, min_dl int, docs long, texts long, length long, postings array<struct<row:long,id:{kind},tf:int,dl:int>>")
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    records = records.withColumn("bucket", _bucket(F.col("token"), F.lit(buckets)))
+    deal = F.pmod(F.xxhash64("block"), F.lit(max(1, parts // buckets)))
+    ordered = records.repartition(parts, F.col("bucket"), deal).sortWithinPartitions("bucket", "token", "block")
+    ordered.write.partitionBy("bucket").parquet(f"{path}/postings")
+    stats = spark.read.schema(records.schema).parquet(f"{path}/postings").where("token = ''")
+    stats = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("docs", "n"), ("texts", "texts"), ("length", "length")))).withColumn("buckets", F.lit(buckets))
     stats.coalesce(1).write.parquet(f"{path}/stats")  # one row
 
 
