@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillon.functions import text as X
 from quillon.holding import held
 
-BUCKETS, BLOCK_ROWS, SEEDS = 64, 256, 4
+BUCKETS, BLOCK_ROWS, SEEDS = 64, 2048, 4  # in small blocks most records hold one posting, and their heads outweigh them
 SLACK = 1e-9  # of a bound, for sums in another order
 
 
@@ -76,7 +76,7 @@ def build(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text"
     records = records.withColumn("bucket", _bucket(F.col("token"), F.lit(buckets)))
     deal = F.pmod(F.xxhash64("block"), F.lit(max(1, parts // buckets)))
     ordered = records.repartition(parts, F.col("bucket"), deal).sortWithinPartitions("bucket", "token", "block")
-    ordered.write.partitionBy("bucket").parquet(f"{path}/postings")
+    ordered.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     stats = spark.read.schema(records.schema).parquet(f"{path}/postings").where("token = ''")
     stats = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("docs", "n"), ("texts", "texts"), ("length", "length")))).withColumn("buckets", F.lit(buckets))
     stats.coalesce(1).write.parquet(f"{path}/stats")  # one row
