@@ -131,16 +131,22 @@ class _Listing(HTMLParser):
             self.buffer.append(data)
 
 
-def read_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, title, entries, links) of listing pages; a page without a heading raises, as its layout has changed."""
-    kind = dict(pages.dtypes)[id_col]
+def read_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", reference: str = r"#?\w+") -> DataFrame:
+    """(id, title, entries, links) of listing pages; a page without a heading raises, as its layout has changed.
+
+    Character references are names that match ``reference`` and end in a semicolon; any other & is text, as titles may be cut within one.
+    """
+    import re
+
+    kind, text = dict(pages.dtypes)[id_col], re.compile(f"&(?!(?:{reference});)")
 
     def run(batches):
         for b in batches:
             out = []
             for html in b.column("html").to_pylist():
                 p = _Listing()
-                p.feed(html or "")
+                p.feed(text.sub("&amp;", html or ""))
+                p.close()  # what a page's end leaves open is text too
                 if html and not p.head:
                     raise ValueError("listing without a heading")
                 out.append((p.head[0] if p.head else None, p.items, p.links))

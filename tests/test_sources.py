@@ -324,6 +324,12 @@ def test_pages_and_listing(spark):
         files.read_listing(spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")).collect()
 
 
+def test_listing_titles_cut_within_a_reference(spark):
+    html = spark.createDataFrame([(1, "<h1>a&amp;b&amp</h1>"), (2, "<h1>a&quot;&am</h1><li><a href='/x?a=1&copy=2'>b&lt</a></li>")], "page_id long, html string")
+    assert [tuple(r) for r in files.read_listing(html).orderBy("id").collect()] == [(1, "a&b&amp", [], []), (2, 'a"&am', ["b&lt"], ["/x?a=1&copy=2"])]
+    assert [r.title for r in files.read_listing(html, reference="amp").orderBy("id").collect()] == ["a&b&amp", "a&quot;&am"]
+
+
 def test_streaming_ledger(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:00:00"), ("b", "2024-01-02 09:00:00")], "k string, t string").withColumn("t", F.to_timestamp("t")).write.parquet(str(src))
