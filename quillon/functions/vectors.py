@@ -63,33 +63,97 @@ def score_blocks(matrix: DataFrame, queries: list[tuple[object, list[float]]], v
     return matrix.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + f", query_id {query_type}, score double")
 
 
-ROW_BLOCK, QUERY_BLOCK = 4096, 128
+ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16384, 64, 4096
 
 
-def score_pairs(matrix: DataFrame, queries: DataFrame, row_id: str, query_id: str = "query_id", vector: str = "embedding", best: int | None = None) -> DataFrame:
-    """``score_blocks`` for a query set of any size: blocks of rows meet blocks of queries on the executors.
+def rounded(scores: np.ndarray, places: int) -> np.ndarray:
+    """As ``round`` of SQL: halves away from zero, and no negative zero."""
+    return np.copysign(np.floor(np.abs(scores) * 10.0**places + 0.5), scores) / 10.0**places + 0.0
 
-    ``queries`` has ``query_id`` and ``vector``.  With ``best``, only rows that can be among a query's so many best are kept: in each block
-    all that score no less than its least of them after rounding to 6 decimals.  The vectors must be whole and of one length.
+
+def best_rows(s: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k largest of each column; of equal ones the first."""
+    if k >= len(s):
+        return np.ones(s.shape, bool)
+    least = np.partition(s, len(s) - k, axis=0)[len(s) - k]
+    above = s > least
+    equal = s == least
+    return above | equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0))
+
+
+def starts(rows: pa.Table, names: list[str]) -> np.ndarray:
+    """Where runs of equal values begin in sorted rows."""
+    changed = np.zeros(len(rows), bool)
+    changed[0] = True
+    for c in names:
+        codes = rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changed)
+
+
+def group_best(rows: pa.Table, keys: list[str]):
+    """Mask of the best row of each group and query; rows come in the order of the keys, then of their ids."""
+    cuts = starts(rows, keys)
+    sizes = np.diff(np.append(cuts, len(rows)))
+
+    def keep(s: np.ndarray) -> np.ndarray:
+        if len(cuts) == len(s):
+            return np.ones(s.shape, bool)
+        top = s == np.repeat(np.maximum.reduceat(s, cuts, axis=0), sizes, axis=0)
+        before = np.cumsum(top, axis=0)
+        return top & (before - np.repeat(before[cuts] - top[cuts], sizes, axis=0) == 1)
+
+    return keep
+
+
+def score_pairs(matrix: DataFrame, queries: DataFrame, row_id: str, query_id: str = "query_id", vector: str = "embedding", best: int | None = None, places: int | None = None, together: tuple[str, ...] = (), order: tuple[str, ...] = (), keep=None) -> DataFrame:
+    """``score_blocks`` for a query set of any size: blocks of rows are held in turn, and the query set streams past each.
+
+    ``queries`` has ``query_id`` and ``vector``.  Every row is moved once and every query once a block, so what is shuffled is the rows and a small part of the pairs' number.
+    Scores are rounded to ``places``, if given.  With ``best``, only rows that can be among a query's so many best are kept in each block, with ``places`` exactly so many (of equal ones
+    those of least id).  Rows with equal values of ``together`` are in one block, so what is the best of their group there is so at all; ``keep`` makes of a block's rows, in the order of
+    ``order`` (else ``together``) and id, a function from its scores (rows, queries) to a mask.  The vectors must be whole and of one length.
     """
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((matrix, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    rows_in = matrix.count()
+    n = max(1, -(-rows_in // ROW_BLOCK), min(int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_in // LEAST_BLOCK)))
     names = [c for c in matrix.columns if c != vector]
-    deal = lambda df, key, own, k, other, j: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(k)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(j - 1))))
-    rows = deal(matrix, row_id, "__r", n, "__q", m).groupBy("__r", "__q")
-    asked = deal(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__v")), "query_id", "__q", m, "__r", n).groupBy("__r", "__q")
+    none = lambda schema, c: F.lit(None).cast(schema[c].dataType).alias(c)
+    rows = matrix.select(F.pmod(F.xxhash64(*(together or (row_id,))), F.lit(n)).cast("int").alias("__block"), F.lit(False).alias("__asked"), *names, F.col(vector).alias("__v"), F.lit(None).cast(queries.schema[query_id].dataType).alias("__query"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__block"), F.lit(True).alias("__asked"), *(none(matrix.schema, c) for c in names), F.col(vector).cast(matrix.schema[vector].dataType).alias("__v"), F.col(query_id).alias("__query"))
     out = T.StructType([*(matrix.schema[c] for c in names), T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("score", T.DoubleType())])
     schema = to_arrow_schema(out)
-    empty = schema.empty_table()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return empty
-        x, q = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t, c in ((left, vector), (right, "__v")))
-        s = x @ q.T
-        keep = np.ones(s.shape, bool)
-        if best is not None and best < len(s):
-            keep = s >= np.partition(s, len(s) - best, axis=0)[len(s) - best] - 2e-6
-        at, by = np.nonzero(keep)
-        return pa.table([*(left[c].take(pa.array(at)) for c in names), right["query_id"].take(pa.array(by)), pa.array(s[at, by])], names=schema.names)
-
-    return rows.cogroup(asked).applyInArrow(run, out)
+    values = lambda t: t["__v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+
+    def scored(rows: pa.Table, x: np.ndarray, mask, asked: pa.Table):
+        step = max(1, min(QUERY_BLOCK, (1 << 18) // len(rows)))
+        for a in range(0, len(asked), step):
+            some = asked.slice(a, step)
+            s = x @ values(some).T
+            if places is not None:
+                s = rounded(s, places)
+            kept = np.ones(s.shape, bool) if mask is None else mask(s)
+            if best is not None and places is not None:
+                kept &= best_rows(s, best)
+            elif best is not None and best < len(s):
+                kept &= s >= np.partition(s, len(s) - best, axis=0)[len(s) - best] - 2e-6
+            by, at = np.nonzero(kept.T)
+            yield pa.RecordBatch.from_arrays([*(rows[c].take(pa.array(at)) for c in names), some["__query"].combine_chunks().take(pa.array(by)), pa.array(s[at, by])], schema=schema)
+
+    def run(batches):
+        block, held, ready = None, [], None
+        for b in batches:
+            marks = b.column("__block").to_numpy() * 2 + b.column("__asked").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(b)] if len(b) else [0]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                piece = b.slice(a, z - a)
+                if marks[a] % 2 == 0:  # rows come before the queries of their block
+                    if marks[a] != block:
+                        block, held, ready = marks[a], [], None
+                    held.append(piece)
+                elif marks[a] - 1 == block:
+                    if ready is None:
+                        rows = pa.Table.from_batches(held).combine_chunks().sort_by([(c, "ascending") for c in dict.fromkeys((*(order or together), row_id))])
+                        ready, held = (pa.RecordBatch.from_arrays([rows[c].combine_chunks() for c in names], names=names), values(rows), keep and keep(rows)), []
+                    yield from scored(*ready, pa.Table.from_batches([piece]))
+
+    return rows.unionByName(asked).repartition(n, "__block").sortWithinPartitions("__block", "__asked").mapInArrow(run, out)

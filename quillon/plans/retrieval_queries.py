@@ -6,11 +6,12 @@ the others five lanes a node.  Scores are rounded to 6 decimals where rows are s
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.functions.vectors import cosine, dot, norm, score_blocks, score_pairs
+from quillon.functions.vectors import best_rows, cosine, dot, group_best, norm, score_blocks, score_pairs, starts
 from quillon.holding import shared_folder
 from quillon.operators import evaluation as E
 from quillon.operators import retrieval as R
@@ -423,9 +424,76 @@ def _split(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withColumns({"query_id": parts[0].cast("long"), name: parts[1].cast(kind)})
 
 
-def asked_scores(spark, sf_dir):
-    got = score_pairs(matrix(spark, sf_dir), asked_of(spark, sf_dir), "row_index").withColumn("score", F.round("score", 6))
-    return got.withColumn("revision", _of_query("revision")).drop("query_id")
+LANE_KEY, NODE_KEY = ("revision", "node", "view_type"), ("revision", "node")
+
+
+def asked_lanes(spark, sf_dir, together=LANE_KEY, keep=None):
+    """(query_id, revision, node, view_type, score, row_index): the best row of each lane for every query, of the lanes that ``keep`` leaves.
+
+    A lane's rows are in one block, so lanes are done where they are scored and no pair is shuffled for them."""
+
+    def lanes(rows):
+        best, more = group_best(rows, list(LANE_KEY)), keep and keep(rows)
+        if more is None:
+            return best
+
+        def mask(s):
+            top = best(s)
+            return top & more(np.where(top, s, -np.inf))
+
+        return mask
+
+    order = tuple(dict.fromkeys((*together, *LANE_KEY)))
+    return score_pairs(matrix(spark, sf_dir), asked_of(spark, sf_dir), "row_index", places=6, together=together, order=order, keep=lanes)
+
+
+def _each(rows, keys, masks):
+    """For rows in the order of ``keys``: a mask put together from those of their groups."""
+    cuts = [*starts(rows, keys).tolist(), len(rows)]
+    made = [(a, z, masks(rows.slice(a, z - a))) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+    def keep(s):
+        out = np.zeros(s.shape, bool)
+        for a, z, mask in made:
+            out[a:z] = mask(s[a:z])
+        return out
+
+    return keep
+
+
+def best_of_nodes(k):
+    """The best lane of each of a revision's k best nodes."""
+
+    def of_revision(rows):
+        one = group_best(rows, ["node"])
+
+        def mask(s):
+            top = one(s)
+            return top & best_rows(np.where(top, s, -np.inf), k)
+
+        return mask
+
+    return lambda rows: _each(rows, ["revision"], of_revision)
+
+
+def decisive(rows):
+    """Of a revision, the three best child lanes and two contract lanes: all that a document's score by any policy, or its error, can come from."""
+
+    def of_revision(some):
+        contract = np.array(some["view_type"].to_pylist()) == "CONTRACT"
+        first = np.argsort(some["row_index"].to_numpy(), kind="stable")
+
+        def mask(s):
+            out = np.zeros(s.shape, bool)
+            for mine, k in ((~contract, 3), (contract, 2)):
+                at = first[mine[first]]  # of equal ones the least row_index
+                if len(at):
+                    out[at] = best_rows(s[at], k)
+            return out
+
+        return mask
+
+    return _each(rows, ["revision"], of_revision)
 
 
 ASKED_LANE = f"""
@@ -442,14 +510,14 @@ l AS (SELECT query_id, revision, node, view_type, max(score) AS score, arg_min(r
 def asked_dense_topk(spark, sf_dir):
     """The 20 best rows of every hundredth row's vector; blocks keep what can be among them."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_index"), "embedding")
-    got = score_pairs(rows, asked_of(spark, sf_dir), "row_index", best=20).withColumn("score", F.round("score", 6))
+    got = score_pairs(rows, asked_of(spark, sf_dir), "row_index", best=20, places=6)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_index"))
     return got.withColumn("rank", nth).where(F.col("rank") <= 20).select("query_id", "row_index", "score", "rank")
 
 
 @query(ASKED_LANE + "SELECT query_id, revision, node, view_type, score, row_index FROM l")
 def asked_lane_max(spark, sf_dir):
-    return _split(R.lane_max(asked_scores(spark, sf_dir)), "revision", "int")
+    return asked_lanes(spark, sf_dir).select("query_id", "revision", "node", "view_type", "score", "row_index")
 
 
 @query(ASKED_LANE + """, d AS (SELECT query_id, revision, max(score) FILTER (WHERE view_type <> 'CONTRACT') AS max_child, list_avg(list_slice(list(score ORDER BY score DESC) FILTER (WHERE view_type <> 'CONTRACT'), 1, 3)) AS top3_mean,
@@ -458,7 +526,7 @@ p AS (SELECT query_id, revision, 'max_child' AS policy, round(max_child, 8) AS s
 SELECT *, row_number() OVER (PARTITION BY query_id, policy ORDER BY score DESC, revision)::INTEGER AS rank FROM p""")
 def asked_documents(spark, sf_dir):
     """Documents of every query by each policy, ranked."""
-    lanes = held(R.lane_max(asked_scores(spark, sf_dir)))
+    lanes = held(asked_lanes(spark, sf_dir, keep=decisive).withColumn("revision", _of_query("revision")).drop("query_id"))
     parts = [R.document_scores(lanes, p).select("revision", F.lit(p).alias("policy"), F.round("score", 8).alias("score")) for p in R.POLICIES]
     every = _split(parts[0].unionByName(parts[1]).unionByName(parts[2]), "revision", "int")
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "policy").orderBy(F.desc("score"), "revision")))
@@ -467,7 +535,8 @@ def asked_documents(spark, sf_dir):
 @query(ASKED_LANE + """, n AS (SELECT query_id, revision, node, max(score) AS score FROM l GROUP BY ALL)
 SELECT query_id, revision, node, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, revision ORDER BY score DESC, node)::INTEGER AS rank FROM n) WHERE rank <= 8""")
 def asked_top_nodes(spark, sf_dir):
-    top = R.top_nodes(R.node_scores(R.lane_max(asked_scores(spark, sf_dir))))
+    lanes = asked_lanes(spark, sf_dir, NODE_KEY, best_of_nodes(8)).withColumn("revision", _of_query("revision"))
+    top = R.top_nodes(R.node_scores(lanes))
     return _split(top.select("revision", "node", "score", "rank"), "revision", "int")
 
 
@@ -480,7 +549,7 @@ SELECT query_id, id, dense.rank AS dense_rank, lex.rank AS lexical_rank, round(c
 def asked_fusion(spark, sf_dir):
     """Every hundredth row asks with its vector, and the document of its id with its first and last word; both lists of 100 are fused."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    dense = score_pairs(rows, asked_of(spark, sf_dir), "id", best=100).withColumn("score", F.round("score", 6))
+    dense = score_pairs(rows, asked_of(spark, sf_dir), "id", best=100, places=6)
     dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= 100)
     words = X.all_tokens(F.col("text"))
     asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where(F.size("w") > 0).select("query_id", F.array(F.col("w")[0], F.element_at("w", -1)).alias("words"))

@@ -56,3 +56,27 @@ def test_pairs_of_blocks(spark, monkeypatch):
         assert sorted(kept[q])[:10] == sorted((-round(float(x[i] @ x[q]), 6), i) for i in range(300))[:10]
     assert vectors.score_pairs(df, asked.where("query_id < 0"), "id").count() == 0
     assert vectors.score_pairs(df.where(F.col("id") < 0), asked, "id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["asked_lane_max", "multi_query_scores"])
+def test_no_pair_is_shuffled(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Repartition" not in above and "Join" not in above
+    assert plan.count("Generate explode") == 1  # queries are copied a block, rows are not
+
+
+def test_best_of_groups_within_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 30)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, size=(200, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, f"g{i % 23}", [float(v) for v in r]) for i, r in enumerate(x)], "id long, g string, embedding array<float>")
+    asked = df.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    want = {(q, f"g{g}"): max((x[i] @ x[q], -i) for i in range(g, 200, 23)) for q in range(0, 200, 10) for g in range(23)}
+    got = vectors.score_pairs(df, asked, "id", places=6, together=("g",), keep=lambda rows: vectors.group_best(rows, ["g"])).collect()
+    assert len(got) == len(want) and {(r.query_id, r.g): (r.score, -r.id) for r in got} == want
+    kept = {}
+    for r in vectors.score_pairs(df, asked, "id", best=5, places=6).collect():
+        kept.setdefault(r.query_id, []).append((-r.score, r.id))
+    assert all(len(v) <= 5 * 7 and sorted(v)[:5] == sorted((-(x[i] @ x[q]), i) for i in range(200))[:5] for q, v in kept.items())  # so many a block, whatever the ties
+    assert vectors.rounded(np.array([0.25, -0.25, -1e-9]), 1).tolist() == [0.3, -0.3, 0.0]
