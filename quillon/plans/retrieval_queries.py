@@ -214,7 +214,7 @@ def indexed_matches(spark, sf_dir):
     """How many texts hold the first or the last word of every hundredth document."""
     words = X.all_tokens(F.col("text"))
     asked = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), words.alias("w")).where(F.size("w") > 0).select("query_id", F.array(F.col("w")[0], F.element_at("w", -1)).alias("words"))
-    return indexed(spark, sf_dir).matching(asked, every=False).groupBy("query_id").agg(F.count(F.lit(1)).alias("texts"))
+    return indexed(spark, sf_dir).counts(asked, every=False)
 
 
 DENSE = """, dense AS (SELECT c.vec_id AS id, round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (ORDER BY round(list_inner_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.vec_id)::INTEGER AS rank

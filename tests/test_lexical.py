@@ -43,3 +43,25 @@ def test_empty_index(spark, tmp_path):
     lexical.build(spark.createDataFrame([], DOCS), str(tmp_path / "e"))
     index = lexical.LexicalIndex(spark, str(tmp_path / "e"))
     assert index.search(spark.createDataFrame([("q", ["a"])], "query_id string, words array<string>"), 3).collect() == []
+
+
+def test_queries_stream_past_compact_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "HELD_BLOCKS", 2)
+    rows = [(i, " ".join(["a"] * (300 if i == 7 else 1 + i % 3) + ["b"] * (i % 2) + [f"c{i}"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    lexical.build(docs, str(tmp_path / "i"), block_rows=16)
+    index = lexical.LexicalIndex(spark, str(tmp_path / "i"))
+    sizes = index.postings.where("token = 'a'").selectExpr("sum(n) n", "sum(length(places)) p", "max(max_tf) m", "sum(length(tfs)) t").first()
+    assert sizes.n == 200 and sizes.p == 400 and sizes.m == 300 and 200 < sizes.t <= 200 + 3 * 16  # three bytes a posting, but for the block of a long text
+    asked = spark.createDataFrame([(q, ["a", "b"]) for q in range(5)] + [(5, ["b", "a", "b"]), (6, ["b", "c0"]), (7, ["z"])], "query_id int, words array<string>")
+    best = {}
+    for r in index.search(asked, 4, places=6).collect():
+        best.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert sorted(best) == [0, 1, 2, 3, 4, 5] and len({tuple(sorted(v)) for v in best.values()}) == 1  # one set of words, asked six times
+    want = retrieval.bm25(docs, "a b").select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(4).collect()
+    assert [r[1:] for r in sorted(best[0])] == [tuple(r) for r in want]
+    assert {r.query_id: r.texts for r in index.counts(asked).collect()} == {q: 100 for q in range(6)}
+    assert {r.query_id: r.texts for r in index.counts(asked, every=False).collect()} == {**{q: 200 for q in range(6)}, 6: 101}
+    plan = index.search(asked, 4)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "places" not in above and above.count("Join") == 1  # postings are not joined with queries
