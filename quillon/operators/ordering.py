@@ -6,7 +6,7 @@ the partitions (one row each) give every partition its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.holding import held
@@ -42,3 +42,13 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     offsets = totals.select("__part", (F.coalesce(F.sum("__total").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
     rows = rows.join(F.broadcast(offsets), "__part")  # one row a partition
     return rows.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))
+
+
+def dealt(df: DataFrame, key: str, of: DataFrame, units: list[tuple[Column, int]]) -> DataFrame:
+    """``df``, made of ``of``, dealt by ``key`` to so many tasks that each has about the stated number of every unit of ``of`` at most; a key stays whole.
+
+    Left to itself Spark would join small shuffle blocks, by bytes that say little of what windows over them hold.
+    """
+    told = of.agg(*(F.sum(c).alias(f"u{i}") for i, (c, _) in enumerate(units))).first()
+    need = max(-(-int(told[f"u{i}"] or 0) // most) for i, (_, most) in enumerate(units))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, need), key)

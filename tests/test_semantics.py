@@ -498,3 +498,25 @@ def test_lines_of_every_kind(spark):
         assert [r.line for r in got if r.document == i] == (t or "").splitlines(keepends=True)
         assert [r.visible for r in got if r.document == i] == (t or "").splitlines()
         assert all((t or "")[r.start : r.end] == r.line for r in got if r.document == i)
+
+
+def test_cycles_end_with_the_longest_chain(spark, monkeypatch):
+    from quillon.operators import validation
+
+    steps = []
+    monkeypatch.setattr(validation, "held", lambda df: (steps.append(1), df.localCheckpoint())[1])
+    # chains of 1, 5 and 13 links, a cycle of 3 with a tail of 6, one of 1 and one of 7
+    links = [(1, 0)] + [(100 + i, 99 + i) for i in range(5)] + [(200 + i, 199 + i) for i in range(13)]
+    links += [(300, 302), (301, 300), (302, 301), (303, 302)] + [(304 + i, 303 + i) for i in range(5)] + [(400, 400)] + [(500 + i, 500 + (i + 1) % 7) for i in range(7)]
+    links += [(1000 + i, None) for i in range(5)] + [(10_000 + i, 20_000 + i) for i in range(2000)]  # many links that end at once
+    rows = spark.createDataFrame(links, "revision long, supersedes long")
+    assert sorted(r.revision for r in validation.on_cycles(rows).collect()) == [300, 301, 302, 400, *range(500, 507)]
+    assert len(steps) <= 7  # log of the chains' length, not of the number of links
+
+
+def test_a_parse_deals_documents_by_their_lines(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_LINES", 30)
+    pages = spark.createDataFrame([(d, p, "| a | b |\n| - | - |\nx\n") for d in range(60) for p in (1, 2)], "document int, page int, text string")
+    parsed = S.parse(pages)
+    assert parsed.rdd.getNumPartitions() == 16  # 480 lines
+    assert parsed.count() == 360
