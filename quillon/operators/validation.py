@@ -39,16 +39,18 @@ def wrong_ids(rows: DataFrame, id_col: str, prefix: str, fields: list[str]) -> D
 def on_cycles(revisions: DataFrame) -> DataFrame:
     """(revision): those that lie on a cycle of ``supersedes`` links, of any length.
 
-    Each has at most one predecessor, so steps are doubled: chains that end are gone after log of their length, and after as many steps as there are
-    links whatever is left ends on a cycle.
+    Each has at most one predecessor, so steps are doubled: chains that end are gone after log of their length, and once a doubling loses neither starts nor
+    ends, every end is on a cycle: a start that had no more than so many steps would have been lost, and ends that so many further steps map onto themselves are
+    permuted by them.  Rounds are so as many as the log of the longest chain, not of the table.  (With several predecessors: as many steps as there are links.)
     """
     step = held(revisions.where("supersedes IS NOT NULL").select("revision", F.col("supersedes").alias("to")).distinct())
-    length, n = 1, step.count()
-    total = n
-    while n and length < total:
+    count = lambda: step.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("revision").alias("starts"), F.count_distinct("to").alias("ends")).first()
+    length, now, before = 1, count(), None
+    total = now.n
+    while now.n and length < total and (now != before or now.n != now.starts):
         ahead = step.select(F.col("revision").alias("to"), F.col("to").alias("further"))
         step = held(step.join(ahead, "to").select("revision", F.col("further").alias("to")))
-        length, n = 2 * length, step.count()
+        length, before, now = 2 * length, now, count()
     return step.select(F.col("to").alias("revision")).distinct()
 
 
