@@ -33,7 +33,7 @@ from quillon.operators.ordering import running_sums
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 CHUNK = 6 << 20  # bytes of text in a chunk
-KEYS = 5_000_000  # n-gram places a range is meant for
+KEYS = 2_000_000  # n-gram places a range is meant for; what a task fetches, sorts and sends to Python is one range
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -61,17 +61,17 @@ def encoded(langs, texts):
     w = Words(texts, _WORD)
     if not len(w):
         return None
+    data = w.data.tobytes()  # translated byte by byte; as an index each would be eight bytes
     bounds = np.empty(2 * len(w), np.int64)
     bounds[0::2], bounds[1::2] = w.starts, w.ends
     # words and the gaps between them in turn: one string array over the bytes as they are
-    strings = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(_LOWER[w.data])).dictionary_encode()
-    word = strings.indices.to_numpy()[0::2].astype(np.int64)
+    strings = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data.translate(_LOWER.tobytes()))).dictionary_encode()
     langs = langs.fill_null("und").dictionary_encode()
     doc = w.doc()
-    pair = langs.indices.to_numpy()[doc].astype(np.int64) * len(strings.dictionary) + word
+    pair = langs.indices.to_numpy()[doc].astype(np.int64) * len(strings.dictionary) + strings.indices.to_numpy()[0::2]
     entries, code, n = np.unique(pair, return_inverse=True, return_counts=True)
-    cuts = np.concatenate([[0], np.cumsum(_CUT[w.data])])
-    ends = np.flatnonzero((cuts[w.starts[1:]] != cuts[w.ends[:-1]]) | (doc[1:] != doc[:-1])) + 1
+    cuts = np.flatnonzero(np.frombuffer(data.translate(_CUT.tobytes()), bool))  # places of the few cuts, not a count for every byte
+    ends = np.flatnonzero((np.searchsorted(cuts, w.starts[1:]) != np.searchsorted(cuts, w.ends[:-1])) | (doc[1:] != doc[:-1])) + 1
     codes = np.insert(code.ravel().astype(np.uint32) + np.uint32(1), ends, np.uint32(0))
     which, name = np.divmod(entries, len(strings.dictionary))
     return codes, langs.dictionary.take(pa.array(which)), strings.dictionary.take(pa.array(name)).cast(pa.string()), n
@@ -89,6 +89,8 @@ def _chunks(batches):
                 one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([_planes(codes, 4)], pa.binary()), one(lang), one(word), one(pa.array(n.astype(np.int64)))], names=["chunk", "codes", "lang", "word", "n"])
                 at += 1
+                del got, codes, lang, word, n
+                pa.default_memory_pool().release_unused()  # a worker that waits holds none of it
 
 
 def radix_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -119,6 +121,7 @@ def _dealt(longest: int, width: int, parts: int):
     schema = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
     def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         out = []
         for data in chunk.column("codes").to_pylist():
             codes = _numbers(data, 4)

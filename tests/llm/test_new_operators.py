@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,6 +144,19 @@ def test_phrases_empty(spark):
     assert collocations.collocations(empty).collect() == [] == collocations.collocations(spark.createDataFrame([("en", "a b c")], "lang string, text string")).collect()
 
 
+def test_chunk_memory():
+    """A chunk is coded in some 16 bytes for a byte of its text; tables of numbers for every byte took 28."""
+    text = " ".join(f"w{i * i % 5003}{'.' if i % 9 == 0 else ''}" for i in range(100_000))
+    langs, texts = pa.array(["en"]), pa.array([text])
+    collocations.encoded(langs, texts)
+    tracemalloc.start()
+    codes, _, _, n = collocations.encoded(langs, texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(text)
+    assert n.sum() == 100_000 and (codes == 0).sum() == 100_000 // 9  # a cut at the very end parts nothing
+
+
 def test_wide_scores(spark):
     """Products beyond 64 bits stay exact, and so do packed keys of any width."""
     got = spark.sql("SELECT ((CAST(9876543210123 AS DECIMAL(19, 0)) * CAST(9876543210123 AS DECIMAL(19, 0))) * CAST(1000000 AS DECIMAL(7, 0))) div (CAST(9876543210124 AS DECIMAL(19, 0)) * CAST(9876543210125 AS DECIMAL(19, 0))) AS s").first().s
