@@ -342,6 +342,29 @@ def test_summary_lines(spark):
     assert told(spark, "전월 실적 조건 없이 이용") == {("condition", False, "전월 실적 조건 없이 이용")}
 
 
+def test_summary_repeats(spark, monkeypatch):
+    """Facts are found once for every different line, and each of its places gets its candidates; scopes are those of the place, and no two fields run together."""
+    said = [
+        ("PARAGRAPH", "서비스 제외 대상은 아래와 같습니다.", "", None, None, None, None, None),
+        ("LIST_ITEM", "주유 5% 할인", "", None, None, None, None, None),
+        ("PARAGRAPH", "커피 10% 할인(전월 실적 30만원 이상)", None, None, None, None, None, None),
+        ("LIST_ITEM", "주유 5% 할인", "", None, None, None, None, None),
+        ("PARAGRAPH", None, "", None, None, None, None, None),
+        (None, "커피 10% 할인", "", None, None, None, None, None),
+        ("TABLE_ROW", None, "", None, None, ["구분", "혜택"], ["쇼핑", "5% 할인"], None),
+        ("TABLE_ROW", None, "", None, ["구분", "혜택"], None, ["쇼핑", "5% 할인"], None),
+    ]
+    seen, facts = [], summary._facts
+    monkeypatch.setattr(summary, "_facts", lambda parts: seen.append(parts) or facts(parts))
+    df = lambda documents: spark.createDataFrame([(d, i, 0, *line) for d in documents for i, line in enumerate(said)], SUMMARY).repartition(3)
+    one = sorted(tuple(r)[1:] for r in summary.candidates(df([0])).collect())
+    many = sorted((r.document, *tuple(r)[1:]) for r in summary.candidates(df(range(40))).collect())
+    assert many == [(d, *r) for d in range(40) for r in one]
+    assert seen[1].count() == seen[0].count() == 9  # 7 different lines, one of them listed in both ways and one of two cells
+    fields = {(r[0], r[2]) for r in one}
+    assert (3, "benefit") in fields and (1, "benefit") not in fields and (6, "benefit") in fields and (7, "benefit") not in fields
+
+
 def test_summary_column_roles(spark):
     row = lambda headers, cells, **k: told(spark, "| " + " | ".join(cells) + " |", "TABLE_ROW", headers=headers, cells=cells, role=k.pop("role", "BODY"), **k)
     assert not any(f == "benefit" for f, _, _ in row(["서비스", "혜택"], ["식당", "×"]))
