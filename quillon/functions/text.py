@@ -160,12 +160,22 @@ def numeric_facts(text, limit: int = 8) -> Column:
     return F.slice(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"(?U)\s", ""))), 1, limit)
 
 
-def split_lines(text) -> Column:
-    """Array of (line, start, end): lines with their ends, offsets in code points; for \\n-only texts.
+#: What ends a line in Unicode; a carriage return and line feed together are one end.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
-    ``python_lines`` is the general form.
-    """
-    pieces = F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
+
+def line_pieces(text, ends: str = "\n") -> Column:
+    """The lines of a text with their ends."""
+    body = f"[^{ends}]"
+    if "\r" in ends:
+        body = rf"(?:[ -~]+|[\u2030-\uffff]+|{body})"  # the first two save most characters the longer test
+    pattern = f"{body}*+(?:\r\n|[{ends}])|{body}++"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def split_lines(text, ends: str = "\n") -> Column:
+    """Array of (line, start, end): lines with their ends, offsets in code points; ``python_lines`` is the same with all ``LINE_ENDS``."""
+    pieces = line_pieces(text, ends)
     empty = F.array().cast("array<struct<line:string,start:int,end:int>>")
     return F.aggregate(
         pieces,
@@ -175,6 +185,11 @@ def split_lines(text) -> Column:
     )
 
 
+def without_line_end(line) -> Column:
+    n = F.length(line)
+    return F.when(F.endswith(line, F.lit("\r\n")), F.left(line, n - 2)).when(F.right(line, F.lit(1)).isin(*LINE_ENDS), F.left(line, n - 1)).otherwise(line)
+
+
 _LINES = pa.list_(pa.struct([("line", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 

@@ -14,6 +14,7 @@ from quillon.functions import text as X
 from quillon.operators import dates, graph
 from quillon.operators import structure as S
 from quillon.operators import validation as V
+from quillon.operators.ordering import dealt
 from quillon.plans.registry import held, query, read
 
 BENEFIT, NOTICE = ("thwh", "queaire", "schach"), ("sheds", "erst", "ñas")
@@ -177,7 +178,7 @@ def check_overlaps(spark, sf_dir):
 @query("SELECT document, seq::INTEGER AS seq FROM (SELECT document, unnest(range(0, n + 2)) AS seq FROM (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1)) WHERE seq % 4 IN (1, 3)")
 def check_table_rows(spark, sf_dir):
     """Some rows are made to lack their cells, some their role."""
-    p, k = S.parse(tables(spark, sf_dir)), F.col("seq") % 4
+    p, k = S.parse(tables(spark, sf_dir), near=True), F.col("seq") % 4
     return V.wrong_table_rows(p.withColumn("cells", F.when(k != 1, F.col("cells"))).withColumn("role", F.when(k != 3, F.col("role"))))
 
 
@@ -223,29 +224,33 @@ def lossless_fallback(spark, sf_dir):
 
 
 def tables(spark, sf_dir):
-    """Two pages an order: its line items as a table, cut after the first two rows; the second page goes on without a header."""
+    """Two pages an order: its line items as a table, cut after the first two rows; the second page goes on without a header.
+
+    Line items are dealt by order before they become pages, about two lines a row, so the parse finds documents together (``near``).
+    """
     li = read(spark, sf_dir, "lineitem")
-    row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"), F.lit(" |"))
-    rows = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
-    head = F.lit("| line | part |\n| --- | :---: |\n")
-    first = rows.select(F.col("l_orderkey").alias("document"), F.lit(1).alias("page"), F.concat(head, F.array_join(F.slice("rows", 1, 2), "\n"), F.lit("\n")).alias("text"))
-    second = rows.where("size(rows) > 2").select(F.col("l_orderkey").alias("document"), F.lit(2).alias("page"), F.concat(F.array_join(F.slice("rows", 3, 100), "\n"), F.lit("\n")).alias("text"))
-    return first.unionByName(second)
+    li = dealt(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", li, [(F.lit(1), S.PART_LINES // 2)])
+    rows = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("rows"))
+    row = lambda x: F.concat(F.lit("| "), x["l_linenumber"].cast("string"), F.lit(" | "), x["l_partkey"].cast("string"), F.lit(" |"))
+    text = lambda some: F.concat(F.array_join(F.transform(some, row), "\n"), F.lit("\n"))
+    first = F.concat(F.lit("| line | part |\n| --- | :---: |\n"), text(F.slice("rows", 1, 2)))
+    second = F.when(F.size("rows") > 2, text(F.slice("rows", F.lit(3), F.size("rows"))))
+    return rows.select(F.col("l_orderkey").alias("document"), F.posexplode(F.array(first, second)).alias("page", "text")).where("text IS NOT NULL").withColumn("page", F.col("page") + 1)
 
 
 @query("""WITH c AS (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT document, 'HEADER' AS role, 1 AS n, false AS continued FROM c UNION ALL SELECT document, 'SEPARATOR', 1, false FROM c UNION ALL SELECT document, 'BODY', least(n, 2), false FROM c UNION ALL SELECT document, 'BODY', n - 2, true FROM c WHERE n > 2)
 SELECT document, role, continued, n, 'line,part' AS headers FROM r""")
 def table_blocks(spark, sf_dir):
-    p = S.parse(tables(spark, sf_dir))
+    p = S.parse(tables(spark, sf_dir), near=True)
     return p.where("table >= 0").groupBy("document", "role", "continued").agg(F.count(F.lit(1)).alias("n"), F.first(F.array_join("headers", ",")).alias("headers"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS document, count(*) AS n FROM lineitem GROUP BY 1) SELECT document FROM c WHERE n > 2""")
 def table_fragmentation(spark, sf_dir):
     """Orders whose table blocks no single span of the first 40 characters holds: the containment join."""
-    p = held(S.parse(tables(spark, sf_dir)).where("table >= 0"))
-    blocks = p.groupBy("document", "page", "table").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = p.groupBy("document", "page").agg(F.min("start").alias("start"), F.max(F.when(F.col("page") == 1, F.col("end"))).alias("end"))
+    p = S.parse(tables(spark, sf_dir), near=True).where("table >= 0")
+    blocks = held(p.groupBy("document", "page", "table").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    spans = blocks.groupBy("document", "page").agg(F.min("start").alias("start"), F.max(F.when(F.col("page") == 1, F.col("end"))).alias("end"))
     return V.uncovered_blocks(blocks, spans.where("end IS NOT NULL")).select("document").distinct()
 
 
